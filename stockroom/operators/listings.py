@@ -16,7 +16,8 @@ from stockroom.functions.exprs import (clock_text, dash_if_missing, is_low_stock
                                        is_out_of_stock, line_value, money_text)
 from stockroom.operators.joins import inventory_with_supplier, with_supplier
 
-NEWEST_FIRST = [F.col("sale_timestamp").desc(), F.col("id").desc()]
+def _newest_first() -> list[F.Column]:
+    return [F.col("sale_timestamp").desc(), F.col("id").desc()]
 
 
 def _date(d) -> F.Column:
@@ -35,7 +36,7 @@ def scan_products(products: DataFrame) -> DataFrame:
 
 def scan_sales(sales: DataFrame) -> DataFrame:
     """All sales, newest first (``id`` breaks timestamp ties)."""
-    return sales.orderBy(*NEWEST_FIRST)
+    return sales.orderBy(*_newest_first())
 
 
 def scan_suppliers(suppliers: DataFrame) -> DataFrame:
@@ -234,7 +235,7 @@ def recent_transactions(sales: DataFrame, n: int = 8) -> DataFrame:
     """Newest ``n`` sales (a top-k: planned as TakeOrderedAndProject)."""
     total = F.coalesce(F.col("total_amount"),
                        (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")))
-    return (sales.orderBy(*NEWEST_FIRST).limit(n)
+    return (sales.orderBy(*_newest_first()).limit(n)
             .select("id", F.col("product_name").alias("productName"), "category", "quantity",
                     money_text(total).alias("amount_text"), F.col("sale_date").alias("date")))
 

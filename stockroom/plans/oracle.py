@@ -234,11 +234,14 @@ def build() -> dict[str, str]:
     q["supplier_info"] = A(
         "SELECT supplier, string_agg(name, ', ' ORDER BY category, name, id) AS products FROM plist "
         "GROUP BY supplier", PLIST)
+    item = ("'{\"name\":' || CAST(to_json(name) AS VARCHAR) || ',\"category\":' || "
+            "CAST(to_json(category) AS VARCHAR) || ',\"price\":' || CAST(price AS VARCHAR) || "
+            "',\"quantity\":' || CAST(quantity AS VARCHAR) || '}'")
     q["supplier_detail"] = A(
         f"SELECT supplier, contact, {_dash('contact')} AS contact_text, CAST(n_items AS INT) AS n_items, "
         f"items_json FROM (SELECT supplier, MIN(\"supplierContact\") AS contact, COUNT(*) AS n_items, "
-        f"CAST(to_json(list({{'name': name, 'category': category, 'price': price, 'quantity': quantity}} "
-        f"ORDER BY category, name, id)) AS VARCHAR) AS items_json FROM plist GROUP BY supplier)", PLIST)
+        f"'[' || string_agg({item}, ',' ORDER BY category, name, id) || ']' AS items_json "
+        f"FROM plist GROUP BY supplier)", PLIST)
     q["alert_badge_count"] = A(
         "SELECT badge_count, NULLIF(CAST(badge_count AS VARCHAR), '0') AS badge_text FROM ("
         "SELECT COUNT(*) FILTER (WHERE (quantity > 0 AND quantity < 10) OR quantity = 0) AS badge_count "
@@ -256,3 +259,11 @@ def build() -> dict[str, str]:
 
 
 ORACLE_SQL = build()
+
+
+def _with_jobs() -> None:
+    from stockroom.plans.oracle_jobs import JOB_ORACLE_SQL
+    ORACLE_SQL.update(JOB_ORACLE_SQL)
+
+
+_with_jobs()
