@@ -58,6 +58,17 @@ FOLD_COLUMNS = [
 ]
 
 
+def step(stock: int, q: int, overflow: bool) -> tuple[int, int]:
+    """One request against the current stock → (status code, stock after)."""
+    if stock == 0:
+        return 3, stock
+    if stock < q:
+        return 2, stock
+    if overflow:
+        return 4, stock
+    return 1, stock - q
+
+
 def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk one partition sorted by (product_id, ts, request_id).
 
@@ -82,15 +93,7 @@ def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if pid != cur_pid:
                 cur_pid, stock = pid, s0
             before[i] = stock
-            if stock == 0:
-                code[i] = 3
-            elif stock < q:
-                code[i] = 2
-            elif bad:
-                code[i] = 4
-            else:
-                code[i] = 1
-                stock -= q
+            code[i], stock = step(stock, q, bad)
             after[i] = stock
         yield b.assign(_code=code, stock_before=before, left=after)
 
@@ -111,30 +114,31 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
     stock_before, left, message, product_name, category, unit_price,
     total_amount, sale_date."""
     n = n_partitions or default_partitions(requests.sparkSession)
-    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
-                        "category", F.col("price").alias("unit_price"),
-                        F.col("quantity").alias("stock0"))
-    r = requests.select("request_id", "product_id", "quantity", "ts", "cashier_id")
-    j = r.join(p, r.product_id == p._pid, "left")
-    total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
-    invalid = F.col("quantity").isNull() | (F.col("quantity") < 1)
-    j = (j.withColumn("_pre", F.when(invalid, F.lit(INVALID_QUANTITY))
-                      .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)))
-          .withColumn("total_amount", total)
-          .withColumn("overflow", total.isNull()))
-
+    j = prepare_requests(products, requests)
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
-    decided = _fold(ready, n)
-    codes = F.col("_code")
-    status = F.create_map(*[x for k, v in _CODES.items() for x in (F.lit(k), F.lit(v))])[codes]
-    decided = decided.withColumn("status", status)
-    message = (F.when(F.col("status") == ACCEPTED,
-                      sold_message("quantity", "product_name", "total_amount"))
-               .when(F.col("status") == OUT_OF_STOCK_STATUS, out_of_stock_message("product_name"))
-               .when(F.col("status") == INSUFFICIENT, insufficient_message("stock_before"))
-               .otherwise(F.lit(OVERFLOW_MESSAGE)))
-    accepted = F.col("status") == ACCEPTED
-    decided = decided.select(
+    decided = _fold(ready, n).withColumn("_pre", F.lit(None).cast("string"))
+    pre = (j.where(F.col("_pre").isNotNull()).drop("_pid")
+           .withColumn("_code", F.lit(None).cast("int"))
+           .withColumn("stock_before", F.lit(None).cast("int"))
+           .withColumn("left", F.lit(None).cast("int")))
+    return decorate_outcomes(decided.unionByName(pre))
+
+
+def decorate_outcomes(df: DataFrame) -> DataFrame:
+    """Status, message and sale fields from the fold's code (or the
+    order-independent pre-decision ``_pre``)."""
+    status_of = F.create_map(*[x for k, v in _CODES.items() for x in (F.lit(k), F.lit(v))])
+    status = F.coalesce(F.col("_pre"), status_of[F.col("_code")])
+    df = df.withColumn("status", status)
+    st = F.col("status")
+    message = (F.when(st == ACCEPTED, sold_message("quantity", "product_name", "total_amount"))
+               .when(st == OUT_OF_STOCK_STATUS, out_of_stock_message("product_name"))
+               .when(st == INSUFFICIENT, insufficient_message("stock_before"))
+               .when(st == AMOUNT_OVERFLOW, F.lit(OVERFLOW_MESSAGE))
+               .when(st == NOT_FOUND, F.lit(NOT_FOUND_MESSAGE))
+               .otherwise(F.lit(INVALID_SALE_MESSAGE)))
+    accepted = st == ACCEPTED
+    return df.select(
         "request_id", "product_id", "quantity", "ts", "cashier_id", "status",
         "stock_before", "left", message.alias("message"),
         F.when(accepted, F.col("product_name")).alias("product_name"),
@@ -143,15 +147,21 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
         F.when(accepted, F.col("total_amount")).alias("total_amount"),
         F.when(accepted, utc_date("ts")).alias("sale_date"))
 
-    pre = j.where(F.col("_pre").isNotNull()).select(
-        "request_id", "product_id", "quantity", "ts", "cashier_id", F.col("_pre").alias("status"),
-        F.lit(None).cast("int").alias("stock_before"), F.lit(None).cast("int").alias("left"),
-        F.when(F.col("_pre") == NOT_FOUND, F.lit(NOT_FOUND_MESSAGE))
-         .otherwise(F.lit(INVALID_SALE_MESSAGE)).alias("message"),
-        F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast(MONEY).alias("unit_price"), F.lit(None).cast(MONEY).alias("total_amount"),
-        F.lit(None).cast("date").alias("sale_date"))
-    return decided.unionByName(pre)
+
+def prepare_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests joined to their product, with the order-independent outcome
+    (``_pre``: INVALID_QUANTITY / NOT_FOUND) and the overflow flag decided."""
+    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
+                        "category", F.col("price").alias("unit_price"),
+                        F.col("quantity").alias("stock0"))
+    r = requests.select("request_id", "product_id", "quantity", "ts", "cashier_id")
+    j = r.join(p, r.product_id == p._pid, "left")
+    total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+    invalid = F.col("quantity").isNull() | (F.col("quantity") < 1)
+    return (j.withColumn("_pre", F.when(invalid, F.lit(INVALID_QUANTITY))
+                         .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)))
+            .withColumn("total_amount", total)
+            .withColumn("overflow", total.isNull()))
 
 
 def stock_after_sales(products: DataFrame, results: DataFrame) -> DataFrame:
@@ -174,5 +184,5 @@ def new_sales_rows(sales: DataFrame, results: DataFrame) -> DataFrame:
 
 
 __all__ = ["ACCEPTED", "INSUFFICIENT", "OUT_OF_STOCK_STATUS", "INVALID_QUANTITY", "NOT_FOUND",
-           "AMOUNT_OVERFLOW", "fold_stock", "apply_sale_requests", "stock_after_sales",
+           "AMOUNT_OVERFLOW", "step", "fold_stock", "prepare_requests", "decorate_outcomes", "apply_sale_requests", "stock_after_sales",
            "new_sales_rows"]

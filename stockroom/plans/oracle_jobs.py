@@ -256,3 +256,45 @@ def build() -> dict[str, str]:
 
 
 JOB_ORACLE_SQL = build()
+
+
+def _console() -> dict[str, str]:
+    from stockroom.plans.oracle import INV_VIEW, MS, PLIST
+    A = with_adapters
+    return {
+        "adhoc_sql": A(f"SELECT category, CAST(SUM(quantity) AS BIGINT) AS total_units, "
+                       f"CAST(SUM(quantity * price) AS {MS}) AS value FROM f_products GROUP BY category"),
+        "register_views": A(f"SELECT product_name, category, CAST(SUM(quantity) AS BIGINT) AS total_units_sold, "
+                            f"CAST(SUM(total_amount) AS {MS}) AS total_revenue FROM f_sales "
+                            f"GROUP BY product_name, category"),
+        "result_meta": A("SELECT COUNT(*) AS row_count, 9 AS column_count, "
+                         "'id,name,category,quantity,price,stock_value,supplier_name,supplier_contact,stock_status' "
+                         "AS columns FROM inv WHERE stock_status = 'LOW STOCK'", INV_VIEW),
+        "write_report": A("SELECT * FROM plist", PLIST),
+    }
+
+
+JOB_ORACLE_SQL.update(_console())
+
+
+def _streams() -> dict[str, str]:
+    from stockroom.plans.oracle import MS
+    A = with_adapters
+    feed_fold = SALE_FOLD.replace("f_sale_requests", "f_sale_feed")
+    return {
+        "stream_apply_sales": A("SELECT * FROM sale_results", feed_fold, recursive=True),
+        "stream_daily_kpis": A(
+            f"SELECT sale_date AS day, COALESCE(CAST(SUM(total_amount) AS {MS}), 0) AS revenue, "
+            f"CAST(SUM(quantity) AS BIGINT) AS items_sold, COUNT(*) AS transactions FROM f_sales GROUP BY sale_date"),
+        "stream_revenue_by_category": A(
+            f"SELECT category, CAST(SUM(quantity) AS BIGINT) AS total_units_sold, "
+            f"CAST(SUM(total_amount) AS {MS}) AS total_revenue FROM f_sales GROUP BY category"),
+        "stream_stock_alerts": A(
+            "SELECT request_id, product_id, ts, alert, stock_before, \"left\" FROM ("
+            "SELECT *, CASE WHEN \"left\" = 0 THEN 'OUT OF STOCK' WHEN \"left\" > 0 AND \"left\" < 10 "
+            "AND stock_before >= 10 THEN 'LOW STOCK' END AS alert FROM sale_results WHERE status = 'ACCEPTED') "
+            "WHERE alert IS NOT NULL", feed_fold, recursive=True),
+    }
+
+
+JOB_ORACLE_SQL.update(_streams())

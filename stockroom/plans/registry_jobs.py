@@ -53,3 +53,81 @@ JOBS: dict[str, Query] = {
 }
 
 __all__ = ["JOBS", "AS_OF", "AS_OF_TS", "SparkSession"]
+
+
+# --- console and sinks (S5, S8–S10) ----------------------------------------------
+
+from stockroom.plans.console import adhoc_sql, result_meta  # noqa: E402
+from stockroom.session import scratch_path  # noqa: E402
+from stockroom.sources.adapters import load_retail_from_star  # noqa: E402
+from stockroom.sources.catalog import register_views  # noqa: E402
+from stockroom.sources.sinks import read_report, write_report  # noqa: E402
+from stockroom.operators.listings import product_list  # noqa: E402
+
+# Console statements (fixed): the "By Category" and "Revenue by Product" quick
+# queries, and the low-stock view filter.
+BY_CATEGORY_SQL = ("SELECT category, CAST(SUM(quantity) AS BIGINT) AS total_units, "
+                   "CAST(SUM(quantity * price) AS DECIMAL(38,2)) AS value FROM products GROUP BY category;")
+REVENUE_BY_PRODUCT_SQL = "SELECT * FROM v_revenue_by_product;"
+LOW_STOCK_SQL = "SELECT * FROM v_inventory_with_supplier WHERE stock_status = 'LOW STOCK';"
+
+
+def _console(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(spark, load_retail_from_star(spark, sf_dir))
+        return adhoc_sql(spark, sql).df
+    return run
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result_meta(_console(LOW_STOCK_SQL)(spark, sf_dir))
+
+
+def _write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_retail_from_star(spark, sf_dir)
+    df = product_list(t.products, t.suppliers)
+    path = write_report(df, scratch_path(spark, "report"), "json")
+    return read_report(spark, path, df.schema, "json")
+
+
+JOBS.update({
+    "adhoc_sql": _console(BY_CATEGORY_SQL),
+    "register_views": _console(REVENUE_BY_PRODUCT_SQL),
+    "result_meta": _meta,
+    "write_report": _write_report,
+})
+
+
+# --- streams (R1–R4), each run to completion with an availableNow trigger ------
+
+from stockroom.streaming import streams as R  # noqa: E402
+
+
+def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_retail_from_star(spark, sf_dir)
+    out = R.stream_apply_sales(t.products, R.feed_stream(spark, sf_dir))
+    return R.read_run(spark, R.run_append(out, "apply-sales"), out.schema)
+
+
+def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = R.stream_daily_kpis(R.sales_stream(spark, sf_dir))
+    return R.read_run(spark, R.run_complete(agg, "daily-kpis"), agg.schema)
+
+
+def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = R.stream_revenue_by_category(R.sales_stream(spark, sf_dir))
+    return R.read_run(spark, R.run_complete(agg, "revenue-by-category"), agg.schema)
+
+
+def _r4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_retail_from_star(spark, sf_dir)
+    alerts = R.stream_stock_alerts(R.stream_apply_sales(t.products, R.feed_stream(spark, sf_dir)))
+    return R.read_run(spark, R.run_append(alerts, "stock-alerts"), alerts.schema)
+
+
+JOBS.update({
+    "stream_apply_sales": _r1,
+    "stream_daily_kpis": _r2,
+    "stream_revenue_by_category": _r3,
+    "stream_stock_alerts": _r4,
+})
