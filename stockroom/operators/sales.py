@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from stockroom.functions.exprs import (INVALID_SALE_MESSAGE, NOT_FOUND_MESSAGE,
                                        insufficient_message, out_of_stock_message,
@@ -48,6 +48,9 @@ NOT_FOUND = "NOT_FOUND"
 AMOUNT_OVERFLOW = "AMOUNT_OVERFLOW"
 OVERFLOW_MESSAGE = "Out of range value for column 'total_amount'"
 
+# Requests per product above which its fold is split over several tasks.
+HOT_ROWS = 1_000_000
+
 # Status codes used inside the fold (small ints travel cheaply through Arrow).
 _CODES = {1: ACCEPTED, 2: INSUFFICIENT, 3: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
 
@@ -98,6 +101,108 @@ def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(_code=code, stock_before=before, left=after)
 
 
+# --- hot products: split one product's sequence over many tasks ----------------
+#
+# A product with more requests than ``hot_rows`` is not folded in one task.
+# Its requests are range-partitioned on (product_id, ts, request_id) — so a
+# product spans several partitions, each holding a contiguous segment of its
+# order — and the partition tag is pinned by a checkpoint.  Then:
+#   1. every segment computes its transfer table: leaving stock as a function
+#      of entering stock s, for s in [0, D] with D = min(stock0, Σq); above D
+#      every request is accepted, so the leaving stock is s − Σq;
+#   2. per product, the tables are chained in partition order from stock0 —
+#      one small row per segment — giving each segment its entering stock;
+#   3. every segment is folded in parallel from its entering stock.
+# Exact; a table costs O(D) per request that can still change the stock, and
+# at most D requests can, since each lowers the largest reachable stock.
+
+TABLE_SCHEMA = StructType([
+    StructField("product_id", LongType(), False),
+    StructField("_part", IntegerType(), False),
+    StructField("_sum_q", LongType(), False),
+    StructField("_table", ArrayType(IntegerType(), False), False),
+])
+
+
+def segment_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pass 1: transfer table of every (product, partition) segment."""
+    cur = None          # (product_id, part, stock0)
+    qs: list[np.ndarray] = []
+
+    def close():
+        pid, part, s0 = cur
+        q = np.concatenate(qs) if qs else np.empty(0, dtype=np.int64)
+        sum_q = int(q.sum())
+        dom = int(max(0, min(s0, sum_q)))
+        v = np.arange(dom + 1, dtype=np.int64)
+        top = dom
+        for x in q.tolist():
+            if x <= top:                         # can change some reachable stock
+                v = np.where((v >= x) & (v != 0), v - x, v)
+                top = int(v.max())
+        return {"product_id": pid, "_part": part, "_sum_q": sum_q, "_table": v.astype(np.int32)}
+
+    out: list[dict] = []
+    for b in batches:
+        if b.empty:
+            continue
+        keep = ~b["overflow"].to_numpy(dtype=bool)   # overflow never changes stock
+        pids = b["product_id"].to_numpy()
+        parts = b["_part"].to_numpy()
+        s0s = b["stock0"].to_numpy()
+        qv = b["quantity"].to_numpy().astype(np.int64)
+        # split the batch into runs of equal (product, part)
+        change = np.flatnonzero((pids[1:] != pids[:-1]) | (parts[1:] != parts[:-1])) + 1
+        for lo, hi in zip(np.r_[0, change], np.r_[change, len(b)]):
+            key = (int(pids[lo]), int(parts[lo]), int(s0s[lo]))
+            if cur is None or key[:2] != cur[:2]:
+                if cur is not None:
+                    out.append(close())
+                cur, qs = key, []
+            qs.append(qv[lo:hi][keep[lo:hi]])
+        if len(out) > 256:
+            yield pd.DataFrame(out)
+            out = []
+    if cur is not None:
+        out.append(close())
+    if out:
+        yield pd.DataFrame(out)
+
+
+def chain_tables(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pass 2 (one product): entering stock of each segment, in partition order."""
+    pdf = pdf.sort_values("_part")
+    stock = int(pdf["stock0"].iloc[0])
+    enter = []
+    for sum_q, table in zip(pdf["_sum_q"].tolist(), pdf["_table"].tolist()):
+        enter.append(stock)
+        if stock < 0:
+            continue                      # negative stock: every request is rejected
+        stock = int(table[stock]) if stock < len(table) else stock - int(sum_q)
+    return pd.DataFrame({"product_id": pdf["product_id"].to_numpy(),
+                         "_part": pdf["_part"].to_numpy(), "_enter": enter})
+
+
+def _fold_hot(hot: DataFrame, n_partitions: int) -> DataFrame:
+    ranged = (hot.repartitionByRange(n_partitions, "product_id", "ts", "request_id")
+              .withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    ordered = ranged.sortWithinPartitions("product_id", "ts", "request_id")
+    tables = ordered.select("product_id", "_part", "stock0", "quantity", "overflow") \
+        .mapInPandas(segment_tables, TABLE_SCHEMA)
+    stock0 = hot.select("product_id", "stock0").distinct()
+    enter = (tables.join(stock0, "product_id")
+             .groupBy("product_id")
+             .applyInPandas(chain_tables, "product_id long, _part int, _enter int"))
+    # ≤ (#partitions × #hot products) rows, both bounded: the broadcast is safe
+    # and keeps the checkpointed partitions in place (no shuffle of the requests).
+    seeded = (ranged.join(F.broadcast(enter), ["product_id", "_part"])
+              .withColumn("stock0", F.col("_enter")).drop("_enter", "_part"))
+    laid_out = seeded.sortWithinPartitions("product_id", "ts", "request_id")
+    out_schema = StructType(laid_out.schema.fields + FOLD_COLUMNS)
+    return laid_out.mapInPandas(fold_stock, out_schema)
+
+
 def _fold(ready: DataFrame, n_partitions: int) -> DataFrame:
     """Run :func:`fold_stock` with Spark doing the partitioning and ordering."""
     laid_out = (ready.repartition(n_partitions, "product_id")
@@ -107,16 +212,30 @@ def _fold(ready: DataFrame, n_partitions: int) -> DataFrame:
 
 
 def apply_sale_requests(products: DataFrame, requests: DataFrame,
-                        n_partitions: int | None = None) -> DataFrame:
+                        n_partitions: int | None = None,
+                        hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Outcome of every sale request, with the sale row fields when accepted.
 
+    Products with more than ``hot_rows`` requests are folded by the split
+    path (several tasks per product); ``hot_rows=None`` folds every product
+    in a single task.
+
     Output: request_id, product_id, quantity, ts, cashier_id, status,
     stock_before, left, message, product_name, category, unit_price,
     total_amount, sale_date."""
     n = n_partitions or default_partitions(requests.sparkSession)
     j = prepare_requests(products, requests)
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
-    decided = _fold(ready, n).withColumn("_pre", F.lit(None).cast("string"))
+    if hot_rows:
+        counts = ready.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+        hot_ids = counts.where(F.col("_n") > hot_rows).select("product_id")
+        # at most (#requests / hot_rows) hot products: a bounded broadcast
+        hot = ready.join(F.broadcast(hot_ids), "product_id", "left_semi")
+        cold = ready.join(F.broadcast(hot_ids), "product_id", "left_anti")
+        decided = _fold(cold, n).unionByName(_fold_hot(hot, n))
+    else:
+        decided = _fold(ready, n)
+    decided = decided.withColumn("_pre", F.lit(None).cast("string"))
     pre = (j.where(F.col("_pre").isNotNull()).drop("_pid")
            .withColumn("_code", F.lit(None).cast("int"))
            .withColumn("stock_before", F.lit(None).cast("int"))

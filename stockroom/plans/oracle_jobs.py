@@ -244,6 +244,7 @@ def build() -> dict[str, str]:
         "SELECT *, (product_id IS NOT NULL AND product_id <> 0 AND NOT COALESCE(quantity < 1, false)) AS ok "
         "FROM f_sale_requests)")
     q["apply_sale_requests"] = A("SELECT * FROM sale_results", SALE_FOLD, recursive=True)
+    q["apply_sale_requests_split_hot"] = q["apply_sale_requests"]
     q["stock_after_sales"] = A(
         "SELECT p.id, p.name, p.category, CAST(p.quantity - COALESCE(s.sold, 0) AS INT) AS quantity, p.price, "
         "p.supplier_id FROM f_products p LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM sale_results "

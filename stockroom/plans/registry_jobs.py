@@ -48,6 +48,10 @@ JOBS: dict[str, Query] = {
     "validate_employee_requests": _q(lambda t: C.validate_employee_requests(t.employee_changes)),
     "validate_sale_requests": _q(lambda t: C.validate_sale_requests(t.sale_requests)),
     "apply_sale_requests": _q(_sale_results),
+    # the same job with the hot-product split path taken by every product that
+    # has more than 10 requests (exercises the multi-task fold on whole data)
+    "apply_sale_requests_split_hot": _q(lambda t: S.apply_sale_requests(
+        t.products, t.sale_requests, hot_rows=10)),
     "stock_after_sales": _q(lambda t: S.stock_after_sales(t.products, _sale_results(t))),
     "new_sales_rows": _q(lambda t: S.new_sales_rows(t.sales, _sale_results(t))),
 }

@@ -174,3 +174,17 @@ def test_stream_equals_batch(spark, seed, tmp_path):
     alerts = R.read_run(spark, R.run_append(R.stream_stock_alerts(R.stream_apply_sales(
         seed.products, R.parquet_stream(spark, str(folder)))), "t-r4"))
     assert {(r["request_id"], r["alert"]) for r in alerts.collect()} == {(3, "OUT OF STOCK")}
+
+
+def test_hot_product_split_equals_single_task(spark, seed):
+    import random
+    rnd = random.Random(7)
+    prods = seed.products.withColumn("quantity", __import__("pyspark.sql.functions", fromlist=["col"]).col("quantity") * 9)
+    items = [(rnd.choice([1, 1, 1, 3, 5, 2]), rnd.choice([0, 1, 2, 3, 7, 30, 400])) for _ in range(700)]
+    req = _reqs(spark, items)
+    key = ["request_id", "status", "stock_before", "left"]
+    single = sorted(map(tuple, SA.apply_sale_requests(prods, req, hot_rows=None).select(*key).collect()))
+    split = sorted(map(tuple, SA.apply_sale_requests(prods, req, n_partitions=7, hot_rows=20)
+                       .select(*key).collect()))
+    assert split == single
+    assert {s[1] for s in single} >= {"ACCEPTED", "INSUFFICIENT", "OUT_OF_STOCK", "INVALID_QUANTITY"}
