@@ -203,7 +203,7 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
     universe = (products.select("id", F.lit(None).cast("bigint").alias("_start"))
                 .unionByName(inserted.select("id", F.col("request_id").alias("_start"))))
     ops = reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull())
-    resolved = _resolve_ops(universe, ops, F.col("_ok"))
+    resolved = _resolve_ops(universe, ops, F.col("_ok")).checkpoint(eager=True)
 
     last_update = (resolved.where(F.col("status") == UPDATED).groupBy("id").agg(
         F.max_by(F.struct("name", "category", "quantity", "price", "supplier_id"),
@@ -248,9 +248,11 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
       to another employee of the base table or an accepted insert.
     * DELETE: removes the row (sales keep their history, cashier set NULL via M4).
 
-    Simplification: usernames freed or taken by other requests of the same
-    batch are not tracked request by request; :func:`validate_table` reports
-    any duplicate left in the result."""
+    Among accepted updates the earliest to take a username keeps it; a later
+    update of another employee to that username is a duplicate.
+    Simplification: a username released inside the batch (by a DELETE or a
+    rename) is still treated as taken; :func:`validate_table` reports any
+    duplicate left in the result."""
     role_ok = F.col("role").isin(*ROLES)
     reqs = requests.select("request_id", "op", "id", "name", "username", "role")
     fields_ok = (F.col("name").isNotNull() & F.col("username").isNotNull()
@@ -283,10 +285,19 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
            .withColumn("_dup", F.col("_clash_req").isNotNull()))
     universe = (employees.select("id", F.lit(None).cast("bigint").alias("_start"))
                 .unionByName(inserted.select("id", F.col("request_id").alias("_start"))))
-    resolved = _resolve_ops(universe, ops, F.col("_upd_ok"))
+    resolved = _resolve_ops(universe, ops, F.col("_upd_ok")).checkpoint(eager=True)
     resolved = resolved.withColumn(
         "status", F.when((F.col("status") == ERROR) & F.col("_dup"), F.lit(DUPLICATE))
         .otherwise(F.col("status")))
+    # Among accepted updates, the earliest to take a username keeps it; a later
+    # update of a *different* employee to the same username is a duplicate.
+    claims = (resolved.where(F.col("status") == UPDATED).groupBy("username")
+              .agg(F.min_by("id", "request_id").alias("_claim_id")))
+    resolved = (resolved.join(claims, "username", "left")
+                .withColumn("status", F.when((F.col("status") == UPDATED)
+                                             & (F.col("id") != F.col("_claim_id")), F.lit(DUPLICATE))
+                            .otherwise(F.col("status")))
+                .checkpoint(eager=True))      # read by three consumers below
 
     last_update = (resolved.where(F.col("status") == UPDATED).groupBy("id").agg(
         F.max_by(F.struct("name", "username", "role"), "request_id").alias("_u")))
@@ -342,41 +353,55 @@ def _missing_parent(df: DataFrame, table: str, fk: str, parent: DataFrame, pk: s
                        detail=F.col(fk).cast("string"))
 
 
+def _row_rules(df: DataFrame, table: str, rules: list[tuple[str, Column, Column | None]],
+               key: str = "id") -> DataFrame:
+    """All row-level rules in one pass: an array of the violated rules per row, exploded."""
+    hits = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"),
+                                           (detail if detail is not None
+                                            else F.lit(None).cast("string")).alias("detail")))
+                     for rule, cond, detail in rules])
+    return (df.select(F.col(key).cast("string").alias("row_key"),
+                      F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+            .select(F.lit(table).alias("table_name"), F.col("h.rule").alias("rule"), "row_key",
+                    F.col("h.detail").alias("detail")))
+
+
 def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """M7: NOT NULL, UNIQUE, ENUM, length and FK rules → one row per violation."""
+    """M7: NOT NULL, UNIQUE, ENUM, length and FK rules → one row per violation.
+
+    Row rules are evaluated in a single scan; each UNIQUE rule is one
+    aggregate and each FK rule one anti join."""
     parents = parents or {}
-    parts: list[DataFrame] = [_duplicates(df, table, "id"), _violations(df, table, "not_null_id", F.col("id").isNull())]
+    c = F.col
+    rules: list[tuple[str, Column, Column | None]] = [("not_null_id", c("id").isNull(), None)]
+    parts: list[DataFrame] = [_duplicates(df, table, "id")]
     if table == "products":
-        for c in ("name", "category", "quantity", "price"):
-            parts.append(_violations(df, table, f"not_null_{c}", F.col(c).isNull()))
-        parts.append(_violations(df, table, "length_name", F.length("name") > NAME_MAX["products"]))
-        parts.append(_violations(df, table, "length_category", F.length("category") > CATEGORY_MAX))
+        rules += [(f"not_null_{x}", c(x).isNull(), None) for x in ("name", "category", "quantity", "price")]
+        rules += [("length_name", F.length("name") > NAME_MAX["products"], None),
+                  ("length_category", F.length("category") > CATEGORY_MAX, None)]
         if "suppliers" in parents:
             parts.append(_missing_parent(df, table, "supplier_id", parents["suppliers"]))
     elif table == "employees":
-        for c in ("name", "username", "role"):
-            parts.append(_violations(df, table, f"not_null_{c}", F.col(c).isNull()))
+        rules += [(f"not_null_{x}", c(x).isNull(), None) for x in ("name", "username", "role")]
+        rules += [("enum_role", ~c("role").isin(*ROLES), c("role")),
+                  ("length_name", F.length("name") > NAME_MAX["employees"], None),
+                  ("length_username", F.length("username") > USERNAME_MAX, None)]
         parts.append(_duplicates(df, table, "username"))
-        parts.append(_violations(df, table, "enum_role", ~F.col("role").isin(*ROLES),
-                                 detail=F.col("role")))
-        parts.append(_violations(df, table, "length_name", F.length("name") > NAME_MAX["employees"]))
-        parts.append(_violations(df, table, "length_username", F.length("username") > USERNAME_MAX))
     elif table == "suppliers":
-        parts.append(_violations(df, table, "not_null_name", F.col("name").isNull()))
+        rules += [("not_null_name", c("name").isNull(), None),
+                  ("length_name", F.length("name") > NAME_MAX["suppliers"], None)]
         parts.append(_duplicates(df, table, "name"))
-        parts.append(_violations(df, table, "length_name", F.length("name") > NAME_MAX["suppliers"]))
     elif table == "sales":
-        for c in ("product_name", "category", "unit_price", "quantity", "sale_date"):
-            parts.append(_violations(df, table, f"not_null_{c}", F.col(c).isNull()))
-        expect = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
-        parts.append(_violations(df, table, "generated_total_amount",
-                                 ~F.col("total_amount").eqNullSafe(expect)))
+        rules += [(f"not_null_{x}", c(x).isNull(), None)
+                  for x in ("product_name", "category", "unit_price", "quantity", "sale_date")]
+        expect = (c("unit_price") * c("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+        rules.append(("generated_total_amount", ~c("total_amount").eqNullSafe(expect), None))
         if "products" in parents:
             parts.append(_missing_parent(df, table, "product_id", parents["products"]))
         if "employees" in parents:
             parts.append(_missing_parent(df, table, "cashier_id", parents["employees"]))
-    out = parts[0]
-    for p in parts[1:]:
+    out = _row_rules(df, table, rules)
+    for p in parts:
         out = out.unionByName(p)
     return out
 

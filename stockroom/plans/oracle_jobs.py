@@ -92,13 +92,21 @@ eops2 AS (
   SELECT o.*, (u.id IS NOT NULL AND (u.start_ IS NULL OR o.request_id > u.start_)) AS live
   FROM eops o LEFT JOIN euni u ON o.id = u.id),
 efd AS (SELECT id, MIN(request_id) AS del_at FROM eops2 WHERE live AND op = 'DELETE' GROUP BY id),
-eres AS (
+eres0 AS (
   SELECT o.*, CASE WHEN NOT o.live THEN 'NO_MATCH'
                    WHEN o.op = 'DELETE' THEN CASE WHEN o.request_id = efd.del_at THEN 'DELETED' ELSE 'NO_MATCH' END
                    WHEN efd.del_at IS NOT NULL AND o.request_id >= efd.del_at THEN 'NO_MATCH'
                    WHEN o.fields_ok AND NOT o.dup THEN 'UPDATED'
                    WHEN o.dup THEN 'DUPLICATE' ELSE 'ERROR' END AS status
   FROM eops2 o LEFT JOIN efd ON o.id = efd.id),
+eclaim AS (
+  SELECT username, id AS claim_id FROM (
+    SELECT username, id, ROW_NUMBER() OVER (PARTITION BY username ORDER BY request_id) AS rn
+    FROM eres0 WHERE status = 'UPDATED') WHERE rn = 1),
+eres AS (
+  SELECT o.* REPLACE (CASE WHEN o.status = 'UPDATED' AND o.id <> c.claim_id THEN 'DUPLICATE'
+                           ELSE o.status END AS status)
+  FROM eres0 o LEFT JOIN eclaim c ON o.username = c.username),
 elu AS (
   SELECT * FROM (SELECT id, name, username, role,
                         ROW_NUMBER() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn

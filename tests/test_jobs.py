@@ -188,3 +188,16 @@ def test_hot_product_split_equals_single_task(spark, seed):
                        .select(*key).collect()))
     assert split == single
     assert {s[1] for s in single} >= {"ACCEPTED", "INSUFFICIENT", "OUT_OF_STOCK", "INVALID_QUANTITY"}
+
+
+def test_update_username_first_claim_wins(spark, seed):
+    reqs = spark.createDataFrame([
+        (1, "UPDATE", 3, "John", "boss", "cashier"),
+        (2, "UPDATE", 4, "Jane", "boss", "cashier"),
+        (3, "UPDATE", 3, "John D", "boss", "admin"),
+    ], S.EMPLOYEE_CHANGES)
+    res = C.apply_employee_changes(seed.employees, reqs)
+    out = {r["request_id"]: r["status"] for r in rows(res.outcomes)}
+    assert out == {1: "UPDATED", 2: "DUPLICATE", 3: "UPDATED"}
+    table = {r["id"]: r for r in rows(res.table)}
+    assert table[3]["username"] == "boss" and table[3]["role"] == "admin" and table[4]["username"] == "jane"
