@@ -201,3 +201,19 @@ def test_update_username_first_claim_wins(spark, seed):
     assert out == {1: "UPDATED", 2: "DUPLICATE", 3: "UPDATED"}
     table = {r["id"]: r for r in rows(res.table)}
     assert table[3]["username"] == "boss" and table[3]["role"] == "admin" and table[4]["username"] == "jane"
+
+
+def test_daily_kpis_stream_non_utc_session(spark, seed, tmp_path):
+    from stockroom.streaming import streams as R
+    folder = tmp_path / "sales"
+    late = seed.sales.withColumn("sale_timestamp", __import__("pyspark.sql.functions", fromlist=["lit"])
+                                 .lit(dt.datetime(2024, 3, 15, 23, 30)).cast("timestamp_ntz"))
+    late.write.parquet(str(folder))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        agg = R.stream_daily_kpis(R.parquet_stream(spark, str(folder)))
+        got = R.read_run(spark, R.run_complete(agg, "t-r2"), agg.schema).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r["day"], r["revenue"], r["items_sold"], r["transactions"]) for r in got] == \
+        [(dt.date(2024, 3, 15), Decimal("74.95"), 5, 2)]
