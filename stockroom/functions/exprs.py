@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stockroom.schemas import LINE_VALUE, LOW_STOCK_LIMIT, MONEY, MONEY_SUM
 
-# --- fixed values --------------------------------------------------------------
+# --- fixed values (texts and formats that must equal the source's) ------------
+# Templates: {placeholders} are filled from columns by fill().
+SOLD_TEMPLATE = "Sold {quantity} x {name} for {total}"
+OUT_OF_STOCK_TEMPLATE = "{name} is OUT OF STOCK!"
+INSUFFICIENT_TEMPLATE = "Only {stock} units available."
+DEFAULT_EMAIL_TEMPLATE = "info@{supplier}.com"
+PRODUCT_OPTION_TEMPLATE = "{name} - {price} (Stock: {quantity})"
+LOW_STOCK_ITEM_TEMPLATE = "{name} ({quantity} left)"
+NOTIFICATION_TEMPLATE = "{kind}: {names}"
+NOT_FOUND_MESSAGE = "Product not found"
+INVALID_SALE_MESSAGE = "Please select a product and valid quantity"
+REQUIRED_FIELDS_MESSAGE = "Please fill all required fields"
+DUPLICATE_USERNAME_MESSAGE = "Username already exists"
+ALL_HEALTHY_MESSAGE = "All stock levels are healthy."
+ROLE_LABELS = {"admin": "Admin", "owner": "Owner"}
+ROLE_LABEL_OTHER = "Cashier"
+STATUS_PASSWORD_REQUIRED = "Password required"
+STATUS_ACTIVE = "Active"
 # Stock status labels of the inventory view.
 OUT_OF_STOCK = "OUT OF STOCK"
 LOW_STOCK = "LOW STOCK"
@@ -27,6 +46,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_SLOT = re.compile(r"\{(\w+)\}")
+
+
+def fill(template: str, **values) -> Column:
+    """Fill a ``{name}`` template with Columns (or column names) → concat."""
+    parts: list[Column] = []
+    pos = 0
+    for m in _SLOT.finditer(template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(_c(values[m.group(1)]).cast("string"))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
 def line_value(quantity, price) -> Column:
     """Quantity × price as an exact DECIMAL(20,2)."""
     return (_c(quantity).cast("decimal(10,0)") * _c(price)).cast(LINE_VALUE)
@@ -94,7 +130,7 @@ def strip_spaces(x) -> Column:
 
 def default_contact_email(supplier) -> Column:
     """``info@<lower-cased name without white space>.com``."""
-    return F.concat(F.lit("info@"), strip_spaces(F.lower(_c(supplier))), F.lit(".com"))
+    return fill(DEFAULT_EMAIL_TEMPLATE, supplier=strip_spaces(F.lower(_c(supplier))))
 
 
 def parse_int(text) -> Column:
@@ -122,28 +158,23 @@ def utc_date(ts) -> Column:
 
 def sold_message(quantity, name, total) -> Column:
     """Confirmation text of an accepted sale."""
-    return F.concat(F.lit("Sold "), _c(quantity).cast("string"), F.lit(" x "), _c(name),
-                    F.lit(" for "), money_text(total))
+    return fill(SOLD_TEMPLATE, quantity=quantity, name=name, total=money_text(total))
 
 
 def out_of_stock_message(name) -> Column:
-    return F.concat(_c(name), F.lit(" is OUT OF STOCK!"))
+    return fill(OUT_OF_STOCK_TEMPLATE, name=name)
 
 
 def insufficient_message(stock) -> Column:
-    return F.concat(F.lit("Only "), _c(stock).cast("string"), F.lit(" units available."))
+    return fill(INSUFFICIENT_TEMPLATE, stock=stock)
 
 
-# Other fixed message texts.
-NOT_FOUND_MESSAGE = "Product not found"
-INVALID_SALE_MESSAGE = "Please select a product and valid quantity"
-REQUIRED_FIELDS_MESSAGE = "Please fill all required fields"
-DUPLICATE_USERNAME_MESSAGE = "Username already exists"
-ALL_HEALTHY_MESSAGE = "All stock levels are healthy."
 
 
 __all__ = [
-    "OUT_OF_STOCK", "LOW_STOCK", "STOCK_OK", "CURRENCY", "MISSING", "JS_SPACE_CLASS",
+    "fill", "SOLD_TEMPLATE", "OUT_OF_STOCK_TEMPLATE", "INSUFFICIENT_TEMPLATE", "DEFAULT_EMAIL_TEMPLATE",
+    "PRODUCT_OPTION_TEMPLATE", "LOW_STOCK_ITEM_TEMPLATE", "NOTIFICATION_TEMPLATE", "ROLE_LABELS",
+    "ROLE_LABEL_OTHER", "STATUS_PASSWORD_REQUIRED", "STATUS_ACTIVE", "OUT_OF_STOCK", "LOW_STOCK", "STOCK_OK", "CURRENCY", "MISSING", "JS_SPACE_CLASS",
     "line_value", "sale_total", "try_sale_total", "stock_status", "is_low_stock",
     "is_out_of_stock", "money_sum", "money_text", "falsy_default", "dash_if_missing",
     "js_trim", "strip_spaces", "default_contact_email", "parse_int", "parse_float",

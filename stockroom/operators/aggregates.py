@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import (ALL_HEALTHY_MESSAGE, LOW_STOCK, OUT_OF_STOCK,
-                                       dash_if_missing, is_low_stock, is_out_of_stock,
+from stockroom.functions.exprs import (ALL_HEALTHY_MESSAGE, LOW_STOCK, LOW_STOCK_ITEM_TEMPLATE,
+                                       NOTIFICATION_TEMPLATE, OUT_OF_STOCK, dash_if_missing, fill, is_low_stock, is_out_of_stock,
                                        line_value, money_sum, money_text)
 from stockroom.operators.joins import with_supplier
 from stockroom.operators.listings import _date
@@ -202,15 +202,15 @@ def stock_notifications(products: DataFrame) -> DataFrame:
     cand = products.where((q >= 0) & (q < 10)).select(
         "id", "category", "name",
         F.when(q == 0, F.col("name")).alias("_out"),
-        F.when(q > 0, F.concat("name", F.lit(" ("), q.cast("string"), F.lit(" left)"))).alias("_low"))
+        F.when(q > 0, fill(LOW_STOCK_ITEM_TEMPLATE, name="name", quantity=q)).alias("_low"))
     agg = cand.agg(
         F.expr("listagg(_out, ', ') WITHIN GROUP (ORDER BY category, name, id)").alias("o"),
         F.expr("listagg(_low, ', ') WITHIN GROUP (ORDER BY category, name, id)").alias("l"))
     rows = F.array(
         F.struct(F.lit(1).alias("seq"), F.lit(OUT_OF_STOCK).alias("kind"),
-                 F.concat(F.lit(OUT_OF_STOCK + ": "), F.col("o")).alias("message")),
+                 fill(NOTIFICATION_TEMPLATE, kind=F.lit(OUT_OF_STOCK), names="o").alias("message")),
         F.struct(F.lit(2).alias("seq"), F.lit(LOW_STOCK).alias("kind"),
-                 F.concat(F.lit(LOW_STOCK + ": "), F.col("l")).alias("message")),
+                 fill(NOTIFICATION_TEMPLATE, kind=F.lit(LOW_STOCK), names="l").alias("message")),
         F.struct(F.lit(3).alias("seq"), F.lit("OK").alias("kind"),
                  F.when(F.col("o").isNull() & F.col("l").isNull(),
                         F.lit(ALL_HEALTHY_MESSAGE)).alias("message")))

@@ -12,8 +12,10 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import (clock_text, dash_if_missing, is_low_stock,
-                                       is_out_of_stock, line_value, money_text)
+from stockroom.functions.exprs import (PRODUCT_OPTION_TEMPLATE, ROLE_LABEL_OTHER, ROLE_LABELS,
+                                       STATUS_ACTIVE, STATUS_PASSWORD_REQUIRED, clock_text,
+                                       dash_if_missing, fill, is_low_stock, is_out_of_stock,
+                                       line_value, money_text)
 from stockroom.operators.joins import inventory_with_supplier, with_supplier
 
 def _newest_first() -> list[F.Column]:
@@ -87,13 +89,6 @@ def employee_roster(employees: DataFrame) -> DataFrame:
                             F.col("must_change_password").alias("mustChangePassword")).orderBy("id")
 
 
-# Fixed role labels and status texts of the employee table.
-ROLE_LABELS = {"admin": "Admin", "owner": "Owner"}
-ROLE_LABEL_OTHER = "Cashier"
-STATUS_PASSWORD_REQUIRED = "Password required"
-STATUS_ACTIVE = "Active"
-
-
 def employee_roster_labels(employees: DataFrame) -> DataFrame:
     """P5: roster with display role and account status."""
     role = F.col("role")
@@ -119,8 +114,7 @@ def supplier_per_product(products: DataFrame, suppliers: DataFrame) -> DataFrame
 
 def sellable_products(products: DataFrame) -> DataFrame:
     """Sale-form option label; products with zero stock are disabled."""
-    label = F.concat(F.col("name"), F.lit(" - "), money_text("price"),
-                     F.lit(" (Stock: "), F.col("quantity").cast("string"), F.lit(")"))
+    label = fill(PRODUCT_OPTION_TEMPLATE, name="name", price=money_text("price"), quantity="quantity")
     return (products.select("id", label.alias("label"), "price",
                             is_out_of_stock("quantity").alias("disabled"), "category", "name")
             .orderBy("category", "name", "id").drop("category", "name"))
