@@ -50,6 +50,10 @@ OVERFLOW_MESSAGE = "Out of range value for column 'total_amount'"
 
 # Requests per product above which its fold is split over several tasks.
 HOT_ROWS = 1_000_000
+# Largest starting stock for which the split path is used: a segment's
+# transfer table costs O(len + D²) with D ≤ stock, so above this the exact
+# single-task fold is the cheaper one.
+SPLIT_MAX_STOCK = 20_000
 
 # Status codes used inside the fold (small ints travel cheaply through Arrow).
 _CODES = {1: ACCEPTED, 2: INSUFFICIENT, 3: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
@@ -216,9 +220,9 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
                         hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Outcome of every sale request, with the sale row fields when accepted.
 
-    Products with more than ``hot_rows`` requests are folded by the split
-    path (several tasks per product); ``hot_rows=None`` folds every product
-    in a single task.
+    Products with more than ``hot_rows`` requests (and a starting stock of at
+    most ``SPLIT_MAX_STOCK``) are folded by the split path, several tasks per
+    product; ``hot_rows=None`` folds every product in a single task.
 
     Output: request_id, product_id, quantity, ts, cashier_id, status,
     stock_before, left, message, product_name, category, unit_price,
@@ -228,7 +232,10 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
     if hot_rows:
         counts = ready.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-        hot_ids = counts.where(F.col("_n") > hot_rows).select("product_id")
+        stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_s0"))
+        hot_ids = (counts.where(F.col("_n") > hot_rows)
+                   .join(stock.where(F.col("_s0") <= SPLIT_MAX_STOCK), "product_id", "left_semi")
+                   .select("product_id"))
         # at most (#requests / hot_rows) hot products: a bounded broadcast
         hot = ready.join(F.broadcast(hot_ids), "product_id", "left_semi")
         cold = ready.join(F.broadcast(hot_ids), "product_id", "left_anti")
