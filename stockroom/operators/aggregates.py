@@ -140,7 +140,7 @@ def owner_inventory_kpis(products: DataFrame) -> DataFrame:
             .withColumn("value_text", money_text("inventory_value")))
 
 
-def daily_sales_kpis(sales: DataFrame, d) -> DataFrame:
+def daily_sales_kpis(sales: DataFrame, d=None) -> DataFrame:
     """Revenue, items sold and transactions on one date (0s when none)."""
     day = sales.where(F.col("sale_date") == _date(d))
     return (day.agg(F.coalesce(F.sum(_fallback_total()).cast(MONEY_SUM),

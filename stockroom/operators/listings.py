@@ -22,7 +22,10 @@ def _newest_first() -> list[F.Column]:
     return [F.col("sale_timestamp").desc(), F.col("id").desc()]
 
 
-def _date(d) -> F.Column:
+def _date(d=None) -> F.Column:
+    """A date parameter; ``None`` means today (CURDATE(), constant-folded per query)."""
+    if d is None:
+        return F.current_date()
     if isinstance(d, F.Column):
         return d
     if isinstance(d, str):
@@ -200,17 +203,17 @@ def quantity_below(products: DataFrame, n: int = 10) -> DataFrame:
     return products.where(F.col("quantity") < n)
 
 
-def sales_on_date(sales: DataFrame, d) -> DataFrame:
+def sales_on_date(sales: DataFrame, d=None) -> DataFrame:
     """raw sales of one date (partition-pruned on stored tables)."""
     return sales.where(F.col("sale_date") == _date(d))
 
 
-def sales_on_date_list(sales: DataFrame, d) -> DataFrame:
+def sales_on_date_list(sales: DataFrame, d=None) -> DataFrame:
     """F6 with the API renames, newest first."""
     return sales_list(sales_on_date(sales, d))
 
 
-def sales_clock_list(sales: DataFrame, d) -> DataFrame:
+def sales_clock_list(sales: DataFrame, d=None) -> DataFrame:
     """X11: cashier's list of one day's sales: clock time, product, totals as text."""
     day = sales_on_date(sales, d)
     total = F.coalesce(F.col("total_amount"),

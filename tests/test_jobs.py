@@ -217,3 +217,20 @@ def test_daily_kpis_stream_non_utc_session(spark, seed, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [(r["day"], r["revenue"], r["items_sold"], r["transactions"]) for r in got] == \
         [(dt.date(2024, 3, 15), Decimal("74.95"), 5, 2)]
+
+
+def test_stored_tables_prune_dates(spark, seed, tmp_path):
+    from stockroom.operators import aggregates as A
+    from stockroom.sources.tables import read_retail_tables, write_retail_tables
+    from tests.conftest import AS_OF
+    for by_dirs in (False, True):
+        root = str(tmp_path / f"tables-{by_dirs}")
+        write_retail_tables(seed, root, by_date_dirs=by_dirs)
+        t = read_retail_tables(spark, root)
+        assert t.sales.count() == 2 and t.products.count() == 6
+        q = A.daily_sales_kpis(t.sales, AS_OF)
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters: [isnotnull(sale_date" in plan) if by_dirs else ("PushedFilters: [IsNotNull(sale_date), EqualTo(sale_date" in plan)
+        assert q.first()["transactions"] == 2
+    today = A.daily_sales_kpis(seed.sales).first()
+    assert today["transactions"] == 0 and today["revenue"] == Decimal("0.00")
