@@ -54,6 +54,9 @@ HOT_ROWS = 1_000_000
 # transfer table costs O(len + D²) with D ≤ stock, so above this the exact
 # single-task fold is the cheaper one.
 SPLIT_MAX_STOCK = 20_000
+# Up to this many hot ids are filtered with a literal IN list, beyond it with
+# a broadcast join (the list is bounded by #requests / HOT_ROWS either way).
+MAX_LITERAL_IDS = 1_000
 
 # Status codes used inside the fold (small ints travel cheaply through Arrow).
 _CODES = {1: ACCEPTED, 2: INSUFFICIENT, 3: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
@@ -207,6 +210,17 @@ def _fold_hot(hot: DataFrame, n_partitions: int) -> DataFrame:
     return laid_out.mapInPandas(fold_stock, out_schema)
 
 
+def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> list[int]:
+    """Ids of products with more than ``hot_rows`` valid requests and a stock
+    the split path can table.  One column-pruned partial aggregate; the list
+    holds at most #requests / hot_rows ids, so bringing it to the driver is
+    bounded."""
+    counts = (requests.where(F.col("quantity") >= 1).groupBy("product_id")
+              .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    small = products.where(F.col("quantity") <= SPLIT_MAX_STOCK).select(F.col("id").alias("product_id"))
+    return [r[0] for r in counts.join(small, "product_id", "left_semi").select("product_id").collect()]
+
+
 def _fold(ready: DataFrame, n_partitions: int) -> DataFrame:
     """Run :func:`fold_stock` with Spark doing the partitioning and ordering."""
     laid_out = (ready.repartition(n_partitions, "product_id")
@@ -230,16 +244,14 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
     n = n_partitions or default_partitions(requests.sparkSession)
     j = prepare_requests(products, requests)
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
-    if hot_rows:
-        counts = ready.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-        stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_s0"))
-        hot_ids = (counts.where(F.col("_n") > hot_rows)
-                   .join(stock.where(F.col("_s0") <= SPLIT_MAX_STOCK), "product_id", "left_semi")
-                   .select("product_id"))
-        # at most (#requests / hot_rows) hot products: a bounded broadcast
-        hot = ready.join(F.broadcast(hot_ids), "product_id", "left_semi")
-        cold = ready.join(F.broadcast(hot_ids), "product_id", "left_anti")
-        decided = _fold(cold, n).unionByName(_fold_hot(hot, n))
+    hot = hot_products(products, requests, hot_rows) if hot_rows else []
+    if len(hot) > MAX_LITERAL_IDS:
+        ids = ready.sparkSession.createDataFrame([(h,) for h in hot], "product_id long")
+        decided = (_fold(ready.join(F.broadcast(ids), "product_id", "left_anti"), n)
+                   .unionByName(_fold_hot(ready.join(F.broadcast(ids), "product_id", "left_semi"), n)))
+    elif hot:
+        is_hot = F.col("product_id").isin(hot)
+        decided = _fold(ready.where(~is_hot), n).unionByName(_fold_hot(ready.where(is_hot), n))
     else:
         decided = _fold(ready, n)
     decided = decided.withColumn("_pre", F.lit(None).cast("string"))
