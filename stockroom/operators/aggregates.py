@@ -21,6 +21,13 @@ from stockroom.operators.listings import _date
 from stockroom.schemas import MONEY_SUM
 
 
+def _key(name: str, collation: str | None) -> F.Column:
+    """Grouping key, optionally under a collation (e.g. ``UTF8_LCASE`` for the
+    case-insensitive grouping of a default MySQL collation, ``UNICODE_CI_AI``
+    to also ignore accents).  Spark's default is binary."""
+    return F.collate(F.col(name), collation).alias(name) if collation else F.col(name)
+
+
 def _units(x="quantity") -> F.Column:
     return F.sum(F.col(x)).cast("bigint")
 
@@ -47,16 +54,18 @@ def avg_money(total: F.Column, n: F.Column) -> F.Column:
 
 # --- SQL view aggregates -------------------------------------------------------
 
-def revenue_by_category(sales: DataFrame, ordered: bool = True) -> DataFrame:
+def revenue_by_category(sales: DataFrame, ordered: bool = True,
+                        collation: str | None = None) -> DataFrame:
     """A1: units and revenue per category, revenue desc."""
-    out = sales.groupBy("category").agg(_units().alias("total_units_sold"),
+    out = sales.groupBy(_key("category", collation)).agg(_units().alias("total_units_sold"),
                                          money_sum("total_amount").alias("total_revenue"))
     return out.orderBy(F.col("total_revenue").desc(), "category") if ordered else out
 
 
-def revenue_by_product(sales: DataFrame, ordered: bool = True) -> DataFrame:
+def revenue_by_product(sales: DataFrame, ordered: bool = True,
+                       collation: str | None = None) -> DataFrame:
     """A2: units and revenue per (product_name, category), revenue desc."""
-    out = sales.groupBy("product_name", "category").agg(
+    out = sales.groupBy(_key("product_name", collation), _key("category", collation)).agg(
         _units().alias("total_units_sold"), money_sum("total_amount").alias("total_revenue"))
     return (out.orderBy(F.col("total_revenue").desc(), "product_name", "category")
             if ordered else out)
@@ -73,32 +82,32 @@ def revenue_totals(sales: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("total_orders"))
 
 
-def inventory_by_category(products: DataFrame) -> DataFrame:
+def inventory_by_category(products: DataFrame, collation: str | None = None) -> DataFrame:
     """A5: units and stock value per category."""
-    return products.groupBy("category").agg(
+    return products.groupBy(_key("category", collation)).agg(
         _units().alias("total_units"),
         F.sum(line_value("quantity", "price")).cast(MONEY_SUM).alias("value"))
 
 
 # --- dashboard aggregates (JavaScript rules: empty sums are 0) -----------------
 
-def category_sales(sales: DataFrame) -> DataFrame:
+def category_sales(sales: DataFrame, collation: str | None = None) -> DataFrame:
     """Revenue per category with the total fallback, as value and text."""
     rev = F.coalesce(F.sum(_fallback_total()).cast(MONEY_SUM), F.lit(0).cast(MONEY_SUM))
-    return (sales.groupBy("category").agg(rev.alias("revenue"))
+    return (sales.groupBy(_key("category", collation)).agg(rev.alias("revenue"))
             .withColumn("revenue_text", money_text("revenue")))
 
 
-def product_sales(sales: DataFrame) -> DataFrame:
+def product_sales(sales: DataFrame, collation: str | None = None) -> DataFrame:
     """Revenue per product *name* (not name+category, unlike A2)."""
     rev = F.coalesce(F.sum(_fallback_total()).cast(MONEY_SUM), F.lit(0).cast(MONEY_SUM))
-    return (sales.groupBy("product_name").agg(rev.alias("revenue"))
+    return (sales.groupBy(_key("product_name", collation)).agg(rev.alias("revenue"))
             .withColumn("revenue_text", money_text("revenue")))
 
 
-def category_units(products: DataFrame) -> DataFrame:
+def category_units(products: DataFrame, collation: str | None = None) -> DataFrame:
     """Stock units per category."""
-    return products.groupBy("category").agg(_units().alias("units"))
+    return products.groupBy(_key("category", collation)).agg(_units().alias("units"))
 
 
 def sales_statement(sales: DataFrame) -> DataFrame:

@@ -39,3 +39,22 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_sale_fold_properties(spark):
+    """Per product: start = left + Σ accepted, stock never negative; Σ A1 = A3."""
+    from pyspark.sql import functions as F
+    res = queries()["apply_sale_requests"](spark, SF)
+    prods = queries()["scan_products"](spark, SF).select(F.col("id").alias("product_id"),
+                                                         F.col("quantity").alias("start"))
+    per = (res.where("status = 'ACCEPTED'").groupBy("product_id")
+           .agg(F.sum("quantity").alias("sold"), F.min("left").alias("min_left")))
+    bad = per.join(prods, "product_id").where(
+        (F.col("min_left") < 0) | (F.col("start") - F.col("sold") < 0))
+    assert bad.count() == 0
+    after = queries()["stock_after_sales"](spark, SF).select(F.col("id").alias("product_id"), "quantity")
+    mismatch = (per.join(prods, "product_id").join(after, "product_id")
+                .where(F.col("quantity") != F.col("start") - F.col("sold")))
+    assert mismatch.count() == 0
+    cat = queries()["revenue_by_category"](spark, SF).agg(F.sum("total_revenue")).first()[0]
+    assert cat == queries()["total_revenue"](spark, SF).first()[0]

@@ -132,3 +132,22 @@ def test_sale_quote(spark, seed):
                                    "request_id long, product_id long, quantity int")
     got = {r["request_id"]: r["quote"] for r in rows(L.sale_quote(seed.products, quotes))}
     assert got == {1: "M89.97", 2: "M0.00", 3: "M0.00", 4: "M0.00"}
+
+
+def test_case_insensitive_grouping(spark, seed):
+    from decimal import Decimal as D
+    extra = spark.createDataFrame(
+        [(3, 1, "wireless mouse", "electronics", D("29.99"), 1, D("29.99"), AS_OF, None, None)], S.SALES)
+    sales = seed.sales.unionByName(extra)
+    assert len(rows(A.revenue_by_category(sales))) == 3
+    got = rows(A.revenue_by_category(sales, collation="UTF8_LCASE"))
+    assert len(got) == 2
+    assert {r["category"].lower(): r["total_revenue"] for r in got}["electronics"] == D("89.97")
+    assert len(rows(A.product_sales(sales, collation="UTF8_LCASE"))) == 2
+
+
+def test_badge_equals_low_plus_out(seed):
+    badge = rows(A.alert_badge_count(seed.products))[0]["badge_count"]
+    low = L.low_stock_items(seed.products, seed.suppliers).count()
+    out = L.out_of_stock_items(seed.products, seed.suppliers).count()
+    assert badge == low + out
