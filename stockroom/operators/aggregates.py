@@ -28,6 +28,17 @@ def _key(name: str, collation: str | None) -> F.Column:
     return F.collate(F.col(name), collation).alias(name) if collation else F.col(name)
 
 
+def _newest() -> F.Column:
+    """Position of a group's first row in the newest-first sales list — the
+    order in which the dashboards' insertion-ordered maps show groups."""
+    return F.max(F.struct("sale_timestamp", "id"))
+
+
+def _first_listed() -> F.Column:
+    """Position of a group's first row in the (category, name, id) product list."""
+    return F.min(F.struct("category", "name", "id"))
+
+
 def _units(x="quantity") -> F.Column:
     return F.sum(F.col(x)).cast("bigint")
 
@@ -94,20 +105,23 @@ def inventory_by_category(products: DataFrame, collation: str | None = None) ->
 def category_sales(sales: DataFrame, collation: str | None = None) -> DataFrame:
     """Revenue per category with the total fallback, as value and text."""
     rev = F.coalesce(F.sum(_fallback_total()).cast(MONEY_SUM), F.lit(0).cast(MONEY_SUM))
-    return (sales.groupBy(_key("category", collation)).agg(rev.alias("revenue"))
+    return (sales.groupBy(_key("category", collation)).agg(rev.alias("revenue"), _newest().alias("_first"))
+            .orderBy(F.col("_first").desc()).drop("_first")
             .withColumn("revenue_text", money_text("revenue")))
 
 
 def product_sales(sales: DataFrame, collation: str | None = None) -> DataFrame:
     """Revenue per product *name* (not name+category, unlike A2)."""
     rev = F.coalesce(F.sum(_fallback_total()).cast(MONEY_SUM), F.lit(0).cast(MONEY_SUM))
-    return (sales.groupBy(_key("product_name", collation)).agg(rev.alias("revenue"))
+    return (sales.groupBy(_key("product_name", collation)).agg(rev.alias("revenue"), _newest().alias("_first"))
+            .orderBy(F.col("_first").desc()).drop("_first")
             .withColumn("revenue_text", money_text("revenue")))
 
 
 def category_units(products: DataFrame, collation: str | None = None) -> DataFrame:
     """Stock units per category."""
-    return products.groupBy(_key("category", collation)).agg(_units().alias("units"))
+    return (products.groupBy(_key("category", collation)).agg(_units().alias("units"))
+            .orderBy("category"))
 
 
 def sales_statement(sales: DataFrame) -> DataFrame:
@@ -177,7 +191,9 @@ def supplier_info(products: DataFrame, suppliers: DataFrame, sep: str = ", ") ->
     """Product names per supplier (NULL supplier is its own group)."""
     j = with_supplier(products.select("id", "name", "category", "supplier_id"), suppliers)
     names = F.expr(f"listagg(name, '{sep}') WITHIN GROUP (ORDER BY category, name, id)")
-    return j.groupBy(F.col("supplier_name").alias("supplier")).agg(names.alias("products"))
+    return (j.groupBy(F.col("supplier_name").alias("supplier"))
+            .agg(names.alias("products"), _first_listed().alias("_first"))
+            .orderBy("_first").drop("_first"))
 
 
 def supplier_detail(products: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -186,8 +202,9 @@ def supplier_detail(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     j = with_supplier(products.select("id", "name", "category", "price", "quantity",
                                       "supplier_id"), suppliers)
     items = F.sort_array(F.collect_list(F.struct("category", "name", "id", "price", "quantity")))
-    g = j.groupBy(F.col("supplier_name").alias("supplier")).agg(
-        F.min("supplier_contact").alias("contact"), items.alias("_items"))
+    g = (j.groupBy(F.col("supplier_name").alias("supplier")).agg(
+        F.min("supplier_contact").alias("contact"), items.alias("_items"),
+        _first_listed().alias("_first")).orderBy("_first"))
     shaped = F.transform("_items", lambda x: F.struct(
         x["name"].alias("name"), x["category"].alias("category"),
         x["price"].alias("price"), x["quantity"].alias("quantity")))
