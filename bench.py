@@ -40,8 +40,12 @@ def headline(t):
         "recent_transactions": lambda: L.recent_transactions(t.sales, 8),
         "daily_sales_kpis": lambda: A.daily_sales_kpis(t.sales, AS_OF),
         "supplier_detail": lambda: A.supplier_detail(t.products, t.suppliers),
+        "supplier_products": lambda: J.supplier_products(t.products, t.suppliers),
+        "stock_notifications": lambda: A.stock_notifications(t.products),
         "apply_product_changes": lambda: C.apply_product_changes(
             t.products, t.suppliers, t.product_changes).table,
+        "apply_employee_changes": lambda: C.apply_employee_changes(
+            t.employees, t.employee_changes).table,
         "apply_sale_requests": lambda: SA.apply_sale_requests(t.products, t.sale_requests),
     }
 

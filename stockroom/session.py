@@ -30,6 +30,23 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for a large cluster (1000 executors, ~100 TB of Parquet): scan splits
+# of 512 MB, shuffle partitions sized by AQE towards 256 MB each from a high
+# starting count, skewed partitions split at 5× the median, and Spark's own
+# size check (plan statistics, then measured shuffle sizes) for broadcasts.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "stockroom", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
