@@ -189,8 +189,10 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
     request's supplier is blank (an UPDATE with a blank supplier clears it)."""
     new_suppliers = upsert_suppliers(suppliers, requests)
     sid = new_suppliers.select(F.col("name").alias("_sname"), F.col("id").alias("_sid"))
+    # A price that does not fit DECIMAL(10,2) makes the statement fail →
+    # the request is an ERROR, the batch goes on (try_cast, not an ANSI error).
     reqs = requests.select("request_id", "op", "id", "name", "category", "quantity",
-                           F.col("price").cast(MONEY).alias("price"), "supplier")
+                           F.col("price").try_cast(MONEY).alias("price"), "supplier")
     reqs = (reqs.join(sid, _truthy(reqs.supplier) & (reqs.supplier == sid._sname), "left")
             .withColumn("supplier_id", F.col("_sid")).drop("_sname", "_sid")
             .withColumn("_ok", _product_fields_ok()))

@@ -234,3 +234,13 @@ def test_stored_tables_prune_dates(spark, seed, tmp_path):
         assert q.first()["transactions"] == 2
     today = A.daily_sales_kpis(seed.sales).first()
     assert today["transactions"] == 0 and today["revenue"] == Decimal("0.00")
+
+
+def test_price_overflow_is_an_error(spark, seed):
+    reqs = spark.createDataFrame(
+        [(1, "INSERT", None, "Gold", "Lux", 1, Decimal("123456789012.50"), "", "")],
+        "request_id long, op string, id long, name string, category string, quantity int, "
+        "price decimal(14,2), supplier string, supplier_contact string")
+    res = C.apply_product_changes(seed.products, seed.suppliers, reqs)
+    assert [(r["status"], r["id"]) for r in res.outcomes.collect()] == [("ERROR", None)]
+    assert res.table.count() == 6
