@@ -244,3 +244,22 @@ def test_price_overflow_is_an_error(spark, seed):
     res = C.apply_product_changes(seed.products, seed.suppliers, reqs)
     assert [(r["status"], r["id"]) for r in res.outcomes.collect()] == [("ERROR", None)]
     assert res.table.count() == 6
+
+
+def test_stream_state_across_micro_batches(spark, seed, tmp_path):
+    from stockroom.streaming import streams as R
+    req = _reqs(spark, [(1, 2), (5, 10), (1, 2), (5, 10), (1, 2), (5, 10), (1, 1)])
+    folder = tmp_path / "feed2"
+    req.where("request_id <= 3").coalesce(1).write.parquet(str(folder / "a"))
+    req.where("request_id > 3").coalesce(1).write.parquet(str(folder / "b"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    import glob
+    import shutil
+    for i, f in enumerate(sorted(glob.glob(str(folder / "a" / "*.parquet")) + glob.glob(str(folder / "b" / "*.parquet")))):
+        shutil.copy(f, flat / f"part-{i}.parquet")
+    feed = R.parquet_stream(spark, str(flat), max_files_per_trigger=1)
+    out = R.stream_apply_sales(seed.products, feed)
+    got = {r["request_id"]: (r["status"], r["left"]) for r in R.read_run(spark, R.run_append(out, "t-r1b"), out.schema).collect()}
+    assert got == {1: ("ACCEPTED", 3), 2: ("ACCEPTED", 15), 3: ("ACCEPTED", 1), 4: ("ACCEPTED", 5),
+                   5: ("INSUFFICIENT", 1), 6: ("INSUFFICIENT", 5), 7: ("ACCEPTED", 0)}
