@@ -31,7 +31,7 @@ from stockroom.functions.exprs import (DUPLICATE_USERNAME_MESSAGE, REQUIRED_FIEL
                                        falsy_default, js_trim)
 from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, MONEY, NAME_MAX, ROLES,
                                USERNAME_MAX)
-from stockroom.session import default_partitions, ensure_checkpoint_dir
+from stockroom.session import ensure_checkpoint_dir
 
 # Fixed outcome labels of a change request.
 INSERTED, UPDATED, DELETED, NO_MATCH = "INSERTED", "UPDATED", "DELETED", "NO_MATCH"
@@ -62,8 +62,8 @@ def assign_ids(rows: DataFrame, start_after: Column, order_col: str = "request_i
     """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
-    n = default_partitions(spark)
-    tagged = (rows.repartitionByRange(n, order_col)
+    # No explicit count: AQE may merge adjacent ranges, which keeps them ordered.
+    tagged = (rows.repartitionByRange(order_col)
               .withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -37,7 +37,6 @@ from stockroom.functions.exprs import (INVALID_SALE_MESSAGE, NOT_FOUND_MESSAGE,
                                        sold_message, utc_date)
 from stockroom.operators.changes import assign_ids, max_id
 from stockroom.schemas import MONEY
-from stockroom.session import default_partitions
 
 # Fixed outcome labels of a sale request.
 ACCEPTED = "ACCEPTED"
@@ -190,9 +189,11 @@ def chain_tables(pdf: pd.DataFrame) -> pd.DataFrame:
                          "_part": pdf["_part"].to_numpy(), "_enter": enter})
 
 
-def _fold_hot(hot: DataFrame, n_partitions: int) -> DataFrame:
-    ranged = (hot.repartitionByRange(n_partitions, "product_id", "ts", "request_id")
-              .withColumn("_part", F.spark_partition_id())
+def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+    keys = ("product_id", "ts", "request_id")
+    spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
+              else hot.repartitionByRange(*keys))      # AQE may merge adjacent ranges
+    ranged = (spread.withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
     ordered = ranged.sortWithinPartitions("product_id", "ts", "request_id")
     tables = ordered.select("product_id", "_part", "stock0", "quantity", "overflow") \
@@ -221,10 +222,13 @@ def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> lis
     return [r[0] for r in counts.join(small, "product_id", "left_semi").select("product_id").collect()]
 
 
-def _fold(ready: DataFrame, n_partitions: int) -> DataFrame:
+def _fold(ready: DataFrame, n_partitions: int | None) -> DataFrame:
     """Run :func:`fold_stock` with Spark doing the partitioning and ordering."""
-    laid_out = (ready.repartition(n_partitions, "product_id")
-                .sortWithinPartitions("product_id", "ts", "request_id"))
+    # Without an explicit count AQE may coalesce the hash partitions (a
+    # product still stays inside one partition).
+    spread = (ready.repartition(n_partitions, "product_id") if n_partitions
+              else ready.repartition("product_id"))
+    laid_out = spread.sortWithinPartitions("product_id", "ts", "request_id")
     out_schema = StructType(laid_out.schema.fields + FOLD_COLUMNS)
     return laid_out.mapInPandas(fold_stock, out_schema)
 
@@ -241,7 +245,7 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
     Output: request_id, product_id, quantity, ts, cashier_id, status,
     stock_before, left, message, product_name, category, unit_price,
     total_amount, sale_date."""
-    n = n_partitions or default_partitions(requests.sparkSession)
+    n = n_partitions
     j = prepare_requests(products, requests)
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
     hot = hot_products(products, requests, hot_rows) if hot_rows else []

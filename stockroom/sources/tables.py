@@ -51,16 +51,14 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite",
     parts = PARTITION_COLUMNS.get(table)
     writer = out.write.mode(mode)
     if parts and not by_date_dirs:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        out = (out.repartitionByRange(n, *parts, "sale_timestamp", "id")
+        out = (out.repartitionByRange(*parts, "sale_timestamp", "id")
                .sortWithinPartitions(*parts, "sale_timestamp", "id"))
         writer = out.write.mode(mode)
     elif parts:
         # Range-partition on (date, timestamp): each task writes a contiguous
         # slice of dates, and a hot date is split over several tasks instead of
         # landing in one (hash partitioning on the date alone would do that).
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        out = out.repartitionByRange(n, *parts, "sale_timestamp", "id")
+        out = out.repartitionByRange(*parts, "sale_timestamp", "id")
         writer = (out.write.mode(mode).partitionBy(*parts)
                   .option("maxRecordsPerFile", 5_000_000))
     writer.parquet(path)
