@@ -218,6 +218,23 @@ def build() -> dict[str, str]:
         "  WHERE length(category) > 80 "
         "UNION ALL SELECT 'products', 'fk_supplier_id', CAST(id AS VARCHAR), CAST(supplier_id AS VARCHAR) "
         "  FROM f_products WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM f_suppliers)")
+    q["validate_sales_after_changes"] = A(
+        "SELECT 'sales' AS table_name, 'unique_id' AS rule, CAST(id AS VARCHAR) AS row_key, "
+        "CAST(n AS VARCHAR) || ' rows' AS detail FROM (SELECT id, COUNT(*) AS n FROM f_sales GROUP BY id) WHERE n > 1 "
+        "UNION ALL SELECT 'sales', r, CAST(id AS VARCHAR), NULL FROM ("
+        "  SELECT id, 'not_null_id' AS r FROM f_sales WHERE id IS NULL UNION ALL "
+        "  SELECT id, 'not_null_product_name' FROM f_sales WHERE product_name IS NULL UNION ALL "
+        "  SELECT id, 'not_null_category' FROM f_sales WHERE category IS NULL UNION ALL "
+        "  SELECT id, 'not_null_unit_price' FROM f_sales WHERE unit_price IS NULL UNION ALL "
+        "  SELECT id, 'not_null_quantity' FROM f_sales WHERE quantity IS NULL UNION ALL "
+        "  SELECT id, 'not_null_sale_date' FROM f_sales WHERE sale_date IS NULL UNION ALL "
+        "  SELECT id, 'generated_total_amount' FROM f_sales WHERE total_amount IS DISTINCT FROM "
+        "    TRY_CAST(unit_price * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(10,2))) "
+        "UNION ALL SELECT 'sales', 'fk_product_id', CAST(id AS VARCHAR), CAST(product_id AS VARCHAR) FROM f_sales "
+        "  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM new_products) "
+        "UNION ALL SELECT 'sales', 'fk_cashier_id', CAST(id AS VARCHAR), CAST(cashier_id AS VARCHAR) FROM f_sales "
+        "  WHERE cashier_id IS NOT NULL AND cashier_id NOT IN (SELECT id FROM new_employees)",
+        PRODUCT_CHANGES + "," + EMPLOYEE_CHANGES)
     q["validate_employees_after_changes"] = A(
         "SELECT 'employees' AS table_name, 'unique_' || c AS rule, k AS row_key, CAST(n AS VARCHAR) || ' rows' AS detail "
         "FROM (SELECT 'id' AS c, CAST(id AS VARCHAR) AS k, COUNT(*) AS n FROM new_employees GROUP BY id "

@@ -48,6 +48,11 @@ JOBS: dict[str, Query] = {
     "employee_change_outcomes": _q(lambda t: _employee_changes(t).outcomes),
     "validate_products": _q(lambda t: C.validate_table(
         "products", t.products, {"suppliers": t.suppliers})),
+    # sales checked against the tables after the change batches, without the
+    # cascade: rows of deleted products and cashiers are reported as orphans
+    "validate_sales_after_changes": _q(lambda t: C.validate_table(
+        "sales", t.sales, {"products": _product_changes(t).table,
+                           "employees": _employee_changes(t).table})),
     "validate_employees_after_changes": _q(lambda t: C.validate_table(
         "employees", _employee_changes(t).table)),
     "validate_product_requests": _q(lambda t: C.validate_product_requests(t.product_changes)),
