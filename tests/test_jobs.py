@@ -263,3 +263,21 @@ def test_stream_state_across_micro_batches(spark, seed, tmp_path):
     got = {r["request_id"]: (r["status"], r["left"]) for r in R.read_run(spark, R.run_append(out, "t-r1b"), out.schema).collect()}
     assert got == {1: ("ACCEPTED", 3), 2: ("ACCEPTED", 15), 3: ("ACCEPTED", 1), 4: ("ACCEPTED", 5),
                    5: ("INSUFFICIENT", 1), 6: ("INSUFFICIENT", 5), 7: ("ACCEPTED", 0)}
+
+
+def test_empty_batches(spark, seed):
+    empty_sales_req = spark.createDataFrame([], S.SALE_REQUESTS)
+    assert SA.apply_sale_requests(seed.products, empty_sales_req).count() == 0
+    assert SA.new_sales_rows(seed.sales, SA.apply_sale_requests(seed.products, empty_sales_req)).count() == 0
+    empty_changes = spark.createDataFrame([], S.PRODUCT_CHANGES)
+    res = C.apply_product_changes(seed.products, seed.suppliers, empty_changes)
+    assert res.table.count() == 6 and res.outcomes.count() == 0 and res.suppliers.count() == 4
+    res = C.apply_employee_changes(seed.employees, spark.createDataFrame([], S.EMPLOYEE_CHANGES))
+    assert res.table.count() == 4
+    # inserts into empty tables start at id 1
+    no_products = spark.createDataFrame([], S.PRODUCTS)
+    ins = spark.createDataFrame([(1, "INSERT", None, "A", "B", 1, Decimal("1.00"), "", "")], S.PRODUCT_CHANGES)
+    res = C.apply_product_changes(no_products, spark.createDataFrame([], S.SUPPLIERS), ins)
+    assert [r["id"] for r in res.table.collect()] == [1]
+    req = _reqs(spark, [(1, 1)])
+    assert [r["status"] for r in SA.apply_sale_requests(no_products, req).collect()] == ["NOT_FOUND"]
