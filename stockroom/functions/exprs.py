@@ -134,16 +134,25 @@ def default_contact_email(supplier) -> Column:
 
 
 def parse_int(text) -> Column:
-    """parseInt(text, 10) — leading integer prefix, NULL where JS gives NaN."""
-    digits = F.regexp_extract(_c(text), f"^{JS_SPACE_CLASS}*([+-]?[0-9]+)", 1)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    """parseInt(text) — leading integer prefix (a ``0x`` prefix is read as
+    hexadecimal, as JavaScript does without a radix); NULL where JS gives NaN."""
+    t = _c(text)
+    hexa = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?)0[xX]([0-9a-fA-F]+)", 2)
+    sign = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?)0[xX][0-9a-fA-F]", 1)
+    from_hex = F.conv(hexa, 16, 10).try_cast("bigint") * F.when(sign == "-", -1).otherwise(1)
+    digits = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?[0-9]+)", 1)
+    return F.when(hexa != "", from_hex).otherwise(F.nullif(digits, F.lit("")).try_cast("bigint"))
 
 
 def parse_float(text) -> Column:
-    """parseFloat(text) — leading decimal literal, NULL where JS gives NaN."""
+    """parseFloat(text) — leading decimal literal or ±Infinity, NULL where JS gives NaN."""
+    t = _c(text)
     lit = F.regexp_extract(
-        _c(text), f"^{JS_SPACE_CLASS}*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.nullif(lit, F.lit("")).try_cast("double")
+        t, f"^{JS_SPACE_CLASS}*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
+    inf = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?)Infinity", 1)
+    is_inf = F.regexp_like(t, F.lit(f"^{JS_SPACE_CLASS}*[+-]?Infinity"))
+    return (F.when(is_inf, F.when(inf == "-", F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+            .otherwise(F.nullif(lit, F.lit("")).try_cast("double")))
 
 
 def clock_text(ts) -> Column:

@@ -97,13 +97,25 @@ def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = np.empty(n, dtype=np.int32)
         before = np.empty(n, dtype=np.int32)
         after = np.empty(n, dtype=np.int32)
-        for i, (pid, q, s0, bad) in enumerate(zip(pids.tolist(), qty.tolist(),
-                                                  start.tolist(), ovf.tolist())):
+        # first row of each product run inside the batch
+        starts = np.flatnonzero(pids[1:] != pids[:-1]) + 1
+        pl, ql, sl, ol = pids.tolist(), qty.tolist(), start.tolist(), ovf.tolist()
+        i = 0
+        while i < n:
+            pid = pl[i]
             if pid != cur_pid:
-                cur_pid, stock = pid, s0
+                cur_pid, stock = pid, sl[i]
+            if stock == 0:
+                # the rest of this product's run is out of stock: fill at once
+                k = np.searchsorted(starts, i, side="right")
+                end = int(starts[k]) if k < len(starts) else n
+                code[i:end], before[i:end], after[i:end] = 3, 0, 0
+                i = end
+                continue
             before[i] = stock
-            code[i], stock = step(stock, q, bad)
+            code[i], stock = step(stock, ql[i], ol[i])
             after[i] = stock
+            i += 1
         yield b.assign(_code=code, stock_before=before, left=after)
 
 
