@@ -281,3 +281,32 @@ def test_empty_batches(spark, seed):
     assert [r["id"] for r in res.table.collect()] == [1]
     req = _reqs(spark, [(1, 1)])
     assert [r["status"] for r in SA.apply_sale_requests(no_products, req).collect()] == ["NOT_FOUND"]
+
+
+def test_daily_kpis_append_watermark_drops_late_rows(spark, seed, tmp_path):
+    import glob
+    import os
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from stockroom.streaming import streams as R
+    day = dt.datetime(2024, 3, 10, 12, 0)
+    # Spark filters late rows with the previous batch's watermark, so the 10th is
+    # emitted (and its state evicted) in the third batch; the fourth one is late.
+    batches = [day, day + dt.timedelta(days=3), day + dt.timedelta(days=3, hours=1),
+               day + dt.timedelta(hours=2)]
+    flat = tmp_path / "sales-stream"
+    flat.mkdir()
+    for i, ts in enumerate(batches):
+        part = tmp_path / f"b{i}"
+        (seed.sales.withColumn("sale_timestamp", F.lit(ts).cast("timestamp_ntz"))
+         .withColumn("sale_date", F.lit(ts.date())).coalesce(1).write.parquet(str(part)))
+        target = flat / f"part-{i}.parquet"
+        shutil.copy(glob.glob(str(part / "*.parquet"))[0], target)
+        os.utime(target, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))   # arrival order
+    agg = R.stream_daily_kpis(R.parquet_stream(spark, str(flat), max_files_per_trigger=1))
+    got = R.read_run(spark, R.run_append(agg, "t-r2-append"), agg.schema).collect()
+    # only the 10th has closed (watermark = 12th 12:00); the late rows for it were dropped
+    assert [(r["day"], r["revenue"], r["transactions"]) for r in got] == \
+        [(dt.date(2024, 3, 10), Decimal("74.95"), 2)]
