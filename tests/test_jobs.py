@@ -255,9 +255,13 @@ def test_stream_state_across_micro_batches(spark, seed, tmp_path):
     flat = tmp_path / "flat"
     flat.mkdir()
     import glob
+    import os
     import shutil
-    for i, f in enumerate(sorted(glob.glob(str(folder / "a" / "*.parquet")) + glob.glob(str(folder / "b" / "*.parquet")))):
-        shutil.copy(f, flat / f"part-{i}.parquet")
+    files = sorted(glob.glob(str(folder / "a" / "*.parquet"))) + sorted(glob.glob(str(folder / "b" / "*.parquet")))
+    for i, f in enumerate(files):
+        target = flat / f"part-{i}.parquet"
+        shutil.copy(f, target)
+        os.utime(target, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))   # arrival order
     feed = R.parquet_stream(spark, str(flat), max_files_per_trigger=1)
     out = R.stream_apply_sales(seed.products, feed)
     got = {r["request_id"]: (r["status"], r["left"]) for r in R.read_run(spark, R.run_append(out, "t-r1b"), out.schema).collect()}
