@@ -4,7 +4,8 @@ Reads the star-schema test data at $BENCH_SF_DIR (default /root/testdata/sf0.1),
 stores the retail tables and request feeds once as Parquet (the ``load`` step,
 reported but not part of the total), then times warm runs of the headline
 queries on local[$BENCH_CPUS] with a ``noop`` sink (median of $BENCH_RUNS).
-Prints one JSON line.
+Prints one JSON line.  ``BENCH_EVENT_LOG=1`` also writes Spark's event log
+(stage and task times) to a fresh scratch folder named in the output.
 """
 
 from __future__ import annotations
@@ -64,8 +65,14 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = build_session(f"local[{cpus}]", max(8, 2 * cpus),
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    event_dir = None
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage/task times without the UI: Spark's event log in a fresh scratch folder
+        import tempfile
+        event_dir = tempfile.mkdtemp(prefix="stockroom-events-")
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{event_dir}"})
+    spark = build_session(f"local[{cpus}]", max(8, 2 * cpus), extra=extra)
     root = scratch_path(spark, "bench-tables")
     load_s = timed(lambda: write_retail_tables(load_retail_from_star(spark, sf_dir), root))
     t = read_stored(spark, root)
@@ -85,7 +92,7 @@ def main() -> None:
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(results.values()), 3),
                       "unit": "sec", "queries": results, "load_sec": round(load_s, 3),
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": cpus, "runs": runs}))
+                      "cpus": cpus, "runs": runs, **({"event_log": event_dir} if event_dir else {})}))
 
 
 if __name__ == "__main__":
