@@ -251,20 +251,27 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
     * DELETE: removes the row (sales keep their history, cashier set NULL via M4).
 
     Among accepted updates the earliest to take a username keeps it; a later
-    update of another employee to that username is a duplicate.
-    Simplification: a username released inside the batch (by a DELETE or a
-    rename) is still treated as taken; :func:`validate_table` reports any
-    duplicate left in the result."""
+    update of another employee to that username is a duplicate.  A base
+    employee's username is free again after that employee's DELETE.
+    Simplification: a username released by a rename, or by deleting an
+    employee inserted in the same batch, is still treated as taken;
+    :func:`validate_table` reports any duplicate left in the result."""
     role_ok = F.col("role").isin(*ROLES)
     reqs = requests.select("request_id", "op", "id", "name", "username", "role")
     fields_ok = (F.col("name").isNotNull() & F.col("username").isNotNull()
                  & (F.length("name") <= NAME_MAX["employees"]) & (F.length("username") <= USERNAME_MAX))
 
-    base_names = employees.select(F.col("username").alias("_taken"), F.col("id").alias("_owner"))
+    # A base employee's username is free again from the employee's first DELETE
+    # on (a base id exists from the start, so that DELETE always takes effect).
+    base_del = (reqs.where((F.col("op") == "DELETE") & F.col("id").isNotNull())
+                .groupBy("id").agg(F.min("request_id").alias("_bdel")))
+    base_names = (employees.select(F.col("username").alias("_taken"), F.col("id").alias("_owner"))
+                  .join(base_del.withColumnRenamed("id", "_owner"), "_owner", "left"))
     ins = (reqs.where(F.col("op") == "INSERT")
            .withColumn("role", falsy_default("role", DEFAULT_ROLE))
            .withColumn("_valid", fields_ok & F.col("role").isin(*ROLES)))
-    ins = ins.join(base_names, ins.username == base_names._taken, "left")
+    held = F.col("_bdel").isNull() | (F.col("request_id") < F.col("_bdel"))
+    ins = ins.join(base_names, (ins.username == base_names._taken) & held, "left")
     # First valid insert per username wins (window groups are one username's
     # inserts; a hot username is still one group — see the README note).
     first_claim = (ins.where(F.col("_valid") & F.col("_taken").isNull())
@@ -278,9 +285,11 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
     inserted = assign_ids(ins.where(F.col("status") == INSERTED).drop("id"), max_id(employees))
 
     taken = base_names.unionByName(inserted.select(F.col("username").alias("_taken"),
-                                                   F.col("id").alias("_owner")))
+                                                   F.col("id").alias("_owner"),
+                                                   F.lit(None).cast("bigint").alias("_bdel")))
     ops = reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull())
-    clash = (ops.join(taken, (ops.username == taken._taken) & (ops.id != taken._owner), "left_semi")
+    clash = (ops.join(taken, (ops.username == taken._taken) & (ops.id != taken._owner)
+                      & (taken._bdel.isNull() | (ops.request_id < taken._bdel)), "left_semi")
              .select(F.col("request_id").alias("_clash_req")))
     ops = (ops.join(clash, ops.request_id == clash._clash_req, "left")
            .withColumn("_upd_ok", fields_ok & role_ok & F.col("_clash_req").isNull())

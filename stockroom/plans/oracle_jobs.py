@@ -66,12 +66,15 @@ new_products AS (
 
 EMPLOYEE_CHANGES = """
 ereq AS (SELECT * FROM f_employee_changes),
+bdel AS (SELECT id, MIN(request_id) AS bdel FROM ereq WHERE op = 'DELETE' AND id IS NOT NULL GROUP BY id),
+bnames AS (SELECT e.username AS t, e.id AS owner, d.bdel FROM f_employees e LEFT JOIN bdel d ON e.id = d.id),
 eins AS (
   SELECT r.request_id, r.op, r.name, r.username, COALESCE(NULLIF(r.role, ''), 'cashier') AS role,
          COALESCE(r.name IS NOT NULL AND r.username IS NOT NULL AND length(r.name) <= 100
                   AND length(r.username) <= 50
                   AND COALESCE(NULLIF(r.role, ''), 'cashier') IN ('owner', 'admin', 'cashier'), false) AS valid,
-         EXISTS (SELECT 1 FROM f_employees e WHERE e.username = r.username) AS taken
+         EXISTS (SELECT 1 FROM bnames b WHERE b.t = r.username
+                 AND (b.bdel IS NULL OR r.request_id < b.bdel)) AS taken
   FROM ereq r WHERE r.op = 'INSERT'),
 claim AS (SELECT username, MIN(request_id) AS claim_ FROM eins WHERE valid AND NOT taken GROUP BY username),
 eins2 AS (
@@ -81,9 +84,10 @@ eins2 AS (
 enew AS (
   SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_employees) + ROW_NUMBER() OVER (ORDER BY request_id) AS BIGINT)
          AS new_id, * FROM eins2 WHERE status = 'INSERTED'),
-taken AS (SELECT username AS t, id AS owner FROM f_employees UNION ALL SELECT username, new_id FROM enew),
+taken AS (SELECT t, owner, bdel FROM bnames UNION ALL SELECT username, new_id, CAST(NULL AS BIGINT) FROM enew),
 eops AS (
-  SELECT o.*, EXISTS (SELECT 1 FROM taken k WHERE k.t = o.username AND k.owner <> o.id) AS dup,
+  SELECT o.*, EXISTS (SELECT 1 FROM taken k WHERE k.t = o.username AND k.owner <> o.id
+                      AND (k.bdel IS NULL OR o.request_id < k.bdel)) AS dup,
          COALESCE(o.name IS NOT NULL AND o.username IS NOT NULL AND length(o.name) <= 100
                   AND length(o.username) <= 50 AND o.role IN ('owner', 'admin', 'cashier'), false) AS fields_ok
   FROM ereq o WHERE o.op IN ('UPDATE', 'DELETE') AND o.id IS NOT NULL),

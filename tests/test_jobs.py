@@ -314,3 +314,16 @@ def test_daily_kpis_append_watermark_drops_late_rows(spark, seed, tmp_path):
     # only the 10th has closed (watermark = 12th 12:00); the late rows for it were dropped
     assert [(r["day"], r["revenue"], r["transactions"]) for r in got] == \
         [(dt.date(2024, 3, 10), Decimal("74.95"), 2)]
+
+
+def test_username_free_after_delete(spark, seed):
+    reqs = spark.createDataFrame([
+        (1, "INSERT", None, "Early", "jane", "cashier"),      # jane still employed → duplicate
+        (2, "DELETE", 4, None, None, None),                    # Jane Smith leaves
+        (3, "INSERT", None, "New Jane", "jane", "cashier"),   # now free
+        (4, "UPDATE", 2, "Sys", "owner", "admin"),            # owner still employed → duplicate
+    ], S.EMPLOYEE_CHANGES)
+    res = C.apply_employee_changes(seed.employees, reqs)
+    out = {r["request_id"]: r["status"] for r in rows(res.outcomes)}
+    assert out == {1: "DUPLICATE", 2: "DELETED", 3: "INSERTED", 4: "DUPLICATE"}
+    assert sorted(r["username"] for r in rows(res.table)) == ["admin", "cashier", "jane", "owner"]
