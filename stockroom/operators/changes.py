@@ -272,8 +272,8 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
            .withColumn("_valid", fields_ok & F.col("role").isin(*ROLES)))
     held = F.col("_bdel").isNull() | (F.col("request_id") < F.col("_bdel"))
     ins = ins.join(base_names, (ins.username == base_names._taken) & held, "left")
-    # First valid insert per username wins (window groups are one username's
-    # inserts; a hot username is still one group — see the README note).
+    # First valid insert per username wins: a partial min aggregate, so even a
+    # username claimed by a third of the batch costs one partial row per task.
     first_claim = (ins.where(F.col("_valid") & F.col("_taken").isNull())
                    .groupBy("username").agg(F.min("request_id").alias("_claim")))
     ins = ins.join(first_claim, "username", "left")

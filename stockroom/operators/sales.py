@@ -19,7 +19,10 @@ requests by product and sorts each partition by (product, ts, request_id);
 ``mapInPandas`` then walks the Arrow batches of a partition carrying a
 single integer of state, so memory is one batch whatever the product's size.
 The per-product serial order is what the source gets from its row lock;
-different products run in parallel.
+different products run in parallel.  A product with more than ``HOT_ROWS``
+requests is not left to one task: see the split path below (range segments,
+per-segment transfer tables chained per product, segments folded in
+parallel).
 """
 
 from __future__ import annotations
