@@ -95,7 +95,12 @@ def delete_cascade_remove(parent: DataFrame, deleted_keys: DataFrame, key_col: s
 
 def touch_updated_at(df: DataFrame, changed: Column, as_of_ts, inserted: Column | None = None) -> DataFrame:
     """M6: ``updated_at`` = as_of_ts on changed rows; ``created_at`` on inserted rows."""
-    ts = as_of_ts if isinstance(as_of_ts, Column) else F.lit(as_of_ts).cast("timestamp_ntz")
+    if isinstance(as_of_ts, Column):
+        ts = as_of_ts
+    else:
+        # zone-less wall clock: go through its text, never through an instant
+        text = as_of_ts.isoformat(sep=" ") if hasattr(as_of_ts, "isoformat") else str(as_of_ts)
+        ts = F.lit(text).cast("timestamp_ntz")
     cur_u = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp_ntz")
     cur_c = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp_ntz")
     out = df.withColumn("updated_at", F.when(changed, ts).otherwise(cur_u))

@@ -327,3 +327,19 @@ def test_username_free_after_delete(spark, seed):
     out = {r["request_id"]: r["status"] for r in rows(res.outcomes)}
     assert out == {1: "DUPLICATE", 2: "DELETED", 3: "INSERTED", 4: "DUPLICATE"}
     assert sorted(r["username"] for r in rows(res.table)) == ["admin", "cashier", "jane", "owner"]
+
+
+def test_touch_updated_at_is_zone_free(spark, seed):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        out = C.touch_updated_at(seed.products, F_col("id") == 1, dt.datetime(2024, 1, 1, 9, 30),
+                                 F_col("id") == 1)
+        r = out.where("id = 1").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r["updated_at"] == dt.datetime(2024, 1, 1, 9, 30) == r["created_at"]
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+    return F.col(name)
