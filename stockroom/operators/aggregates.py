@@ -212,6 +212,35 @@ def supplier_detail(products: DataFrame, suppliers: DataFrame) -> DataFrame:
                     F.size("_items").alias("n_items"), shaped.alias("items"))
 
 
+def supplier_detail_items(products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """A17, split form: one row per item with its position on the supplier's card.
+
+    Same content as :func:`supplier_detail` without building one array per
+    supplier, so a supplier holding a third of all products is spread over
+    many tasks (positions via :func:`rank_within_group`)."""
+    from stockroom.operators.changes import rank_within_group
+    j = with_supplier(products.select("id", "name", "category", "price", "quantity",
+                                      "supplier_id"), suppliers)
+    ranked = rank_within_group(j.withColumnRenamed("supplier_name", "supplier"),
+                               ["supplier"], ["category", "name", "id"])
+    return ranked.select("supplier", dash_if_missing("supplier_contact").alias("contact_text"),
+                         "position", "id", "name", "category", "price", "quantity")
+
+
+def stock_notification_items(products: DataFrame) -> DataFrame:
+    """A19, split form: one row per product named in a notification, with its
+    position in the OUT or LOW list (the texts joined by ', ' give the messages)."""
+    from stockroom.operators.changes import rank_within_group
+    q = F.col("quantity")
+    cand = products.where((q >= 0) & (q < 10)).select(
+        "id", "category", "name",
+        F.when(q == 0, F.lit(OUT_OF_STOCK)).otherwise(F.lit(LOW_STOCK)).alias("kind"),
+        F.when(q == 0, F.col("name"))
+         .otherwise(fill(LOW_STOCK_ITEM_TEMPLATE, name="name", quantity=q)).alias("text"))
+    return rank_within_group(cand, ["kind"], ["category", "name", "id"]).select(
+        "kind", "position", "id", "text")
+
+
 def alert_badge_count(products: DataFrame) -> DataFrame:
     """Low + out count; the badge text is NULL (hidden) when it is 0."""
     n = F.count_if(is_low_stock("quantity") | is_out_of_stock("quantity"))
@@ -249,5 +278,6 @@ __all__ = [
     "inventory_by_category", "category_sales", "product_sales", "category_units",
     "sales_statement", "inventory_statement", "owner_sales_kpis", "owner_inventory_kpis",
     "daily_sales_kpis", "cashier_inventory_kpis", "supplier_count", "supplier_info",
-    "supplier_detail", "alert_badge_count", "stock_notifications",
+    "supplier_detail", "supplier_detail_items", "alert_badge_count", "stock_notifications",
+    "stock_notification_items",
 ]

@@ -461,5 +461,37 @@ __all__ = [
     "max_id", "assign_ids", "delete_cascade_null", "delete_cascade_remove", "touch_updated_at",
     "supplier_requests", "upsert_suppliers", "apply_product_changes", "apply_employee_changes",
     "validate_table", "validate_product_requests", "validate_employee_requests",
-    "validate_sale_requests",
+    "validate_sale_requests", "rank_within_group",
 ]
+
+
+# --- positions inside groups without a group-sized task -------------------------
+
+def rank_within_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                      pos_col: str = "position") -> DataFrame:
+    """1-based position of each row inside its group, in ``order_cols`` order.
+
+    A ``row_number() OVER (PARTITION BY group …)`` sorts a whole group in one
+    task; here a group of any size is spread over range partitions of
+    (group, order), the partition tag is pinned by a checkpoint, rows are
+    counted per (group, partition) — at most #groups + #partitions rows — and
+    each slice's offset is the sum of the group's earlier slices (a window
+    whose groups hold at most #partitions rows).  Order keys must make rows
+    unique.  NULL group keys form their own group."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    tagged = (df.repartitionByRange(*group_cols, *order_cols)
+              .withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    keys = [F.col(c) for c in group_cols]
+    counts = tagged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group_cols).orderBy("_part")
+    offsets = counts.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_part").alias("_gp"),
+                            (F.sum("_n").over(w) - F.col("_n")).alias("_offset"))
+    cond = F.col("_part") == F.col("_gp")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    local = Window.partitionBy(*group_cols, "_part").orderBy(*order_cols)
+    return (tagged.join(offsets, cond)
+            .withColumn(pos_col, (F.col("_offset") + F.row_number().over(local)).cast("bigint"))
+            .drop("_part", "_gp", "_offset", *[f"_g_{c}" for c in group_cols]))

@@ -242,6 +242,16 @@ def build() -> dict[str, str]:
         f"items_json FROM (SELECT supplier, MIN(\"supplierContact\") AS contact, COUNT(*) AS n_items, "
         f"'[' || string_agg({item}, ',' ORDER BY category, name, id) || ']' AS items_json "
         f"FROM plist GROUP BY supplier)", PLIST)
+    q["supplier_detail_items"] = A(
+        f"SELECT supplier, {_dash('\"supplierContact\"')} AS contact_text, "
+        "CAST(ROW_NUMBER() OVER (PARTITION BY supplier ORDER BY category, name, id) AS BIGINT) AS position, "
+        "id, name, category, price, quantity FROM plist", PLIST)
+    q["stock_notification_items"] = A(
+        "SELECT kind, CAST(ROW_NUMBER() OVER (PARTITION BY kind ORDER BY category, name, id) AS BIGINT) "
+        "AS position, id, text FROM (SELECT id, category, name, "
+        "CASE WHEN quantity = 0 THEN 'OUT OF STOCK' ELSE 'LOW STOCK' END AS kind, "
+        "CASE WHEN quantity = 0 THEN name ELSE name || ' (' || CAST(quantity AS VARCHAR) || ' left)' END AS text "
+        "FROM f_products WHERE quantity >= 0 AND quantity < 10)")
     q["alert_badge_count"] = A(
         "SELECT badge_count, NULLIF(CAST(badge_count AS VARCHAR), '0') AS badge_text FROM ("
         "SELECT COUNT(*) FILTER (WHERE (quantity > 0 AND quantity < 10) OR quantity = 0) AS badge_count "

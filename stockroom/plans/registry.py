@@ -95,8 +95,10 @@ REPORTS: dict[str, Query] = {
     "supplier_count": _q(lambda t: A.supplier_count(t.products, t.suppliers)),
     "supplier_info": _q(lambda t: A.supplier_info(t.products, t.suppliers)),
     "supplier_detail": _q(_supplier_detail_json),
+    "supplier_detail_items": _q(lambda t: A.supplier_detail_items(t.products, t.suppliers)),
     "alert_badge_count": _q(lambda t: A.alert_badge_count(t.products)),
     "stock_notifications": _q(lambda t: A.stock_notifications(t.products)),
+    "stock_notification_items": _q(lambda t: A.stock_notification_items(t.products)),
 }
 
 

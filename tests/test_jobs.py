@@ -343,3 +343,22 @@ def test_touch_updated_at_is_zone_free(spark, seed):
 def F_col(name):
     from pyspark.sql import functions as F
     return F.col(name)
+
+
+def test_rank_within_group_equals_window_on_skew(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 5 == 0, F.lit(None).cast("string"))
+         .when(F.col("id") % 7 == 0, F.lit("small"))
+         .otherwise(F.lit("hot")).alias("g"),
+        (F.col("id") * 7919 % 3001).alias("k"), F.col("id"))
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")      # keep 13 ranges: a group spans many
+    try:
+        got = C.rank_within_group(df, ["g"], ["k", "id"]).select("id", "position").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("id", "position").collect()))
