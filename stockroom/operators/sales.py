@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -52,9 +52,11 @@ OVERFLOW_MESSAGE = "Out of range value for column 'total_amount'"
 
 # Requests per product above which its fold is split over several tasks.
 HOT_ROWS = 1_000_000
-# Largest starting stock for which the split path is used: a segment's
-# transfer table costs O(len + D²) with D ≤ stock, so above this the exact
-# single-task fold is the cheaper one.
+# Largest remaining stock for which the tail of a hot product is tabled: a
+# segment's transfer table costs O(len + D²) with D ≤ that stock.  After the
+# accepted prefix the remaining stock is below one request's quantity, so
+# only huge quantities (or an overflow row) exceed this; such a tail is
+# folded in one task.
 SPLIT_MAX_STOCK = 20_000
 # Up to this many hot ids are filtered with a literal IN list, beyond it with
 # a broadcast join (the list is bounded by #requests / HOT_ROWS either way).
@@ -204,7 +206,7 @@ def chain_tables(pdf: pd.DataFrame) -> pd.DataFrame:
                          "_part": pdf["_part"].to_numpy(), "_enter": enter})
 
 
-def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+def _fold_hot_tables(hot: DataFrame, n_partitions: int | None) -> DataFrame:
     keys = ("product_id", "ts", "request_id")
     spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
               else hot.repartitionByRange(*keys))      # AQE may merge adjacent ranges
@@ -227,14 +229,66 @@ def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
 
 
 def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> list[int]:
-    """Ids of products with more than ``hot_rows`` valid requests and a stock
-    the split path can table.  One column-pruned partial aggregate; the list
-    holds at most #requests / hot_rows ids, so bringing it to the driver is
-    bounded."""
+    """Ids of existing products with more than ``hot_rows`` valid requests.
+    One column-pruned partial aggregate; the list holds at most
+    #requests / hot_rows ids, so bringing it to the driver is bounded."""
     counts = (requests.where(F.col("quantity") >= 1).groupBy("product_id")
               .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
-    small = products.where(F.col("quantity") <= SPLIT_MAX_STOCK).select(F.col("id").alias("product_id"))
-    return [r[0] for r in counts.join(small, "product_id", "left_semi").select("product_id").collect()]
+    exists = products.select(F.col("id").alias("product_id"))
+    return [r[0] for r in counts.join(exists, "product_id", "left_semi").select("product_id").collect()]
+
+
+def _accepted_prefix(hot: DataFrame, n_partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """Split hot requests into the accepted prefix and the tail.
+
+    While the running total of requested quantity stays within the starting
+    stock (and no overflow row has appeared), every request is accepted — no
+    fold needed, only a distributed prefix sum: range slices of the product's
+    order, slice totals (≤ #partitions + #hot products rows, a bounded
+    broadcast) and a running sum inside each slice.  The tail starts from the
+    remaining stock R, which is below the quantity of its first request, so
+    its transfer tables stay small whatever the starting stock."""
+    keys = ("product_id", "ts", "request_id")
+    spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
+              else hot.repartitionByRange(*keys))
+    ranged = spread.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    ovf = F.col("overflow").cast("int")
+    totals = ranged.groupBy("product_id", "_part").agg(F.sum("quantity").alias("_sq"),
+                                                      F.max(ovf).alias("_so"))
+    before = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("product_id", "_part",
+                         F.coalesce(F.sum("_sq").over(before), F.lit(0)).alias("_q0"),
+                         F.coalesce(F.max("_so").over(before), F.lit(0)).alias("_o0"))
+    upto = (Window.partitionBy("product_id", "_part").orderBy("ts", "request_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = (ranged.join(F.broadcast(offs), ["product_id", "_part"])
+         .withColumn("_c", F.col("_q0") + F.sum("quantity").over(upto))
+         .withColumn("_o", F.greatest(F.col("_o0"), F.max(ovf).over(upto))))
+    in_prefix = (F.col("_c") <= F.col("stock0")) & (F.col("_o") == 0)
+    helper = ["_part", "_q0", "_o0", "_c", "_o"]
+    prefix = (c.where(in_prefix)
+              .withColumn("_code", F.lit(1))
+              .withColumn("stock_before", (F.col("stock0") - F.col("_c") + F.col("quantity")).cast("int"))
+              .withColumn("left", (F.col("stock0") - F.col("_c")).cast("int"))
+              .drop(*helper))
+    used = c.where(in_prefix).groupBy("product_id").agg(F.max("_c").alias("_used"))
+    tail = (c.where(~in_prefix).drop(*helper)
+            .join(F.broadcast(used), "product_id", "left")     # one row per hot product
+            .withColumn("stock0", (F.col("stock0") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
+            .drop("_used"))
+    return prefix, tail
+
+
+def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+    """Hot products: accepted prefix by prefix sums, the tail by transfer tables
+    (or, if its remaining stock is still above ``SPLIT_MAX_STOCK`` — only
+    possible with huge quantities or an overflow row — by the single-task fold)."""
+    prefix, tail = _accepted_prefix(hot, n_partitions)
+    small = F.col("stock0") <= SPLIT_MAX_STOCK
+    cols = prefix.columns
+    return (prefix
+            .unionByName(_fold_hot_tables(tail.where(small), n_partitions).select(*cols))
+            .unionByName(_fold(tail.where(~small), n_partitions).select(*cols)))
 
 
 def _fold(ready: DataFrame, n_partitions: int | None) -> DataFrame:
@@ -253,9 +307,9 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
                         hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Outcome of every sale request, with the sale row fields when accepted.
 
-    Products with more than ``hot_rows`` requests (and a starting stock of at
-    most ``SPLIT_MAX_STOCK``) are folded by the split path, several tasks per
-    product; ``hot_rows=None`` folds every product in a single task.
+    Products with more than ``hot_rows`` requests are folded by the split
+    path, several tasks per product; ``hot_rows=None`` folds every product in
+    a single task.
 
     Output: request_id, product_id, quantity, ts, cashier_id, status,
     stock_before, left, message, product_name, category, unit_price,

@@ -362,3 +362,38 @@ def test_rank_within_group_equals_window_on_skew(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("id", "position").collect()))
+
+
+@pytest.mark.parametrize("stock_mult,qty_choices", [
+    (20_000, [1, 2, 3, 7, 30, 400, 0]),          # big stock: long accepted prefix, small tail
+    (200_000, [50_000, 90_000, 1, 0]),           # huge quantities: tail above the table cap
+])
+def test_hot_split_big_stock_equals_single_task(spark, seed, stock_mult, qty_choices):
+    import random
+
+    from pyspark.sql import functions as F
+    rnd = random.Random(11)
+    prods = seed.products.withColumn("quantity", (F.col("quantity") * stock_mult).cast("int"))
+    items = [(rnd.choice([1, 1, 3, 5, 2]), rnd.choice(qty_choices)) for _ in range(900)]
+    req = _reqs(spark, items)
+    key = ["request_id", "status", "stock_before", "left"]
+    single = sorted(map(tuple, SA.apply_sale_requests(prods, req, hot_rows=None).select(*key).collect()))
+    split = sorted(map(tuple, SA.apply_sale_requests(prods, req, n_partitions=6, hot_rows=30)
+                       .select(*key).collect()))
+    assert split == single
+    assert "ACCEPTED" in {s[1] for s in single}
+
+
+def test_hot_split_with_overflow_row(spark, seed):
+    from pyspark.sql import functions as F
+    prods = (seed.products.withColumn("quantity", F.lit(5_000_000))
+             .withColumn("price", F.when(F.col("id") == 1, F.lit(Decimal("99999.99")))
+                         .otherwise(F.col("price")).cast("decimal(10,2)")))
+    items = [(1, 3)] * 40 + [(1, 2000)] + [(1, 3)] * 40 + [(1, 1200)] + [(1, 5)] * 40
+    req = _reqs(spark, items)
+    key = ["request_id", "status", "stock_before", "left"]
+    single = sorted(map(tuple, SA.apply_sale_requests(prods, req, hot_rows=None).select(*key).collect()))
+    split = sorted(map(tuple, SA.apply_sale_requests(prods, req, n_partitions=4, hot_rows=10)
+                       .select(*key).collect()))
+    assert split == single
+    assert {"AMOUNT_OVERFLOW", "ACCEPTED"} <= {s[1] for s in single}
