@@ -54,9 +54,8 @@ OVERFLOW_MESSAGE = "Out of range value for column 'total_amount'"
 HOT_ROWS = 1_000_000
 # Largest remaining stock for which the tail of a hot product is tabled: a
 # segment's transfer table costs O(len + D²) with D ≤ that stock.  After the
-# accepted prefix the remaining stock is below one request's quantity, so
-# only huge quantities (or an overflow row) exceed this; such a tail is
-# folded in one task.
+# decided prefix the remaining stock is below one request's quantity, so
+# only quantities that large exceed this; such a tail is folded in one task.
 SPLIT_MAX_STOCK = 20_000
 # Up to this many hot ids are filtered with a literal IN list, beyond it with
 # a broadcast join (the list is bounded by #requests / HOT_ROWS either way).
@@ -239,36 +238,40 @@ def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> lis
 
 
 def _accepted_prefix(hot: DataFrame, n_partitions: int | None) -> tuple[DataFrame, DataFrame]:
-    """Split hot requests into the accepted prefix and the tail.
-
-    While the running total of requested quantity stays within the starting
-    stock (and no overflow row has appeared), every request is accepted — no
-    fold needed, only a distributed prefix sum: range slices of the product's
-    order, slice totals (≤ #partitions + #hot products rows, a bounded
-    broadcast) and a running sum inside each slice.  The tail starts from the
-    remaining stock R, which is below the quantity of its first request, so
-    its transfer tables stay small whatever the starting stock."""
+    """Split hot requests into the decided prefix and the tail.
+
+    Let C be the running total of requested quantity over rows that do not
+    overflow (an overflow row never changes the stock).  While C stays within
+    the starting stock every such row is accepted, and an overflow row in
+    that stretch is decided by the stock it sees — no fold needed, only a
+    distributed prefix sum: range slices of the product's order, slice totals
+    (≤ #partitions + #hot products rows, a bounded broadcast) and a running
+    sum inside each slice.  The tail starts from the remaining stock R, which
+    is below the quantity of its first request, so its transfer tables stay
+    small whatever the starting stock."""
     keys = ("product_id", "ts", "request_id")
     spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
               else hot.repartitionByRange(*keys))
     ranged = spread.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
-    ovf = F.col("overflow").cast("int")
-    totals = ranged.groupBy("product_id", "_part").agg(F.sum("quantity").alias("_sq"),
-                                                      F.max(ovf).alias("_so"))
+    q_eff = F.when(F.col("overflow"), F.lit(0)).otherwise(F.col("quantity"))
+    totals = ranged.groupBy("product_id", "_part").agg(F.sum(q_eff).alias("_sq"))
     before = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("product_id", "_part",
-                         F.coalesce(F.sum("_sq").over(before), F.lit(0)).alias("_q0"),
-                         F.coalesce(F.max("_so").over(before), F.lit(0)).alias("_o0"))
+                         F.coalesce(F.sum("_sq").over(before), F.lit(0)).alias("_q0"))
     upto = (Window.partitionBy("product_id", "_part").orderBy("ts", "request_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = (ranged.join(F.broadcast(offs), ["product_id", "_part"])
-         .withColumn("_c", F.col("_q0") + F.sum("quantity").over(upto))
-         .withColumn("_o", F.greatest(F.col("_o0"), F.max(ovf).over(upto))))
-    in_prefix = (F.col("_c") <= F.col("stock0")) & (F.col("_o") == 0)
-    helper = ["_part", "_q0", "_o0", "_c", "_o"]
+         .withColumn("_c", F.col("_q0") + F.sum(q_eff).over(upto)))
+    in_prefix = F.col("_c") <= F.col("stock0")
+    stock_before = (F.col("stock0") - F.col("_c") + q_eff).cast("int")
+    code = (F.when(~F.col("overflow"), F.lit(1))               # accepted
+            .when(stock_before == 0, F.lit(3))
+            .when(stock_before < F.col("quantity"), F.lit(2))
+            .otherwise(F.lit(4)))
+    helper = ["_part", "_q0", "_c"]
     prefix = (c.where(in_prefix)
-              .withColumn("_code", F.lit(1))
-              .withColumn("stock_before", (F.col("stock0") - F.col("_c") + F.col("quantity")).cast("int"))
+              .withColumn("_code", code)
+              .withColumn("stock_before", stock_before)
               .withColumn("left", (F.col("stock0") - F.col("_c")).cast("int"))
               .drop(*helper))
     used = c.where(in_prefix).groupBy("product_id").agg(F.max("_c").alias("_used"))
@@ -280,9 +283,9 @@ def _accepted_prefix(hot: DataFrame, n_partitions: int | None) -> tuple[DataFram
 
 
 def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
-    """Hot products: accepted prefix by prefix sums, the tail by transfer tables
+    """Hot products: decided prefix by prefix sums, the tail by transfer tables
     (or, if its remaining stock is still above ``SPLIT_MAX_STOCK`` — only
-    possible with huge quantities or an overflow row — by the single-task fold)."""
+    possible with quantities that large — by the single-task fold)."""
     prefix, tail = _accepted_prefix(hot, n_partitions)
     small = F.col("stock0") <= SPLIT_MAX_STOCK
     cols = prefix.columns
