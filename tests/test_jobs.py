@@ -397,3 +397,15 @@ def test_hot_split_with_overflow_row(spark, seed):
                        .select(*key).collect()))
     assert split == single
     assert {"AMOUNT_OVERFLOW", "ACCEPTED"} <= {s[1] for s in single}
+
+
+def test_cli(tmp_path, capsys):
+    from stockroom.__main__ import main
+    assert main(["list"]) == 0
+    assert "apply_sale_requests" in capsys.readouterr().out
+    assert main(["sql", "DELETE FROM products", "--sf-dir", "/root/testdata/sf0.001"]) == 2
+    out = tmp_path / "by_cat"
+    assert main(["sql", "SELECT category, COUNT(*) AS n FROM products GROUP BY category",
+                 "--sf-dir", "/root/testdata/sf0.001", "--out", str(out), "--format", "csv"]) == 0
+    assert any(p.name.endswith(".csv") for p in out.iterdir())
+    assert main(["query", "revenue_by_category", "--sf-dir", "/root/testdata/sf0.001", "--show", "3"]) == 0
