@@ -409,3 +409,40 @@ def test_cli(tmp_path, capsys):
                  "--sf-dir", "/root/testdata/sf0.001", "--out", str(out), "--format", "csv"]) == 0
     assert any(p.name.endswith(".csv") for p in out.iterdir())
     assert main(["query", "revenue_by_category", "--sf-dir", "/root/testdata/sf0.001", "--show", "3"]) == 0
+
+
+def _simulate(stock: dict, reqs: list) -> dict:
+    """Brute force: apply requests one by one in (ts, request_id) order."""
+    left = dict(stock)
+    out = {}
+    for rid, pid, q, ts in sorted(reqs, key=lambda r: (r[3], r[0])):
+        if q is None or q < 1:
+            out[rid] = ("INVALID_QUANTITY", None)
+        elif pid not in left:
+            out[rid] = ("NOT_FOUND", None)
+        elif left[pid] == 0:
+            out[rid] = ("OUT_OF_STOCK", 0)
+        elif left[pid] < q:
+            out[rid] = ("INSUFFICIENT", left[pid])
+        else:
+            left[pid] -= q
+            out[rid] = ("ACCEPTED", left[pid])
+    return out
+
+
+@pytest.mark.parametrize("seed_value", [1, 2, 3])
+def test_sale_fold_against_brute_force(spark, seed_value):
+    import random
+    rnd = random.Random(seed_value)
+    stock = {pid: rnd.choice([0, 1, 5, 40, 300, -2]) for pid in range(1, 6)}
+    products = spark.createDataFrame(
+        [(pid, f"p{pid}", "c", s, Decimal("1.50"), None) for pid, s in stock.items()], S.PRODUCTS)
+    t0 = dt.datetime(2024, 1, 1)
+    reqs = [(i, rnd.choice([1, 2, 3, 4, 5, 9]), rnd.choice([None, -1, 0, 1, 2, 3, 5, 8, 13]),
+             t0 + dt.timedelta(minutes=rnd.randint(0, 50))) for i in range(1, 401)]
+    df = spark.createDataFrame([(r, p, q, ts, None) for r, p, q, ts in reqs], S.SALE_REQUESTS)
+    want = _simulate(stock, reqs)
+    for hot_rows in (None, 15):
+        got = {r["request_id"]: (r["status"], r["left"]) for r in
+               SA.apply_sale_requests(products, df, n_partitions=5, hot_rows=hot_rows).collect()}
+        assert got == want, hot_rows
