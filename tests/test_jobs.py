@@ -446,3 +446,57 @@ def test_sale_fold_against_brute_force(spark, seed_value):
         got = {r["request_id"]: (r["status"], r["left"]) for r in
                SA.apply_sale_requests(products, df, n_partitions=5, hot_rows=hot_rows).collect()}
         assert got == want, hot_rows
+
+
+def _simulate_products(products: list, suppliers: list, reqs: list):
+    """Brute force: the product API applied one request at a time."""
+    sup = {name: [sid, contact] for sid, name, contact in suppliers}
+    next_sid = max([s[0] for s in suppliers] or [0]) + 1
+    rows = {p[0]: list(p) for p in products}
+    next_pid = max(list(rows) or [0]) + 1
+    out = {}
+    for rid, op, pid, name, cat, qty, price, supplier, contact in sorted(reqs):
+        sid = None
+        if op in ("INSERT", "UPDATE") and supplier:
+            c = contact or "info@" + "".join(supplier.lower().split()) + ".com"
+            if supplier in sup:
+                sup[supplier][1] = c
+            else:
+                sup[supplier] = [next_sid, c]
+                next_sid += 1
+            sid = sup[supplier][0]
+        if op == "INSERT":
+            rows[next_pid] = [next_pid, name, cat, qty, price, sid]
+            out[rid] = ("INSERTED", next_pid)
+            next_pid += 1
+        elif op == "UPDATE":
+            if pid in rows:
+                rows[pid] = [pid, name, cat, qty, price, sid]
+                out[rid] = ("UPDATED", pid)
+            else:
+                out[rid] = ("NO_MATCH", pid)
+        else:
+            out[rid] = ("DELETED", pid) if rows.pop(pid, None) is not None else ("NO_MATCH", pid)
+    return rows, {n: tuple(v) for n, v in sup.items()}, out
+
+
+@pytest.mark.parametrize("seed_value", [5, 6])
+def test_product_changes_against_brute_force(spark, seed, seed_value):
+    import random
+    rnd = random.Random(seed_value)
+    base = [tuple(r) for r in seed.products.collect()]
+    sups = [tuple(r) for r in seed.suppliers.collect()]
+    reqs = []
+    for rid in range(1, 121):
+        op = rnd.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])
+        pid = None if op == "INSERT" else rnd.randint(1, 14)        # hits base and inserted ids
+        reqs.append((rid * 3, op, pid, f"n{rid}", rnd.choice(["A", "B"]), rnd.randint(0, 30),
+                     Decimal(rnd.randint(100, 9999)) / 100,
+                     rnd.choice(["", "PaperHub", "New Co", "Other Co"]),
+                     rnd.choice(["", f"c{rid}@x.com"])))
+    rows, sup, want = _simulate_products(base, sups, reqs)
+    res = C.apply_product_changes(seed.products, seed.suppliers, spark.createDataFrame(reqs, S.PRODUCT_CHANGES))
+    got = {r["request_id"]: (r["status"], r["id"]) for r in res.outcomes.collect()}
+    assert got == want
+    assert sorted(tuple(r) for r in res.table.collect()) == sorted(tuple(v) for v in rows.values())
+    assert {r["name"]: (r["id"], r["contact_email"]) for r in res.suppliers.collect()} == sup
