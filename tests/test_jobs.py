@@ -500,3 +500,16 @@ def test_product_changes_against_brute_force(spark, seed, seed_value):
     assert got == want
     assert sorted(tuple(r) for r in res.table.collect()) == sorted(tuple(v) for v in rows.values())
     assert {r["name"]: (r["id"], r["contact_email"]) for r in res.suppliers.collect()} == sup
+
+
+def test_cli_on_stored_tables(spark, seed, tmp_path, capsys):
+    from stockroom.__main__ import main
+    from stockroom.sources.tables import write_retail_tables
+    root = str(tmp_path / "stored")
+    write_retail_tables(seed, root)
+    out = tmp_path / "low"
+    assert main(["sql", "SELECT id, stock_status FROM v_inventory_with_supplier WHERE stock_status <> 'OK'",
+                 "--tables", root, "--out", str(out), "--format", "json"]) == 0
+    got = spark.read.json(str(out)).orderBy("id").collect()
+    assert [(r["id"], r["stock_status"]) for r in got] == [
+        (1, "LOW STOCK"), (2, "LOW STOCK"), (4, "OUT OF STOCK"), (6, "LOW STOCK")]
