@@ -258,8 +258,10 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
     Among accepted updates the earliest to take a username keeps it; a later
     update of another employee to that username is a duplicate.  A base
     employee's username is free again after that employee's DELETE.
-    Simplification: a username released by a rename, or by deleting an
-    employee inserted in the same batch, is still treated as taken;
+    Simplifications (each needs a sequential walk over chains of ids and
+    usernames): a username released by a rename, or by deleting an employee
+    inserted in the same batch, is still treated as taken; an INSERT does not
+    see a username taken earlier in the batch by an UPDATE.
     :func:`validate_table` reports any duplicate left in the result."""
     role_ok = F.col("role").isin(*ROLES)
     reqs = requests.select("request_id", "op", "id", "name", "username", "role")
