@@ -291,11 +291,16 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
     ins = ins.withColumn("status", ins_status)
     inserted = assign_ids(ins.where(F.col("status") == INSERTED).drop("id"), max_id(employees))
 
-    taken = base_names.unionByName(inserted.select(F.col("username").alias("_taken"),
-                                                   F.col("id").alias("_owner"),
-                                                   F.lit(None).cast("bigint").alias("_bdel")))
+    # Holders of a username over time: base employees from the start until
+    # their DELETE, accepted inserts from their INSERT request on.
+    taken = (base_names.withColumn("_from", F.lit(None).cast("bigint"))
+             .unionByName(inserted.select(F.col("username").alias("_taken"),
+                                          F.col("id").alias("_owner"),
+                                          F.lit(None).cast("bigint").alias("_bdel"),
+                                          F.col("request_id").alias("_from"))))
     ops = reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull())
     clash = (ops.join(taken, (ops.username == taken._taken) & (ops.id != taken._owner)
+                      & (taken._from.isNull() | (ops.request_id > taken._from))
                       & (taken._bdel.isNull() | (ops.request_id < taken._bdel)), "left_semi")
              .select(F.col("request_id").alias("_clash_req")))
     ops = (ops.join(clash, ops.request_id == clash._clash_req, "left")

@@ -84,9 +84,11 @@ eins2 AS (
 enew AS (
   SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_employees) + ROW_NUMBER() OVER (ORDER BY request_id) AS BIGINT)
          AS new_id, * FROM eins2 WHERE status = 'INSERTED'),
-taken AS (SELECT t, owner, bdel FROM bnames UNION ALL SELECT username, new_id, CAST(NULL AS BIGINT) FROM enew),
+taken AS (SELECT t, owner, bdel, CAST(NULL AS BIGINT) AS from_ FROM bnames
+          UNION ALL SELECT username, new_id, CAST(NULL AS BIGINT), request_id FROM enew),
 eops AS (
   SELECT o.*, EXISTS (SELECT 1 FROM taken k WHERE k.t = o.username AND k.owner <> o.id
+                      AND (k.from_ IS NULL OR o.request_id > k.from_)
                       AND (k.bdel IS NULL OR o.request_id < k.bdel)) AS dup,
          COALESCE(o.name IS NOT NULL AND o.username IS NOT NULL AND length(o.name) <= 100
                   AND length(o.username) <= 50 AND o.role IN ('owner', 'admin', 'cashier'), false) AS fields_ok
