@@ -99,3 +99,59 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = jumped
         if not changed:
             return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))
+
+
+def text_key(key: Column, text: Column) -> list[Column]:
+    """Columns that find a row again: its integer key (else a hash of its text) and
+    a hash of its text."""
+    return [F.coalesce(key.cast("long"), F.xxhash64(text), F.lit(0).cast("long")).alias("_fetch"),
+            F.xxhash64(text).alias("_th")]
+
+
+def few(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``df`` for use as the small side of a join: broadcast if it has at most
+    ``most`` rows, else left to a shuffled hash join.  ``df`` should be written."""
+    n = df.count()
+    return (F.broadcast(df) if n <= most else df.hint("shuffle_hash")), n
+
+
+# --- SimHash ------------------------------------------------------------------
+
+# Bit lanes of a 64-bit word: one bit in every eighth (sixteenth) place.
+LANES = {8: 0x0101010101010101, 16: 0x0001000100010001}
+
+
+def simhash(hashes: Column) -> Column:
+    """64-bit SimHash of an array of hashes: each bit is set when more than half of the
+    hashes have it.  An element that occurs several times counts as often.
+
+    Bits are summed side by side in lanes of 8 bits (up to 63 hashes) or 16 bits (up
+    to 16383), whose top bits stay free; longer arrays sum bit by bit."""
+
+    def in_lanes(h: Column, width: int) -> Column:
+        lanes, mask = range(width), F.lit(LANES[width]).cast("long")
+        zero = F.struct(*[F.lit(0).cast("long").alias(f"l{k}") for k in lanes])
+        sums = F.aggregate(h, zero, lambda acc, x: F.struct(*[
+            (acc[f"l{k}"] + F.shiftrightunsigned(x, k).bitwiseAND(mask)).alias(f"l{k}") for k in lanes]))
+        top = 1 << (width - 2)
+        need = (F.lit(top - 1) - F.floor(F.size(h) / 2)).cast("long") * mask
+
+        def majority(s: Column) -> Column:
+            bits = [F.shiftleft(F.shiftrightunsigned(s[f"l{k}"] + need, width - 2).bitwiseAND(mask), k)
+                    for k in lanes]
+            out = bits[0]
+            for b in bits[1:]:
+                out = out.bitwiseOR(b)
+            return out
+
+        return let(sums, majority)
+
+    def bit_by_bit(h: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
+            lambda acc, b: F.when(
+                2 * F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.getbit(x, b).cast("long")) > F.size(h),
+                acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc))
+
+    return let(hashes, lambda h: F.when(F.size(h) <= 63, in_lanes(h, 8))
+               .when(F.size(h) <= 16383, in_lanes(h, 16)).otherwise(bit_by_bit(h)))

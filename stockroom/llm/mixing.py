@@ -127,14 +127,14 @@ shares AS (
 lists AS (
   SELECT list(src ORDER BY src) AS srcs, list(parts ORDER BY src) AS ps, sum(parts)::BIGINT AS total FROM shares),
 sched(t, done, pick) AS (
-  SELECT -1::BIGINT, list_transform(ps, x -> 0::BIGINT), NULL::BIGINT FROM lists
+  SELECT -1::BIGINT, list_transform(ps, lambda x: 0::BIGINT), NULL::BIGINT FROM lists
   UNION ALL
   SELECT t + 1,
-         list_transform(range(1, len(done) + 1), i -> done[i] + (i = nxt)::BIGINT),
+         list_transform(range(1, len(done) + 1), lambda i: done[i] + (i = nxt)::BIGINT),
          nxt
   FROM (
     SELECT s.t, s.done,
-      (list_min(list_transform(range(1, len(l.ps) + 1), i ->
+      (list_min(list_transform(range(1, len(l.ps) + 1), lambda i:
          CASE WHEN s.done[i] < l.ps[i] AND (s.done[i] * l.total) // l.ps[i] <= s.t + 1
               THEN ((s.done[i] + 1) * l.total + l.ps[i] - 1) // l.ps[i] * 1000000 + i
               ELSE 9000000000000000 END)) % 1000000)::BIGINT AS nxt

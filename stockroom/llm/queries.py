@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import chat, mixing, quality, sharding, tokens
+from stockroom.llm import chat, decontam, jaccard, mixing, quality, sharding, tokens, toxicity
 from stockroom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,17 +24,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op5_documents(load(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6_documents(load(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op9_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op10_documents(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_feistel_shards, op2_chat_format, op3_quality_rules, op6_mix_sources, op10_token_counts)}
+    op1_feistel_shards, op2_chat_format, op3_quality_rules, op4_toxic_segments, op5_ngram_jaccard,
+    op6_mix_sources, op9_decontaminate, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mix_sources": mixing.SQL,
+    "op9_decontaminate": decontam.SQL,
 }
