@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import chat, decontam, jaccard, lines, mixing, quality, sharding, tokens, toxicity
+from stockroom.llm import chat, decontam, html, jaccard, lines, mixing, quality, sharding, tokens, toxicity
 from stockroom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7_documents(load(spark, sf_dir, "documents"))
 
 
+def op8_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op8_pages(load(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_feistel_shards, op2_chat_format, op3_quality_rules, op4_toxic_segments, op5_ngram_jaccard,
-    op6_mix_sources, op7_fuzzy_lines, op9_decontaminate, op10_token_counts)}
+    op6_mix_sources, op7_fuzzy_lines, op8_visible_text, op9_decontaminate, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mix_sources": mixing.SQL,
