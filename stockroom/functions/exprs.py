@@ -75,11 +75,6 @@ def sale_total(unit_price, quantity) -> Column:
     return (_c(unit_price) * _c(quantity).cast("decimal(10,0)")).cast(MONEY)
 
 
-def try_sale_total(unit_price, quantity) -> Column:
-    """Same as :func:`sale_total` but NULL instead of an error on overflow."""
-    return (_c(unit_price) * _c(quantity).cast("decimal(10,0)")).try_cast(MONEY)
-
-
 def stock_status(quantity) -> Column:
     """CASE quantity = 0 → OUT OF STOCK, < 10 → LOW STOCK, else OK."""
     q = _c(quantity)
@@ -184,7 +179,7 @@ __all__ = [
     "fill", "SOLD_TEMPLATE", "OUT_OF_STOCK_TEMPLATE", "INSUFFICIENT_TEMPLATE", "DEFAULT_EMAIL_TEMPLATE",
     "PRODUCT_OPTION_TEMPLATE", "LOW_STOCK_ITEM_TEMPLATE", "NOTIFICATION_TEMPLATE", "ROLE_LABELS",
     "ROLE_LABEL_OTHER", "STATUS_PASSWORD_REQUIRED", "STATUS_ACTIVE", "OUT_OF_STOCK", "LOW_STOCK", "STOCK_OK", "CURRENCY", "MISSING", "JS_SPACE_CLASS",
-    "line_value", "sale_total", "try_sale_total", "stock_status", "is_low_stock",
+    "line_value", "sale_total", "stock_status", "is_low_stock",
     "is_out_of_stock", "money_sum", "money_text", "falsy_default", "dash_if_missing",
     "js_trim", "strip_spaces", "default_contact_email", "parse_int", "parse_float",
     "clock_text", "utc_date", "sold_message", "out_of_stock_message", "insufficient_message",

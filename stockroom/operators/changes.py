@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from stockroom.functions.exprs import (DUPLICATE_USERNAME_MESSAGE, REQUIRED_FIELDS_MESSAGE,
                                        INVALID_SALE_MESSAGE, default_contact_email,
                                        falsy_default, js_trim)
-from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, MONEY, NAME_MAX, ROLES,
-                               USERNAME_MAX)
+from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, EMAIL_MAX, MONEY, NAME_MAX,
+                               PHONE_MAX, ROLES, USERNAME_MAX)
 from stockroom.session import ensure_checkpoint_dir
 
 # Fixed outcome labels of a change request.
@@ -50,7 +50,14 @@ def max_id(base: DataFrame, id_col: str = "id") -> Column:
     return base.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
 
 
-def assign_ids(rows: DataFrame, start_after: Column, order_col: str = "request_id",
+def next_after(base: DataFrame, high_water: int | None = None, id_col: str = "id") -> Column:
+    """The id to continue from: the largest id in the table or, if larger, the stored
+    ``high_water`` mark, so an id that was given out and deleted is not used again."""
+    top = max_id(base, id_col)
+    return top if high_water is None else F.greatest(top, F.lit(high_water).cast("bigint"))
+
+
+def assign_ids(rows: DataFrame, start_after: Column, order_col: str | list[str] = "request_id",
                id_col: str = "id") -> DataFrame:
     """M3: AUTO_INCREMENT — number ``rows`` start_after+1, +2, … in ``order_col`` order.
 
@@ -63,14 +70,15 @@ def assign_ids(rows: DataFrame, start_after: Column, order_col: str = "request_i
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     # No explicit count: AQE may merge adjacent ranges, which keeps them ordered.
-    tagged = (rows.repartitionByRange(order_col)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    tagged = (rows.repartitionByRange(*order)
               .withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # ≤ n rows: the unpartitioned window and the broadcast are size-bounded.
     offsets = counts.select(
         "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
-    w = Window.partitionBy("_part").orderBy(order_col)
+    w = Window.partitionBy("_part").orderBy(*order)
     return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(id_col, (start_after + F.col("_offset") + F.row_number().over(w)).cast("bigint"))
             .drop("_part", "_offset"))
@@ -93,14 +101,17 @@ def delete_cascade_remove(parent: DataFrame, deleted_keys: DataFrame, key_col: s
     return parent.join(d, parent[key_col] == d._dk, "left_anti")
 
 
+def _stamp(as_of_ts) -> Column:
+    if isinstance(as_of_ts, Column):
+        return as_of_ts
+    # zone-less wall clock: go through its text, never through an instant
+    text = as_of_ts.isoformat(sep=" ") if hasattr(as_of_ts, "isoformat") else str(as_of_ts)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def touch_updated_at(df: DataFrame, changed: Column, as_of_ts, inserted: Column | None = None) -> DataFrame:
     """M6: ``updated_at`` = as_of_ts on changed rows; ``created_at`` on inserted rows."""
-    if isinstance(as_of_ts, Column):
-        ts = as_of_ts
-    else:
-        # zone-less wall clock: go through its text, never through an instant
-        text = as_of_ts.isoformat(sep=" ") if hasattr(as_of_ts, "isoformat") else str(as_of_ts)
-        ts = F.lit(text).cast("timestamp_ntz")
+    ts = _stamp(as_of_ts)
     cur_u = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp_ntz")
     cur_c = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp_ntz")
     out = df.withColumn("updated_at", F.when(changed, ts).otherwise(cur_u))
@@ -148,33 +159,53 @@ class ChangeResult:
 # --- M1 -------------------------------------------------------------------------
 
 def supplier_requests(requests: DataFrame) -> DataFrame:
-    """INSERT/UPDATE requests that carry a supplier name, with the contact to store."""
-    s = F.col("supplier")
-    return (requests.where(F.col("op").isin("INSERT", "UPDATE") & _truthy(s))
-            .select("request_id", s.alias("name"),
-                    falsy_default("supplier_contact", default_contact_email(s)).alias("contact")))
+    """INSERT/UPDATE requests that carry a supplier name, with the contact to store.
+
+    A name or contact longer than its column fails the whole request, so the
+    supplier is left alone."""
+    return (requests.where(F.col("op").isin("INSERT", "UPDATE") & _truthy(F.col("supplier"))
+                           & _supplier_fits())
+            .select("request_id", F.col("supplier").alias("name"), _contact().alias("contact")))
+
 
+def _contact() -> Column:
+    return falsy_default("supplier_contact", default_contact_email(F.col("supplier")))
 
-def upsert_suppliers(suppliers: DataFrame, requests: DataFrame) -> DataFrame:
+
+def _supplier_fits() -> Column:
+    return (~F.coalesce(_truthy(F.col("supplier")), F.lit(False))
+            | ((F.length("supplier") <= NAME_MAX["suppliers"]) & (F.length(_contact()) <= EMAIL_MAX)))
+
+
+def _nulls(df: DataFrame, names: list[str]) -> list[Column]:
+    """NULL columns of the types ``df`` gives ``names``."""
+    return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+
+
+def upsert_suppliers(suppliers: DataFrame, requests: DataFrame, as_of_ts=None) -> DataFrame:
     """M1: INSERT … ON DUPLICATE KEY UPDATE contact_email, by unique name.
 
     Applies to every INSERT/UPDATE request with a supplier, whatever later
     happens to the product (no transaction spans the two statements).  The
     last request per name sets the contact; new names get ids in order of
-    their first request."""
+    their first request.  Every other column of the table is kept; a new row has
+    NULL there, but for ``created_at`` when ``as_of_ts`` is given."""
     reqs = supplier_requests(requests)
     per_name = reqs.groupBy("name").agg(
         F.max_by("contact", "request_id").alias("_contact"),
         F.min("request_id").alias("_first"))
-    base = suppliers.select(F.col("id"), F.col("name").alias("_bname"), "contact_email")
+    base = suppliers.withColumnRenamed("name", "_bname")
     j = per_name.join(base, per_name.name == base._bname, "full")
+    kept = {"name": F.col("_bname"), "contact_email": F.coalesce("_contact", "contact_email")}
     existing = (j.where(F.col("_bname").isNotNull())
-                .select("id", F.col("_bname").alias("name"),
-                        F.coalesce(F.col("_contact"), F.col("contact_email")).alias("contact_email")))
+                .select(*[kept.get(c, F.col(c)).alias(c) for c in suppliers.columns]))
     new = (j.where(F.col("_bname").isNull())
            .select(F.col("name"), F.col("_contact").alias("contact_email"), F.col("_first")))
     new = assign_ids(new, max_id(suppliers), order_col="_first").drop("_first")
-    return existing.unionByName(new.select("id", "name", "contact_email"))
+    new = new.select("*", *_nulls(suppliers, [c for c in suppliers.columns if c not in new.columns]))
+    if as_of_ts is not None and "created_at" in suppliers.columns:
+        new = new.withColumn("created_at", _stamp(as_of_ts))
+    return existing.unionByName(new)
 
 
 # --- M2 -------------------------------------------------------------------------
@@ -187,23 +218,24 @@ def _product_fields_ok() -> Column:
 
 
 def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: DataFrame,
-                          as_of_ts=None) -> ChangeResult:
+                          as_of_ts=None, high_water: int | None = None) -> ChangeResult:
     """M2: INSERT (new id) / UPDATE (all fields, by id) / DELETE (by id).
 
     ``supplier_id`` is the id of the named supplier after M1, NULL when the
     request's supplier is blank (an UPDATE with a blank supplier clears it)."""
-    new_suppliers = upsert_suppliers(suppliers, requests)
+    new_suppliers = upsert_suppliers(suppliers, requests, as_of_ts)
     sid = new_suppliers.select(F.col("name").alias("_sname"), F.col("id").alias("_sid"))
     # A price that does not fit DECIMAL(10,2) makes the statement fail →
     # the request is an ERROR, the batch goes on (try_cast, not an ANSI error).
     reqs = requests.select("request_id", "op", "id", "name", "category", "quantity",
-                           F.col("price").try_cast(MONEY).alias("price"), "supplier")
+                           F.col("price").try_cast(MONEY).alias("price"), "supplier",
+                           _supplier_fits().alias("_fits"))
     reqs = (reqs.join(sid, _truthy(reqs.supplier) & (reqs.supplier == sid._sname), "left")
             .withColumn("supplier_id", F.col("_sid")).drop("_sname", "_sid")
-            .withColumn("_ok", _product_fields_ok()))
+            .withColumn("_ok", F.coalesce(_product_fields_ok() & F.col("_fits"), F.lit(False))))
 
     ins_req = reqs.where(F.col("op") == "INSERT")
-    inserted = assign_ids(ins_req.where("_ok").drop("id"), max_id(products))
+    inserted = assign_ids(ins_req.where("_ok").drop("id"), next_after(products, high_water))
     ins_fail = ins_req.where(~F.col("_ok")).select("request_id", "op", F.lit(None).cast("bigint").alias("id"),
                                                    F.lit(ERROR).alias("status"))
 
@@ -218,8 +250,9 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
     deleted = resolved.where(F.col("status") == DELETED).select("id")
 
     cols = ["id", "name", "category", "quantity", "price", "supplier_id"]
-    current = (products.select(*cols, F.lit(False).alias("_ins"))
-               .unionByName(inserted.select(*cols, F.lit(True).alias("_ins"))))
+    others = [c for c in products.columns if c not in cols]          # kept as they are
+    current = (products.select(*cols, *others, F.lit(False).alias("_ins"))
+               .unionByName(inserted.select(*cols, *_nulls(products, others), F.lit(True).alias("_ins"))))
     current = delete_cascade_remove(current, deleted)
     cur = current.join(last_update, "id", "left")
     changed = F.col("_u").isNotNull()
@@ -227,7 +260,7 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
         "id",
         *[F.when(changed, F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c)
           for c in ("name", "category", "quantity", "price", "supplier_id")],
-        (changed | F.col("_ins")).alias("_changed"), "_ins")
+        *others, (changed | F.col("_ins")).alias("_changed"), "_ins")
     if as_of_ts is not None:
         table = touch_updated_at(table, F.col("_changed"), as_of_ts, F.col("_ins"))
     table = table.drop("_changed", "_ins")
@@ -237,14 +270,20 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
                 .unionByName(resolved.select("request_id", "op", "id", "status"))
                 .unionByName(reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNull())
                              .select("request_id", "op", "id", F.lit(NO_MATCH).alias("status")))
-                .unionByName(reqs.where(~F.col("op").isin("INSERT", "UPDATE", "DELETE"))
-                             .select("request_id", "op", "id", F.lit(ERROR).alias("status"))))
+                .unionByName(_unknown_ops(reqs)))
     return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted, suppliers=new_suppliers)
 
 
+def _unknown_ops(reqs: DataFrame) -> DataFrame:
+    """Requests whose operation is missing or none of the three: an ERROR each."""
+    known = F.coalesce(F.col("op").isin("INSERT", "UPDATE", "DELETE"), F.lit(False))
+    return reqs.where(~known).select("request_id", "op", "id", F.lit(ERROR).alias("status"))
+
+
 # --- M5 -------------------------------------------------------------------------
 
-def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=None) -> ChangeResult:
+def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=None,
+                           high_water: int | None = None) -> ChangeResult:
     """M5: employee INSERT/UPDATE/DELETE.
 
     * INSERT: role defaults to 'cashier' when blank, must_change_password is
@@ -289,7 +328,7 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
                   .when(F.col("request_id") != F.col("_claim"), F.lit(DUPLICATE))
                   .otherwise(F.lit(INSERTED)))
     ins = ins.withColumn("status", ins_status)
-    inserted = assign_ids(ins.where(F.col("status") == INSERTED).drop("id"), max_id(employees))
+    inserted = assign_ids(ins.where(F.col("status") == INSERTED).drop("id"), next_after(employees, high_water))
 
     # Holders of a username over time: base employees from the start until
     # their DELETE, accepted inserts from their INSERT request on.
@@ -326,16 +365,18 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
         F.max_by(F.struct("name", "username", "role"), "request_id").alias("_u")))
     deleted = resolved.where(F.col("status") == DELETED).select("id")
     cols = ["id", "name", "username", "role", "must_change_password"]
-    current = (employees.select(*cols, F.lit(False).alias("_ins"))
+    others = [c for c in employees.columns if c not in cols]         # kept as they are
+    current = (employees.select(*cols, *others, F.lit(False).alias("_ins"))
                .unionByName(inserted.select("id", "name", "username", "role",
                                             F.lit(True).alias("must_change_password"),
+                                            *_nulls(employees, others),
                                             F.lit(True).alias("_ins"))))
     current = delete_cascade_remove(current, deleted)
     cur = current.join(last_update, "id", "left")
     changed = F.col("_u").isNotNull()
     table = cur.select("id", *[F.when(changed, F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c)
                                for c in ("name", "username", "role")],
-                       "must_change_password", (changed | F.col("_ins")).alias("_changed"), "_ins")
+                       "must_change_password", *others, (changed | F.col("_ins")).alias("_changed"), "_ins")
     if as_of_ts is not None:
         table = touch_updated_at(table, F.col("_changed"), as_of_ts, F.col("_ins"))
     table = table.drop("_changed", "_ins")
@@ -347,6 +388,7 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
                 .unionByName(resolved.select("request_id", "op", "id", "status"))
                 .unionByName(reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNull())
                              .select("request_id", "op", "id", F.lit(NO_MATCH).alias("status")))
+                .unionByName(_unknown_ops(reqs))
                 .withColumn("message", msg))
     return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted)
 
@@ -401,7 +443,11 @@ def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | No
     if table == "products":
         rules += [(f"not_null_{x}", c(x).isNull(), None) for x in ("name", "category", "quantity", "price")]
         rules += [("length_name", F.length("name") > NAME_MAX["products"], None),
-                  ("length_category", F.length("category") > CATEGORY_MAX, None)]
+                  ("length_category", F.length("category") > CATEGORY_MAX, None),
+                  ("range_price", c("price").isNotNull() & c("price").try_cast(MONEY).isNull(),
+                   c("price").cast("string")),
+                  ("range_quantity", c("quantity").isNotNull() & c("quantity").try_cast("int").isNull(),
+                   c("quantity").cast("string"))]
         if "suppliers" in parents:
             parts.append(_missing_parent(df, table, "supplier_id", parents["suppliers"]))
     elif table == "employees":
@@ -412,12 +458,18 @@ def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | No
         parts.append(_duplicates(df, table, "username"))
     elif table == "suppliers":
         rules += [("not_null_name", c("name").isNull(), None),
-                  ("length_name", F.length("name") > NAME_MAX["suppliers"], None)]
+                  ("length_name", F.length("name") > NAME_MAX["suppliers"], None),
+                  ("length_contact_email", F.length("contact_email") > EMAIL_MAX, None)]
+        if "phone" in df.columns:
+            rules.append(("length_phone", F.length("phone") > PHONE_MAX, None))
         parts.append(_duplicates(df, table, "name"))
     elif table == "sales":
         rules += [(f"not_null_{x}", c(x).isNull(), None)
                   for x in ("product_name", "category", "unit_price", "quantity", "sale_date")]
         expect = (c("unit_price") * c("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+        rules += [("length_product_name", F.length("product_name") > NAME_MAX["sales"], None),
+                  ("length_category", F.length("category") > CATEGORY_MAX, None),
+                  ("range_total_amount", c("unit_price").isNotNull() & c("quantity").isNotNull() & expect.isNull(), None)]
         rules.append(("generated_total_amount", ~c("total_amount").eqNullSafe(expect), None))
         if "products" in parents:
             parts.append(_missing_parent(df, table, "product_id", parents["products"]))
@@ -438,7 +490,7 @@ def validate_product_requests(requests: DataFrame) -> DataFrame:
     for c in ("name", "category", "supplier", "supplier_contact"):
         if c in t.columns:
             t = t.withColumn(c, js_trim(F.col(c)))
-    needs = F.col("op").isin("INSERT", "UPDATE")
+    needs = F.coalesce(F.col("op").isin("INSERT", "UPDATE"), F.lit(False))
     ok = (~needs) | (_truthy(F.col("name")) & _truthy(F.col("category")) & F.col("quantity").isNotNull()
                      & F.col("price").isNotNull() & _truthy(F.col("supplier")))
     return (t.withColumn("ok", ok)
@@ -448,7 +500,7 @@ def validate_product_requests(requests: DataFrame) -> DataFrame:
 def validate_employee_requests(requests: DataFrame) -> DataFrame:
     """M9: trimmed name and username required for INSERT/UPDATE."""
     t = requests.withColumn("name", js_trim(F.col("name"))).withColumn("username", js_trim(F.col("username")))
-    needs = F.col("op").isin("INSERT", "UPDATE")
+    needs = F.coalesce(F.col("op").isin("INSERT", "UPDATE"), F.lit(False))
     ok = (~needs) | (_truthy(F.col("name")) & _truthy(F.col("username")))
     return (t.withColumn("ok", ok)
             .withColumn("reason", F.when(~F.col("ok"), F.lit(REQUIRED_FIELDS_MESSAGE))))
@@ -465,7 +517,7 @@ def validate_sale_requests(requests: DataFrame) -> DataFrame:
 
 __all__ = [
     "INSERTED", "UPDATED", "DELETED", "NO_MATCH", "DUPLICATE", "ERROR", "ChangeResult",
-    "max_id", "assign_ids", "delete_cascade_null", "delete_cascade_remove", "touch_updated_at",
+    "max_id", "next_after", "assign_ids", "delete_cascade_null", "delete_cascade_remove", "touch_updated_at",
     "supplier_requests", "upsert_suppliers", "apply_product_changes", "apply_employee_changes",
     "validate_table", "validate_product_requests", "validate_employee_requests",
     "validate_sale_requests", "rank_within_group",

@@ -158,9 +158,10 @@ def lookup_by_key(table: DataFrame, keys: DataFrame, table_key: str = "id",
                   keys_key: str | None = None) -> DataFrame:
     """Rows of ``table`` whose key appears in a batch of keys (semi join).
 
-    A semi join never duplicates table rows however often a key repeats."""
+    Keys are reduced to the distinct ones on the way into their shuffle, so a key
+    that most of the batch repeats costs one row per task."""
     kk = keys_key or table_key
-    k = keys.select(F.col(kk).alias("_key"))
+    k = keys.select(F.col(kk).alias("_key")).where("_key is not null").distinct()
     return table.join(k, table[table_key] == k._key, "left_semi")
 
 

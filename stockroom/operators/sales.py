@@ -38,8 +38,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from stockroom.functions.exprs import (INVALID_SALE_MESSAGE, NOT_FOUND_MESSAGE,
                                        insufficient_message, out_of_stock_message,
                                        sold_message, utc_date)
-from stockroom.operators.changes import assign_ids, max_id
+from stockroom.operators.changes import assign_ids, next_after
 from stockroom.schemas import MONEY
+from stockroom.session import ensure_checkpoint_dir
 
 # Fixed outcome labels of a sale request.
 ACCEPTED = "ACCEPTED"
@@ -206,6 +207,7 @@ def chain_tables(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fold_hot_tables(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+    ensure_checkpoint_dir(hot.sparkSession)
     keys = ("product_id", "ts", "request_id")
     spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
               else hot.repartitionByRange(*keys))      # AQE may merge adjacent ranges
@@ -249,6 +251,7 @@ def _accepted_prefix(hot: DataFrame, n_partitions: int | None) -> tuple[DataFram
     sum inside each slice.  The tail starts from the remaining stock R, which
     is below the quantity of its first request, so its transfer tables stay
     small whatever the starting stock."""
+    ensure_checkpoint_dir(hot.sparkSession)
     keys = ("product_id", "ts", "request_id")
     spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
               else hot.repartitionByRange(*keys))
@@ -369,9 +372,12 @@ def prepare_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
                         "category", F.col("price").alias("unit_price"),
                         F.col("quantity").alias("stock0"))
     r = requests.select("request_id", "product_id", "quantity", "ts", "cashier_id")
-    j = r.join(p, r.product_id == p._pid, "left")
-    total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
     invalid = F.col("quantity").isNull() | (F.col("quantity") < 1)
+    # An invalid quantity is decided without its product and takes no part in the join.
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in p.schema.fields]
+    j = (r.where(~invalid).join(p, F.col("product_id") == F.col("_pid"), "left")
+         .unionByName(r.where(invalid).select("*", *nothing)))
+    total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
     return (j.withColumn("_pre", F.when(invalid, F.lit(INVALID_QUANTITY))
                          .when(F.col("_pid").isNull(), F.lit(NOT_FOUND)))
             .withColumn("total_amount", total)
@@ -387,12 +393,13 @@ def stock_after_sales(products: DataFrame, results: DataFrame) -> DataFrame:
                       if c == "quantity" else products[c] for c in products.columns])
 
 
-def new_sales_rows(sales: DataFrame, results: DataFrame) -> DataFrame:
-    """Accepted requests as ``sales`` rows, ids continuing after the table's."""
+def new_sales_rows(sales: DataFrame, results: DataFrame, high_water: int | None = None) -> DataFrame:
+    """Accepted requests as ``sales`` rows in arrival order (ts, request_id), ids
+    continuing after the table's or the stored ``high_water`` mark."""
     acc = results.where(F.col("status") == ACCEPTED).select(
         "request_id", "product_id", "product_name", "category", "unit_price", "quantity",
         "total_amount", "sale_date", F.col("ts").alias("sale_timestamp"), "cashier_id")
-    return assign_ids(acc, max_id(sales)).select(
+    return assign_ids(acc, next_after(sales, high_water), ["sale_timestamp", "request_id"]).select(
         "id", "product_id", "product_name", "category", "unit_price", "quantity",
         "total_amount", "sale_date", "sale_timestamp", "cashier_id")
 

@@ -2,8 +2,10 @@
 
 The source forwards any text to the database and only refuses statements
 that *start* with DROP DATABASE / DROP TABLE.  Here the console is read-only
-by allow-list: a statement runs only if its first keyword is one that cannot
-change data.  Classification of the result (``select``) follows from that.
+by allow-list: the first keyword must be one that can read, and the parsed plan
+must hold no command and no insert at any depth (``WITH … INSERT`` and ``FROM …
+INSERT`` start like queries) and call no function that runs arbitrary code.
+The plan is checked before anything runs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ DROP_DISABLED = "DROP DATABASE and DROP TABLE are disabled in the query console.
 READ_ONLY = "Only read-only statements (SELECT, WITH, SHOW, DESCRIBE, EXPLAIN, VALUES, TABLE) are allowed."
 READ_KEYWORDS = ("SELECT", "WITH", "SHOW", "DESCRIBE", "DESC", "EXPLAIN", "VALUES", "TABLE", "FROM")
 
+# Functions that call any static method of the JVM.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+FUNCTION_DISABLED = "This function is disabled in the query console."
+
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 _COMMENTS = re.compile(r"(--[^\n]*\n?)|(/\*.*?\*/)", re.S)
 
 
@@ -54,9 +61,42 @@ def check_sql(sql: str | None) -> str:
     return body  # Spark's parser itself refuses a second statement
 
 
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def check_plan(spark: SparkSession, body: str) -> None:
+    """Refuse a parsed statement that holds a command, an insert or a forbidden function."""
+    kind = spark._jvm.java.lang.Class.forName
+    command, statement, plan_kind, subquery = (kind(_LOGICAL + "Command"), kind(_LOGICAL + "ParsedStatement"),
+                                               kind(_LOGICAL + "LogicalPlan"),
+                                               kind("org.apache.spark.sql.catalyst.expressions.PlanExpression"))
+    root = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if plan_kind.isInstance(node):
+            if name == "ExplainCommand":
+                todo.append(node.logicalPlan())
+                continue
+            shown = node is root and name.startswith(("Show", "Describe"))
+            writes = command.isInstance(node) or statement.isInstance(node) or name.startswith("Insert")
+            if writes and not shown:
+                raise ConsoleError(READ_ONLY)
+            todo += _seq(node.expressions())
+            todo += [x for x in _seq(node.innerChildren()) if plan_kind.isInstance(x)]
+        elif subquery.isInstance(node):
+            todo.append(node.plan())
+        if name == "UnresolvedFunction" and _seq(node.nameParts())[-1].lower() in FORBIDDEN_FUNCTIONS:
+            raise ConsoleError(FUNCTION_DISABLED)
+        todo += _seq(node.children())
+
+
 def adhoc_sql(spark: SparkSession, sql: str, args: dict | None = None) -> ConsoleResult:
     """Run one read-only statement; ``args`` binds named parameters."""
     body = check_sql(sql)
+    check_plan(spark, body)
     return ConsoleResult("select", spark.sql(body, args=args) if args else spark.sql(body))
 
 

@@ -11,18 +11,24 @@ AS_OF = "1998-06-01"
 ADAPTER_CTES = """
 f_suppliers AS (
   SELECT s_suppkey AS id, s_name AS name,
-         CONCAT('info@', LOWER(REPLACE(s_name, ' ', '')), '.com') AS contact_email
+         CONCAT('info@', LOWER(REPLACE(s_name, ' ', '')), '.com') AS contact_email,
+         '+265 ' || s_suppkey AS phone, 'Nation ' || s_nationkey AS address,
+         TIMESTAMP '1990-01-01 00:00:00' + to_minutes(s_suppkey) AS created_at
   FROM supplier),
 f_employees AS (
   SELECT c_custkey AS id, c_name AS name, LOWER(c_name) AS username,
          CASE WHEN c_mktsegment = 'BUILDING' THEN 'owner'
               WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'cashier' END AS role,
-         c_acctbal < 0 AS must_change_password
+         c_acctbal < 0 AS must_change_password,
+         TIMESTAMP '1990-01-01 00:00:00' + to_minutes(c_custkey) AS created_at,
+         TIMESTAMP '1990-01-01 00:00:00' + to_minutes(c_custkey * 2) AS updated_at
   FROM customer),
 f_products AS (
   SELECT p.p_partkey AS id, p.p_name AS name, p.p_type AS category,
          CAST(p.p_size - 1 AS INT) AS quantity, CAST(p.p_retailprice AS DECIMAL(10,2)) AS price,
-         CASE WHEN p.p_partkey % 17 = 0 THEN NULL ELSE m.sk END AS supplier_id
+         CASE WHEN p.p_partkey % 17 = 0 THEN NULL ELSE m.sk END AS supplier_id,
+         TIMESTAMP '1990-01-01 00:00:00' + to_minutes(p.p_partkey) AS created_at,
+         TIMESTAMP '1990-01-01 00:00:00' + to_minutes(p.p_partkey * 2) AS updated_at
   FROM part p LEFT JOIN (SELECT l_partkey, MIN(l_suppkey) AS sk FROM lineitem GROUP BY l_partkey) m
     ON p.p_partkey = m.l_partkey),
 f_lines AS (
@@ -48,18 +54,20 @@ f_sale_feed AS (
   FROM events WHERE event_type = 'purchase'),
 f_product_changes AS (
   SELECT p_partkey AS request_id,
-         CASE p_partkey % 5 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'INSERT' ELSE 'UPDATE' END AS op,
+         CASE WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN 'PATCH'
+              WHEN p_partkey % 5 = 0 THEN 'DELETE' WHEN p_partkey % 5 = 1 THEN 'INSERT' ELSE 'UPDATE' END AS op,
          CASE WHEN p_partkey % 5 = 1 THEN NULL WHEN p_partkey % 19 = 0 THEN 10000000 + p_partkey
               ELSE (p_partkey * 7) % 251 END AS id,
          CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE CONCAT(p_name, ' v2') END AS name,
          p_type AS category, CAST(p_size AS INT) AS quantity,
          CAST(p_retailprice + 1 AS DECIMAL(10,2)) AS price,
-         CASE WHEN p_partkey % 13 = 0 THEN '' ELSE CONCAT('New Vendor ', CAST(p_partkey % 7 AS VARCHAR)) END AS supplier,
+         CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 43 = 0 THEN repeat('long ', 25) ELSE CONCAT('New Vendor ', CAST(p_partkey % 7 AS VARCHAR)) END AS supplier,
          CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CONCAT('v', CAST(p_partkey AS VARCHAR), '@x.com') END AS supplier_contact
   FROM part),
 f_employee_changes AS (
   SELECT c_custkey AS request_id,
-         CASE c_custkey % 4 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'INSERT' ELSE 'UPDATE' END AS op,
+         CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN 'PATCH'
+              WHEN c_custkey % 4 = 0 THEN 'DELETE' WHEN c_custkey % 4 = 1 THEN 'INSERT' ELSE 'UPDATE' END AS op,
          CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE (c_custkey * 3) % 401 END AS id,
          CASE WHEN c_custkey % 29 = 0 THEN '' ELSE CONCAT(c_name, ' v2') END AS name,
          CASE WHEN c_custkey % 6 = 1 THEN LOWER(c_name)

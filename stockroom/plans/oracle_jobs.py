@@ -10,18 +10,20 @@ sreq AS (
          COALESCE(NULLIF(supplier_contact, ''),
                   'info@' || regexp_replace(lower(supplier), '\s', '', 'g') || '.com') AS contact
   FROM f_product_changes
-  WHERE op IN ('INSERT', 'UPDATE') AND supplier IS NOT NULL AND supplier <> ''),
+  WHERE op IN ('INSERT', 'UPDATE') AND supplier IS NOT NULL AND supplier <> '' AND length(supplier) <= 100
+    AND length(COALESCE(NULLIF(supplier_contact, ''),
+                        'info@' || regexp_replace(lower(supplier), '\s', '', 'g') || '.com')) <= 100),
 per_name AS (
   SELECT name, contact, first_ FROM (
     SELECT name, contact, MIN(request_id) OVER (PARTITION BY name) AS first_,
            ROW_NUMBER() OVER (PARTITION BY name ORDER BY request_id DESC) AS rn FROM sreq)
   WHERE rn = 1),
 new_sup AS (
-  SELECT s.id, s.name, COALESCE(pn.contact, s.contact_email) AS contact_email
+  SELECT s.id, s.name, COALESCE(pn.contact, s.contact_email) AS contact_email, s.phone, s.address, s.created_at
   FROM f_suppliers s LEFT JOIN per_name pn ON pn.name = s.name
   UNION ALL
   SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_suppliers) + ROW_NUMBER() OVER (ORDER BY first_) AS BIGINT),
-         name, contact
+         name, contact, NULL, NULL, NULL
   FROM per_name WHERE name NOT IN (SELECT name FROM f_suppliers))"""
 
 PRODUCT_CHANGES = SUPPLIER_UPSERT + """,
@@ -29,7 +31,10 @@ req AS (
   SELECT r.request_id, r.op, r.id, r.name, r.category, r.quantity, r.price,
          CASE WHEN r.supplier IS NOT NULL AND r.supplier <> '' THEN s.id END AS supplier_id,
          COALESCE(r.name IS NOT NULL AND r.category IS NOT NULL AND r.quantity IS NOT NULL
-                  AND r.price IS NOT NULL AND length(r.name) <= 150 AND length(r.category) <= 80, false) AS ok
+                  AND r.price IS NOT NULL AND length(r.name) <= 150 AND length(r.category) <= 80
+                  AND (COALESCE(r.supplier, '') = '' OR length(r.supplier) <= 100
+                       AND length(COALESCE(NULLIF(r.supplier_contact, ''), 'info@' || replace(lower(r.supplier), ' ', '') || '.com')) <= 100),
+                  false) AS ok
   FROM f_product_changes r LEFT JOIN new_sup s ON r.supplier = s.name),
 ins AS (
   SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_products) + ROW_NUMBER() OVER (ORDER BY request_id) AS BIGINT)
@@ -51,8 +56,8 @@ lu AS (
                         ROW_NUMBER() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn
                  FROM res WHERE status = 'UPDATED') WHERE rn = 1),
 cur AS (
-  SELECT id, name, category, quantity, price, supplier_id, false AS ins_ FROM f_products
-  UNION ALL SELECT new_id, name, category, quantity, price, supplier_id, true FROM ins),
+  SELECT id, name, category, quantity, price, supplier_id, created_at, updated_at, false AS ins_ FROM f_products
+  UNION ALL SELECT new_id, name, category, quantity, price, supplier_id, NULL, NULL, true FROM ins),
 new_products AS (
   SELECT c.id,
          CASE WHEN lu.id IS NOT NULL THEN lu.name ELSE c.name END AS name,
@@ -60,7 +65,7 @@ new_products AS (
          CASE WHEN lu.id IS NOT NULL THEN lu.quantity ELSE c.quantity END AS quantity,
          CASE WHEN lu.id IS NOT NULL THEN lu.price ELSE c.price END AS price,
          CASE WHEN lu.id IS NOT NULL THEN lu.supplier_id ELSE c.supplier_id END AS supplier_id,
-         (lu.id IS NOT NULL OR c.ins_) AS changed_, c.ins_
+         c.created_at, c.updated_at, (lu.id IS NOT NULL OR c.ins_) AS changed_, c.ins_
   FROM cur c LEFT JOIN lu ON c.id = lu.id
   WHERE c.id NOT IN (SELECT id FROM res WHERE status = 'DELETED'))"""
 
@@ -118,14 +123,14 @@ elu AS (
                         ROW_NUMBER() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn
                  FROM eres WHERE status = 'UPDATED') WHERE rn = 1),
 ecur AS (
-  SELECT id, name, username, role, must_change_password FROM f_employees
-  UNION ALL SELECT new_id, name, username, role, true FROM enew),
+  SELECT id, name, username, role, must_change_password, created_at, updated_at FROM f_employees
+  UNION ALL SELECT new_id, name, username, role, true, NULL, NULL FROM enew),
 new_employees AS (
   SELECT c.id,
          CASE WHEN l.id IS NOT NULL THEN l.name ELSE c.name END AS name,
          CASE WHEN l.id IS NOT NULL THEN l.username ELSE c.username END AS username,
          CASE WHEN l.id IS NOT NULL THEN l.role ELSE c.role END AS role,
-         c.must_change_password
+         c.must_change_password, c.created_at, c.updated_at
   FROM ecur c LEFT JOIN elu l ON c.id = l.id
   WHERE c.id NOT IN (SELECT id FROM eres WHERE status = 'DELETED'))"""
 
@@ -181,13 +186,15 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["upsert_suppliers"] = A("SELECT * FROM new_sup", SUPPLIER_UPSERT)
     q["apply_product_changes"] = A(
-        "SELECT id, name, category, quantity, price, supplier_id FROM new_products", PRODUCT_CHANGES)
+        "SELECT id, name, category, quantity, price, supplier_id, created_at, updated_at FROM new_products",
+        PRODUCT_CHANGES)
     q["product_change_outcomes"] = A(
         "SELECT request_id, op, new_id AS id, 'INSERTED' AS status FROM ins "
         "UNION ALL SELECT request_id, op, CAST(NULL AS BIGINT), 'ERROR' FROM req WHERE op = 'INSERT' AND NOT ok "
         "UNION ALL SELECT request_id, op, id, status FROM res "
         "UNION ALL SELECT request_id, op, id, 'NO_MATCH' FROM req WHERE op IN ('UPDATE', 'DELETE') AND id IS NULL "
-        "UNION ALL SELECT request_id, op, id, 'ERROR' FROM req WHERE op NOT IN ('INSERT', 'UPDATE', 'DELETE')",
+        "UNION ALL SELECT request_id, op, id, 'ERROR' FROM req "
+        "WHERE COALESCE(op, '') NOT IN ('INSERT', 'UPDATE', 'DELETE')",
         PRODUCT_CHANGES)
     q["assign_ids"] = A(
         "SELECT request_id, CAST((SELECT MAX(id) FROM f_products) + ROW_NUMBER() OVER (ORDER BY request_id) "
@@ -199,8 +206,8 @@ def build() -> dict[str, str]:
         PRODUCT_CHANGES)
     q["touch_updated_at"] = A(
         "SELECT id, name, category, quantity, price, supplier_id, "
-        "CASE WHEN changed_ THEN TIMESTAMP '1998-06-01 00:00:00' END AS updated_at, "
-        "CASE WHEN ins_ THEN TIMESTAMP '1998-06-01 00:00:00' END AS created_at FROM new_products",
+        "CASE WHEN changed_ THEN TIMESTAMP '1998-06-01 00:00:00' ELSE updated_at END AS updated_at, "
+        "CASE WHEN ins_ THEN TIMESTAMP '1998-06-01 00:00:00' ELSE created_at END AS created_at FROM new_products",
         PRODUCT_CHANGES)
     q["apply_employee_changes"] = A("SELECT * FROM new_employees", EMPLOYEE_CHANGES)
     q["employee_change_outcomes"] = A(
@@ -208,8 +215,16 @@ def build() -> dict[str, str]:
         "AS message FROM (SELECT request_id, op, new_id AS id, status FROM enew "
         "UNION ALL SELECT request_id, op, CAST(NULL AS BIGINT), status FROM eins2 WHERE status <> 'INSERTED' "
         "UNION ALL SELECT request_id, op, id, status FROM eres "
-        "UNION ALL SELECT request_id, op, id, 'NO_MATCH' FROM ereq WHERE op IN ('UPDATE', 'DELETE') AND id IS NULL)",
+        "UNION ALL SELECT request_id, op, id, 'NO_MATCH' FROM ereq WHERE op IN ('UPDATE', 'DELETE') AND id IS NULL "
+        "UNION ALL SELECT request_id, op, id, 'ERROR' FROM ereq "
+        "WHERE COALESCE(op, '') NOT IN ('INSERT', 'UPDATE', 'DELETE'))",
         EMPLOYEE_CHANGES)
+    q["request_outcomes_complete"] = A(
+        "SELECT 'product' AS feed, (SELECT COUNT(*) FROM f_product_changes) AS requests, "
+        "(SELECT COUNT(*) FROM f_product_changes) AS outcomes, "
+        "(SELECT COUNT(DISTINCT request_id) FROM f_product_changes) AS answered "
+        "UNION ALL SELECT 'employee', (SELECT COUNT(*) FROM f_employee_changes), "
+        "(SELECT COUNT(*) FROM f_employee_changes), (SELECT COUNT(DISTINCT request_id) FROM f_employee_changes)")
     q["validate_products"] = A(
         "SELECT 'products' AS table_name, 'unique_id' AS rule, CAST(id AS VARCHAR) AS row_key, "
         "CAST(n AS VARCHAR) || ' rows' AS detail FROM (SELECT id, COUNT(*) AS n FROM f_products GROUP BY id) WHERE n > 1 "
@@ -262,13 +277,13 @@ def build() -> dict[str, str]:
         f"SELECT request_id, op, id, {trim.format('name')} AS name, {trim.format('category')} AS category, "
         f"quantity, price, {trim.format('supplier')} AS supplier, "
         f"{trim.format('supplier_contact')} AS supplier_contact FROM f_product_changes) t, "
-        "LATERAL (SELECT op NOT IN ('INSERT', 'UPDATE') OR (COALESCE(name <> '', false) AND "
+        "LATERAL (SELECT COALESCE(op, '') NOT IN ('INSERT', 'UPDATE') OR (COALESCE(name <> '', false) AND "
         "COALESCE(category <> '', false) AND quantity IS NOT NULL AND price IS NOT NULL AND "
         "COALESCE(supplier <> '', false)) AS ok)")
     q["validate_employee_requests"] = A(
         "SELECT *, CASE WHEN NOT ok THEN 'Please fill all required fields' END AS reason FROM ("
         f"SELECT request_id, op, id, {trim.format('name')} AS name, {trim.format('username')} AS username, role "
-        "FROM f_employee_changes) t, LATERAL (SELECT op NOT IN ('INSERT', 'UPDATE') OR "
+        "FROM f_employee_changes) t, LATERAL (SELECT COALESCE(op, '') NOT IN ('INSERT', 'UPDATE') OR "
         "(COALESCE(name <> '', false) AND COALESCE(username <> '', false)) AS ok)")
     q["validate_sale_requests"] = A(
         "SELECT *, CASE WHEN NOT ok THEN 'Please select a product and valid quantity' END AS reason FROM ("
@@ -278,10 +293,10 @@ def build() -> dict[str, str]:
     q["apply_sale_requests_split_hot"] = q["apply_sale_requests"]
     q["stock_after_sales"] = A(
         "SELECT p.id, p.name, p.category, CAST(p.quantity - COALESCE(s.sold, 0) AS INT) AS quantity, p.price, "
-        "p.supplier_id FROM f_products p LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM sale_results "
+        "p.supplier_id, p.created_at, p.updated_at FROM f_products p LEFT JOIN (SELECT product_id, SUM(quantity) AS sold FROM sale_results "
         "WHERE status = 'ACCEPTED' GROUP BY product_id) s ON p.id = s.product_id", SALE_FOLD, recursive=True)
     q["new_sales_rows"] = A(
-        "SELECT CAST((SELECT MAX(id) FROM f_sales) + ROW_NUMBER() OVER (ORDER BY request_id) AS BIGINT) AS id, "
+        "SELECT CAST((SELECT MAX(id) FROM f_sales) + ROW_NUMBER() OVER (ORDER BY ts, request_id) AS BIGINT) AS id, "
         "product_id, product_name, category, unit_price, quantity, total_amount, sale_date, ts AS sale_timestamp, "
         "cashier_id FROM sale_results WHERE status = 'ACCEPTED'", SALE_FOLD, recursive=True)
     return q

@@ -103,10 +103,5 @@ REPORTS: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    out = dict(REPORTS)
-    try:
-        from stockroom.plans.registry_jobs import JOBS
-        out.update(JOBS)
-    except ImportError:  # pragma: no cover - jobs not built yet
-        pass
-    return out
+    from stockroom.plans.registry_jobs import JOBS      # imports this module's helpers
+    return {**REPORTS, **JOBS}

@@ -33,7 +33,20 @@ def _sale_results(t: RetailTables) -> DataFrame:
     return S.apply_sale_requests(t.products, t.sale_requests)
 
 
+def _outcome_counts(t: RetailTables) -> DataFrame:
+    """Requests, outcome rows and answered request ids of both change feeds."""
+    def counts(feed: str, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+        asked = requests.agg(F.count(F.lit(1)).alias("requests"))
+        got = outcomes.agg(F.count(F.lit(1)).alias("outcomes"),
+                           F.count_distinct("request_id").alias("answered"))
+        return asked.join(got).select(F.lit(feed).alias("feed"), "requests", "outcomes", "answered")
+
+    return (counts("product", t.product_changes, _product_changes(t).outcomes)
+            .unionByName(counts("employee", t.employee_changes, _employee_changes(t).outcomes)))
+
+
 JOBS: dict[str, Query] = {
+    "request_outcomes_complete": _q(_outcome_counts),
     "upsert_suppliers": _q(lambda t: C.upsert_suppliers(t.suppliers, t.product_changes)),
     "apply_product_changes": _q(lambda t: _product_changes(t).table),
     "product_change_outcomes": _q(lambda t: _product_changes(t).outcomes),

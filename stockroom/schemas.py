@@ -10,7 +10,7 @@ MONEY = DecimalType(10, 2)          # DECIMAL(10,2) column type of the tables
 MONEY_SUM = DecimalType(38, 2)      # type of every money SUM we report
 LINE_VALUE = DecimalType(20, 2)     # quantity × price of one row (INT × DECIMAL(10,2) fits)
 
-EMPLOYEES = StructType([
+EMPLOYEES_CORE = StructType([
     StructField("id", LongType(), False),
     StructField("name", StringType(), False),
     StructField("username", StringType(), False),
@@ -18,13 +18,13 @@ EMPLOYEES = StructType([
     StructField("must_change_password", BooleanType(), False),
 ])
 
-SUPPLIERS = StructType([
+SUPPLIERS_CORE = StructType([
     StructField("id", LongType(), False),
     StructField("name", StringType(), False),
     StructField("contact_email", StringType(), True),
 ])
 
-PRODUCTS = StructType([
+PRODUCTS_CORE = StructType([
     StructField("id", LongType(), False),
     StructField("name", StringType(), False),
     StructField("category", StringType(), False),
@@ -33,6 +33,14 @@ PRODUCTS = StructType([
     StructField("supplier_id", LongType(), True),
 ])
 
+# The stored tables also keep time stamps and contact details.
+CREATED = StructField("created_at", TimestampNTZType(), True)
+UPDATED = StructField("updated_at", TimestampNTZType(), True)
+EMPLOYEES = StructType([*EMPLOYEES_CORE.fields, CREATED, UPDATED])
+SUPPLIERS = StructType([*SUPPLIERS_CORE.fields, StructField("phone", StringType(), True),
+                        StructField("address", StringType(), True), CREATED])
+PRODUCTS = StructType([*PRODUCTS_CORE.fields, CREATED, UPDATED])
+
 SALES = StructType([
     StructField("id", LongType(), False),
     StructField("product_id", LongType(), True),
@@ -59,7 +67,7 @@ SALE_REQUESTS = StructType([
 
 PRODUCT_CHANGES = StructType([
     StructField("request_id", LongType(), False),
-    StructField("op", StringType(), False),
+    StructField("op", StringType(), True),
     StructField("id", LongType(), True),
     StructField("name", StringType(), True),
     StructField("category", StringType(), True),
@@ -71,7 +79,7 @@ PRODUCT_CHANGES = StructType([
 
 EMPLOYEE_CHANGES = StructType([
     StructField("request_id", LongType(), False),
-    StructField("op", StringType(), False),
+    StructField("op", StringType(), True),
     StructField("id", LongType(), True),
     StructField("name", StringType(), True),
     StructField("username", StringType(), True),
@@ -82,7 +90,8 @@ EMPLOYEE_CHANGES = StructType([
 ROLES = ("owner", "admin", "cashier")
 DEFAULT_ROLE = "cashier"
 LOW_STOCK_LIMIT = 10
-NAME_MAX = {"employees": 100, "suppliers": 100, "products": 150}
+NAME_MAX = {"employees": 100, "suppliers": 100, "products": 150, "sales": 150}
 CATEGORY_MAX = 80
 USERNAME_MAX = 50
-MONEY_MAX = "99999999.99"
+EMAIL_MAX = 100
+PHONE_MAX = 30

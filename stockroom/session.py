@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files go once nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Streaming state (one stock figure per product) kept in RocksDB, off-heap,
     # so millions of keys do not sit on the executor heap.
     "spark.sql.streaming.stateStore.providerClass":
@@ -47,12 +49,22 @@ CLUSTER_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def session_conf(master: str, shuffle_partitions: int | None = None, extra: dict | None = None) -> dict:
+    """Settings of a session: a cluster gets CLUSTER_CONF, a local master few partitions."""
+    conf = dict(DEFAULT_CONF)
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    else:
+        conf.update(CLUSTER_CONF)
+        if shuffle_partitions:
+            conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    return {**conf, **(extra or {})}
+
+
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "stockroom", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+    conf = session_conf(master, shuffle_partitions, extra)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -85,14 +97,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stockroom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (used only by tests that inspect files)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-__all__ = ["build_session", "ensure_checkpoint_dir", "checkpoint_dir", "scratch_path",
-           "local_path", "default_partitions", "DEFAULT_CONF"]
+__all__ = ["build_session", "session_conf", "ensure_checkpoint_dir", "checkpoint_dir", "scratch_path",
+           "DEFAULT_CONF", "CLUSTER_CONF"]

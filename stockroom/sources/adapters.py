@@ -29,12 +29,20 @@ def read_star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stamp(minutes: str) -> F.Column:
+    """A zone-less time stamp so many minutes after the start of 1990."""
+    return F.expr(f"timestampadd(MINUTE, {minutes}, timestamp_ntz'1990-01-01 00:00:00')")
+
+
 def suppliers_from_star(supplier: DataFrame) -> DataFrame:
     return supplier.select(
         F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("name"),
         F.concat(F.lit("info@"), F.lower(F.replace(F.col("s_name"), F.lit(" "), F.lit(""))),
-                 F.lit(".com")).alias("contact_email"))
+                 F.lit(".com")).alias("contact_email"),
+        F.concat(F.lit("+265 "), F.col("s_suppkey").cast("string")).alias("phone"),
+        F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("address"),
+        stamp("s_suppkey").alias("created_at"))
 
 
 def employees_from_star(customer: DataFrame) -> DataFrame:
@@ -45,7 +53,9 @@ def employees_from_star(customer: DataFrame) -> DataFrame:
         F.when(F.col("c_mktsegment") == "BUILDING", "owner")
          .when(F.col("c_mktsegment") == "MACHINERY", "admin")
          .otherwise("cashier").alias("role"),
-        (F.col("c_acctbal") < 0).alias("must_change_password"))
+        (F.col("c_acctbal") < 0).alias("must_change_password"),
+        stamp("c_custkey").alias("created_at"),
+        stamp("c_custkey * 2").alias("updated_at"))
 
 
 def products_from_star(part: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -60,7 +70,9 @@ def products_from_star(part: DataFrame, lineitem: DataFrame) -> DataFrame:
                 (F.col("p_size") - 1).cast("int").alias("quantity"),
                 F.col("p_retailprice").cast(MONEY).alias("price"),
                 F.when(F.col("p_partkey") % NO_SUPPLIER_EVERY == 0, F.lit(None).cast("bigint"))
-                 .otherwise(F.col("sk")).alias("supplier_id")))
+                 .otherwise(F.col("sk")).alias("supplier_id"),
+                stamp("p_partkey").alias("created_at"),
+                stamp("p_partkey * 2").alias("updated_at")))
 
 
 def _line_id() -> F.Column:
@@ -123,7 +135,9 @@ def product_changes_from_star(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     return part.select(
         k.alias("request_id"),
-        F.when(k % 5 == 0, "DELETE").when(k % 5 == 1, "INSERT").otherwise("UPDATE").alias("op"),
+        # a few requests have an unknown operation or none
+        F.when(k % 37 == 0, F.lit(None).cast("string")).when(k % 41 == 0, "PATCH")
+         .when(k % 5 == 0, "DELETE").when(k % 5 == 1, "INSERT").otherwise("UPDATE").alias("op"),
         F.when(k % 5 == 1, F.lit(None).cast("bigint"))
          .when(k % 19 == 0, F.lit(10000000) + k)
          .otherwise((k * 7) % 251).alias("id"),
@@ -132,6 +146,7 @@ def product_changes_from_star(part: DataFrame) -> DataFrame:
         F.col("p_size").cast("int").alias("quantity"),
         (F.col("p_retailprice") + 1).cast(MONEY).alias("price"),
         F.when(k % 13 == 0, F.lit(""))
+         .when(k % 43 == 0, F.repeat(F.lit("long "), 25))      # does not fit a supplier name
          .otherwise(F.concat(F.lit("New Vendor "), (k % 7).cast("string"))).alias("supplier"),
         F.when(k % 3 == 0, F.lit(""))
          .otherwise(F.concat(F.lit("v"), k.cast("string"), F.lit("@x.com"))).alias("supplier_contact"))
@@ -141,7 +156,8 @@ def employee_changes_from_star(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     return customer.select(
         k.alias("request_id"),
-        F.when(k % 4 == 0, "DELETE").when(k % 4 == 1, "INSERT").otherwise("UPDATE").alias("op"),
+        F.when(k % 37 == 0, F.lit(None).cast("string")).when(k % 41 == 0, "PATCH")
+         .when(k % 4 == 0, "DELETE").when(k % 4 == 1, "INSERT").otherwise("UPDATE").alias("op"),
         F.when(k % 4 == 1, F.lit(None).cast("bigint")).otherwise((k * 3) % 401).alias("id"),
         F.when(k % 29 == 0, F.lit("")).otherwise(F.concat("c_name", F.lit(" v2"))).alias("name"),
         F.when(k % 6 == 1, F.lower("c_name"))

@@ -1,7 +1,8 @@
 """Stored retail tables: Parquet with declared schemas.
 
-``sales`` is written partitioned by ``sale_date`` so that date filters (today's
-sales, daily KPIs) prune whole directories; the other tables are dimensions.
+``sales`` is written clustered by ``sale_date``, so that date filters (today's sales,
+daily KPIs) skip files and row groups, or on request in one directory per date; the
+other tables are dimensions.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ PARTITION_COLUMNS = {"sales": ["sale_date"]}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project/cast a DataFrame onto the declared schema of ``table``."""
-    schema = TABLES[table]
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Project/cast a DataFrame onto the declared schema of ``table``; a nullable
+    column that ``df`` lacks is NULL."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have or not f.nullable else F.lit(None))
+                       .cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

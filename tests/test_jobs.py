@@ -122,7 +122,7 @@ def test_employee_changes(spark, seed):
 
 def test_validate_table(spark, seed):
     bad = seed.products.unionByName(spark.createDataFrame(
-        [(1, "Dup", "X", 1, Decimal("1.00"), 42)], S.PRODUCTS))
+        [(1, "Dup", "X", 1, Decimal("1.00"), 42)], S.PRODUCTS_CORE))
     got = {(r["rule"], r["row_key"]) for r in rows(C.validate_table("products", bad, {"suppliers": seed.suppliers}))}
     assert got == {("unique_id", "1"), ("fk_supplier_id", "1")}
 
@@ -279,9 +279,9 @@ def test_empty_batches(spark, seed):
     res = C.apply_employee_changes(seed.employees, spark.createDataFrame([], S.EMPLOYEE_CHANGES))
     assert res.table.count() == 4
     # inserts into empty tables start at id 1
-    no_products = spark.createDataFrame([], S.PRODUCTS)
+    no_products = spark.createDataFrame([], S.PRODUCTS_CORE)
     ins = spark.createDataFrame([(1, "INSERT", None, "A", "B", 1, Decimal("1.00"), "", "")], S.PRODUCT_CHANGES)
-    res = C.apply_product_changes(no_products, spark.createDataFrame([], S.SUPPLIERS), ins)
+    res = C.apply_product_changes(no_products, spark.createDataFrame([], S.SUPPLIERS_CORE), ins)
     assert [r["id"] for r in res.table.collect()] == [1]
     req = _reqs(spark, [(1, 1)])
     assert [r["status"] for r in SA.apply_sale_requests(no_products, req).collect()] == ["NOT_FOUND"]
@@ -436,7 +436,7 @@ def test_sale_fold_against_brute_force(spark, seed_value):
     rnd = random.Random(seed_value)
     stock = {pid: rnd.choice([0, 1, 5, 40, 300, -2]) for pid in range(1, 6)}
     products = spark.createDataFrame(
-        [(pid, f"p{pid}", "c", s, Decimal("1.50"), None) for pid, s in stock.items()], S.PRODUCTS)
+        [(pid, f"p{pid}", "c", s, Decimal("1.50"), None) for pid, s in stock.items()], S.PRODUCTS_CORE)
     t0 = dt.datetime(2024, 1, 1)
     reqs = [(i, rnd.choice([1, 2, 3, 4, 5, 9]), rnd.choice([None, -1, 0, 1, 2, 3, 5, 8, 13]),
              t0 + dt.timedelta(minutes=rnd.randint(0, 50))) for i in range(1, 401)]

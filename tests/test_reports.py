@@ -77,7 +77,7 @@ def test_suppliers(seed):
 
 
 def test_supplier_null_group(spark, seed):
-    extra = spark.createDataFrame([(7, "Loose Item", "Misc", 1, Decimal("1.00"), None)], S.PRODUCTS)
+    extra = spark.createDataFrame([(7, "Loose Item", "Misc", 1, Decimal("1.00"), None)], S.PRODUCTS_CORE)
     p = seed.products.unionByName(extra)
     assert rows(A.supplier_count(p, seed.suppliers))[0]["supplier_count"] == 5
     info = {r["supplier"]: r["products"] for r in rows(A.supplier_info(p, seed.suppliers))}
@@ -90,7 +90,7 @@ def test_supplier_null_group(spark, seed):
 
 
 def test_idle_supplier_gets_null_list(spark, seed):
-    s = seed.suppliers.unionByName(spark.createDataFrame([(5, "Idle Co", None)], S.SUPPLIERS))
+    s = seed.suppliers.unionByName(spark.createDataFrame([(5, "Idle Co", None)], S.SUPPLIERS_CORE))
     got = {r["supplier"]: r["products"] for r in rows(J.supplier_products(seed.products, s))}
     assert got["Idle Co"] is None
     assert "Idle Co" not in {r["supplier"] for r in rows(J.products_by_supplier(seed.products, s))}
