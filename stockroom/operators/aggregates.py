@@ -196,6 +196,15 @@ def supplier_info(products: DataFrame, suppliers: DataFrame, sep: str = ", ") ->
             .orderBy("_first").drop("_first"))
 
 
+def supplier_info_items(products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """A16, split form: one row per product with its place in its supplier's list."""
+    from stockroom.operators.changes import rank_within_group
+    j = with_supplier(products.select("id", "name", "category", "supplier_id"), suppliers)
+    ranked = rank_within_group(j.withColumnRenamed("supplier_name", "supplier"),
+                               ["supplier"], ["category", "name", "id"])
+    return ranked.select("supplier", "position", "id", F.col("name").alias("product"))
+
+
 def supplier_detail(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Per supplier its contact and the array of its items, in
     (category, name, id) order: ``items: array<struct<name, category, price, quantity>>``."""

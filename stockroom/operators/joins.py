@@ -65,8 +65,29 @@ def products_by_supplier(products: DataFrame, suppliers: DataFrame,
         F.col("name").alias("_pname"), F.col("category").alias("_pcat"))
     s = suppliers.select(F.col("id").alias("_sid"), F.col("name").alias("supplier"))
     return (p.join(s, "_sid")
-            .groupBy("supplier")
-            .agg(_name_list(sep).alias("products")))
+            .groupBy("_sid", "supplier")
+            .agg(_name_list(sep).alias("products")).drop("_sid"))
+
+
+def products_by_supplier_items(products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """J3, split form: one row per product with its place in its supplier's list."""
+    from stockroom.operators.changes import rank_within_group
+    p = products.where(F.col("supplier_id").isNotNull()).select(
+        F.col("supplier_id").alias("_sid"), "id", F.col("name").alias("product"), "category")
+    s = suppliers.select(F.col("id").alias("_sid"), F.col("name").alias("supplier"))
+    ranked = rank_within_group(p.join(s, "_sid"), ["supplier"], ["category", "product", "id"])
+    return ranked.select("supplier", "position", "id", "product")
+
+
+def supplier_products_items(products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """J4, split form: as :func:`products_by_supplier_items`, with one row without a
+    product for an idle supplier."""
+    found = products_by_supplier_items(products, suppliers)
+    used = products.where(F.col("supplier_id").isNotNull()).select(F.col("supplier_id").alias("id")).distinct()
+    idle = suppliers.join(used, "id", "left_anti").select(
+        F.col("name").alias("supplier"), F.lit(1).cast("bigint").alias("position"),
+        F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("product"))
+    return found.unionByName(idle)
 
 
 def supplier_products(products: DataFrame, suppliers: DataFrame,
@@ -82,4 +103,5 @@ def supplier_products(products: DataFrame, suppliers: DataFrame,
 
 
 __all__ = ["with_supplier", "inventory_with_supplier", "sales_report",
-           "products_by_supplier", "supplier_products"]
+           "products_by_supplier", "products_by_supplier_items", "supplier_products",
+           "supplier_products_items"]

@@ -250,6 +250,16 @@ def build() -> dict[str, str]:
         f"items_json FROM (SELECT supplier, MIN(\"supplierContact\") AS contact, COUNT(*) AS n_items, "
         f"'[' || string_agg({item}, ',' ORDER BY category, name, id) || ']' AS items_json "
         f"FROM plist GROUP BY supplier)", PLIST)
+    place = "CAST(ROW_NUMBER() OVER (PARTITION BY s.name ORDER BY p.category, p.name, p.id) AS BIGINT) AS position"
+    q["products_by_supplier_items"] = A(
+        f"SELECT s.name AS supplier, {place}, p.id, p.name AS product "
+        "FROM f_products p JOIN f_suppliers s ON p.supplier_id = s.id")
+    q["supplier_products_items"] = A(
+        f"SELECT s.name AS supplier, {place}, p.id, p.name AS product "
+        "FROM f_suppliers s LEFT JOIN f_products p ON p.supplier_id = s.id")
+    q["supplier_info_items"] = A(
+        f"SELECT s.name AS supplier, {place}, p.id, p.name AS product "
+        "FROM f_products p LEFT JOIN f_suppliers s ON p.supplier_id = s.id")
     q["supplier_detail_items"] = A(
         f"SELECT supplier, {_dash('\"supplierContact\"')} AS contact_text, "
         "CAST(ROW_NUMBER() OVER (PARTITION BY supplier ORDER BY category, name, id) AS BIGINT) AS position, "

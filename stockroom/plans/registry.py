@@ -76,6 +76,9 @@ REPORTS: dict[str, Query] = {
     "inventory_with_supplier": _q(lambda t: J.inventory_with_supplier(t.products, t.suppliers)),
     "sales_report": _q(lambda t: J.sales_report(t.sales, t.employees)),
     "products_by_supplier": _q(lambda t: J.products_by_supplier(t.products, t.suppliers)),
+    "products_by_supplier_items": _q(lambda t: J.products_by_supplier_items(t.products, t.suppliers)),
+    "supplier_products_items": _q(lambda t: J.supplier_products_items(t.products, t.suppliers)),
+    "supplier_info_items": _q(lambda t: A.supplier_info_items(t.products, t.suppliers)),
     "supplier_products": _q(lambda t: J.supplier_products(t.products, t.suppliers)),
     # A1–A19
     "revenue_by_category": _q(lambda t: A.revenue_by_category(t.sales)),

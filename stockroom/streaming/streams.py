@@ -81,13 +81,10 @@ def _fold_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
     code = [None] * n
     before = [None] * n
     after = [None] * n
-    pre = pdf["_pre"].tolist()
     qty = pdf["quantity"].tolist()
     s0 = pdf["stock0"].tolist()
     ovf = pdf["overflow"].tolist()
     for i in range(n):
-        if pre[i] is not None and pre[i] == pre[i]:
-            continue
         if stock is None:
             stock = int(s0[i])
         before[i] = stock
@@ -102,16 +99,22 @@ def _fold_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def stream_apply_sales(products: DataFrame, feed: DataFrame) -> DataFrame:
-    """Streaming sale outcomes (same columns as M11)."""
+    """Streaming sale outcomes (same columns as M11).
+
+    Requests that need no stock to decide (invalid quantity, unknown or missing
+    product) stay out of the keyed state: a flood of them is spread over all tasks."""
     prepared = prepare_requests(products, feed).drop("_pid")
     out_schema = StructType(prepared.schema.fields + [
         StructField("_code", IntegerType(), True),
         StructField("stock_before", IntegerType(), True),
         StructField("left", IntegerType(), True)])
-    folded = (prepared.groupBy("product_id")
+    folded = (prepared.where("_pre is null").groupBy("product_id")
               .applyInPandasWithState(_fold_group, out_schema, STATE_SCHEMA, "append",
                                       GroupStateTimeout.NoTimeout))
-    return decorate_outcomes(folded)
+    none = F.lit(None).cast("int")
+    decided = prepared.where("_pre is not null").select(
+        "*", none.alias("_code"), none.alias("stock_before"), none.alias("left"))
+    return decorate_outcomes(folded.unionByName(decided))
 
 
 # --- R2, R3 ---------------------------------------------------------------------
