@@ -136,7 +136,8 @@ def parse_int(text) -> Column:
     sign = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?)0[xX][0-9a-fA-F]", 1)
     from_hex = F.conv(hexa, 16, 10).try_cast("bigint") * F.when(sign == "-", -1).otherwise(1)
     digits = F.regexp_extract(t, f"^{JS_SPACE_CLASS}*([+-]?[0-9]+)", 1)
-    return F.when(hexa != "", from_hex).otherwise(F.nullif(digits, F.lit("")).try_cast("bigint"))
+    bare = F.regexp_like(t, F.lit(f"^{JS_SPACE_CLASS}*[+-]?0[xX]([^0-9a-fA-F]|$)"))       # '0x' alone is NaN
+    return F.when(hexa != "", from_hex).when(~bare | t.isNull(), F.nullif(digits, F.lit("")).try_cast("bigint"))
 
 
 def parse_float(text) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stockroom.functions.exprs import (DUPLICATE_USERNAME_MESSAGE, REQUIRED_FIELDS_MESSAGE,
                                        INVALID_SALE_MESSAGE, default_contact_email,
-                                       falsy_default, js_trim)
+                                       falsy_default, js_trim, parse_float, parse_int)
 from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, EMAIL_MAX, MONEY, NAME_MAX,
                                PHONE_MAX, ROLES, USERNAME_MAX)
 from stockroom.session import ensure_checkpoint_dir
@@ -485,8 +485,13 @@ def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | No
 
 def validate_product_requests(requests: DataFrame) -> DataFrame:
     """M8: trimmed text fields; name, category, quantity, price, supplier required
-    for INSERT/UPDATE."""
+    for INSERT/UPDATE.  Quantity and price as typed (text) are parsed; what is no number
+    counts as missing."""
     t = requests
+    if t.schema["quantity"].dataType.typeName() == "string":
+        t = t.withColumn("quantity", parse_int("quantity").try_cast("int"))
+    if t.schema["price"].dataType.typeName() == "string":
+        t = t.withColumn("price", parse_float("price").try_cast(MONEY))
     for c in ("name", "category", "supplier", "supplier_contact"):
         if c in t.columns:
             t = t.withColumn(c, js_trim(F.col(c)))

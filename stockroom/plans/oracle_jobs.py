@@ -271,6 +271,39 @@ def build() -> dict[str, str]:
         "UNION ALL SELECT 'employees', 'length_name', CAST(id AS VARCHAR), NULL FROM new_employees WHERE length(name) > 100 "
         "UNION ALL SELECT 'employees', 'length_username', CAST(id AS VARCHAR), NULL FROM new_employees "
         "  WHERE length(username) > 50", EMPLOYEE_CHANGES)
+    broken = """
+bp0 AS (
+  SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 20) ELSE name END AS name,
+         CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN repeat(category, 9) ELSE category END AS category,
+         CASE WHEN id % 17 = 0 THEN 3000000000 ELSE CAST(quantity AS BIGINT) END AS quantity,
+         CAST(CASE WHEN id % 23 = 0 THEN CAST(price AS DECIMAL(20,2)) + 200000000 ELSE price END AS DECIMAL(20,2)) AS price,
+         CASE WHEN id % 29 = 0 THEN supplier_id + 1000000 ELSE supplier_id END AS supplier_id
+  FROM f_products),
+bp AS (SELECT * FROM bp0 UNION ALL SELECT * FROM bp0 WHERE id % 19 = 0),
+bs AS (
+  SELECT id, CASE WHEN id % 3 = 0 THEN 'Same Name' WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 9)
+                  ELSE name END AS name,
+         CASE WHEN id % 2 = 0 THEN repeat(contact_email, 9) ELSE contact_email END AS contact_email,
+         CASE WHEN id % 4 = 0 THEN repeat(phone, 9) ELSE phone END AS phone FROM f_suppliers)"""
+    q["validate_broken_products"] = A(
+        "SELECT 'products' AS table_name, rule, CAST(id AS VARCHAR) AS row_key, detail FROM ("
+        "SELECT 'unique_id' AS rule, id, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bp GROUP BY id HAVING COUNT(*) > 1 "
+        "UNION ALL SELECT 'not_null_name', id, NULL FROM bp WHERE name IS NULL "
+        "UNION ALL SELECT 'not_null_category', id, NULL FROM bp WHERE category IS NULL "
+        "UNION ALL SELECT 'length_name', id, NULL FROM bp WHERE length(name) > 150 "
+        "UNION ALL SELECT 'length_category', id, NULL FROM bp WHERE length(category) > 80 "
+        "UNION ALL SELECT 'range_quantity', id, CAST(quantity AS VARCHAR) FROM bp WHERE quantity > 2147483647 "
+        "UNION ALL SELECT 'range_price', id, CAST(price AS VARCHAR) FROM bp WHERE price > 99999999.99 "
+        "UNION ALL SELECT 'fk_supplier_id', id, CAST(supplier_id AS VARCHAR) FROM bp WHERE supplier_id IS NOT NULL "
+        "  AND supplier_id NOT IN (SELECT id FROM f_suppliers))", broken)
+    q["validate_broken_suppliers"] = A(
+        "SELECT 'suppliers' AS table_name, rule, row_key, detail FROM ("
+        "SELECT 'unique_name' AS rule, name AS row_key, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bs "
+        "WHERE name IS NOT NULL GROUP BY name HAVING COUNT(*) > 1 "
+        "UNION ALL SELECT 'not_null_name', CAST(id AS VARCHAR), NULL FROM bs WHERE name IS NULL "
+        "UNION ALL SELECT 'length_name', CAST(id AS VARCHAR), NULL FROM bs WHERE length(name) > 100 "
+        "UNION ALL SELECT 'length_contact_email', CAST(id AS VARCHAR), NULL FROM bs WHERE length(contact_email) > 100 "
+        "UNION ALL SELECT 'length_phone', CAST(id AS VARCHAR), NULL FROM bs WHERE length(phone) > 30)", broken)
     trim = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
     q["validate_product_requests"] = A(
         "SELECT *, CASE WHEN NOT ok THEN 'Please fill all required fields' END AS reason FROM ("
@@ -280,6 +313,11 @@ def build() -> dict[str, str]:
         "LATERAL (SELECT COALESCE(op, '') NOT IN ('INSERT', 'UPDATE') OR (COALESCE(name <> '', false) AND "
         "COALESCE(category <> '', false) AND quantity IS NOT NULL AND price IS NOT NULL AND "
         "COALESCE(supplier <> '', false)) AS ok)")
+    # the typed form's numbers are the feed's own again, or missing where no number was typed
+    q["validate_typed_product_requests"] = q["validate_product_requests"].replace(
+        "quantity, price, regexp_replace(supplier,",
+        "CASE WHEN request_id % 6 = 0 OR request_id % 8 = 0 THEN NULL ELSE quantity END AS quantity, "
+        "CASE WHEN request_id % 9 = 0 THEN NULL ELSE price END AS price, regexp_replace(supplier,")
     q["validate_employee_requests"] = A(
         "SELECT *, CASE WHEN NOT ok THEN 'Please fill all required fields' END AS reason FROM ("
         f"SELECT request_id, op, id, {trim.format('name')} AS name, {trim.format('username')} AS username, role "

@@ -13,7 +13,8 @@ from stockroom.operators.listings import product_list
 from stockroom.plans.console import adhoc_sql, result_meta
 from stockroom.plans.registry import Query, _q
 from stockroom.session import scratch_path
-from stockroom.sources.adapters import RetailTables, load_retail_from_star
+from stockroom.sources.adapters import (RetailTables, broken_products, broken_suppliers,
+                                        load_retail_from_star, typed_product_changes)
 from stockroom.sources.catalog import register_views
 from stockroom.sources.sinks import read_report, write_report
 from stockroom.streaming import streams as R
@@ -61,6 +62,12 @@ JOBS: dict[str, Query] = {
     "employee_change_outcomes": _q(lambda t: _employee_changes(t).outcomes),
     "validate_products": _q(lambda t: C.validate_table(
         "products", t.products, {"suppliers": t.suppliers})),
+    # rows that break every rule, derived from the whole tables
+    "validate_broken_products": _q(lambda t: C.validate_table(
+        "products", broken_products(t.products), {"suppliers": t.suppliers})),
+    "validate_broken_suppliers": _q(lambda t: C.validate_table("suppliers", broken_suppliers(t.suppliers))),
+    "validate_typed_product_requests": _q(lambda t: C.validate_product_requests(
+        typed_product_changes(t.product_changes))),
     # sales checked against the tables after the change batches, without the
     # cascade: rows of deleted products and cashiers are reported as orphans
     "validate_sales_after_changes": _q(lambda t: C.validate_table(

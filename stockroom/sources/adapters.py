@@ -166,6 +166,38 @@ def employee_changes_from_star(customer: DataFrame) -> DataFrame:
         F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("admin")).alias("role"))
 
 
+def broken_products(products: DataFrame) -> DataFrame:
+    """The products with violations of every rule on some rows, in columns wide enough
+    to hold them; every 19th row is there twice."""
+    k = F.col("id")
+    rows = products.select(
+        "id", F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.repeat("name", F.lit(20))).otherwise(F.col("name")).alias("name"),
+        F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.repeat("category", F.lit(9))).otherwise(F.col("category")).alias("category"),
+        F.when(k % 17 == 0, F.lit(3000000000)).otherwise(F.col("quantity").cast("bigint")).alias("quantity"),
+        F.when(k % 23 == 0, F.col("price").cast("decimal(20,2)") + F.lit(200000000).cast("decimal(20,2)"))
+         .otherwise(F.col("price").cast("decimal(20,2)")).cast("decimal(20,2)").alias("price"),
+        F.when(k % 29 == 0, F.col("supplier_id") + 1000000).otherwise(F.col("supplier_id")).alias("supplier_id"))
+    return rows.unionByName(rows.where(k % 19 == 0))
+
+
+def broken_suppliers(suppliers: DataFrame) -> DataFrame:
+    """The suppliers with violations of every rule on some rows."""
+    k = F.col("id")
+    return suppliers.select(
+        "id", F.when(k % 3 == 0, F.lit("Same Name")).when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.repeat("name", F.lit(9)))
+        .otherwise(F.col("name")).alias("name"),
+        F.when(k % 2 == 0, F.repeat("contact_email", F.lit(9))).otherwise(F.col("contact_email")).alias("contact_email"),
+        F.when(k % 4 == 0, F.repeat("phone", F.lit(9))).otherwise(F.col("phone")).alias("phone"), "address", "created_at")
+
+
+def typed_product_changes(requests: DataFrame) -> DataFrame:
+    """Product requests as typed into a form: quantity and price are text, some no numbers."""
+    k = F.col("request_id")
+    return requests.withColumn("quantity", F.when(k % 6 == 0, F.lit("many")).when(k % 8 == 0, F.lit("0x"))
+                               .otherwise(F.concat(F.lit(" "), F.col("quantity").cast("string"), F.lit(" pcs")))) \
+        .withColumn("price", F.when(k % 9 == 0, F.lit("MK 5")).otherwise(F.concat(F.col("price").cast("string"), F.lit("/-"))))
+
+
 @dataclass
 class RetailTables:
     """The four retail tables (plus request feeds) as DataFrames."""

@@ -155,7 +155,9 @@ def test_badge_equals_low_plus_out(seed):
 
 def test_js_number_parsing(spark):
     df = spark.createDataFrame([(" 0x1A", "-Infinity"), ("-0x10z", " .5e1abc"), ("abc", "+Infinityx"),
-                                ("  -12.9", "1e"), (None, None)], "i string, f string")
+                                ("  -12.9", "1e"), (None, None), ("0x", "."), ("-0Xg", "e5"), ("0", "0x5")],
+                               "i string, f string")
     got = [(r["pi"], r["pf"]) for r in df.select(X.parse_int("i").alias("pi"),
                                                   X.parse_float("f").alias("pf")).collect()]
-    assert got == [(26, float("-inf")), (-16, 5.0), (None, float("inf")), (-12, 1.0), (None, None)]
+    assert got == [(26, float("-inf")), (-16, 5.0), (None, float("inf")), (-12, 1.0), (None, None),
+                   (None, None), (None, None), (0, 0.0)]
