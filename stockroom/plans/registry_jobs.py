@@ -37,10 +37,11 @@ def _sale_results(t: RetailTables) -> DataFrame:
 def _outcome_counts(t: RetailTables) -> DataFrame:
     """Requests, outcome rows and answered request ids of both change feeds."""
     def counts(feed: str, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
-        asked = requests.agg(F.count(F.lit(1)).alias("requests"))
-        got = outcomes.agg(F.count(F.lit(1)).alias("outcomes"),
-                           F.count_distinct("request_id").alias("answered"))
-        return asked.join(got).select(F.lit(feed).alias("feed"), "requests", "outcomes", "answered")
+        asked = requests.select(F.lit(1).alias("asked"), F.lit(0).alias("got"), F.lit(None).cast("bigint").alias("id"))
+        got = outcomes.select(F.lit(0), F.lit(1), "request_id")
+        return asked.union(got).agg(
+            F.lit(feed).alias("feed"), F.sum("asked").alias("requests"), F.sum("got").alias("outcomes"),
+            F.count_distinct("id").alias("answered"))
 
     return (counts("product", t.product_changes, _product_changes(t).outcomes)
             .unionByName(counts("employee", t.employee_changes, _employee_changes(t).outcomes)))
