@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stockroom.llm.common import drop_clashes, key_bucket, rank_in_group
 
@@ -39,10 +40,9 @@ def target_parts(docs: DataFrame, source: str, parts: int) -> DataFrame:
     """(source, parts): shares by the square root of the sources' row counts."""
     counts = (docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_source"))
               .agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("_root")))
-    total = counts.agg(F.sum("_root").alias("_total"))
-    return counts.join(F.broadcast(total)).select(         # one row
-        "_source", F.greatest(F.lit(1), F.round(F.lit(parts) * F.col("_root") / F.col("_total"))
-                              .cast("int")).alias("_parts"))
+    total = F.sum("_root").over(Window.partitionBy())              # one row per source
+    return counts.select("_source", F.greatest(F.lit(1), F.round(
+        F.lit(parts) * F.col("_root") / total).cast("int")).alias("_parts"))
 
 
 def period(targets: DataFrame) -> DataFrame:
