@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockroom.llm.common import SPACE, drop_clashes, let, words
+from stockroom.llm.common import SPACE, drop_clashes, few, let, words
 from stockroom.session import ensure_checkpoint_dir
 
 MIN_WORDS = 50
 RISK = 0.02
 DELTA = 0.1
+BROADCAST_STRATA = 100_000
 # Rule -> (measure in whole units per 1000 words or per 100 word characters, the
 # cutoffs from lenient to strict).  A document is rejected above the cutoff.
 RULES = {
@@ -158,13 +159,15 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id
 def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang",
                  rules: dict = RULES) -> DataFrame:
     """``kept``: false if the base rules or a certified cutoff reject the row."""
+    ensure_checkpoint_dir(measured.sparkSession)
     per_stratum = cutoffs.groupBy("stratum").agg(*[
         F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in rules])
     over = reduce(lambda a, b: a | b, [F.coalesce(F.expr(m) > F.col(f"_{r}"), F.lit(False))
                                        for r, (m, _) in rules.items()])
-    # one row per stratum that has a certified cutoff; left to Spark's own size check
+    # one row per stratum that has a certified cutoff: broadcast up to BROADCAST_STRATA
+    limits, _ = few(per_stratum.withColumnRenamed("stratum", "_stratum").checkpoint(), BROADCAST_STRATA)
     return (measured.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("")))
-            .join(per_stratum.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
+            .join(limits, "_stratum", "left")
             .withColumn("kept", ~F.col("base_failed") & ~F.when(F.col("n_words") > 0, over).otherwise(False))
             .drop("_stratum", *[f"_{r}" for r in rules]))
 
@@ -190,7 +193,58 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Cutoffs come from the narrow measures; the rows themselves are measured in
     the pass that writes them, so texts are never shuffled."""
-    cutoffs = certified_cutoffs(narrow_measures(docs), labels).checkpoint()
+    cutoffs = certified_cutoffs(narrow_measures(docs), labels)
     named = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(F.struct(*named).alias("_row"), F.col("text"), F.col("lang"))
     return with_verdict(with_measures(whole), cutoffs).where("kept").select("_row.*")
+
+
+# The same measures by unnesting, the same tests with the log-gamma function.
+_VALUES = " UNION ALL ".join(
+    f"SELECT doc_id, stratum, '{r}' AS rule, {m.replace(' div ', ' // ')} AS value FROM able" for r, (m, _) in RULES.items())
+_CUTOFFS = ", ".join(f"('{r}', {i}, {c})" for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts))
+SQL = f"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+grams AS (
+  SELECT doc_id, unnest(range(0, len(w) - 2)) AS p, unnest(list_transform(range(1, len(w) - 1),
+         lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM split WHERE len(w) >= 3),
+often AS (SELECT doc_id, p FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM often, range(0, 3) t(k) GROUP BY doc_id),
+measures AS (
+  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM split LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures),
+able AS (SELECT * FROM judged WHERE NOT base_failed),
+vals AS ({_VALUES}),
+cutoffs(rule, step, cutoff) AS (VALUES {_CUTOFFS}),
+said AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL
+         GROUP BY doc_id HAVING min(quality) = max(quality)),
+counts AS (
+  SELECT stratum, rule, step, cutoff, sum((quality = 1)::INT)::BIGINT AS n_good,
+         sum((quality = 1 AND value > cutoff)::INT)::BIGINT AS good,
+         sum((quality = 0 AND value > cutoff)::INT)::BIGINT AS bad
+  FROM vals JOIN said USING (doc_id) JOIN cutoffs USING (rule) GROUP BY ALL),
+tests AS (
+  SELECT *, good < n_good * {RISK} AND list_sum(list_transform(range(0, good + 1), lambda i:
+           exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
+               + i * ln({RISK}) + (n_good - i) * ln(1 - {RISK}))))
+         <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM counts) * {len(RULES)}) AS passed
+  FROM (SELECT * FROM counts WHERE n_good > 0)),
+best AS (
+  SELECT stratum, rule, cutoff FROM (
+    SELECT *, min(passed::INT) OVER (PARTITION BY stratum, rule ORDER BY step) AS certified FROM tests)
+  WHERE certified = 1 AND bad > good
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - good DESC, step) = 1),
+rejected AS (SELECT DISTINCT doc_id FROM vals JOIN best USING (stratum, rule) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged
+"""
