@@ -9,7 +9,8 @@ it has fewer words), ASCII lower-cased, as 64-bit hashes.  Two sets link when
    different mixings.  Linked sets share a token in their prefixes under every
    order.  The first order's prefixes form an inverted index; a pair that meets
    there must pass the length and position bounds and must share prefix tokens
-   under the other two orders as well, before any set is looked at.
+   under the other two orders as well, before any set is looked at.  Bitmaps of
+   BITMAP bits bound the sets' difference from below and drop near misses.
 3. Round one compares each index list's member of the lowest position with the
    others and joins verified pairs into components.  Round two takes the pairs
    left over: members of one list that are in different components.  So a large
@@ -48,8 +49,9 @@ HEAVY_TOKENS = 1 << 18
 # Ids of the sets to fetch are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 1_000_000
 # Text hashed at a time, in bytes, and tokens counted at a time.
-CHUNK_BYTES = 1 << 21
-CHUNK_TOKENS = 1 << 21
+CHUNK_BYTES = 1 << 19
+CHUNK_TOKENS = 1 << 20
+BITMAP = 1024
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -93,7 +95,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     cut[bounds] = True                              # a word ends where its document does
     starts = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | cut[:-1]))
     ends = np.flatnonzero(word & (np.r_[~word[1:], True] | cut[1:])) + 1
-    size = 1 << max(21, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     up, down = powers(size)
     with np.errstate(over="ignore"):
         total = np.cumsum(value[data] * up[:len(data)])
@@ -208,15 +210,15 @@ def prefix_length(n: int, percent: int) -> int:
 
 def sketches(docs: DataFrame, key: str, width: int, percent: int,
              heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: doc_id, fetch and th (where to find its text), n, digest d1 d2, and its
-    prefixes under the three orders (hashes, the last two cut to 32 bits)."""
+    """Per row: doc_id, fetch and th (where to find its text), n, digest d1 d2, its
+    prefixes under the three orders (hashes, the last two cut to 32 bits) and bitmap."""
     schema = ("doc_id long, fetch long, th long, n long, d1 long, d2 long, "
-              "o1 array<long>, o2 array<int>, o3 array<int>")
+              "o1 array<long>, o2 array<int>, o3 array<int>, bits array<long>")
     sent = docs.sparkSession.sparkContext.broadcast(heavy)      # HEAVY_TOKENS entries at most
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        names = ["doc_id", "fetch", "th", "n", "d1", "d2", "o1", "o2", "o3"]
+        names = ["doc_id", "fetch", "th", "n", "d1", "d2", "o1", "o2", "o3", "bits"]
         for batch in batches:
             for first, sets in shingle_sets(batch.column(3), width):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -237,6 +239,11 @@ def sketches(docs: DataFrame, key: str, width: int, percent: int,
                     tokens = signed(np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]))
                     columns.append(pa.ListArray.from_arrays(
                         pa.array(sizes), pa.array(tokens if k == 0 else tokens.astype(np.int32))))
+                marks = np.zeros((len(sets), BITMAP), dtype=bool)
+                marks[np.repeat(np.arange(len(sets)), n), flat % np.uint64(BITMAP)] = True
+                bits = np.packbits(marks, axis=1).view(np.int64).reshape(-1)
+                columns.append(pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITMAP // 64)), pa.array(bits)))
                 empty = n == 0
                 rows = slice(first, first + len(sets))
                 yield pa.RecordBatch.from_arrays([
@@ -268,13 +275,18 @@ def of_nodes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), "node", "left_semi")
 
 
-def share_other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose prefixes also meet under the second and third order."""
+def share_other_orders(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose prefixes also meet under the second and third order and whose
+    bitmaps differ in no more places than linked sets may have tokens apart."""
     pairs = pairs.checkpoint()
     found = of_nodes(rows, pairs)
-    side = lambda x: found.select(F.col("node").alias(x), F.col("o2").alias(f"{x}2"),
-                                  F.col("o3").alias(f"{x}3"))
+    side = lambda x: found.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"),
+                                  F.col("o2").alias(f"{x}2"), F.col("o3").alias(f"{x}3"),
+                                  F.col("bits").alias(f"{x}_bits"))
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                        F.lit(0), lambda acc, x: acc + x)
     return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(apart * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn")))
             .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
 
 
@@ -284,26 +296,23 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, width
     spark = docs.sparkSession
     pairs = pairs.checkpoint()
     wanted = of_nodes(rows, pairs).select("node", "fetch", "th").checkpoint()
-    ids = wanted.select("fetch", "th")
     few = wanted.count() <= BROADCAST_IDS
-    schema = "fetch long, th long, tokens array<long>"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(2), width):
+            for first, sets in shingle_sets(batch.column(1), width):
                 tokens = signed(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]))
                 sizes = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                rows = slice(first, first + len(sets))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[rows], batch.column(1)[rows],
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(tokens))], ["fetch", "th", "tokens"])
+                    batch.column(0)[first:first + len(sets)],
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(tokens))], ["node", "tokens"])
 
     texts = text_batches(docs.select(fetch_key(F.col(key), F.col("text")).alias("fetch"),
                                      F.xxhash64("text").alias("th"), F.col("text").alias("text")))
-    texts = texts.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), ["fetch", "th"], "left_semi")
+    texts = (texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["fetch", "th"])
+             .groupBy("node").agg(F.first("text").alias("text")))       # a repeated row once
     path = scratch_path(spark, name)
-    (texts.mapInArrow(whole, schema).join(wanted, ["fetch", "th"])
-     .dropDuplicates(["node"]).select("node", "tokens").write.parquet(path))
+    texts.mapInArrow(whole, "node long, tokens array<long>").write.parquet(path)
     found = spark.read.schema("node long, tokens array<long>").parquet(path)
     side = lambda x: found.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -338,7 +347,7 @@ def grouped(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
             .where(may_link("n", "place", "head.n", "head.place", percent))
             .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
             .distinct())
-    links = verified(share_other_orders(star, rows), docs, rows, key, width, percent, "jaccard-star")
+    links = verified(share_other_orders(star, rows, percent), docs, rows, key, width, percent, "jaccard-star")
     joined = components(links)
 
     # round two: members of one list that are still in different components
@@ -352,7 +361,7 @@ def grouped(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
                     & (F.col("a.component") != F.col("b.component"))
                     & may_link("a.n", "a.place", "b.n", "b.place", percent))
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    more = verified(share_other_orders(cross, rows), docs, rows, key, width, percent, "jaccard-cross")
+    more = verified(share_other_orders(cross, rows, percent), docs, rows, key, width, percent, "jaccard-cross")
     parts = components(links.union(more))
 
     labels = (classes.join(parts.withColumnRenamed("component", "root"), "node", "left")
@@ -390,3 +399,26 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", width: int = WIDTH,
 
 def op5_documents(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"), width=3, percent=90)
+
+
+# Every pair that shares a shingle, counted; components by reachability.
+SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM split),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+    AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+lows AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN lows ON doc_id = a
+"""
