@@ -121,6 +121,19 @@ def few(df: DataFrame, most: int) -> tuple[DataFrame, int]:
 LANES = {8: 0x0101010101010101, 16: 0x0001000100010001}
 
 
+def majority(sums: list[Column], n: Column) -> Column:
+    """The SimHash of ``n`` hashes from the sums of their bits in ``len(sums)`` words of
+    lanes, lane k of each bit group shifted by k.  The lanes' top bits must be free."""
+    width = len(sums)
+    mask = F.lit(LANES[width]).cast("long")
+    need = (F.lit((1 << (width - 2)) - 1) - F.floor(n / 2)).cast("long") * mask
+    bits = [F.shiftleft(F.shiftrightunsigned(s + need, width - 2).bitwiseAND(mask), k) for k, s in enumerate(sums)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
 def simhash(hashes: Column) -> Column:
     """64-bit SimHash of an array of hashes: each bit is set when more than half of the
     hashes have it.  An element that occurs several times counts as often.
@@ -133,18 +146,7 @@ def simhash(hashes: Column) -> Column:
         zero = F.struct(*[F.lit(0).cast("long").alias(f"l{k}") for k in lanes])
         sums = F.aggregate(h, zero, lambda acc, x: F.struct(*[
             (acc[f"l{k}"] + F.shiftrightunsigned(x, k).bitwiseAND(mask)).alias(f"l{k}") for k in lanes]))
-        top = 1 << (width - 2)
-        need = (F.lit(top - 1) - F.floor(F.size(h) / 2)).cast("long") * mask
-
-        def majority(s: Column) -> Column:
-            bits = [F.shiftleft(F.shiftrightunsigned(s[f"l{k}"] + need, width - 2).bitwiseAND(mask), k)
-                    for k in lanes]
-            out = bits[0]
-            for b in bits[1:]:
-                out = out.bitwiseOR(b)
-            return out
-
-        return let(sums, majority)
+        return let(sums, lambda s: majority([s[f"l{k}"] for k in lanes], F.size(h)))
 
     def bit_by_bit(h: Column) -> Column:
         return F.aggregate(
