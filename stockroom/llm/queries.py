@@ -57,6 +57,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op6_mix_sources, op7_fuzzy_lines, op8_visible_text, op9_decontaminate, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
+    "op3_quality_rules": quality.SQL,
+    "op5_ngram_jaccard": jaccard.SQL,
     "op6_mix_sources": mixing.SQL,
     "op9_decontaminate": decontam.SQL,
 }
