@@ -291,9 +291,8 @@ def share_other_orders(pairs: DataFrame, rows: DataFrame, percent: int) -> DataF
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, width: int,
-             percent: int, name: str) -> DataFrame:
+             percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the exact overlap of their whole sets."""
-    spark = docs.sparkSession
     pairs = pairs.checkpoint()
     wanted = of_nodes(rows, pairs).select("node", "fetch", "th").checkpoint()
     few = wanted.count() <= BROADCAST_IDS
@@ -309,11 +308,10 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, width
 
     texts = text_batches(docs.select(fetch_key(F.col(key), F.col("text")).alias("fetch"),
                                      F.xxhash64("text").alias("th"), F.col("text").alias("text")))
-    texts = (texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["fetch", "th"])
-             .groupBy("node").agg(F.first("text").alias("text")))       # a repeated row once
-    path = scratch_path(spark, name)
-    texts.mapInArrow(whole, "node long, tokens array<long>").write.parquet(path)
-    found = spark.read.schema("node long, tokens array<long>").parquet(path)
+    texts = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["fetch", "th"])
+    # a repeated row's set once; both sides of the pairs below read the same exchange
+    found = (texts.select("node", "text").mapInArrow(whole, "node long, tokens array<long>")
+             .groupBy("node").agg(F.first("tokens").alias("tokens")))
     side = lambda x: found.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
@@ -347,7 +345,7 @@ def grouped(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
             .where(may_link("n", "place", "head.n", "head.place", percent))
             .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
             .distinct())
-    links = verified(share_other_orders(star, rows, percent), docs, rows, key, width, percent, "jaccard-star")
+    links = verified(share_other_orders(star, rows, percent), docs, rows, key, width, percent)
     joined = components(links)
 
     # round two: members of one list that are still in different components
@@ -361,7 +359,7 @@ def grouped(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
                     & (F.col("a.component") != F.col("b.component"))
                     & may_link("a.n", "a.place", "b.n", "b.place", percent))
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    more = verified(share_other_orders(cross, rows, percent), docs, rows, key, width, percent, "jaccard-cross")
+    more = verified(share_other_orders(cross, rows, percent), docs, rows, key, width, percent)
     parts = components(links.union(more))
 
     labels = (classes.join(parts.withColumnRenamed("component", "root"), "node", "left")
