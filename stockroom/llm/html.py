@@ -3,8 +3,9 @@
 A page is read into a tree with the tags HTML implies (an open paragraph ends at the
 next block, a list item at the next item, a cell at the next cell, rows outside a row
 get one, head and body part by content).  The tree is rendered as a browser would
-show its text: what is hidden stays out (scripts, styles, templates, ``hidden``,
-``display: none``, ``visibility: hidden``, closed dialogs), white space collapses
+show its text: what is hidden stays out (scripts, styles, templates, the attribute
+``hidden``, ``display: none`` and inherited ``visibility: hidden`` of the style
+attribute, closed dialogs), white space collapses
 except in preformatted text, paragraphs, headings, lists and tables stand apart by
 blank lines, other blocks by line breaks, list items get bullets or their numbers
 with nested indents, and table cells line up in columns.
@@ -63,19 +64,37 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*
 _COMMENT = re.compile(r"<!--(?:>|->|(?s:.*?)(?:--!?>|\Z))")
 _OPENS = re.compile(r"<[a-zA-Z/!?]")
 _OTHER = re.compile(r"<[!?/][^>]*>")
-_HIDING = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_NUMBER = re.compile(r"(?:^|\s)(start|value|colspan)\s*=\s*[\"']?\s*(-?\d{1,6})", re.I)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_NUMBER = re.compile(r"\s*(-?\d{1,6})")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:\"[^\"]*\"|'[^']*'|\([^)]*\)|[^;])+")
+_DISPLAY = re.compile(r"(?:(?:block|inline|run-in|flow|flow-root|table|flex|grid|ruby|list-item|contents|none|math|"
+                      r"table-[a-z-]+|ruby-[a-z]+|inline-[a-z]+|-webkit-[a-z-]+|initial|inherit|unset)(?:\s+|$))+")
+_VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False,
+               "inherit": None, "unset": None, "revert": None, "revert-layer": None}
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names and values of a start tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text) if text else ():
+        value = m[2] or ""
+        if value[:1] in ("'", '"') and value[:1] == value[-1:]:
+            value = value[1:-1]
+        out.setdefault(m[1].lower(), unescape(value))
+    return out
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children = tag, attributes(attrs), []
 
     def number(self, name: str, default: int) -> int:
-        return next((int(v) for k, v in _NUMBER.findall(self.attrs) if k.lower() == name), default)
+        m = _NUMBER.match(self.attrs.get(name, ""))
+        return int(m[1]) if m else default
 
 
 # --- tree ---------------------------------------------------------------------
@@ -240,30 +259,60 @@ class Page:
         return "\n".join(self.lines)
 
 
+def styles(node: Node) -> tuple[str, str]:
+    """The valid display and visibility of a style attribute; the last or important one counts."""
+    found = {"display": "", "visibility": ""}
+    important = set()
+    for part in _DECLARATION.findall(_CSS_COMMENT.sub(" ", node.attrs["style"])):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        strong = value.endswith("important") and value[:-9].rstrip().endswith("!")
+        if strong:
+            value = value[:-9].rstrip()[:-1].rstrip()
+        reset = value in ("revert", "revert-layer")
+        valid = reset or (_DISPLAY.fullmatch(value) if name == "display" else value in _VISIBILITY)
+        if name in found and valid and (strong or name not in important):
+            found[name] = "" if reset else value
+            important |= {name} if strong else set()
+    return found["display"], found["visibility"]
+
+
 def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    """Whether an element and all below it are not displayed."""
+    attrs = node.attrs
+    if node.tag in UNSEEN or attrs.get("hidden", "").lower() == "until-found":
         return True
-    return bool(node.attrs) and bool(_HIDING.search(node.attrs)) or (
-        node.tag == "dialog" and not re.search(r"(?:^|\s)open(?=[\s=/]|$)", node.attrs, re.I))
+    display = styles(node)[0] if "style" in attrs else ""
+    if display:
+        return display == "none"
+    return "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs)
 
 
-def render(node: Node, page: Page, pre: bool = False, depth: int = 0) -> None:
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is visible: its own visibility or the inherited one."""
+    own = _VISIBILITY.get(styles(node)[1]) if "style" in node.attrs else None
+    return inherited if own is None else own
+
+
+def render(node: Node, page: Page, pre: bool = False, depth: int = 0, shown: bool = True) -> None:
     number = node.number("start", 1) if node.tag == "ol" else 0
     for child in node.children:
         if isinstance(child, str):
-            page.raw(child.replace("\r\n", "\n")) if pre else page.words(child)
+            if shown:
+                page.raw(child.replace("\r\n", "\n")) if pre else page.words(child)
             continue
         tag = child.tag
         if hidden(child):
             continue
+        seen = visible(child, shown)
         if tag == "br":
-            if not page.line:
+            if not page.line and shown:
                 page.gap += 1
             page.end_line(1)
             continue
         if tag == "table":
             page.end_line(2)
-            for line in table_lines(child):
+            for line in table_lines(child, seen, shown):
                 page.put(line)
                 page.end_line()
             page.end_line(2)
@@ -278,46 +327,50 @@ def render(node: Node, page: Page, pre: bool = False, depth: int = 0) -> None:
                 number = child.number("value", number)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            before, page.indent, page.mark = page.indent, page.indent + " " * len(mark), mark
-            render(child, page, pre, depth + 1)
+            before, page.indent, page.mark = page.indent, page.indent + " " * len(mark), mark if seen else ""
+            render(child, page, pre, depth + 1, seen)
             page.end_line()
             page.indent, page.mark = before, ""
         elif tag in ("dd", "blockquote"):
             before, page.indent = page.indent, page.indent + "  "
-            render(child, page, pre, depth)
+            render(child, page, pre, depth, seen)
             page.end_line()
             page.indent = before
         else:
             if tag in ("pre", "xmp", "textarea") and child.children and isinstance(child.children[0], str):
                 child.children[0] = child.children[0].removeprefix("\r").removeprefix("\n")
-            render(child, page, pre or tag in ("pre", "xmp", "textarea"), depth)
+            render(child, page, pre or tag in ("pre", "xmp", "textarea"), depth, seen)
         if block:
             page.end_line(gap)
 
 
-def rows_of(node: Node) -> list[Node]:
-    """The visible rows of a table in the order shown: head, bodies, foot; captions first."""
-    parts: dict[str, list[Node]] = {"caption": [], "thead": [], "": [], "tfoot": []}
+def rows_of(node: Node, shown: bool) -> list[tuple[Node, bool]]:
+    """The displayed rows of a table in the order shown, head, bodies, foot, captions first,
+    each with its visibility."""
+    parts: dict[str, list[tuple[Node, bool]]] = {"caption": [], "thead": [], "": [], "tfoot": []}
     for child in node.children:
         if isinstance(child, str) or hidden(child):
             continue
+        seen = visible(child, shown)
         group = parts[child.tag if child.tag in parts else ""]
         if child.tag in ("thead", "tbody", "tfoot"):
-            group += [r for r in child.children if not isinstance(r, str) and not hidden(r)]
+            group += [(r, visible(r, seen)) for r in child.children if not isinstance(r, str) and not hidden(r)]
         else:
-            group.append(child)
+            group.append((child, seen))
     return [r for group in parts.values() for r in group]
 
 
-def table_lines(table: Node) -> list[str]:
-    """The table as lines with aligned columns; other content of a table on lines of its own."""
+def table_lines(table: Node, shown: bool = True, around: bool = True) -> list[str]:
+    """The table as lines with aligned columns; other content of a table on lines of its own.
+
+    Text directly in a table stands before it, with the visibility of what is around."""
     rows: list[list[tuple[list[str], int]] | str] = []
     loose = "".join(c for c in table.children if isinstance(c, str))
-    if loose.strip():
+    if loose.strip() and around:
         rows.append(_BLANKS.sub(" ", loose).strip())
-    for row in rows_of(table):
+    for row, seen in rows_of(table, shown):
         if row.tag != "tr":
-            rows.append(inner_text(row))
+            rows.append(inner_text(row, seen))
             continue
         cells = [c for c in row.children if not isinstance(c, str) and c.tag in ("td", "th") and not hidden(c)]
         extra = [c for c in row.children if (c.strip() if isinstance(c, str) else
@@ -325,8 +378,9 @@ def table_lines(table: Node) -> list[str]:
         if extra:
             other = Node("div")
             other.children = extra
-            rows.append(inner_text(other))
-        rows.append([(inner_text(c).split("\n"), max(1, min(c.number("colspan", 1), 1000))) for c in cells])
+            rows.append(inner_text(other, seen))
+        rows.append([(inner_text(c, visible(c, seen)).split("\n"), max(1, min(c.number("colspan", 1), 1000)))
+                     for c in cells])
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -350,9 +404,9 @@ def table_lines(table: Node) -> list[str]:
     return [x for x in out if x]
 
 
-def inner_text(node: Node) -> str:
+def inner_text(node: Node, shown: bool = True) -> str:
     page = Page()
-    render(node, page, depth=0)
+    render(node, page, depth=0, shown=shown)
     return page.text()
 
 

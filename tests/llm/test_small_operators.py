@@ -237,6 +237,26 @@ def test_visible_text(page):
     assert html.visible_text(page) == PAGES[page]
 
 
+HIDING = {
+    '<p title="The hidden cost">a': "a", '<div class="nav hidden lg:block">a</div>': "a",
+    "<div style='overflow: hidden !important'>a</div>": "a", "<p data-x=' hidden '>a": "a",
+    "<button onclick=\"x.style.cssText='display:none'\">a</button>": "a", "<p aria-hidden=true>a": "a",
+    "<p HIDDEN=''>no</p>a": "a", "<p style='color:red;DISPLAY : None!important;display:block'>no</p>a": "a",
+    "<p style='display:none;display:block'>a": "a", "<p style='background:url(x;display:none)'>a": "a",
+    "<p style='display:none;display:bogus'>no</p>a": "a", "<p style='/* display:none */'>a": "a",
+    "<p hidden style='display:block'>a": "a", "<ol><li title='value=7'>a</ol>": "1. a",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>a</b>no<i>no</i></div>": "a",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>a</table>": "a",
+    "<ul style='visibility:hidden'><li>no<li><span style='visibility:visible'>a</span></ul>": "a",
+    "<dialog title='open'>no</dialog><dialog open>a</dialog>": "a",
+}
+
+
+@pytest.mark.parametrize("page", sorted(HIDING))
+def test_only_what_hides_is_hidden(page):
+    assert html.visible_text(page).strip() == HIDING[page]
+
+
 def test_deep_and_broken_pages():
     assert html.visible_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert html.visible_text("<table><tr><td>" * 400 + "x").strip() == "x"
