@@ -13,15 +13,17 @@ with nested indents, and table cells line up in columns.
 Each page is read by itself in one task; Spark spreads the pages.
 
 Defined results: a null page gives a null text, an empty one an empty text; broken
-markup is read to its end; nesting deeper than MAX_DEPTH is read as siblings; cells
-longer than MAX_ALIGN are whole but widen no column; repeated rows each keep their
-row; an empty table gives an empty table; input columns named like an output column
+markup is read to its end; nesting of any depth is read and rendered by the same
+rules, on a stack of its own; cells longer than MAX_ALIGN are whole but widen no
+column; of SVG the text elements and foreign HTML are shown, of MathML the tokens in
+their order; repeated rows each keep their row; an empty table gives an empty table; input columns named like an output column
 are replaced by it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html import unescape
 
 import pandas as pd
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 
 from stockroom.llm.common import drop_clashes
 
-MAX_DEPTH = 256
 MAX_ALIGN = 120
 
 # Element classes of the HTML standard.
@@ -38,7 +39,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HEAD = set("base link meta title script style template noscript".split())
 UNSEEN = set("head title script style template noscript iframe noembed noframes object audio video "
-             "canvas datalist input img svg math map area col colgroup param source track".split())
+             "canvas datalist input img map area col colgroup param source track".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset "
              "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
              "nav ol optgroup option p pre search section summary table ul xmp".split())
@@ -46,6 +47,16 @@ SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl dir menu pre xmp blockquote table fig
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 LISTS = set("ul ol dir menu".split())
 SCOPE = set("html table td th caption button object template".split())
+# SVG and MathML: what is not drawn, MathML's tokens, where HTML goes on inside, and the
+# HTML tags that end foreign content.
+FOREIGN = {"svg", "math"}
+UNDRAWN = set("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter "
+              "annotation annotation-xml".split())
+TOKENS = set("mi mo mn ms mtext".split())
+HTML_AGAIN = {"foreignobject", "desc", "title", "annotation-xml"} | TOKENS
+ENDS_FOREIGN = HEADINGS | set(
+    "b big blockquote body br center code dd div dl dt em embed head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split())
 # A start tag ends the open elements of the first set, up to one of the second.
 ENDS = {
     "li": ({"li"}, LISTS | SCOPE),
@@ -72,6 +83,7 @@ _DISPLAY = re.compile(r"(?:(?:block|inline|run-in|flow|flow-root|table|flex|grid
                       r"table-[a-z-]+|ruby-[a-z]+|inline-[a-z]+|-webkit-[a-z-]+|initial|inherit|unset)(?:\s+|$))+")
 _VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False,
                "inherit": None, "unset": None, "revert": None, "revert-layer": None}
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$|^[^=]*/\s*$")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -100,60 +112,83 @@ class Node:
 # --- tree ---------------------------------------------------------------------
 
 class Tree:
-    """Open elements of a page under construction."""
+    """Open elements of a page under construction, and the places of each tag among them."""
 
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def nearest(self, tags: set[str]) -> int:
+        """Place of the innermost open element of ``tags``; the root counts as none."""
+        places = self.places
+        return max((places[t][-1] for t in (tags if len(tags) < len(places) else places.keys() & tags)
+                    if places.get(t)), default=0)
+
+    def pop(self) -> None:
+        self.places[self.open.pop().tag].pop()
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.pop()
 
     def close(self, tags: set[str], stop: set[str]) -> bool:
         """Ends the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return True
-            if tag in stop:
-                return False
-        return False
+        at = self.nearest(tags)
+        if not at or self.nearest(stop - tags) > at:
+            return False
+        self.cut(at)
+        return True
 
     def has_open(self, tag: str) -> bool:
-        return any(n.tag == tag for n in self.open)
+        return bool(self.places.get(tag))
+
+    def foreign(self) -> bool:
+        """Whether the open element is SVG's or MathML's own."""
+        return self.nearest(FOREIGN) > self.nearest(HTML_AGAIN)
 
     def text(self, text: str) -> None:
         if self.open[-1].tag == "head" and text.strip():
-            self.open.pop()
+            self.pop()
         self.open[-1].children.append(text)
 
     def start(self, tag: str, attrs: str) -> None:
+        while self.foreign():
+            if tag not in ENDS_FOREIGN:
+                node = Node(tag, attrs)
+                if _CLOSED.search(attrs):
+                    self.open[-1].children.append(node)
+                else:
+                    self.push(node)
+                return
+            self.cut(self.nearest(FOREIGN))
         if tag in ("html", "body"):
             if tag == "body" and self.close({"head"}, set()) or tag == "html":
                 return
         if self.open[-1].tag == "head" and tag not in HEAD:
-            self.open.pop()
+            self.pop()
         if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") and not self.has_open("table"):
             return                                    # parts of no table are ignored
         if tag in ENDS_P:
             self.close({"p"}, SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.pop()
         if tag in ENDS:
             self.close(*ENDS[tag])
         if tag in ("td", "th") and not self.in_row():
             self.push(Node("tr"))
         node = Node(tag, attrs)
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and _CLOSED.search(attrs):
             self.open[-1].children.append(node)
         else:
             self.push(node)
 
     def in_row(self) -> bool:
-        return next((n.tag for n in reversed(self.open) if n.tag in ("tr", "table")), "") == "tr"
+        return self.nearest({"tr"}) > self.nearest({"table"})
 
     def push(self, node: Node) -> None:
-        if len(self.open) >= MAX_DEPTH:
-            self.open.pop()
         self.open[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
 
     def end(self, tag: str) -> None:
@@ -187,13 +222,18 @@ def parse(page: str) -> Node:
             if m[1]:
                 tree.end(tag)
                 continue
+            within = tree.foreign()
             tree.start(tag, m[3])
-            if tag in RAW:
+            if tag in RAW and not (within and (tag not in ("script", "style") or _CLOSED.search(m[3]))):
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 stop = close.start() if close else size
                 body = page[at:stop]
                 tree.text(unescape(body) if tag in ("textarea", "title") else body)
                 at = stop
+        elif page.startswith("<![CDATA[", less) and tree.foreign():
+            stop = page.find("]]>", less)
+            tree.text(page[less + 9:stop if stop >= 0 else size])
+            at = stop + 3 if stop >= 0 else size
         elif m := (_COMMENT.match(page, less) or _OTHER.match(page, less)):
             at = m.end()
         elif _OPENS.match(page, less):
@@ -214,7 +254,7 @@ class Page:
         self.line: list[str] = []
         self.blank = False            # a collapsed blank before the next word
         self.gap = 0                  # empty lines wanted before the next text
-        self.indent = ""
+        self.indent = 0
         self.mark = ""                # a list item's bullet, before its first line
 
     def words(self, text: str) -> None:
@@ -234,7 +274,7 @@ class Page:
                 self.lines += [""] * (self.gap - 1)
             self.gap = 0
             lead, self.mark = self.mark, ""
-            self.line.append((self.indent[:len(self.indent) - len(lead)] + lead) if lead else self.indent)
+            self.line.append(lead.rjust(self.indent) if lead else " " * self.indent)
         self.line.append(text)
 
     def end_line(self, gap: int = 0) -> None:
@@ -294,7 +334,61 @@ def visible(node: Node, inherited: bool) -> bool:
     return inherited if own is None else own
 
 
-def render(node: Node, page: Page, pre: bool = False, depth: int = 0, shown: bool = True) -> None:
+# A step yields the step it waits for and gets its value, so nesting needs no call stack.
+Step = Generator["Step", object, object]
+
+
+def run(step: Step):
+    steps, value = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(value))
+            value = None
+        except StopIteration as done:
+            steps.pop()
+            value = done.value
+    return value
+
+
+def foreign(node: Node, page: Page, shown: bool, drawn: bool = False) -> Step:
+    """The text of SVG (text elements) and MathML (tokens), and the HTML inside them."""
+    chosen = 0
+    for i, child in enumerate(node.children):
+        if isinstance(child, str):
+            if node.tag in TOKENS:                    # blanks at a token's ends don't count
+                child = child if i else child.lstrip()
+                child = child if i < len(node.children) - 1 else child.rstrip()
+            if drawn and shown:
+                page.words(child)
+            continue
+        chosen += 1
+        tag, seen = child.tag, visible(child, shown)
+        if tag in UNDRAWN or hidden(child) or (child.attrs.get("display") or "").strip().lower() == "none" or (
+                node.tag in ("maction", "semantics") and chosen > 1):
+            continue
+        own = _VISIBILITY.get((child.attrs.get("visibility") or "").strip().lower())
+        if own is not None and not ("style" in child.attrs and styles(child)[1]):
+            seen = own
+        if tag == "foreignobject":
+            page.end_line(1)
+            yield render(child, page, shown=seen)
+            page.end_line(1)
+        elif node.tag in TOKENS and tag not in FOREIGN:
+            html = Node(node.tag)
+            html.children = [child]
+            yield render(html, page, shown=shown)
+        elif tag == "mtr":
+            page.end_line(1)
+            yield foreign(child, page, seen)
+            page.end_line(1)
+        else:
+            apart = tag in ("text", "mtd")
+            page.blank |= apart
+            yield foreign(child, page, seen and tag != "mphantom", drawn or tag == "text" or tag in TOKENS)
+            page.blank |= apart
+
+
+def render(node: Node, page: Page, pre: bool = False, depth: int = 0, shown: bool = True) -> Step:
     number = node.number("start", 1) if node.tag == "ol" else 0
     for child in node.children:
         if isinstance(child, str):
@@ -312,11 +406,19 @@ def render(node: Node, page: Page, pre: bool = False, depth: int = 0, shown: boo
             continue
         if tag == "table":
             page.end_line(2)
-            for line in table_lines(child, seen, shown):
+            for line in (yield table_lines(child, seen, shown)):
                 page.put(line)
                 page.end_line()
             page.end_line(2)
             continue
+        if tag in FOREIGN:
+            apart = tag == "math" and child.attrs.get("display", "").lower() == "block"
+            if apart:
+                page.end_line(1)
+            yield foreign(child, page, seen)
+            if apart:
+                page.end_line(1)
+            continue
         block = tag in BLOCKS
         nested = depth and tag in LISTS
         gap = (1 if nested else 2) if tag in SPACED else 1
@@ -327,19 +429,19 @@ def render(node: Node, page: Page, pre: bool = False, depth: int = 0, shown: boo
                 number = child.number("value", number)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            before, page.indent, page.mark = page.indent, page.indent + " " * len(mark), mark if seen else ""
-            render(child, page, pre, depth + 1, seen)
+            before, page.indent, page.mark = page.indent, page.indent + len(mark), mark if seen else ""
+            yield render(child, page, pre, depth + 1, seen)
             page.end_line()
             page.indent, page.mark = before, ""
         elif tag in ("dd", "blockquote"):
-            before, page.indent = page.indent, page.indent + "  "
-            render(child, page, pre, depth, seen)
+            before, page.indent = page.indent, page.indent + 2
+            yield render(child, page, pre, depth, seen)
             page.end_line()
             page.indent = before
         else:
             if tag in ("pre", "xmp", "textarea") and child.children and isinstance(child.children[0], str):
                 child.children[0] = child.children[0].removeprefix("\r").removeprefix("\n")
-            render(child, page, pre or tag in ("pre", "xmp", "textarea"), depth, seen)
+            yield render(child, page, pre or tag in ("pre", "xmp", "textarea"), depth, seen)
         if block:
             page.end_line(gap)
 
@@ -360,17 +462,20 @@ def rows_of(node: Node, shown: bool) -> list[tuple[Node, bool]]:
     return [r for group in parts.values() for r in group]
 
 
-def table_lines(table: Node, shown: bool = True, around: bool = True) -> list[str]:
+def table_lines(table: Node, shown: bool = True, around: bool = True) -> Step:
     """The table as lines with aligned columns; other content of a table on lines of its own.
 
-    Text directly in a table stands before it, with the visibility of what is around."""
+    Text directly in a table or its row groups stands before it, with the visibility of
+    what is around."""
     rows: list[list[tuple[list[str], int]] | str] = []
-    loose = "".join(c for c in table.children if isinstance(c, str))
+    loose = "".join(text for c in table.children for text in (
+        [c] if isinstance(c, str) else c.children if c.tag in ("thead", "tbody", "tfoot") else [])
+        if isinstance(text, str))
     if loose.strip() and around:
         rows.append(_BLANKS.sub(" ", loose).strip())
     for row, seen in rows_of(table, shown):
         if row.tag != "tr":
-            rows.append(inner_text(row, seen))
+            rows.append((yield inner_text(row, seen)))
             continue
         cells = [c for c in row.children if not isinstance(c, str) and c.tag in ("td", "th") and not hidden(c)]
         extra = [c for c in row.children if (c.strip() if isinstance(c, str) else
@@ -378,9 +483,12 @@ def table_lines(table: Node, shown: bool = True, around: bool = True) -> list[st
         if extra:
             other = Node("div")
             other.children = extra
-            rows.append(inner_text(other, seen))
-        rows.append([(inner_text(c, visible(c, seen)).split("\n"), max(1, min(c.number("colspan", 1), 1000)))
-                     for c in cells])
+            rows.append((yield inner_text(other, seen)))
+        read = []
+        for c in cells:
+            text = yield inner_text(c, visible(c, seen))
+            read.append((text.split("\n"), max(1, min(c.number("colspan", 1), 1000))))
+        rows.append(read)
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -404,14 +512,14 @@ def table_lines(table: Node, shown: bool = True, around: bool = True) -> list[st
     return [x for x in out if x]
 
 
-def inner_text(node: Node, shown: bool = True) -> str:
+def inner_text(node: Node, shown: bool = True) -> Step:
     page = Page()
-    render(node, page, depth=0, shown=shown)
+    yield render(node, page, depth=0, shown=shown)
     return page.text()
 
 
 def visible_text(html: str) -> str:
-    return inner_text(parse(html))
+    return run(inner_text(parse(html)))
 
 
 # --- columns ----------------------------------------------------------------------

@@ -257,6 +257,32 @@ def test_only_what_hides_is_hidden(page):
     assert html.visible_text(page).strip() == HIDING[page]
 
 
+SHOWN = {
+    "<table><tbody>a<tr><td>b</table>": "a\nb", "<table><thead>a</thead><tfoot hidden>b</tfoot></table>": "ab",
+    "x<svg><path d='M0'/><g><text x=1>a<tspan>b</tspan></text><title>no</title></g><text>c</text>no</svg>y": "x ab c y",
+    "<svg><defs><text>no</text></defs><text display='none'>no</text><foreignObject><p>a</p></foreignObject></svg>": "a",
+    "<svg><g visibility='hidden'><text>no</text><text visibility='visible'>a</text></g></svg>": "a",
+    "<svg><style>.a > .b {}</style><text><![CDATA[a < b]]></text></svg>": "a < b", "<svg><rect><p>a": "a",
+    "<svg/>a": "a", "f: <math><mi>x</mi> <mo>=</mo> <mn>2</mn><annotation>no</annotation></math>.": "f: x=2.",
+    "<math display=block><semantics><mrow><mi>y</mi></mrow><annotation>no</annotation></semantics></math>a": "y\na",
+    "<math><mtext> if <b>so</b> </mtext></math>": "if so",
+    "<div>" * 600 + "<p hidden>" + "<b>no</b>" * 3 + "</p>a": "a",
+    "<div>" * 255 + "<div hidden><p>no</p>no<div>no</div></div>a": "a",
+}
+
+
+@pytest.mark.parametrize("page", sorted(SHOWN))
+def test_all_visible_text_is_there(page):
+    assert html.visible_text(page).strip() == SHOWN[page]
+
+
+def test_depth_changes_no_rule():
+    for n in (10, 255, 256, 300, 5000):
+        assert html.visible_text("<div>" * n + "<i hidden>no<b>no</b></i><ul><li>a<li>b</ul>c") == "- a\n- b\n\nc"
+        assert html.visible_text("<table><tr><td>" * (n // 10) + "<i hidden>no</i>x").strip() == "x"
+    assert html.visible_text("<ul><li>" * 300 + "x") == " " * 598 + "- x"
+
+
 def test_deep_and_broken_pages():
     assert html.visible_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert html.visible_text("<table><tr><td>" * 400 + "x").strip() == "x"
