@@ -327,6 +327,51 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert out == {d: lost[d] for d, _ in found} and sum(lost.values()) > 60
 
 
+def alike_groups(texts):
+    """Groups of distinct normalised lines by edit similarity alone."""
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        longer, shorter = max(len(texts[a]), len(texts[b])), min(len(texts[a]), len(texts[b]))
+        most = int((1 - lines.SIMILARITY) * longer + 1e-9)
+        if longer - shorter <= most and root(a) != root(b) and distance(texts[a], texts[b]) <= most:
+            parent[root(a)] = root(b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_fuzzy_lines_reach_the_edit_similarity(spark):
+    r = random.Random(8)
+
+    def typo(t):
+        at = r.randrange(len(t))
+        return t[:at] + r.choice(["", t[at] + "k", "z"]) + t[at + 1:]
+
+    texts = []
+    for n in (5, 6, 8, 10, 12, 16, 20, 30):
+        for i in range(4):
+            base = prose(1000 * n + i, n, 5000)
+            w = base.split(" ")
+            w[n // 2] = "qx"
+            most = max(1, len(base) // 20)
+            variants = [base, " ".join(w)] + [base] * 2
+            for _ in range(most):
+                variants[2], variants[3] = typo(variants[2]), typo(variants[3])
+            texts += variants
+    texts += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40 + 50 * i)) for i in range(2)]
+    texts += [t[:20] + "\u9999" + t[21:] for t in texts[-2:]]
+    texts = sorted({" ".join(t.split()) for t in texts if len(t.split()) >= lines.MIN_WORDS})
+    groups = alike_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {g: min(i for i in range(len(texts)) if groups[i] == g) for g in groups}
+    out = {x.doc_id: x.n_removed for x in lines.dedup_lines(docs).collect()}
+    assert out == {i: int(first[g] != i) for i, g in enumerate(groups)} and sum(out.values()) > 40
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
