@@ -372,6 +372,19 @@ def test_fuzzy_lines_reach_the_edit_similarity(spark):
     assert out == {i: int(first[g] != i) for i, g in enumerate(groups)} and sum(out.values()) > 40
 
 
+def test_short_and_unspaced_lines_are_deduplicated(spark):
+    r = random.Random(3)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(120))
+    thai = "".join(chr(0x0E01 + r.randrange(40)) for _ in range(30))
+    first = ["Read more", "OK", han, thai, "* * *", "", "Terms of service", "x"]
+    second = ["read more!", "ok", han[:50] + "\u9999" + han[51:], thai[:9] + thai[10:], " * * * ", "", "Terms of servize",
+              "y"]
+    docs = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(second))], "doc_id long, text string")
+    out = {x.doc_id: (x.text, x.n_removed) for x in lines.dedup_lines(docs, min_words=1).collect()}
+    assert out == {1: ("\n".join(first), 0), 2: ("\ny", 6)}
+    assert {x.doc_id: x.n_removed for x in lines.op7_documents(docs).collect()} == {1: 0, 2: 6}
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
