@@ -1,12 +1,12 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Learning: tokens (runs of letters or digits, lower case) fall into TOKEN_BUCKETS
-hash buckets.  For each bucket the labelled training texts with it are counted,
-toxic and clean, every distinct text once.  A bucket's score is its log-odds under
-Dirichlet priors of PRIOR texts a bucket, shared by the classes' sizes (no odds of
-its own), drawn towards zero by CAUTION standard errors, so what a text or two say
+Learning: for each token (runs of letters or digits, lower case) the labelled
+training texts with it are counted exactly, toxic and clean, every distinct text
+once.  A token's score is its log-odds under Dirichlet priors of PRIOR texts a token,
+shared by the classes' sizes (no odds of its own; so have unseen tokens none), drawn towards zero by CAUTION standard errors, so what a text or two say
 counts for little; every token also pays DRIFT, which makes the expected score
-negative.
+negative.  Tokens whose odds the caution leaves at zero all score -DRIFT; the others
+are sent to the tasks up to BROADCAST_TOKENS of them, else joined to the texts' tokens.
 
 Search: all maximal scoring segments of a text come from one pass over its tokens
 (Ruzzo and Tompa; each positive token is pushed and popped once).  Under the
@@ -31,27 +31,30 @@ text columns are read.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from stockroom.session import ensure_checkpoint_dir
 
-TOKEN_BUCKETS = 1 << 18
 PRIOR = 1.0
 CAUTION = 1.5
 DRIFT = 0.4
 FIT_AT = 4.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
 LEVELS = 128                    # histogram levels of the statistic, a quarter nat each
 # Training keys are broadcast up to this many, else joined.
 BROADCAST_KEYS = 1_000_000
+# Tokens with odds likewise.
+BROADCAST_TOKENS = 300_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -60,24 +63,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-class Buckets:
-    """Token buckets of texts, with the buckets of known words at hand."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        tokens = TOKEN.findall(text.lower())
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in tokens:
-                if w not in known:
-                    known[w] = zlib.crc32(w.encode()) % TOKEN_BUCKETS
-            return np.fromiter(map(known.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall(text.lower()) if text else []
 
 
 def with_keys(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -99,37 +86,105 @@ def training(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
             .select("text", "toxic", F.pmod("hash", F.lit(2)).cast("int").alias("fold")))
 
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """Training texts with each bucket: [fold, toxic, bucket], over all of them."""
+PARTS = ["clean0", "toxic0", "clean1", "toxic1"]      # class and fold
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(token, clean0, toxic0, clean1, toxic1): training texts with each token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, total = Buckets(), np.zeros((4, TOKEN_BUCKETS), dtype=np.int64)
         for batch in batches:
+            found = [Counter() for _ in PARTS]
             for text, toxic, fold in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                total[2 * fold + (toxic == 1), np.unique(buckets.of(text))] += 1
-        for part in range(4):
-            at = np.flatnonzero(total[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at),
-                                              pa.array(total[part][at])], ["part", "bucket", "n"])
-
-    got = (rows.mapInArrow(count, "part long, bucket long, n long")
-           .groupBy("part", "bucket").agg(F.sum("n").alias("n")).toArrow())   # 4 * TOKEN_BUCKETS rows at most
-    out = np.zeros((4, TOKEN_BUCKETS), dtype=np.float64)
-    out[got.column("part").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(2, 2, TOKEN_BUCKETS)
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Score per bucket from [toxic, bucket] counts: the cautious log-odds, less DRIFT."""
-    clean, toxic = counts
-    share = counts.sum(axis=1) / max(1.0, float(counts.sum()))
-    a_clean, a_toxic = np.maximum(share, 1e-9) * PRIOR
-    p_toxic = (toxic + a_toxic) / (toxic.sum() + a_toxic * len(toxic))
-    p_clean = (clean + a_clean) / (clean.sum() + a_clean * len(clean))
-    odds = np.log(p_toxic / (1 - p_toxic)) - np.log(p_clean / (1 - p_clean))
-    error = np.sqrt(1 / (toxic + a_toxic) + 1 / (clean + a_clean))
-    sure = np.sign(odds) * np.maximum(0.0, np.abs(odds) - CAUTION * error)
-    return (sure - DRIFT).astype(np.float32)
+                found[2 * fold + (toxic == 1)].update(set(tokens_of(text)))
+            for part, counts in enumerate(found):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(counts), pa.string()), pa.array(np.full(len(counts), part), pa.int64()),
+                    pa.array(list(counts.values()), pa.int64())], ["token", "part", "n"])
+
+    return (rows.mapInArrow(count, "token string, part long, n long").groupBy("token")
+            .agg(*[F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(x) for i, x in enumerate(PARTS)]))
+
+
+def log_odds(clean: Column, toxic: Column, n_clean: float, n_toxic: float, tokens: int) -> Column:
+    """The cautious log-odds of a token, less DRIFT; unseen ones share the prior."""
+    both = max(1.0, n_clean + n_toxic)
+    a_clean, a_toxic = max(n_clean / both, 1e-9) * PRIOR, max(n_toxic / both, 1e-9) * PRIOR
+    p_toxic = (toxic + F.lit(a_toxic)) / F.lit(n_toxic + a_toxic * tokens)
+    p_clean = (clean + F.lit(a_clean)) / F.lit(n_clean + a_clean * tokens)
+    odds = F.log(p_toxic / (1 - p_toxic)) - F.log(p_clean / (1 - p_clean))
+    error = F.sqrt(1 / (toxic + F.lit(a_toxic)) + 1 / (clean + F.lit(a_clean)))
+    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - CAUTION * error) - DRIFT
+
+
+class Scores:
+    """Scores of the tokens that have odds, by all texts and by either fold's; a token
+    not in the table scores -DRIFT."""
+
+    NAMES = ["both", "fold0", "fold1"]
+
+    def __init__(self, table: DataFrame):
+        self.table = table                            # token, both, fold0, fold1; written
+        self.sent = None
+        if table.count() <= BROADCAST_TOKENS:
+            got = table.toArrow()
+            index = {w: i for i, w in enumerate(got.column("token").to_pylist(), 1)}
+            values = np.array([[-DRIFT, *got.column(x).to_pylist()] for x in self.NAMES])
+            self.sent = table.sparkSession.sparkContext.broadcast((index, values))
+
+    def of_texts(self, rows: DataFrame, body, schema: str) -> DataFrame:
+        """``body(row, values)`` of every row (its text last) as rows of ``schema``;
+        ``values`` holds the scores of the text's tokens, [name, token]."""
+        sent, names, kept = self.sent, self.NAMES, rows.columns[:-1]
+        types = rows.select(*kept).schema
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+        def emit(out: list[dict], like: pa.Schema) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(out, schema=like)
+
+        if sent is not None:
+            def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                index, values = sent.value
+                for batch in batches:
+                    out = []
+                    for *row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                        tokens = tokens_of(text)
+                        at = np.fromiter(map(index.get, tokens, repeat(0)), dtype=np.int64, count=len(tokens))
+                        out.append(body(row, values[:, at]))
+                    yield emit(out, arrow)
+
+            return rows.mapInArrow(search, schema)
+
+        spread = StructType(types.fields).add("_row", "long").add("_n", "long").add("_token", "string").add(
+            "_at", ArrayType(LongType()))
+        wide = to_arrow_schema(spread)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for *row, number, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    tokens, places = tokens_of(text), {f" {number}": []}      # no token, but keeps the text
+                    for i, w in enumerate(tokens):
+                        places.setdefault(w, []).append(i)
+                    yield emit([dict(zip(kept, row, strict=True)) | {
+                        "_row": number, "_n": len(tokens), "_token": w, "_at": at} for w, at in places.items()], wide)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for *row, n, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    values = np.full((len(names), n), -DRIFT)
+                    for x in found:
+                        for k, name in enumerate(names):
+                            values[k, x["_at"]] = x[name]
+                    out.append(body(row, values))
+                yield emit(out, arrow)
+
+        numbered = rows.select(*kept, F.monotonically_increasing_id().alias("_row"), rows.columns[-1])
+        met = (numbered.mapInArrow(split, spread)
+               .join(self.table.withColumnRenamed("token", "_token").hint("shuffle_hash"), "_token", "left")
+               .where(F.col("_token").startswith(" ") | F.col("both").isNotNull()).groupBy(*kept, "_row", "_n")
+               .agg(F.collect_list(F.when(F.col("both").isNotNull(), F.struct("_at", *names))).alias("_found")))
+        return met.select(*kept, "_n", "_found").mapInArrow(gather, schema)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -169,10 +224,10 @@ def clean_rate(counts: np.ndarray, scores: np.ndarray) -> float:
 
 
 class Model:
-    """Bucket scores, extreme-value parameters and the calibration table."""
+    """Extreme-value parameters and the calibration table."""
 
-    def __init__(self, scores: np.ndarray, rate: float, k: float = 1.0):
-        self.scores, self.rate, self.k = scores, rate, k
+    def __init__(self, rate: float, k: float = 1.0):
+        self.rate, self.k = rate, k
         self.table = np.zeros(LEVELS)
 
     def statistic(self, sums: list[float], tokens: int) -> float:
@@ -186,35 +241,39 @@ class Model:
         return float(self.table[i] + (self.table[i + 1] - self.table[i]) * (x - i))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[Model, Scores]:
     rows = training(docs, labels, key)
-    counts = bucket_counts(rows)
-    both = counts.sum(axis=0)
-    scores = log_odds(both)
-    if not both[0].sum() or not both[1].sum():
-        return Model(np.full_like(scores, -DRIFT), 1.0)
-    rate = clean_rate(both[0], scores)
+    counts = token_counts(rows).checkpoint()
+    sums = counts.agg(*[F.sum(x).alias(x) for x in PARTS], F.count(F.lit(1)).alias("tokens")).first()
+    n = {x: float(sums[x] or 0) for x in PARTS}
+    c = {x: F.col(x).cast("double") for x in PARTS}
+    tokens = sums["tokens"] + 1                                          # the unseen ones are one more
     # a text is searched with what the other half of the texts says
-    sent = rows.sparkSession.sparkContext.broadcast([log_odds(counts[1]), log_odds(counts[0])])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, buckets = sent.value, Buckets()
-        for batch in batches:
-            out = []
-            for text, toxic, fold in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                tokens = buckets.of(text)
-                out.append((int(toxic == 1), len(tokens),
-                            [s for _, _, s in maximal_segments(values[fold][tokens])]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["toxic", "tokens", "sums"])
-
-    found = rows.mapInArrow(search, "toxic long, tokens long, sums array<double>").checkpoint()
+    table = counts.select(
+        "token", (F.col("clean0") + F.col("clean1")).alias("clean"),
+        log_odds(c["clean0"] + c["clean1"], c["toxic0"] + c["toxic1"], n["clean0"] + n["clean1"],
+                 n["toxic0"] + n["toxic1"], tokens).alias("both"),
+        log_odds(c["clean1"], c["toxic1"], n["clean1"], n["toxic1"], tokens).alias("fold0"),
+        log_odds(c["clean0"], c["toxic0"], n["clean0"], n["toxic0"], tokens).alias("fold1"))
+    told = " or ".join(f"{x} <> {-DRIFT}D" for x in Scores.NAMES)
+    if not n["clean0"] + n["clean1"] or not n["toxic0"] + n["toxic1"]:
+        return Model(1.0), Scores(table.where("false").select("token", *Scores.NAMES))
+    scores = Scores(table.where(told).select("token", *Scores.NAMES).checkpoint())
+    levels = table.groupBy(F.round("both", 3).alias("s")).agg(F.sum("clean").alias("n")).toArrow()   # some thousands
+    rate = clean_rate(levels.column("n").to_numpy().astype(float), levels.column("s").to_numpy())
+
+    def search(row: list, values: np.ndarray) -> dict:
+        toxic, fold = row
+        return {"toxic": int(toxic == 1), "tokens": values.shape[1],
+                "sums": [x for _, _, x in maximal_segments(values[1 + fold])]}
+
+    found = scores.of_texts(rows.select("toxic", "fold", "text"), search,
+                            "toxic long, tokens long, sums array<double>").checkpoint()
     # K: clean texts have segments of lambda * sum >= FIT_AT as often as K n exp(-FIT_AT) says
     seen = found.where("toxic = 0").agg(F.sum(F.size(F.filter("sums", lambda s: s * rate >= FIT_AT))).alias("x"),
                                         F.sum("tokens").alias("n")).first()
     k = (seen["x"] + 0.5) / (max(1, seen["n"]) * float(np.exp(-FIT_AT)))
-    model = Model(scores, rate, k)
+    model = Model(rate, k)
     once = F.log(F.lit(k) * F.greatest(F.col("tokens"), F.lit(1)))
     nats = F.aggregate(F.transform("sums", lambda s: F.greatest(F.lit(0.0), s * rate - once)), F.lit(0.0),
                        lambda acc, x: acc + x)
@@ -223,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     for r in found.groupBy("toxic", level).count().collect():            # 2 * LEVELS rows at most
         hist[r["toxic"], r["level"]] += r["count"]
     model.table = monotone(hist)
-    return model
+    return model, scores
 
 
 def monotone(hist: np.ndarray) -> np.ndarray:
@@ -244,30 +303,21 @@ def monotone(hist: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(c), v) for v, _, c in blocks])
 
 
-def toxicity(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+def toxicity(docs: DataFrame, learned: tuple[Model, Scores], key: str = "doc_id") -> DataFrame:
     """Per row: key, score and the significant segments (first and last token, score,
     expected number in a clean text of the same length)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)       # TOKEN_BUCKETS floats
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, buckets = sent.value, Buckets()
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("sum", pa.float64()),
-                                   ("expected", pa.float64())]))
-        for batch in batches:
-            out, found = [], []
-            for text in batch.column(1).to_pylist():
-                tokens = buckets.of(text or "")
-                parts = maximal_segments(m.scores[tokens])
-                out.append(m.score(m.statistic([x for _, _, x in parts], len(tokens))))
-                expected = [m.k * len(tokens) * float(np.exp(-m.rate * x)) for _, _, x in parts]
-                found.append([{"start": a, "stop": b, "sum": x, "expected": e}
-                              for (a, b, x), e in zip(parts, expected, strict=True) if e <= SIGNIFICANT])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()),
-                                              pa.array(found, kind)], ["doc_id", "score", "segments"])
-
-    schema = ("doc_id long, score double, "
-              "segments array<struct<start: long, stop: long, sum: double, expected: double>>")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(search, schema)
+    m, scores = learned
+
+    def search(row: list, values: np.ndarray) -> dict:
+        n, parts = values.shape[1], maximal_segments(values[0])
+        expected = [m.k * n * float(np.exp(-m.rate * x)) for _, _, x in parts]
+        return {"doc_id": row[0], "score": m.score(m.statistic([x for _, _, x in parts], n)),
+                "segments": [{"start": a, "stop": b, "sum": x, "expected": e}
+                             for (a, b, x), e in zip(parts, expected, strict=True) if e <= SIGNIFICANT]}
+
+    return scores.of_texts(
+        docs.select(F.col(key).cast("long").alias("doc_id"), "text"), search,
+        "doc_id long, score double, segments array<struct<start: long, stop: long, sum: double, expected: double>>")
 
 
 def op4_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

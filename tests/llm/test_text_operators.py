@@ -174,6 +174,27 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert score(said) == score(flipped)
 
 
+def test_tokens_share_no_counts(spark, monkeypatch):
+    import zlib
+    spell, other = "zog", None
+    for i in itertools.count():                       # a clean word in the toxic one's bucket of old
+        if zlib.crc32(f"u{i}".encode()) % (1 << 18) == zlib.crc32(spell.encode()) % (1 << 18):
+            other = f"u{i}"
+            break
+    r, found = random.Random(5), []
+    for i in range(600):
+        words = [f"w{r.randrange(2000)}" for _ in range(60)]
+        words[20:26] = [spell] * 6 if i % 6 == 0 else [other] * 6
+        found.append((i, " ".join(words), int(i % 6 == 0)))
+    df = spark.createDataFrame(found, "doc_id long, text string, toxic int")
+    run = lambda: {r.doc_id: (round(r.score, 9), r.predicted, r.n_segments)
+                   for r in toxicity.op4_documents(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    got = run()
+    assert all(got[i][1] == toxic for i, _, toxic in found)
+    monkeypatch.setattr(toxicity, "BROADCAST_TOKENS", 0)
+    assert run() == got
+
+
 # --- Jaccard join --------------------------------------------------------------------
 
 
