@@ -9,7 +9,7 @@ negative.  Tokens whose odds the caution leaves at zero all score -DRIFT; the ot
 are sent to the tasks up to BROADCAST_TOKENS of them, else joined to the texts' tokens.
 
 Search: all maximal scoring segments of a text come from one pass over its tokens
-(Ruzzo and Tompa; each positive token is pushed and popped once).  Under the
+(Ruzzo and Tompa; linked candidates, none passed twice).  Under the
 extreme-value law a clean text of n tokens has K n exp(-lambda s) segments of sum
 s or more; lambda solves the moment equation of the clean tokens and K is the
 clean texts' rate of such segments.  A segment is significant when its expected
@@ -191,23 +191,24 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum), left to right, disjoint.
 
     Positive tokens arrive one by one as candidates; a candidate that the last
-    smaller left sum lets grow is merged with what lies between, so each token is
-    pushed and popped once."""
-    stack: list[list] = []           # [start, end, sum before, sum through]
+    smaller left sum lets grow is merged with what lies between.  Each keeps a link to
+    that last one, so no candidate is passed twice."""
+    stack: list[list] = []           # [start, end, sum before, sum through, link]
     sums = np.cumsum(scores, dtype=np.float64)
     for i in np.flatnonzero(scores > 0):
         before, through = float(sums[i] - scores[i]), float(sums[i])
         seg = [int(i), int(i) + 1, before, through]
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
+                stack.append([*seg, j])
                 break
             seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
-            del stack[j:]
-    return [(a, b, y - x) for a, b, x, y in stack]
+            at, j = j, stack[j][4]
+            del stack[at:]
+    return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
 def clean_rate(counts: np.ndarray, scores: np.ndarray) -> float:

@@ -130,6 +130,14 @@ def test_maximal_segments_match_their_definition():
         assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-3)
 
 
+def test_maximal_segments_take_linear_time():
+    import time
+    scores = np.full(400_000, -0.4)
+    scores[::10] = 1.0                                # falling left sums: no candidate ends another
+    start = time.process_time()
+    assert len(toxicity.maximal_segments(scores)) == 40_000 and time.process_time() - start < 10
+
+
 def toxic_docs(spark, n=600):
     r, insults = random.Random(4), ["zog", "blarg", "fnurd", "quib"]
     found = []
