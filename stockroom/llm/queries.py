@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import chat, decontam, html, jaccard, lines, mixing, quality, sharding, tokens, toxicity
+from stockroom.llm import (chat, decontam, html, jaccard, lines, mixing, periodic, quality, records, sharding,
+                           spelling, tokens, toxicity)
 from stockroom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op10_documents(load(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op11_documents(load(spark, sf_dir, "documents"))
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.op12_documents(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op13_documents(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_feistel_shards, op2_chat_format, op3_quality_rules, op4_toxic_segments, op5_ngram_jaccard,
-    op6_mix_sources, op7_fuzzy_lines, op8_visible_text, op9_decontaminate, op10_token_counts)}
+    op6_mix_sources, op7_fuzzy_lines, op8_visible_text, op9_decontaminate, op10_token_counts,
+    op11_spelling_variants, op12_token_records, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
