@@ -31,6 +31,8 @@ from stockroom.functions.exprs import (DUPLICATE_USERNAME_MESSAGE, REQUIRED_FIEL
                                        falsy_default, js_trim, parse_float, parse_int)
 from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, EMAIL_MAX, MONEY, NAME_MAX,
                                PHONE_MAX, ROLES, USERNAME_MAX)
+from stockroom.operators.unique import (ACCEPTED as TAKEN, BASE, BEFORE_ALL, INSERT, NEVER, REFUSED,
+                                        UPDATE, decide_claims)
 from stockroom.session import ensure_checkpoint_dir
 
 # Fixed outcome labels of a change request.
@@ -38,6 +40,21 @@ INSERTED, UPDATED, DELETED, NO_MATCH = "INSERTED", "UPDATED", "DELETED", "NO_MAT
 DUPLICATE, ERROR = "DUPLICATE", "ERROR"
 
 
+def one_spelling(df: DataFrame, column: str, collation: str | None, out: str) -> DataFrame:
+    """``df`` with ``out``: one spelling for all values of ``column`` that are equal under
+    ``collation`` (the smallest of them byte by byte), the value itself without one.
+
+    Values are compared by Spark's collations, in a grouping of the distinct spellings and
+    a join back; what follows can then work on plain strings."""
+    if collation is None:
+        return df.withColumn(out, F.col(column))
+    spellings = df.select(F.col(column).alias("_s")).where("_s is not null").distinct()
+    same = F.collate("_s", collation)
+    reps = spellings.groupBy(same.alias("_same")).agg(F.min("_s").alias("_rep"))
+    known = spellings.join(reps, same == F.col("_same")).select("_s", F.col("_rep").alias(out))
+    return df.join(known, F.col(column) == F.col("_s"), "left").drop("_s")
+
+
 def _truthy(c: Column) -> Column:
     """JavaScript truthiness of a text field: not NULL and not ''."""
     return c.isNotNull() & (c != "")
@@ -283,87 +300,65 @@ def _unknown_ops(reqs: DataFrame) -> DataFrame:
 # --- M5 -------------------------------------------------------------------------
 
 def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=None,
-                           high_water: int | None = None) -> ChangeResult:
-    """M5: employee INSERT/UPDATE/DELETE.
-
-    * INSERT: role defaults to 'cashier' when blank, must_change_password is
-      TRUE; a username already held by a base employee or by an earlier
-      accepted INSERT of the batch is rejected ('Username already exists').
-    * UPDATE: name, username and role replace the row's; the role must be one
-      of owner/admin/cashier (strict ENUM) and the username must not belong
-      to another employee of the base table or an accepted insert.
+                           high_water: int | None = None, collation: str | None = None) -> ChangeResult:
+    """M5: employee INSERT/UPDATE/DELETE, as if the requests came one after the other.
+
+    * INSERT: role defaults to 'cashier' when blank, must_change_password is TRUE.
+      Every insert whose fields fit takes the next id; one that is refused as a
+      duplicate leaves its id unused, as AUTO_INCREMENT does.
+    * UPDATE: name, username and role replace the row's; the role must be one of
+      owner/admin/cashier (strict ENUM).
     * DELETE: removes the row (sales keep their history, cashier set NULL via M4).
 
-    Among accepted updates the earliest to take a username keeps it; a later
-    update of another employee to that username is a duplicate.  A base
-    employee's username is free again after that employee's DELETE.
-    Simplifications (each needs a sequential walk over chains of ids and
-    usernames): a username released by a rename, or by deleting an employee
-    inserted in the same batch, is still treated as taken; an INSERT does not
-    see a username taken earlier in the batch by an UPDATE.
-    :func:`validate_table` reports any duplicate left in the result."""
-    role_ok = F.col("role").isin(*ROLES)
+    Fields that do not fit are an ERROR, found before the username is looked up.  A
+    username held by another row at that moment is a DUPLICATE ('Username already
+    exists'); a rename or a delete frees the old one.  :func:`decide_claims` settles
+    who holds which username when.  ``collation`` names the collation under which
+    usernames are equal (None: byte by byte)."""
     reqs = requests.select("request_id", "op", "id", "name", "username", "role")
-    fields_ok = (F.col("name").isNotNull() & F.col("username").isNotNull()
-                 & (F.length("name") <= NAME_MAX["employees"]) & (F.length("username") <= USERNAME_MAX))
-
-    # A base employee's username is free again from the employee's first DELETE
-    # on (a base id exists from the start, so that DELETE always takes effect).
-    base_del = (reqs.where((F.col("op") == "DELETE") & F.col("id").isNotNull())
-                .groupBy("id").agg(F.min("request_id").alias("_bdel")))
-    base_names = (employees.select(F.col("username").alias("_taken"), F.col("id").alias("_owner"))
-                  .join(base_del.withColumnRenamed("id", "_owner"), "_owner", "left"))
-    ins = (reqs.where(F.col("op") == "INSERT")
-           .withColumn("role", falsy_default("role", DEFAULT_ROLE))
-           .withColumn("_valid", fields_ok & F.col("role").isin(*ROLES)))
-    held = F.col("_bdel").isNull() | (F.col("request_id") < F.col("_bdel"))
-    ins = ins.join(base_names, (ins.username == base_names._taken) & held, "left")
-    # First valid insert per username wins: a partial min aggregate, so even a
-    # username claimed by a third of the batch costs one partial row per task.
-    first_claim = (ins.where(F.col("_valid") & F.col("_taken").isNull())
-                   .groupBy("username").agg(F.min("request_id").alias("_claim")))
-    ins = ins.join(first_claim, "username", "left")
-    ins_status = (F.when(~F.col("_valid"), F.lit(ERROR))
-                  .when(F.col("_taken").isNotNull(), F.lit(DUPLICATE))
-                  .when(F.col("request_id") != F.col("_claim"), F.lit(DUPLICATE))
-                  .otherwise(F.lit(INSERTED)))
-    ins = ins.withColumn("status", ins_status)
-    inserted = assign_ids(ins.where(F.col("status") == INSERTED).drop("id"), next_after(employees, high_water))
-
-    # Holders of a username over time: base employees from the start until
-    # their DELETE, accepted inserts from their INSERT request on.
-    taken = (base_names.withColumn("_from", F.lit(None).cast("bigint"))
-             .unionByName(inserted.select(F.col("username").alias("_taken"),
-                                          F.col("id").alias("_owner"),
-                                          F.lit(None).cast("bigint").alias("_bdel"),
-                                          F.col("request_id").alias("_from"))))
+    fits = (F.col("name").isNotNull() & F.col("username").isNotNull()
+            & (F.length("name") <= NAME_MAX["employees"]) & (F.length("username") <= USERNAME_MAX)
+            & F.coalesce(F.col("role").isin(*ROLES), F.lit(False)))
+    reqs = (reqs.withColumn("role", F.when(F.col("op") == "INSERT", falsy_default("role", DEFAULT_ROLE))
+                            .otherwise(F.col("role")))
+            .withColumn("_ok", F.coalesce(fits, F.lit(False))))
+    inserts = assign_ids(reqs.where((F.col("op") == "INSERT") & F.col("_ok")).drop("id"),
+                         next_after(employees, high_water)).checkpoint(eager=True)
+
+    # how long each row lives: from its insert to the first delete after it
+    rows = (employees.select("id", F.lit(BEFORE_ALL).alias("_start"), "username", F.lit(BASE).alias("kind"))
+            .unionByName(inserts.select("id", F.col("request_id").alias("_start"), "username", F.lit(INSERT).alias("kind"))))
     ops = reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull())
-    clash = (ops.join(taken, (ops.username == taken._taken) & (ops.id != taken._owner)
-                      & (taken._from.isNull() | (ops.request_id > taken._from))
-                      & (taken._bdel.isNull() | (ops.request_id < taken._bdel)), "left_semi")
-             .select(F.col("request_id").alias("_clash_req")))
-    ops = (ops.join(clash, ops.request_id == clash._clash_req, "left")
-           .withColumn("_upd_ok", fields_ok & role_ok & F.col("_clash_req").isNull())
-           .withColumn("_dup", F.col("_clash_req").isNotNull()))
-    universe = (employees.select("id", F.lit(None).cast("bigint").alias("_start"))
-                .unionByName(inserted.select("id", F.col("request_id").alias("_start"))))
-    resolved = _resolve_ops(universe, ops, F.col("_upd_ok"))
-    resolved = resolved.withColumn(
-        "status", F.when((F.col("status") == ERROR) & F.col("_dup"), F.lit(DUPLICATE))
-        .otherwise(F.col("status")))
-    # Among accepted updates, the earliest to take a username keeps it; a later
-    # update of a *different* employee to the same username is a duplicate.
-    claims = (resolved.where(F.col("status") == UPDATED).groupBy("username")
-              .agg(F.min_by("id", "request_id").alias("_claim_id")))
-    resolved = (resolved.join(claims, "username", "left")
-                .withColumn("status", F.when((F.col("status") == UPDATED)
-                                             & (F.col("id") != F.col("_claim_id")), F.lit(DUPLICATE))
-                            .otherwise(F.col("status")))
-                .checkpoint(eager=True))      # read by three consumers below
+    ops = ops.join(rows.select("id", "_start"), "id", "left")
+    lives = F.coalesce(F.col("request_id") > F.col("_start"), F.lit(False))
+    deaths = (ops.where(lives & (F.col("op") == "DELETE")).groupBy("id").agg(F.min("request_id").alias("death")))
+    ops = (ops.join(deaths, "id", "left").withColumn("death", F.coalesce("death", F.lit(NEVER)))
+           .withColumn("_lives", lives & (F.col("request_id") <= F.col("death"))).checkpoint(eager=True))
+
+    claims = (rows.join(deaths, "id", "left")
+              .select(F.col("_start").alias("r"), "id", "username", F.coalesce("death", F.lit(NEVER)).alias("death"), "kind")
+              .unionByName(ops.where(F.col("_lives") & (F.col("op") == "UPDATE") & F.col("_ok"))
+                           .select(F.col("request_id").alias("r"), "id", "username", "death",
+                                   F.lit(UPDATE).alias("kind")))
+              .where("username is not null"))
+    decided = decide_claims(one_spelling(claims, "username", collation, "u"))
+    verdict = decided.where(F.col("kind") != BASE).select(F.col("r").alias("request_id"), F.col("status").alias("_verdict"))
+    # a refused insert leaves no row behind
+    never = decided.where((F.col("kind") == INSERT) & (F.col("status") == REFUSED)).select("id").withColumn("_never", F.lit(True))
+
+    ins = (inserts.join(verdict, "request_id")
+           .withColumn("status", F.when(F.col("_verdict") == TAKEN, F.lit(INSERTED)).otherwise(F.lit(DUPLICATE))))
+    status = (F.when(~F.col("_lives") | F.col("_never").isNotNull(), F.lit(NO_MATCH))
+              .when(F.col("op") == "DELETE", F.lit(DELETED))
+              .when(~F.col("_ok"), F.lit(ERROR))
+              .when(F.col("_verdict") == TAKEN, F.lit(UPDATED)).otherwise(F.lit(DUPLICATE)))
+    resolved = (ops.join(verdict, "request_id", "left").join(never, "id", "left")
+                .withColumn("status", status).checkpoint(eager=True))      # read by three consumers below
 
     last_update = (resolved.where(F.col("status") == UPDATED).groupBy("id").agg(
         F.max_by(F.struct("name", "username", "role"), "request_id").alias("_u")))
     deleted = resolved.where(F.col("status") == DELETED).select("id")
+    inserted = ins.where(F.col("status") == INSERTED)
     cols = ["id", "name", "username", "role", "must_change_password"]
     others = [c for c in employees.columns if c not in cols]         # kept as they are
     current = (employees.select(*cols, *others, F.lit(False).alias("_ins"))
@@ -382,9 +377,10 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
     table = table.drop("_changed", "_ins")
 
     msg = F.when(F.col("status") == DUPLICATE, F.lit(DUPLICATE_USERNAME_MESSAGE))
-    outcomes = (inserted.select("request_id", "op", "id", "status")
-                .unionByName(ins.where(F.col("status") != INSERTED)
-                             .select("request_id", "op", F.lit(None).cast("bigint").alias("id"), "status"))
+    no_id = F.lit(None).cast("bigint")
+    outcomes = (ins.select("request_id", "op", F.when(F.col("status") == INSERTED, F.col("id")).alias("id"), "status")
+                .unionByName(reqs.where((F.col("op") == "INSERT") & ~F.col("_ok"))
+                             .select("request_id", "op", no_id.alias("id"), F.lit(ERROR).alias("status")))
                 .unionByName(resolved.select("request_id", "op", "id", "status"))
                 .unionByName(reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNull())
                              .select("request_id", "op", "id", F.lit(NO_MATCH).alias("status")))

@@ -69,62 +69,54 @@ new_products AS (
   FROM cur c LEFT JOIN lu ON c.id = lu.id
   WHERE c.id NOT IN (SELECT id FROM res WHERE status = 'DELETED'))"""
 
+# Steps through the requests one by one; the state is a map from id to username (of the
+# employees that some request names by id or username, the others never matter).
 EMPLOYEE_CHANGES = """
-ereq AS (SELECT * FROM f_employee_changes),
-bdel AS (SELECT id, MIN(request_id) AS bdel FROM ereq WHERE op = 'DELETE' AND id IS NOT NULL GROUP BY id),
-bnames AS (SELECT e.username AS t, e.id AS owner, d.bdel FROM f_employees e LEFT JOIN bdel d ON e.id = d.id),
-eins AS (
-  SELECT r.request_id, r.op, r.name, r.username, COALESCE(NULLIF(r.role, ''), 'cashier') AS role,
-         COALESCE(r.name IS NOT NULL AND r.username IS NOT NULL AND length(r.name) <= 100
-                  AND length(r.username) <= 50
-                  AND COALESCE(NULLIF(r.role, ''), 'cashier') IN ('owner', 'admin', 'cashier'), false) AS valid,
-         EXISTS (SELECT 1 FROM bnames b WHERE b.t = r.username
-                 AND (b.bdel IS NULL OR r.request_id < b.bdel)) AS taken
-  FROM ereq r WHERE r.op = 'INSERT'),
-claim AS (SELECT username, MIN(request_id) AS claim_ FROM eins WHERE valid AND NOT taken GROUP BY username),
-eins2 AS (
-  SELECT i.*, CASE WHEN NOT i.valid THEN 'ERROR' WHEN i.taken THEN 'DUPLICATE'
-                   WHEN i.request_id <> c.claim_ THEN 'DUPLICATE' ELSE 'INSERTED' END AS status
-  FROM eins i LEFT JOIN claim c ON i.username = c.username),
-enew AS (
-  SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_employees) + ROW_NUMBER() OVER (ORDER BY request_id) AS BIGINT)
-         AS new_id, * FROM eins2 WHERE status = 'INSERTED'),
-taken AS (SELECT t, owner, bdel, CAST(NULL AS BIGINT) AS from_ FROM bnames
-          UNION ALL SELECT username, new_id, CAST(NULL AS BIGINT), request_id FROM enew),
-eops AS (
-  SELECT o.*, EXISTS (SELECT 1 FROM taken k WHERE k.t = o.username AND k.owner <> o.id
-                      AND (k.from_ IS NULL OR o.request_id > k.from_)
-                      AND (k.bdel IS NULL OR o.request_id < k.bdel)) AS dup,
-         COALESCE(o.name IS NOT NULL AND o.username IS NOT NULL AND length(o.name) <= 100
-                  AND length(o.username) <= 50 AND o.role IN ('owner', 'admin', 'cashier'), false) AS fields_ok
-  FROM ereq o WHERE o.op IN ('UPDATE', 'DELETE') AND o.id IS NOT NULL),
-euni AS (SELECT id, CAST(NULL AS BIGINT) AS start_ FROM f_employees UNION ALL SELECT new_id, request_id FROM enew),
-eops2 AS (
-  SELECT o.*, (u.id IS NOT NULL AND (u.start_ IS NULL OR o.request_id > u.start_)) AS live
-  FROM eops o LEFT JOIN euni u ON o.id = u.id),
-efd AS (SELECT id, MIN(request_id) AS del_at FROM eops2 WHERE live AND op = 'DELETE' GROUP BY id),
-eres0 AS (
-  SELECT o.*, CASE WHEN NOT o.live THEN 'NO_MATCH'
-                   WHEN o.op = 'DELETE' THEN CASE WHEN o.request_id = efd.del_at THEN 'DELETED' ELSE 'NO_MATCH' END
-                   WHEN efd.del_at IS NOT NULL AND o.request_id >= efd.del_at THEN 'NO_MATCH'
-                   WHEN o.fields_ok AND NOT o.dup THEN 'UPDATED'
-                   WHEN o.dup THEN 'DUPLICATE' ELSE 'ERROR' END AS status
-  FROM eops2 o LEFT JOIN efd ON o.id = efd.id),
-eclaim AS (
-  SELECT username, id AS claim_id FROM (
-    SELECT username, id, ROW_NUMBER() OVER (PARTITION BY username ORDER BY request_id) AS rn
-    FROM eres0 WHERE status = 'UPDATED') WHERE rn = 1),
+ereq AS (
+  SELECT *, COALESCE(name IS NOT NULL AND username IS NOT NULL AND length(name) <= 100 AND length(username) <= 50
+                     AND role IN ('owner', 'admin', 'cashier'), false) AS ok
+  FROM (SELECT request_id, op, id, name, username,
+               CASE WHEN op = 'INSERT' THEN COALESCE(NULLIF(role, ''), 'cashier') ELSE role END AS role
+        FROM f_employee_changes)),
+eseq AS (
+  SELECT *, CASE WHEN op = 'INSERT' AND ok
+                 THEN CAST((SELECT COALESCE(MAX(id), 0) FROM f_employees)
+                           + COUNT(*) FILTER (WHERE op = 'INSERT' AND ok) OVER (ORDER BY request_id) AS BIGINT)
+                 WHEN op IN ('UPDATE', 'DELETE') THEN id END AS eid,
+         ROW_NUMBER() OVER (ORDER BY request_id) AS seq
+  FROM ereq),
+estart AS (
+  SELECT COALESCE(map_from_entries(list({'key': id, 'value': username})), MAP {}) AS held FROM f_employees
+  WHERE id IN (SELECT id FROM ereq) OR username IN (SELECT username FROM ereq)),
+estep(seq, status, held) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), held FROM estart
+  UNION ALL
+  SELECT seq, status,
+         CASE WHEN status IN ('INSERTED', 'UPDATED') THEN map_concat(held, map([eid], [username]))
+              WHEN status = 'DELETED' THEN map_from_entries(list_filter(map_entries(held), lambda e: e.key <> eid))
+              ELSE held END
+  FROM (
+    SELECT q.seq, q.eid, q.username, s.held,
+           CASE WHEN COALESCE(q.op, '') NOT IN ('INSERT', 'UPDATE', 'DELETE') THEN 'ERROR'
+                WHEN q.op <> 'INSERT' AND (q.eid IS NULL OR NOT list_contains(map_keys(s.held), q.eid)) THEN 'NO_MATCH'
+                WHEN q.op = 'DELETE' THEN 'DELETED'
+                WHEN NOT q.ok THEN 'ERROR'
+                WHEN len(list_filter(map_entries(s.held), lambda e: e.value = q.username AND e.key <> q.eid)) > 0
+                THEN 'DUPLICATE'
+                WHEN q.op = 'INSERT' THEN 'INSERTED' ELSE 'UPDATED' END AS status
+    FROM estep s JOIN eseq q ON q.seq = s.seq + 1)),
 eres AS (
-  SELECT o.* REPLACE (CASE WHEN o.status = 'UPDATED' AND o.id <> c.claim_id THEN 'DUPLICATE'
-                           ELSE o.status END AS status)
-  FROM eres0 o LEFT JOIN eclaim c ON o.username = c.username),
+  SELECT q.request_id, q.op, CASE WHEN q.op = 'INSERT' AND s.status <> 'INSERTED' THEN NULL WHEN q.op = 'INSERT' THEN q.eid
+                                  ELSE q.id END AS id,
+         q.name, q.username, q.role, s.status
+  FROM estep s JOIN eseq q ON q.seq = s.seq),
 elu AS (
   SELECT * FROM (SELECT id, name, username, role,
                         ROW_NUMBER() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn
                  FROM eres WHERE status = 'UPDATED') WHERE rn = 1),
 ecur AS (
   SELECT id, name, username, role, must_change_password, created_at, updated_at FROM f_employees
-  UNION ALL SELECT new_id, name, username, role, true, NULL, NULL FROM enew),
+  UNION ALL SELECT id, name, username, role, true, NULL, NULL FROM eres WHERE status = 'INSERTED'),
 new_employees AS (
   SELECT c.id,
          CASE WHEN l.id IS NOT NULL THEN l.name ELSE c.name END AS name,
@@ -209,16 +201,10 @@ def build() -> dict[str, str]:
         "CASE WHEN changed_ THEN TIMESTAMP '1998-06-01 00:00:00' ELSE updated_at END AS updated_at, "
         "CASE WHEN ins_ THEN TIMESTAMP '1998-06-01 00:00:00' ELSE created_at END AS created_at FROM new_products",
         PRODUCT_CHANGES)
-    q["apply_employee_changes"] = A("SELECT * FROM new_employees", EMPLOYEE_CHANGES)
+    q["apply_employee_changes"] = A("SELECT * FROM new_employees", EMPLOYEE_CHANGES, recursive=True)
     q["employee_change_outcomes"] = A(
         "SELECT request_id, op, id, status, CASE WHEN status = 'DUPLICATE' THEN 'Username already exists' END "
-        "AS message FROM (SELECT request_id, op, new_id AS id, status FROM enew "
-        "UNION ALL SELECT request_id, op, CAST(NULL AS BIGINT), status FROM eins2 WHERE status <> 'INSERTED' "
-        "UNION ALL SELECT request_id, op, id, status FROM eres "
-        "UNION ALL SELECT request_id, op, id, 'NO_MATCH' FROM ereq WHERE op IN ('UPDATE', 'DELETE') AND id IS NULL "
-        "UNION ALL SELECT request_id, op, id, 'ERROR' FROM ereq "
-        "WHERE COALESCE(op, '') NOT IN ('INSERT', 'UPDATE', 'DELETE'))",
-        EMPLOYEE_CHANGES)
+        "AS message FROM eres", EMPLOYEE_CHANGES, recursive=True)
     q["request_outcomes_complete"] = A(
         "SELECT 'product' AS feed, (SELECT COUNT(*) FROM f_product_changes) AS requests, "
         "(SELECT COUNT(*) FROM f_product_changes) AS outcomes, "
@@ -255,7 +241,7 @@ def build() -> dict[str, str]:
         "  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM new_products) "
         "UNION ALL SELECT 'sales', 'fk_cashier_id', CAST(id AS VARCHAR), CAST(cashier_id AS VARCHAR) FROM f_sales "
         "  WHERE cashier_id IS NOT NULL AND cashier_id NOT IN (SELECT id FROM new_employees)",
-        PRODUCT_CHANGES + "," + EMPLOYEE_CHANGES)
+        PRODUCT_CHANGES + "," + EMPLOYEE_CHANGES, recursive=True)
     q["validate_employees_after_changes"] = A(
         "SELECT 'employees' AS table_name, 'unique_' || c AS rule, k AS row_key, CAST(n AS VARCHAR) || ' rows' AS detail "
         "FROM (SELECT 'id' AS c, CAST(id AS VARCHAR) AS k, COUNT(*) AS n FROM new_employees GROUP BY id "
@@ -270,7 +256,7 @@ def build() -> dict[str, str]:
         "  WHERE role NOT IN ('owner', 'admin', 'cashier') "
         "UNION ALL SELECT 'employees', 'length_name', CAST(id AS VARCHAR), NULL FROM new_employees WHERE length(name) > 100 "
         "UNION ALL SELECT 'employees', 'length_username', CAST(id AS VARCHAR), NULL FROM new_employees "
-        "  WHERE length(username) > 50", EMPLOYEE_CHANGES)
+        "  WHERE length(username) > 50", EMPLOYEE_CHANGES, recursive=True)
     broken = """
 bp0 AS (
   SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 20) ELSE name END AS name,

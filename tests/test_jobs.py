@@ -513,82 +513,3 @@ def test_cli_on_stored_tables(spark, seed, tmp_path, capsys):
     got = spark.read.json(str(out)).orderBy("id").collect()
     assert [(r["id"], r["stock_status"]) for r in got] == [
         (1, "LOW STOCK"), (2, "LOW STOCK"), (4, "OUT OF STOCK"), (6, "LOW STOCK")]
-
-
-def _simulate_employees(employees: list, reqs: list):
-    """Brute force: the employee API one request at a time.  Also reports
-    whether a documented batch departure occurred in the sequence."""
-    rows = {e[0]: list(e) for e in employees}
-    holder = {e[2]: e[0] for e in employees}
-    base_ids = set(rows)
-    via_update, released_specially = set(), set()
-    next_id = max(rows) + 1
-    out, departure = {}, False
-    for rid, op, eid, name, user, role in sorted(reqs):
-        if op == "INSERT":
-            r = role or "cashier"
-            if not (name and user and r in ("owner", "admin", "cashier")):
-                out[rid] = ("ERROR", None)
-            elif user in holder:
-                departure |= user in via_update          # (2) insert vs update claim
-                out[rid] = ("DUPLICATE", None)
-            else:
-                departure |= user in released_specially  # (1) re-claim after a special release
-                rows[next_id] = [next_id, name, user, r, True]
-                holder[user] = next_id
-                out[rid] = ("INSERTED", next_id)
-                next_id += 1
-        elif op == "UPDATE":
-            if eid not in rows:
-                out[rid] = ("NO_MATCH", eid)
-            elif user in holder and holder[user] != eid:
-                out[rid] = ("DUPLICATE", eid)
-            else:
-                # the batch may still see a specially released name as taken
-                departure |= user in released_specially and user not in holder
-                if not (name and user and role in ("owner", "admin", "cashier")):
-                    out[rid] = ("ERROR", eid)
-                    continue
-                old = rows[eid][2]
-                if old != user:
-                    holder.pop(old, None)
-                    released_specially.add(old)           # released by a rename
-                    holder[user] = eid
-                    via_update.add(user)
-                rows[eid][1:4] = [name, user, role]
-                out[rid] = ("UPDATED", eid)
-        else:
-            if eid in rows:
-                gone = rows.pop(eid)
-                holder.pop(gone[2], None)
-                if eid not in base_ids:
-                    released_specially.add(gone[2])       # inserted employee deleted
-                out[rid] = ("DELETED", eid)
-            else:
-                out[rid] = ("NO_MATCH", eid)
-    return rows, out, departure
-
-
-def test_employee_changes_against_brute_force(spark, seed):
-    import random
-    base = [tuple(r) for r in seed.employees.collect()]
-    clean = 0
-    for seed_value in range(8):
-        rnd = random.Random(seed_value)
-        pool = ["owner", "admin", "cashier", "jane", "u1", "u2", "u3", "u4", "u5", "u6"]
-        reqs = []
-        for rid in range(1, 25):
-            op = rnd.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])
-            reqs.append((rid, op, None if op == "INSERT" else rnd.randint(1, 8), f"n{rid}",
-                         rnd.choice(pool), rnd.choice(["", "admin", "cashier", "boss"])))
-        rows, want, departure = _simulate_employees(base, reqs)
-        if departure:
-            continue
-        if clean == 3:
-            break
-        clean += 1
-        res = C.apply_employee_changes(seed.employees, spark.createDataFrame(reqs, S.EMPLOYEE_CHANGES))
-        got = {r["request_id"]: (r["status"], r["id"]) for r in res.outcomes.collect()}
-        assert got == want, seed_value
-        assert sorted(tuple(r) for r in res.table.collect()) == sorted(tuple(v) for v in rows.values())
-    assert clean >= 2       # the comparison must actually have run
