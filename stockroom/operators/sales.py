@@ -20,9 +20,8 @@ requests by product and sorts each partition by (product, ts, request_id);
 single integer of state, so memory is one batch whatever the product's size.
 The per-product serial order is what the source gets from its row lock;
 different products run in parallel.  A product with more than ``HOT_ROWS``
-requests is not left to one task: see the split path below (range segments,
-per-segment transfer tables chained per product, segments folded in
-parallel).
+requests is not left to one task: see the split path below (phases of prefix
+sums over range slices of the product's order, no Python).
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stockroom.functions.exprs import (INVALID_SALE_MESSAGE, NOT_FOUND_MESSAGE,
                                        insufficient_message, out_of_stock_message,
@@ -53,14 +52,8 @@ OVERFLOW_MESSAGE = "Out of range value for column 'total_amount'"
 
 # Requests per product above which its fold is split over several tasks.
 HOT_ROWS = 1_000_000
-# Largest remaining stock for which the tail of a hot product is tabled: a
-# segment's transfer table costs O(len + D²) with D ≤ that stock.  After the
-# decided prefix the remaining stock is below one request's quantity, so
-# only quantities that large exceed this; such a tail is folded in one task.
-SPLIT_MAX_STOCK = 20_000
-# Up to this many hot ids are filtered with a literal IN list, beyond it with
-# a broadcast join (the list is bounded by #requests / HOT_ROWS either way).
-MAX_LITERAL_IDS = 1_000
+# Rows of a per-product side (hot ids, their stocks, slices) up to which it is broadcast.
+SMALL_SIDE = 200_000
 
 # Status codes used inside the fold (small ints travel cheaply through Arrow).
 _CODES = {1: ACCEPTED, 2: INSUFFICIENT, 3: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
@@ -124,177 +117,95 @@ def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(_code=code, stock_before=before, left=after)
 
 
-# --- hot products: split one product's sequence over many tasks ----------------
+# --- hot products: one product's sequence decided by many tasks ----------------
 #
-# A product with more requests than ``hot_rows`` is not folded in one task.
-# Its requests are range-partitioned on (product_id, ts, request_id) — so a
-# product spans several partitions, each holding a contiguous segment of its
-# order — and the partition tag is pinned by a checkpoint.  Then:
-#   1. every segment computes its transfer table: leaving stock as a function
-#      of entering stock s, for s in [0, D] with D = min(stock0, Σq); above D
-#      every request is accepted, so the leaving stock is s − Σq;
-#   2. per product, the tables are chained in partition order from stock0 —
-#      one small row per segment — giving each segment its entering stock;
-#   3. every segment is folded in parallel from its entering stock.
-# Exact; a table costs O(D) per request that can still change the stock, and
-# at most D requests can, since each lowers the largest reachable stock.
-
-TABLE_SCHEMA = StructType([
-    StructField("product_id", LongType(), False),
-    StructField("_part", IntegerType(), False),
-    StructField("_sum_q", LongType(), False),
-    StructField("_table", ArrayType(IntegerType(), False), False),
-])
-
-
-def segment_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pass 1: transfer table of every (product, partition) segment."""
-    cur = None          # (product_id, part, stock0)
-    qs: list[np.ndarray] = []
-
-    def close():
-        pid, part, s0 = cur
-        q = np.concatenate(qs) if qs else np.empty(0, dtype=np.int64)
-        sum_q = int(q.sum())
-        dom = int(max(0, min(s0, sum_q)))
-        v = np.arange(dom + 1, dtype=np.int64)
-        top = dom
-        for x in q.tolist():
-            if x <= top:                         # can change some reachable stock
-                v = np.where((v >= x) & (v != 0), v - x, v)
-                top = int(v.max())
-        return {"product_id": pid, "_part": part, "_sum_q": sum_q, "_table": v.astype(np.int32)}
-
-    out: list[dict] = []
-    for b in batches:
-        if b.empty:
-            continue
-        keep = ~b["overflow"].to_numpy(dtype=bool)   # overflow never changes stock
-        pids = b["product_id"].to_numpy()
-        parts = b["_part"].to_numpy()
-        s0s = b["stock0"].to_numpy()
-        qv = b["quantity"].to_numpy().astype(np.int64)
-        # split the batch into runs of equal (product, part)
-        change = np.flatnonzero((pids[1:] != pids[:-1]) | (parts[1:] != parts[:-1])) + 1
-        for lo, hi in zip(np.r_[0, change], np.r_[change, len(b)]):
-            key = (int(pids[lo]), int(parts[lo]), int(s0s[lo]))
-            if cur is None or key[:2] != cur[:2]:
-                if cur is not None:
-                    out.append(close())
-                cur, qs = key, []
-            qs.append(qv[lo:hi][keep[lo:hi]])
-        if len(out) > 256:
-            yield pd.DataFrame(out)
-            out = []
-    if cur is not None:
-        out.append(close())
-    if out:
-        yield pd.DataFrame(out)
-
-
-def chain_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pass 2 (one product): entering stock of each segment, in partition order."""
-    pdf = pdf.sort_values("_part")
-    stock = int(pdf["stock0"].iloc[0])
-    enter = []
-    for sum_q, table in zip(pdf["_sum_q"].tolist(), pdf["_table"].tolist()):
-        enter.append(stock)
-        if stock < 0:
-            continue                      # negative stock: every request is rejected
-        stock = int(table[stock]) if stock < len(table) else stock - int(sum_q)
-    return pd.DataFrame({"product_id": pdf["product_id"].to_numpy(),
-                         "_part": pdf["_part"].to_numpy(), "_enter": enter})
-
-
-def _fold_hot_tables(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+# A product with more requests than ``hot_rows`` is not folded in one task.  Its
+# requests are range-partitioned on (product_id, ts, request_id), so a product spans
+# several partitions, and decided in phases of plain prefix sums, by what is known of
+# a stock R that only falls:
+#   * let M be the largest quantity that still fits (q <= R) and h = min(R div 2, M);
+#   * requests for at most h units ("small") are all accepted as long as the stock is
+#     above h, so the stock before every request is R minus a running sum;
+#   * of the others only those that fit are accepted: the first of them, or the small
+#     request that brings the stock down to h, ends the phase (an accepted large one
+#     leaves at most R div 2, since it takes more than h = R div 2);
+#   * without such a request the phase decides all that is left.
+# A phase leaves a stock of at most max(R div 2, M), and M at most after the first, so
+# there are at most some 32 of them whatever the quantities (1 + log2 of the largest
+# quantity in practice).  Requests that overflow the amount never change the stock.
+# Exact, and no task holds more than its slice of a product.
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """The small side of a join, of a known number of rows: broadcast up to SMALL_SIDE,
+    else left to a shuffle join."""
+    return F.broadcast(df) if rows <= SMALL_SIDE else df.hint("shuffle_hash")
+
+
+def _phase(rest: DataFrame, stock: DataFrame, n_products: int, n_slices: int) -> DataFrame:
+    """The requests ``rest`` with the stock before and after each and whether it may end
+    the phase; right up to the request that ends it.  ``stock``: product_id, R."""
+    free = ~F.col("overflow")
+    rows = rest.join(_side(stock, n_products), "product_id")
+    top = rows.where(free & (F.col("quantity") <= F.col("R"))).groupBy("product_id").agg(F.max("quantity").alias("M"))
+    level = stock.join(_side(top, n_products), "product_id", "left").select(
+        "product_id", "R", F.least(F.floor(F.col("R") / 2), F.coalesce("M", F.lit(0))).cast("long").alias("h"))
+    rows = rest.join(_side(level, n_products), "product_id")
+    takes = F.when(free & (F.col("quantity") <= F.col("h")), F.col("quantity").cast("long")).otherwise(F.lit(0).cast("long"))
+    # prefix sums: totals of the slices, then running sums inside them
+    totals = rows.groupBy("product_id", "_part").agg(F.sum(takes).alias("_sum"))
+    earlier = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("product_id", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_sum0"))
+    inside = (Window.partitionBy("product_id", "_part").orderBy("ts", "request_id")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.col("R") - F.col("_sum0") - F.sum(takes).over(inside) + takes
+    fits = free & (F.col("quantity") <= F.col("_before"))
+    after = F.col("_before") - F.when(F.col("_fits"), F.col("quantity")).otherwise(F.lit(0))
+    return (rows.join(_side(starts, n_slices), ["product_id", "_part"])
+            .withColumn("_before", before).withColumn("_fits", fits).withColumn("_after", after)
+            .withColumn("_ends", F.col("_fits") & ((F.col("quantity") > F.col("h")) | (F.col("_after") <= F.col("h")))))
+
+
+def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
+    """Outcomes (as :func:`fold_stock` gives them) of the requests of hot products."""
     ensure_checkpoint_dir(hot.sparkSession)
     keys = ("product_id", "ts", "request_id")
     spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
               else hot.repartitionByRange(*keys))      # AQE may merge adjacent ranges
-    ranged = (spread.withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
-    ordered = ranged.sortWithinPartitions("product_id", "ts", "request_id")
-    tables = ordered.select("product_id", "_part", "stock0", "quantity", "overflow") \
-        .mapInPandas(segment_tables, TABLE_SCHEMA)
-    stock0 = hot.select("product_id", "stock0").distinct()
-    enter = (tables.join(stock0, "product_id")
-             .groupBy("product_id")
-             .applyInPandas(chain_tables, "product_id long, _part int, _enter int"))
-    # ≤ (#partitions × #hot products) rows, both bounded: the broadcast is safe
-    # and keeps the checkpointed partitions in place (no shuffle of the requests).
-    seeded = (ranged.join(F.broadcast(enter), ["product_id", "_part"])
-              .withColumn("stock0", F.col("_enter")).drop("_enter", "_part"))
-    laid_out = seeded.sortWithinPartitions("product_id", "ts", "request_id")
-    out_schema = StructType(laid_out.schema.fields + FOLD_COLUMNS)
-    return laid_out.mapInPandas(fold_stock, out_schema)
-
-
-def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> list[int]:
-    """Ids of existing products with more than ``hot_rows`` valid requests.
-    One column-pruned partial aggregate; the list holds at most
-    #requests / hot_rows ids, so bringing it to the driver is bounded."""
+    rest = spread.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    columns = hot.columns
+    # one row a slice; products and slices only get fewer, so their numbers bound every side
+    slices = (rest.groupBy("product_id", "_part").agg(F.max("stock0").cast("long").alias("R")).checkpoint(eager=True))
+    stock = slices.groupBy("product_id").agg(F.max("R").alias("R"))
+    n_products, n_slices = slices.select("product_id").distinct().count(), slices.count()
+    code = (F.when(F.col("_before") == 0, F.lit(3)).when(F.col("_before") < F.col("quantity"), F.lit(2))
+            .when(F.col("overflow"), F.lit(4)).otherwise(F.lit(1)))
+    here, end = F.struct("ts", "request_id"), F.struct("_last.ts", "_last.request_id")
+    later = F.col("_last").isNotNull() & (here > end)
+    decided: DataFrame | None = None
+    while True:
+        rows = _phase(rest, stock, n_products, n_slices).checkpoint(eager=True)
+        last = (rows.where("_ends").groupBy("product_id")
+                .agg(F.min(F.struct("ts", "request_id", "_after")).alias("_last")).checkpoint(eager=True))
+        rows = rows.join(_side(last, n_products), "product_id", "left")
+        done = rows.where(~later).select(
+            *columns, code.cast("int").alias("_code"), F.col("_before").cast("int").alias("stock_before"),
+            F.col("_after").cast("int").alias("left"))
+        decided = done if decided is None else decided.unionByName(done)
+        if last.isEmpty():
+            return decided
+        stock = last.select("product_id", F.col("_last._after").alias("R"))
+        rest = rows.where(later).select(*columns, "_part")
+
+
+def hot_products(products: DataFrame, requests: DataFrame, hot_rows: int) -> DataFrame:
+    """product_id of existing products with more than ``hot_rows`` valid requests, written:
+    one column-pruned partial aggregate, at most #requests / hot_rows rows."""
+    ensure_checkpoint_dir(requests.sparkSession)
     counts = (requests.where(F.col("quantity") >= 1).groupBy("product_id")
               .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
     exists = products.select(F.col("id").alias("product_id"))
-    return [r[0] for r in counts.join(exists, "product_id", "left_semi").select("product_id").collect()]
-
-
-def _accepted_prefix(hot: DataFrame, n_partitions: int | None) -> tuple[DataFrame, DataFrame]:
-    """Split hot requests into the decided prefix and the tail.
-
-    Let C be the running total of requested quantity over rows that do not
-    overflow (an overflow row never changes the stock).  While C stays within
-    the starting stock every such row is accepted, and an overflow row in
-    that stretch is decided by the stock it sees — no fold needed, only a
-    distributed prefix sum: range slices of the product's order, slice totals
-    (≤ #partitions + #hot products rows, a bounded broadcast) and a running
-    sum inside each slice.  The tail starts from the remaining stock R, which
-    is below the quantity of its first request, so its transfer tables stay
-    small whatever the starting stock."""
-    ensure_checkpoint_dir(hot.sparkSession)
-    keys = ("product_id", "ts", "request_id")
-    spread = (hot.repartitionByRange(n_partitions, *keys) if n_partitions
-              else hot.repartitionByRange(*keys))
-    ranged = spread.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
-    q_eff = F.when(F.col("overflow"), F.lit(0)).otherwise(F.col("quantity"))
-    totals = ranged.groupBy("product_id", "_part").agg(F.sum(q_eff).alias("_sq"))
-    before = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("product_id", "_part",
-                         F.coalesce(F.sum("_sq").over(before), F.lit(0)).alias("_q0"))
-    upto = (Window.partitionBy("product_id", "_part").orderBy("ts", "request_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = (ranged.join(F.broadcast(offs), ["product_id", "_part"])
-         .withColumn("_c", F.col("_q0") + F.sum(q_eff).over(upto)))
-    in_prefix = F.col("_c") <= F.col("stock0")
-    stock_before = (F.col("stock0") - F.col("_c") + q_eff).cast("int")
-    code = (F.when(~F.col("overflow"), F.lit(1))               # accepted
-            .when(stock_before == 0, F.lit(3))
-            .when(stock_before < F.col("quantity"), F.lit(2))
-            .otherwise(F.lit(4)))
-    helper = ["_part", "_q0", "_c"]
-    prefix = (c.where(in_prefix)
-              .withColumn("_code", code)
-              .withColumn("stock_before", stock_before)
-              .withColumn("left", (F.col("stock0") - F.col("_c")).cast("int"))
-              .drop(*helper))
-    used = c.where(in_prefix).groupBy("product_id").agg(F.max("_c").alias("_used"))
-    tail = (c.where(~in_prefix).drop(*helper)
-            .join(F.broadcast(used), "product_id", "left")     # one row per hot product
-            .withColumn("stock0", (F.col("stock0") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
-            .drop("_used"))
-    return prefix, tail
-
-
-def _fold_hot(hot: DataFrame, n_partitions: int | None) -> DataFrame:
-    """Hot products: decided prefix by prefix sums, the tail by transfer tables
-    (or, if its remaining stock is still above ``SPLIT_MAX_STOCK`` — only
-    possible with quantities that large — by the single-task fold)."""
-    prefix, tail = _accepted_prefix(hot, n_partitions)
-    small = F.col("stock0") <= SPLIT_MAX_STOCK
-    cols = prefix.columns
-    return (prefix
-            .unionByName(_fold_hot_tables(tail.where(small), n_partitions).select(*cols))
-            .unionByName(_fold(tail.where(~small), n_partitions).select(*cols)))
+    return counts.join(exists, "product_id", "left_semi").select("product_id").checkpoint(eager=True)
 
 
 def _fold(ready: DataFrame, n_partitions: int | None) -> DataFrame:
@@ -323,14 +234,12 @@ def apply_sale_requests(products: DataFrame, requests: DataFrame,
     n = n_partitions
     j = prepare_requests(products, requests)
     ready = j.where(F.col("_pre").isNull()).drop("_pre", "_pid")
-    hot = hot_products(products, requests, hot_rows) if hot_rows else []
-    if len(hot) > MAX_LITERAL_IDS:
-        ids = ready.sparkSession.createDataFrame([(h,) for h in hot], "product_id long")
-        decided = (_fold(ready.join(F.broadcast(ids), "product_id", "left_anti"), n)
-                   .unionByName(_fold_hot(ready.join(F.broadcast(ids), "product_id", "left_semi"), n)))
-    elif hot:
-        is_hot = F.col("product_id").isin(hot)
-        decided = _fold(ready.where(~is_hot), n).unionByName(_fold_hot(ready.where(is_hot), n))
+    hot = hot_products(products, requests, hot_rows) if hot_rows else None
+    n_hot = hot.count() if hot is not None else 0
+    if n_hot:
+        ids = _side(hot, n_hot)
+        decided = (_fold(ready.join(ids, "product_id", "left_anti"), n)
+                   .unionByName(_fold_hot(ready.join(ids, "product_id", "left_semi"), n)))
     else:
         decided = _fold(ready, n)
     decided = decided.withColumn("_pre", F.lit(None).cast("string"))

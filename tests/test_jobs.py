@@ -399,6 +399,22 @@ def test_hot_split_with_overflow_row(spark, seed):
     assert {"AMOUNT_OVERFLOW", "ACCEPTED"} <= {s[1] for s in single}
 
 
+@pytest.mark.parametrize("choices,stock", [
+    ([1, 2, 3], 700), ([30_000, 50_000, 120_000, 1, 25_000, 999_999], 2_000_000), ([10 ** 9, 2 ** 30, 7, 10 ** 8], 2 ** 31 - 1),
+    ([2 ** k for k in range(8)], 2 ** 9 + 5), ([3], 0), ([3], -4)])
+def test_hot_products_of_any_quantity(spark, choices, stock):
+    """Large quantities in several tasks; none holds a product."""
+    import random
+    rnd = random.Random(len(choices))
+    prods = spark.createDataFrame([(p, f"p{p}", "c", stock - 3 * p if stock > 9 else stock, Decimal("0.01"), None)
+                                   for p in range(3)], S.PRODUCTS_CORE)
+    req = _reqs(spark, [(rnd.choice([0, 0, 0, 1, 2]), rnd.choice(choices)) for _ in range(600)])
+    key = ["request_id", "status", "stock_before", "left"]
+    single = sorted(map(tuple, SA.apply_sale_requests(prods, req, hot_rows=None).select(*key).collect()))
+    split = SA.apply_sale_requests(prods, req, n_partitions=6, hot_rows=20)
+    assert sorted(map(tuple, split.select(*key).collect())) == single
+
+
 def test_cli(tmp_path, capsys):
     from stockroom.__main__ import main
     assert main(["list"]) == 0
