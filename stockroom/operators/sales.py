@@ -16,7 +16,7 @@ rest goes through the fold.
 
 The fold is the one place Python runs per row.  Spark hash-partitions the
 requests by product and sorts each partition by (product, ts, request_id);
-``mapInPandas`` then walks the Arrow batches of a partition carrying a
+``mapInArrow`` then walks the Arrow batches of a partition carrying a
 single integer of state, so memory is one batch whatever the product's size.
 The per-product serial order is what the source gets from its row lock;
 different products run in parallel.  A product with more than ``HOT_ROWS``
@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -56,7 +56,8 @@ HOT_ROWS = 1_000_000
 SMALL_SIDE = 200_000
 
 # Status codes used inside the fold (small ints travel cheaply through Arrow).
-_CODES = {1: ACCEPTED, 2: INSUFFICIENT, 3: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
+OUT_OF_STOCK_CODE = 3
+_CODES = {1: ACCEPTED, 2: INSUFFICIENT, OUT_OF_STOCK_CODE: OUT_OF_STOCK_STATUS, 4: AMOUNT_OVERFLOW}
 
 FOLD_COLUMNS = [
     StructField("_code", IntegerType(), False),
@@ -76,22 +77,20 @@ def step(stock: int, q: int, overflow: bool) -> tuple[int, int]:
     return 1, stock - q
 
 
-def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fold_stock(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk one partition sorted by (product_id, ts, request_id).
 
     Reads product_id, quantity, stock0, overflow; every other column passes
-    through, so no join is needed to bring the request back.  State carried
-    across batches: the current product and its stock."""
+    through as it is, so no join is needed to bring the request back and no value
+    changes its type.  State carried across batches: the current product and its stock."""
     cur_pid = None
     stock = 0
     for b in batches:
-        if b.empty:
+        n = b.num_rows
+        if not n:
             continue
-        pids = b["product_id"].to_numpy()
-        qty = b["quantity"].to_numpy()
-        start = b["stock0"].to_numpy()
-        ovf = b["overflow"].to_numpy()
-        n = len(b)
+        pids, qty, start, ovf = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                 for c in ("product_id", "quantity", "stock0", "overflow"))
         code = np.empty(n, dtype=np.int32)
         before = np.empty(n, dtype=np.int32)
         after = np.empty(n, dtype=np.int32)
@@ -107,14 +106,15 @@ def fold_stock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # the rest of this product's run is out of stock: fill at once
                 k = np.searchsorted(starts, i, side="right")
                 end = int(starts[k]) if k < len(starts) else n
-                code[i:end], before[i:end], after[i:end] = 3, 0, 0
+                code[i:end], before[i:end], after[i:end] = OUT_OF_STOCK_CODE, 0, 0
                 i = end
                 continue
             before[i] = stock
             code[i], stock = step(stock, ql[i], ol[i])
             after[i] = stock
             i += 1
-        yield b.assign(_code=code, stock_before=before, left=after)
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, (code, before, after))],
+                                         names=[*b.schema.names, *(f.name for f in FOLD_COLUMNS)])
 
 
 # --- hot products: one product's sequence decided by many tasks ----------------
@@ -216,7 +216,7 @@ def _fold(ready: DataFrame, n_partitions: int | None) -> DataFrame:
               else ready.repartition("product_id"))
     laid_out = spread.sortWithinPartitions("product_id", "ts", "request_id")
     out_schema = StructType(laid_out.schema.fields + FOLD_COLUMNS)
-    return laid_out.mapInPandas(fold_stock, out_schema)
+    return laid_out.mapInArrow(fold_stock, out_schema)
 
 
 def apply_sale_requests(products: DataFrame, requests: DataFrame,

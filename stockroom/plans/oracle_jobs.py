@@ -357,6 +357,11 @@ def _streams() -> dict[str, str]:
         "stream_daily_kpis": A(
             f"SELECT sale_date AS day, COALESCE(CAST(SUM(total_amount) AS {MS}), 0) AS revenue, "
             f"CAST(SUM(quantity) AS BIGINT) AS items_sold, COUNT(*) AS transactions FROM f_sales GROUP BY sale_date"),
+        # days whose end lies a watermark's day before the latest sale
+        "stream_daily_kpis_closed": A(
+            f"SELECT sale_date AS day, COALESCE(CAST(SUM(total_amount) AS {MS}), 0) AS revenue, "
+            f"CAST(SUM(quantity) AS BIGINT) AS items_sold, COUNT(*) AS transactions FROM f_sales GROUP BY sale_date "
+            f"HAVING sale_date + INTERVAL 2 DAY <= (SELECT MAX(sale_timestamp) FROM f_sales)"),
         "stream_revenue_by_category": A(
             f"SELECT category, CAST(SUM(quantity) AS BIGINT) AS total_units_sold, "
             f"CAST(SUM(total_amount) AS {MS}) AS total_revenue FROM f_sales GROUP BY category"),

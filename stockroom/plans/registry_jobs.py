@@ -140,6 +140,12 @@ def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_run(spark, R.run_complete(agg, "daily-kpis"), agg.schema)
 
 
+def _r2_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: a day comes out once, when the watermark has passed it, and its state goes."""
+    agg = R.stream_daily_kpis(R.sales_stream(spark, sf_dir))
+    return R.read_run(spark, R.run_append(agg, "daily-kpis-closed"), agg.schema)
+
+
 def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = R.stream_revenue_by_category(R.sales_stream(spark, sf_dir))
     return R.read_run(spark, R.run_complete(agg, "revenue-by-category"), agg.schema)
@@ -154,6 +160,7 @@ def _r4(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS.update({
     "stream_apply_sales": _r1,
     "stream_daily_kpis": _r2,
+    "stream_daily_kpis_closed": _r2_closed,
     "stream_revenue_by_category": _r3,
     "stream_stock_alerts": _r4,
 })

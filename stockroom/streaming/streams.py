@@ -1,12 +1,14 @@
 """Structured Streaming versions of the sale ledger and live figures.
 
-* R1 ``stream_apply_sales`` — M11 on an unbounded feed.  Requests are grouped
-  by product with ``applyInPandasWithState``; the state is one integer (the
-  stock left) per product, initialised from a stream-static join with the
-  product table at the product's first request.  Inside a micro-batch a
-  product's requests are sorted by (ts, request_id) before folding; across
-  micro-batches earlier batches come first.  With one batch per key (or a
-  feed that arrives in ts order) the result equals M11.
+* R1 ``stream_apply_sales`` — M11 on an unbounded feed, read once.  A stateful
+  processor (``transformWithStateInPandas``, RocksDB) keeps one integer a product,
+  the stock left; the products' stock is handed over as initial state.  Inside a
+  micro-batch a product's requests are folded in order of (ts, request_id): the
+  chunks that arrive are kept as numbers only (some 40 bytes a request, bounded by
+  the trigger size), sorted and given out in slices; across micro-batches earlier
+  batches come first.  With one batch per key (or a feed that arrives in ts order)
+  the result equals M11.  Requests that need no stock to decide are spread over
+  lanes of their own, which keep no state.
 * R2 ``stream_daily_kpis`` — A13 for every day: tumbling 1-day event-time
   windows with a 1-day watermark (late data older than that is dropped).
 * R3 ``stream_revenue_by_category`` — A1 kept live.
@@ -23,15 +25,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from stockroom.functions.exprs import LOW_STOCK, OUT_OF_STOCK, money_sum
-from stockroom.operators.sales import ACCEPTED, decorate_outcomes, prepare_requests, step
-from stockroom.schemas import LOW_STOCK_LIMIT, MONEY_SUM
+from stockroom.operators.sales import (ACCEPTED, INVALID_QUANTITY, NOT_FOUND, OUT_OF_STOCK_CODE, decorate_outcomes,
+                                       step)
+from stockroom.schemas import LOW_STOCK_LIMIT, MONEY, MONEY_SUM
 from stockroom.session import scratch_path
 from stockroom.sources.adapters import sale_feed_from_star, sales_from_star
 
@@ -73,48 +77,108 @@ def window_day(col: str, spark: SparkSession) -> F.Column:
 
 # --- R1 -------------------------------------------------------------------------
 
-def _fold_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["ts", "request_id"], kind="stable").reset_index(drop=True)
-    stock = state.get[0] if state.exists else None
-    n = len(pdf)
-    code = [None] * n
-    before = [None] * n
-    after = [None] * n
-    qty = pdf["quantity"].tolist()
-    s0 = pdf["stock0"].tolist()
-    ovf = pdf["overflow"].tolist()
-    for i in range(n):
-        if stock is None:
-            stock = int(s0[i])
-        before[i] = stock
-        code[i], stock = step(stock, int(qty[i]), bool(ovf[i]))
-        after[i] = stock
-    if stock is not None:
-        state.update((int(stock),))
-    pdf["_code"] = pd.array(code, dtype="Int32")
-    pdf["stock_before"] = pd.array(before, dtype="Int32")
-    pdf["left"] = pd.array(after, dtype="Int32")
-    yield pdf
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+# Lanes for requests that need no stock; lane 0 is the products' own.
+LANES = 4096
+# Stands for NULL in number columns, which pandas would turn into floats.  (The chunks'
+# columns must not start with an underscore: the worker renames those.)
+NONE = -(2 ** 62)
+# Rows of one product given out at a time.
+SLICE_ROWS = 20_000
+
+OUTCOME_NUMBERS = ("request_id", "product_id", "quantity", "cashier_id", "cents")
+LEDGER_SCHEMA = StructType(
+    [StructField(c, LongType(), False) for c in OUTCOME_NUMBERS]
+    + [StructField("ts", TimestampNTZType(), True), StructField("pre", StringType(), True),
+       StructField("product_name", StringType(), True), StructField("category", StringType(), True)]
+    + [StructField(c, IntegerType(), False) for c in ("_code", "stock_before", "left")])
+
+
+class StockLedger(StatefulProcessor):
+    """Folds a product's requests over its stock, the only state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("left", STATE_SCHEMA)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.stock.update((int(initialState["stock0"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] != 0:                                   # a lane without stock
+            for chunk in rows:
+                if len(chunk):
+                    yield chunk.assign(_code=0, stock_before=0, left=0)[LEDGER_SCHEMA.names]
+            return
+        first, parts = None, []
+        for chunk in rows:
+            if not len(chunk):                            # an empty chunk may come without columns
+                continue
+            first = chunk.iloc[0] if first is None else first
+            parts.append([chunk[c].to_numpy() for c in ("ts", "request_id", "quantity", "cashier_id", "overflow")])
+        if first is None:
+            return
+        ts, request, quantity, cashier, overflow = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((request, ts))
+        # a product that came after the start has no initial state
+        stock = int(self.stock.get()[0]) if self.stock.exists() else int(first["stock0"])
+        for low in range(0, len(order), SLICE_ROWS):
+            at = order[low:low + SLICE_ROWS]
+            code, before, left = (np.zeros(len(at), dtype=np.int32) for _ in range(3))
+            for i, (q, o) in enumerate(zip(quantity[at].tolist(), overflow[at].tolist(), strict=True)):
+                if stock == 0:                            # nothing changes any more
+                    code[i:] = OUT_OF_STOCK_CODE
+                    break
+                before[i] = stock
+                code[i], stock = step(stock, q, o)
+                left[i] = stock
+            yield pd.DataFrame({
+                "request_id": request[at], "product_id": int(first["product_id"]), "quantity": quantity[at],
+                "cashier_id": cashier[at], "cents": int(first["cents"]), "ts": ts[at], "pre": None,
+                "product_name": first["product_name"], "category": first["category"],
+                "_code": code, "stock_before": before, "left": left})[LEDGER_SCHEMA.names]
+        self.stock.update((stock,))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_apply_sales(products: DataFrame, feed: DataFrame) -> DataFrame:
     """Streaming sale outcomes (same columns as M11).
 
-    Requests that need no stock to decide (invalid quantity, unknown or missing
-    product) stay out of the keyed state: a flood of them is spread over all tasks."""
-    prepared = prepare_requests(products, feed).drop("_pid")
-    out_schema = StructType(prepared.schema.fields + [
-        StructField("_code", IntegerType(), True),
-        StructField("stock_before", IntegerType(), True),
-        StructField("left", IntegerType(), True)])
-    folded = (prepared.where("_pre is null").groupBy("product_id")
-              .applyInPandasWithState(_fold_group, out_schema, STATE_SCHEMA, "append",
-                                      GroupStateTimeout.NoTimeout))
-    none = F.lit(None).cast("int")
-    decided = prepared.where("_pre is not null").select(
-        "*", none.alias("_code"), none.alias("stock_before"), none.alias("left"))
-    return decorate_outcomes(folded.unionByName(decided))
+    Start it on a session with the RocksDB state store (:func:`run_append` sees to it)."""
+    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"), "category",
+                        (F.col("price") * 100).cast("long").alias("cents"), F.col("quantity").alias("stock0"))
+    r = feed.select("request_id", "product_id", "quantity", "ts", "cashier_id")
+    invalid = F.col("quantity").isNull() | (F.col("quantity") < 1)
+    # an invalid request's product isn't looked up
+    j = r.join(p, (F.col("product_id") == F.col("_pid")) & ~invalid, "left")
+    pre = (F.when(invalid, F.lit(INVALID_QUANTITY)).when(F.col("_pid").isNull(), F.lit(NOT_FOUND)))
+    price = (F.col("cents") / F.lit(100)).cast(MONEY)
+    total = (price * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+    number = {c: F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(c) for c in OUTCOME_NUMBERS}
+    lane = F.when(F.col("pre").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("request_id"), F.lit(LANES)))
+    rows = j.withColumn("pre", pre).select(
+        F.when(F.col("pre").isNull(), F.col("product_id")).otherwise(F.lit(NONE)).cast("long").alias("product"),
+        lane.cast("long").alias("lane"), *number.values(), "ts", "pre", "product_name", "category",
+        F.coalesce("stock0", F.lit(0)).alias("stock0"), total.isNull().alias("overflow"))
+    stocks = products.select(F.col("id").cast("long").alias("product"), F.lit(0).cast("long").alias("lane"),
+                             F.col("quantity").alias("stock0"))
+    out = (rows.groupBy("product", "lane")
+           .transformWithStateInPandas(StockLedger(), LEDGER_SCHEMA, "Append", "None",
+                                       initialState=stocks.groupBy("product", "lane")))
+    schema = {f.name: f.dataType for f in r.schema.fields}
+    back = {c: F.nullif(F.col(c), F.lit(NONE).cast("long")) for c in OUTCOME_NUMBERS}
+    decided = F.col("_code") != 0
+    out = out.select(
+        *[back[c].cast(schema[c]).alias(c) for c in ("request_id", "product_id", "quantity", "cashier_id")],
+        "ts", F.col("pre").alias("_pre"), "product_name", "category",
+        (back["cents"] / F.lit(100)).cast(MONEY).alias("unit_price"),
+        *[F.when(decided, F.col(c)).alias(c) for c in ("_code", "stock_before", "left")])
+    total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+    return decorate_outcomes(out.withColumn("total_amount", total))
 
 
 # --- R2, R3 ---------------------------------------------------------------------
@@ -157,16 +221,25 @@ class StreamRun:
     checkpoint: str
 
 
-def run_append(df: DataFrame, name: str, available_now: bool = True) -> StreamRun:
-    """Append-mode stream → Parquet folder; blocks until the input is drained."""
+def _state_in_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors keep several kinds of state, which only the RocksDB store holds;
+    a session that has another one set keeps it for what it started before."""
+    if spark.conf.get(PROVIDER, "") != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def run_append(df: DataFrame, name: str, available_now: bool = True, run: StreamRun | None = None) -> StreamRun:
+    """Append-mode stream → Parquet folder; blocks until the input is drained.  ``run``:
+    an earlier run to go on with, from its checkpoint."""
     spark = df.sparkSession
-    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+    _state_in_rocksdb(spark)
+    run = run or StreamRun(scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt"))
+    w = df.writeStream.format("parquet").option("path", run.output).option("checkpointLocation", run.checkpoint)
     q = (w.trigger(availableNow=True) if available_now else w).outputMode("append").start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return StreamRun(out, ck)
+    return run
 
 
 def run_complete(df: DataFrame, name: str) -> StreamRun:
