@@ -35,6 +35,9 @@ from stockroom.operators.unique import (ACCEPTED as TAKEN, BASE, BEFORE_ALL, INS
                                         UPDATE, decide_claims)
 from stockroom.session import ensure_checkpoint_dir
 
+# Keys below which no id lies, and how many of them NULL keys are spread over.
+NO_KEY, SPREAD = -(2 ** 60), 1 << 20
+
 # Fixed outcome labels of a change request.
 INSERTED, UPDATED, DELETED, NO_MATCH = "INSERTED", "UPDATED", "DELETED", "NO_MATCH"
 DUPLICATE, ERROR = "DUPLICATE", "ERROR"
@@ -74,6 +77,13 @@ def next_after(base: DataFrame, high_water: int | None = None, id_col: str = "id
     return top if high_water is None else F.greatest(top, F.lit(high_water).cast("bigint"))
 
 
+def last_id(given: DataFrame, base: DataFrame, high_water: int | None = None) -> DataFrame:
+    """One row, ``last_id``: the largest of the ids given out now, those in the table before
+    and the stored mark."""
+    ids = given.select("id").unionByName(base.select("id")).agg(F.max("id").alias("id"))
+    return ids.select(F.greatest(F.coalesce("id", F.lit(0)), F.lit(high_water or 0)).cast("bigint").alias("last_id"))
+
+
 def assign_ids(rows: DataFrame, start_after: Column, order_col: str | list[str] = "request_id",
                id_col: str = "id") -> DataFrame:
     """M3: AUTO_INCREMENT — number ``rows`` start_after+1, +2, … in ``order_col`` order.
@@ -112,6 +122,26 @@ def delete_cascade_null(child: DataFrame, fk: str, deleted_keys: DataFrame,
     return child.join(d, child[fk] == d._dk, "left").select(*cols)
 
 
+def cascade_deletes(child: DataFrame, deleted: dict[str, DataFrame], key_col: str = "id") -> DataFrame:
+    """M4 for several foreign keys at once: ``deleted`` maps each key column of ``child`` to
+    the frame of deleted parents; one scan of ``child`` nulls them all.
+
+    The deleted keys are distinct first, so every join keeps the child's rows; Spark's size
+    check broadcasts them where they are few.  Where a join shuffles, rows whose key is NULL
+    (which match nothing) are dealt by a hash of the other columns instead of meeting in
+    one task: a NULL key takes a spread key below every real one."""
+    out = child
+    for fk, parents in deleted.items():
+        kind = child.schema[fk].dataType
+        gone = parents.select(F.col(key_col).cast("long").alias("_dk")).where("_dk is not null").distinct()
+        spread = NO_KEY - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in child.columns]), F.lit(SPREAD))
+        key = F.coalesce(F.col(f"`{fk}`").cast("long"), spread)
+        out = (out.withColumn("_fk", key).join(gone, F.col("_fk") == F.col("_dk"), "left")
+               .withColumn(fk, F.when(F.col("_dk").isNull(), F.col(f"`{fk}`")).otherwise(F.lit(None).cast(kind)))
+               .drop("_fk", "_dk"))
+    return out
+
+
 def delete_cascade_remove(parent: DataFrame, deleted_keys: DataFrame, key_col: str = "id") -> DataFrame:
     """Parent rows that survive a delete (anti join)."""
     d = deleted_keys.select(F.col(key_col).alias("_dk"))
@@ -171,6 +201,7 @@ class ChangeResult:
     outcomes: DataFrame         # request_id, op, id, status, message
     deleted_ids: DataFrame      # id of every row removed
     suppliers: DataFrame | None = None
+    last_id: DataFrame | None = None    # one row: the last id given out, used or not
 
 
 # --- M1 -------------------------------------------------------------------------
@@ -199,7 +230,8 @@ def _nulls(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
 
 
-def upsert_suppliers(suppliers: DataFrame, requests: DataFrame, as_of_ts=None) -> DataFrame:
+def upsert_suppliers(suppliers: DataFrame, requests: DataFrame, as_of_ts=None,
+                     high_water: int | None = None) -> DataFrame:
     """M1: INSERT … ON DUPLICATE KEY UPDATE contact_email, by unique name.
 
     Applies to every INSERT/UPDATE request with a supplier, whatever later
@@ -218,7 +250,7 @@ def upsert_suppliers(suppliers: DataFrame, requests: DataFrame, as_of_ts=None) -
                 .select(*[kept.get(c, F.col(c)).alias(c) for c in suppliers.columns]))
     new = (j.where(F.col("_bname").isNull())
            .select(F.col("name"), F.col("_contact").alias("contact_email"), F.col("_first")))
-    new = assign_ids(new, max_id(suppliers), order_col="_first").drop("_first")
+    new = assign_ids(new, next_after(suppliers, high_water), order_col="_first").drop("_first")
     new = new.select("*", *_nulls(suppliers, [c for c in suppliers.columns if c not in new.columns]))
     if as_of_ts is not None and "created_at" in suppliers.columns:
         new = new.withColumn("created_at", _stamp(as_of_ts))
@@ -235,12 +267,13 @@ def _product_fields_ok() -> Column:
 
 
 def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: DataFrame,
-                          as_of_ts=None, high_water: int | None = None) -> ChangeResult:
+                          as_of_ts=None, high_water: int | None = None,
+                          supplier_high_water: int | None = None) -> ChangeResult:
     """M2: INSERT (new id) / UPDATE (all fields, by id) / DELETE (by id).
 
     ``supplier_id`` is the id of the named supplier after M1, NULL when the
     request's supplier is blank (an UPDATE with a blank supplier clears it)."""
-    new_suppliers = upsert_suppliers(suppliers, requests, as_of_ts)
+    new_suppliers = upsert_suppliers(suppliers, requests, as_of_ts, supplier_high_water)
     sid = new_suppliers.select(F.col("name").alias("_sname"), F.col("id").alias("_sid"))
     # A price that does not fit DECIMAL(10,2) makes the statement fail →
     # the request is an ERROR, the batch goes on (try_cast, not an ANSI error).
@@ -288,7 +321,8 @@ def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: D
                 .unionByName(reqs.where(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNull())
                              .select("request_id", "op", "id", F.lit(NO_MATCH).alias("status")))
                 .unionByName(_unknown_ops(reqs)))
-    return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted, suppliers=new_suppliers)
+    return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted, suppliers=new_suppliers,
+                        last_id=last_id(inserted, products, high_water))
 
 
 def _unknown_ops(reqs: DataFrame) -> DataFrame:
@@ -386,7 +420,7 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
                              .select("request_id", "op", "id", F.lit(NO_MATCH).alias("status")))
                 .unionByName(_unknown_ops(reqs))
                 .withColumn("message", msg))
-    return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted)
+    return ChangeResult(table=table, outcomes=outcomes, deleted_ids=deleted, last_id=last_id(inserts, employees, high_water))
 
 
 # --- M7 -------------------------------------------------------------------------
@@ -518,7 +552,7 @@ def validate_sale_requests(requests: DataFrame) -> DataFrame:
 
 __all__ = [
     "INSERTED", "UPDATED", "DELETED", "NO_MATCH", "DUPLICATE", "ERROR", "ChangeResult",
-    "max_id", "next_after", "assign_ids", "delete_cascade_null", "delete_cascade_remove", "touch_updated_at",
+    "max_id", "next_after", "last_id", "one_spelling", "assign_ids", "delete_cascade_null", "cascade_deletes", "delete_cascade_remove", "touch_updated_at",
     "supplier_requests", "upsert_suppliers", "apply_product_changes", "apply_employee_changes",
     "validate_table", "validate_product_requests", "validate_employee_requests",
     "validate_sale_requests", "rank_within_group",

@@ -196,6 +196,22 @@ def build() -> dict[str, str]:
         "s.category, s.unit_price, s.quantity, s.total_amount, s.sale_date, s.sale_timestamp, s.cashier_id "
         "FROM f_sales s LEFT JOIN (SELECT DISTINCT id FROM res WHERE status = 'DELETED') d ON s.product_id = d.id",
         PRODUCT_CHANGES)
+    q["cascade_sales_keys"] = A(
+        "SELECT s.id, CASE WHEN s.product_id IN (SELECT id FROM res WHERE status = 'DELETED') THEN NULL ELSE s.product_id "
+        "END AS product_id, s.product_name, s.category, s.unit_price, s.quantity, s.total_amount, s.sale_date, "
+        "s.sale_timestamp, CASE WHEN s.cashier_id IN (SELECT id FROM eres WHERE status = 'DELETED') THEN NULL "
+        "ELSE s.cashier_id END AS cashier_id FROM f_sales s", PRODUCT_CHANGES + "," + EMPLOYEE_CHANGES, recursive=True)
+    q["cascade_product_suppliers"] = A(
+        "SELECT id, name, category, quantity, price, CASE WHEN supplier_id % 4 = 1 AND supplier_id IN "
+        "(SELECT id FROM f_suppliers) THEN NULL ELSE supplier_id END AS supplier_id, created_at, updated_at FROM f_products")
+    after = SALE_FOLD.replace("f_products", "new_products")
+    q["id_marks_after_changes"] = A(
+        "SELECT 'products' AS table_name, CAST((SELECT MAX(id) FROM cur) AS BIGINT) AS last_id "
+        "UNION ALL SELECT 'suppliers', CAST((SELECT MAX(id) FROM new_sup) AS BIGINT) "
+        "UNION ALL SELECT 'employees', CAST(GREATEST((SELECT MAX(id) FROM f_employees), "
+        "(SELECT MAX(eid) FROM eseq WHERE op = 'INSERT')) AS BIGINT) "
+        "UNION ALL SELECT 'sales', CAST((SELECT MAX(id) FROM f_sales) + (SELECT COUNT(*) FROM sale_results "
+        "WHERE status = 'ACCEPTED') AS BIGINT)", PRODUCT_CHANGES + "," + EMPLOYEE_CHANGES + "," + after, recursive=True)
     q["touch_updated_at"] = A(
         "SELECT id, name, category, quantity, price, supplier_id, "
         "CASE WHEN changed_ THEN TIMESTAMP '1998-06-01 00:00:00' ELSE updated_at END AS updated_at, "

@@ -13,10 +13,11 @@ from stockroom.operators.listings import product_list
 from stockroom.plans.console import adhoc_sql, result_meta
 from stockroom.plans.registry import Query, _q
 from stockroom.session import scratch_path
-from stockroom.sources.adapters import (RetailTables, broken_products, broken_suppliers,
+from stockroom.sources.adapters import (RetailTables, broken_products, broken_suppliers, closed_suppliers,
                                         load_retail_from_star, typed_product_changes)
 from stockroom.sources.catalog import register_views
 from stockroom.sources.sinks import read_report, write_report
+from stockroom.sources.versions import apply_batches, id_marks
 from stockroom.streaming import streams as R
 
 AS_OF_TS = dt.datetime(1998, 6, 1, 0, 0, 0)
@@ -47,6 +48,11 @@ def _outcome_counts(t: RetailTables) -> DataFrame:
             .unionByName(counts("employee", t.employee_changes, _employee_changes(t).outcomes)))
 
 
+def _marks(t: RetailTables) -> DataFrame:
+    """The last id of every table after both change batches and the sale requests."""
+    return id_marks(apply_batches(t, {}, t.product_changes, t.employee_changes, t.sale_requests)[1])
+
+
 JOBS: dict[str, Query] = {
     "request_outcomes_complete": _q(_outcome_counts),
     "upsert_suppliers": _q(lambda t: C.upsert_suppliers(t.suppliers, t.product_changes)),
@@ -57,6 +63,11 @@ JOBS: dict[str, Query] = {
         C.max_id(t.products))),
     "delete_cascade_null": _q(lambda t: C.delete_cascade_null(
         t.sales, "product_id", _product_changes(t).deleted_ids)),
+    # both keys of sales in one scan, and the supplier key of products
+    "cascade_sales_keys": _q(lambda t: C.cascade_deletes(
+        t.sales, {"product_id": _product_changes(t).deleted_ids, "cashier_id": _employee_changes(t).deleted_ids})),
+    "cascade_product_suppliers": _q(lambda t: C.cascade_deletes(t.products, {"supplier_id": closed_suppliers(t.suppliers)})),
+    "id_marks_after_changes": _q(_marks),
     "touch_updated_at": _q(lambda t: C.apply_product_changes(
         t.products, t.suppliers, t.product_changes, as_of_ts=AS_OF_TS).table),
     "apply_employee_changes": _q(lambda t: _employee_changes(t).table),

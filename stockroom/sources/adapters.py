@@ -190,6 +190,11 @@ def broken_suppliers(suppliers: DataFrame) -> DataFrame:
         F.when(k % 4 == 0, F.repeat("phone", F.lit(9))).otherwise(F.col("phone")).alias("phone"), "address", "created_at")
 
 
+def closed_suppliers(suppliers: DataFrame) -> DataFrame:
+    """Some suppliers as rows to delete."""
+    return suppliers.where(F.col("id") % 4 == 1).select("id")
+
+
 def typed_product_changes(requests: DataFrame) -> DataFrame:
     """Product requests as typed into a form: quantity and price are text, some no numbers."""
     k = F.col("request_id")
