@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from stockroom.functions.exprs import (DUPLICATE_USERNAME_MESSAGE, REQUIRED_FIELDS_MESSAGE,
                                        INVALID_SALE_MESSAGE, default_contact_email,
                                        falsy_default, js_trim, parse_float, parse_int)
-from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, EMAIL_MAX, MONEY, NAME_MAX,
-                               PHONE_MAX, ROLES, USERNAME_MAX)
+from stockroom.schemas import (CATEGORY_MAX, DEFAULT_ROLE, EMAIL_MAX, MONEY, NAME_MAX, ROLES, RULES,
+                               USERNAME_MAX, Rules)
 from stockroom.operators.unique import (ACCEPTED as TAKEN, BASE, BEFORE_ALL, INSERT, NEVER, REFUSED,
                                         UPDATE, decide_claims)
 from stockroom.session import ensure_checkpoint_dir
@@ -58,6 +58,11 @@ def one_spelling(df: DataFrame, column: str, collation: str | None, out: str) ->
     return df.join(known, F.col(column) == F.col("_s"), "left").drop("_s")
 
 
+def under(c: Column, collation: str | None) -> Column:
+    """A text key compared under ``collation`` (None: byte by byte)."""
+    return F.collate(c, collation) if collation else c
+
+
 def _truthy(c: Column) -> Column:
     """JavaScript truthiness of a text field: not NULL and not ''."""
     return c.isNotNull() & (c != "")
@@ -231,20 +236,23 @@ def _nulls(df: DataFrame, names: list[str]) -> list[Column]:
 
 
 def upsert_suppliers(suppliers: DataFrame, requests: DataFrame, as_of_ts=None,
-                     high_water: int | None = None) -> DataFrame:
+                     high_water: int | None = None, collation: str | None = None) -> DataFrame:
     """M1: INSERT … ON DUPLICATE KEY UPDATE contact_email, by unique name.
 
     Applies to every INSERT/UPDATE request with a supplier, whatever later
     happens to the product (no transaction spans the two statements).  The
     last request per name sets the contact; new names get ids in order of
     their first request.  Every other column of the table is kept; a new row has
-    NULL there, but for ``created_at`` when ``as_of_ts`` is given."""
+    NULL there, but for ``created_at`` when ``as_of_ts`` is given.  Under ``collation``
+    names may differ in spelling: a stored name stays, a new one is that of its first
+    request."""
     reqs = supplier_requests(requests)
-    per_name = reqs.groupBy("name").agg(
+    per_name = reqs.groupBy(under(F.col("name"), collation).alias("_key")).agg(
         F.max_by("contact", "request_id").alias("_contact"),
-        F.min("request_id").alias("_first"))
+        F.min_by("name", "request_id").alias("name"),
+        F.min("request_id").alias("_first")).drop("_key")
     base = suppliers.withColumnRenamed("name", "_bname")
-    j = per_name.join(base, per_name.name == base._bname, "full")
+    j = per_name.join(base, under(per_name.name, collation) == under(base._bname, collation), "full")
     kept = {"name": F.col("_bname"), "contact_email": F.coalesce("_contact", "contact_email")}
     existing = (j.where(F.col("_bname").isNotNull())
                 .select(*[kept.get(c, F.col(c)).alias(c) for c in suppliers.columns]))
@@ -268,19 +276,20 @@ def _product_fields_ok() -> Column:
 
 def apply_product_changes(products: DataFrame, suppliers: DataFrame, requests: DataFrame,
                           as_of_ts=None, high_water: int | None = None,
-                          supplier_high_water: int | None = None) -> ChangeResult:
+                          supplier_high_water: int | None = None, collation: str | None = None) -> ChangeResult:
     """M2: INSERT (new id) / UPDATE (all fields, by id) / DELETE (by id).
 
     ``supplier_id`` is the id of the named supplier after M1, NULL when the
-    request's supplier is blank (an UPDATE with a blank supplier clears it)."""
-    new_suppliers = upsert_suppliers(suppliers, requests, as_of_ts, supplier_high_water)
+    request's supplier is blank (an UPDATE with a blank supplier clears it); ``collation``
+    is the one under which supplier names are equal."""
+    new_suppliers = upsert_suppliers(suppliers, requests, as_of_ts, supplier_high_water, collation)
     sid = new_suppliers.select(F.col("name").alias("_sname"), F.col("id").alias("_sid"))
     # A price that does not fit DECIMAL(10,2) makes the statement fail →
     # the request is an ERROR, the batch goes on (try_cast, not an ANSI error).
     reqs = requests.select("request_id", "op", "id", "name", "category", "quantity",
                            F.col("price").try_cast(MONEY).alias("price"), "supplier",
                            _supplier_fits().alias("_fits"))
-    reqs = (reqs.join(sid, _truthy(reqs.supplier) & (reqs.supplier == sid._sname), "left")
+    reqs = (reqs.join(sid, _truthy(reqs.supplier) & (under(reqs.supplier, collation) == under(sid._sname, collation)), "left")
             .withColumn("supplier_id", F.col("_sid")).drop("_sname", "_sid")
             .withColumn("_ok", F.coalesce(_product_fields_ok() & F.col("_fits"), F.lit(False))))
 
@@ -425,90 +434,57 @@ def apply_employee_changes(employees: DataFrame, requests: DataFrame, as_of_ts=N
 
 # --- M7 -------------------------------------------------------------------------
 
-def _violations(df: DataFrame, table: str, rule: str, cond: Column, key: str = "id",
-                detail: Column | None = None) -> DataFrame:
-    d = detail if detail is not None else F.lit(None).cast("string")
-    return df.where(cond).select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                                 F.col(key).cast("string").alias("row_key"), d.alias("detail"))
-
-
-def _duplicates(df: DataFrame, table: str, col: str) -> DataFrame:
-    """One row per duplicated value (never all pairs)."""
-    g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return g.where(F.col("_n") > 1).select(
-        F.lit(table).alias("table_name"), F.lit(f"unique_{col}").alias("rule"),
-        F.col(col).cast("string").alias("row_key"),
-        F.concat(F.col("_n").cast("string"), F.lit(" rows")).alias("detail"))
-
-
-def _missing_parent(df: DataFrame, table: str, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:
-    p = parent.select(F.col(pk).alias("_pk"))
-    orphans = df.where(F.col(fk).isNotNull()).join(p, F.col(fk) == p._pk, "left_anti")
-    return _violations(orphans, table, f"fk_{fk}", F.lit(True),
-                       detail=F.col(fk).cast("string"))
-
-
-def _row_rules(df: DataFrame, table: str, rules: list[tuple[str, Column, Column | None]],
-               key: str = "id") -> DataFrame:
-    """All row-level rules in one pass: an array of the violated rules per row, exploded."""
-    hits = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"),
-                                           (detail if detail is not None
-                                            else F.lit(None).cast("string")).alias("detail")))
-                     for rule, cond, detail in rules])
-    return (df.select(F.col(key).cast("string").alias("row_key"),
-                      F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-            .select(F.lit(table).alias("table_name"), F.col("h.rule").alias("rule"), "row_key",
-                    F.col("h.detail").alias("detail")))
-
-
-def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """M7: NOT NULL, UNIQUE, ENUM, length and FK rules → one row per violation.
-
-    Row rules are evaluated in a single scan; each UNIQUE rule is one
-    aggregate and each FK rule one anti join."""
-    parents = parents or {}
-    c = F.col
-    rules: list[tuple[str, Column, Column | None]] = [("not_null_id", c("id").isNull(), None)]
-    parts: list[DataFrame] = [_duplicates(df, table, "id")]
-    if table == "products":
-        rules += [(f"not_null_{x}", c(x).isNull(), None) for x in ("name", "category", "quantity", "price")]
-        rules += [("length_name", F.length("name") > NAME_MAX["products"], None),
-                  ("length_category", F.length("category") > CATEGORY_MAX, None),
-                  ("range_price", c("price").isNotNull() & c("price").try_cast(MONEY).isNull(),
-                   c("price").cast("string")),
-                  ("range_quantity", c("quantity").isNotNull() & c("quantity").try_cast("int").isNull(),
-                   c("quantity").cast("string"))]
-        if "suppliers" in parents:
-            parts.append(_missing_parent(df, table, "supplier_id", parents["suppliers"]))
-    elif table == "employees":
-        rules += [(f"not_null_{x}", c(x).isNull(), None) for x in ("name", "username", "role")]
-        rules += [("enum_role", ~c("role").isin(*ROLES), c("role")),
-                  ("length_name", F.length("name") > NAME_MAX["employees"], None),
-                  ("length_username", F.length("username") > USERNAME_MAX, None)]
-        parts.append(_duplicates(df, table, "username"))
-    elif table == "suppliers":
-        rules += [("not_null_name", c("name").isNull(), None),
-                  ("length_name", F.length("name") > NAME_MAX["suppliers"], None),
-                  ("length_contact_email", F.length("contact_email") > EMAIL_MAX, None)]
-        if "phone" in df.columns:
-            rules.append(("length_phone", F.length("phone") > PHONE_MAX, None))
-        parts.append(_duplicates(df, table, "name"))
-    elif table == "sales":
-        rules += [(f"not_null_{x}", c(x).isNull(), None)
-                  for x in ("product_name", "category", "unit_price", "quantity", "sale_date")]
-        expect = (c("unit_price") * c("quantity").cast("decimal(10,0)")).try_cast(MONEY)
-        rules += [("length_product_name", F.length("product_name") > NAME_MAX["sales"], None),
-                  ("length_category", F.length("category") > CATEGORY_MAX, None),
-                  ("range_total_amount", c("unit_price").isNotNull() & c("quantity").isNotNull() & expect.isNull(), None)]
-        rules.append(("generated_total_amount", ~c("total_amount").eqNullSafe(expect), None))
-        if "products" in parents:
-            parts.append(_missing_parent(df, table, "product_id", parents["products"]))
-        if "employees" in parents:
-            parts.append(_missing_parent(df, table, "cashier_id", parents["employees"]))
-    out = _row_rules(df, table, rules)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+def _row_rules(rules: Rules, columns: list[str], parents: dict[str, DataFrame]) -> list[tuple[str, Column, Column]]:
+    """(rule, violated, detail) of every rule that one row and its parents' keys decide."""
+    c, none = F.col, F.lit(None).cast("string")
+    out = [("not_null_id", c("id").isNull(), none)]
+    out += [(f"not_null_{x}", c(x).isNull(), none) for x in rules.not_null]
+    out += [(f"enum_{x}", ~c(x).isin(*values), c(x).cast("string")) for x, values in rules.one_of.items()]
+    out += [(f"length_{x}", F.length(x) > n, none) for x, n in rules.max_length.items()]
+    out += [(f"range_{x}", c(x).isNotNull() & c(x).try_cast(kind).isNull(), c(x).cast("string"))
+            for x, kind in rules.fits.items()]
+    for x, (price, n) in rules.product.items():
+        expect = (c(price) * c(n).cast("decimal(10,0)")).try_cast(MONEY)
+        out += [(f"range_{x}", c(price).isNotNull() & c(n).isNotNull() & expect.isNull(), none),
+                (f"generated_{x}", ~c(x).eqNullSafe(expect), none)]
+    out += [(f"fk_{x}", c(x).isNotNull() & c(f"_parent_{x}").isNull(), c(x).cast("string"))
+            for x, parent in rules.references.items() if parent in parents]
+    # a rule about a column that the frame lacks has nothing to check
+    return [r for r in out if r[0].split("_", 1)[1] in columns or not r[0].startswith("length_")]
+
+
+def validate_table(table: str, df: DataFrame, parents: dict[str, DataFrame] | None = None,
+                   collation: str | None = None) -> DataFrame:
+    """M7: one row per violation of the declared rules (``schemas.RULES``) of a table.
+
+    All rules of a row and all its foreign keys are decided in one scan: the parents'
+    distinct keys are joined to it (NULL keys, which refer to nothing, are dealt apart as
+    in :func:`cascade_deletes`) and the violated rules exploded.  All UNIQUE rules
+    together are one aggregate over (column, value), one row a repeated value (under
+    ``collation`` its smallest spelling)."""
+    parents, rules = parents or {}, RULES[table]
+    rows = df
+    for fk, parent in rules.references.items():
+        if parent not in parents:
+            continue
+        keys = parents[parent].select(F.col("id").cast("long").alias("_pk")).where("_pk is not null").distinct()
+        spread = NO_KEY - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD))
+        rows = (rows.withColumn("_fk", F.coalesce(F.col(fk).cast("long"), spread))
+                .join(keys, F.col("_fk") == F.col("_pk"), "left")
+                .withColumnRenamed("_pk", f"_parent_{fk}").drop("_fk"))
+    hits = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+                     for rule, bad, detail in _row_rules(rules, df.columns, parents)])
+    by_row = (rows.select(F.col("id").cast("string").alias("row_key"),
+                          F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+              .select(F.lit(table).alias("table_name"), "h.rule", "row_key", "h.detail"))
+    values = F.array(*[F.struct(F.lit(f"unique_{c}").alias("rule"), F.col(c).cast("string").alias("row_key"))
+                       for c in ("id", *rules.unique)])
+    repeated = (df.select(F.inline(values)).where("row_key is not null")
+                .groupBy("rule", under(F.col("row_key"), collation).alias("_key"))
+                .agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return by_row.unionByName(repeated.select(
+        F.lit(table).alias("table_name"), "rule", "row_key",
+        F.concat(F.col("_n").cast("string"), F.lit(" rows")).alias("detail")))
 
 
 # --- M8–M10 (form checks) -------------------------------------------------------

@@ -165,11 +165,15 @@ def lookup_by_key(table: DataFrame, keys: DataFrame, table_key: str = "id",
     return table.join(k, table[table_key] == k._key, "left_semi")
 
 
-def supplier_ids_by_name(suppliers: DataFrame, names: DataFrame, name_col: str = "supplier") -> DataFrame:
-    """Supplier id for each distinct requested name (NULL if unknown)."""
+def supplier_ids_by_name(suppliers: DataFrame, names: DataFrame, name_col: str = "supplier",
+                         collation: str | None = None) -> DataFrame:
+    """Supplier id for each distinct requested name (NULL if unknown); names are
+    equal under ``collation``."""
     n = names.select(F.col(name_col).alias("supplier")).where(F.col("supplier").isNotNull()).distinct()
     s = suppliers.select(F.col("name").alias("_sname"), F.col("id").alias("supplier_id"))
-    return n.join(s, n.supplier == s._sname, "left").select("supplier", "supplier_id")
+    same = (n.supplier == s._sname if collation is None
+            else F.collate(n.supplier, collation) == F.collate(s._sname, collation))
+    return n.join(s, same, "left").select("supplier", "supplier_id")
 
 
 # --- F1–F7 filters ------------------------------------------------------------

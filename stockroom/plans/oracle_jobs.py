@@ -188,6 +188,21 @@ def build() -> dict[str, str]:
         "UNION ALL SELECT request_id, op, id, 'ERROR' FROM req "
         "WHERE COALESCE(op, '') NOT IN ('INSERT', 'UPDATE', 'DELETE')",
         PRODUCT_CHANGES)
+    any_case = """
+creq AS (
+  SELECT request_id, supplier AS name, lower(supplier) AS k,
+         COALESCE(NULLIF(supplier_contact, ''), 'info@' || regexp_replace(lower(supplier), '\\s', '', 'g') || '.com') AS contact
+  FROM (SELECT * REPLACE (CASE WHEN request_id % 2 = 0 THEN upper(supplier) WHEN request_id % 3 = 0 THEN lower(supplier)
+                               ELSE supplier END AS supplier) FROM f_product_changes)
+  WHERE op IN ('INSERT', 'UPDATE') AND supplier <> '' AND length(supplier) <= 100
+    AND length(COALESCE(NULLIF(supplier_contact, ''), 'info@' || replace(lower(supplier), ' ', '') || '.com')) <= 100),
+cper AS (SELECT k, arg_max(contact, request_id) AS contact, arg_min(name, request_id) AS name, MIN(request_id) AS first_
+         FROM creq GROUP BY k)"""
+    q["upsert_suppliers_any_case"] = A(
+        "SELECT s.id, s.name, COALESCE(p.contact, s.contact_email) AS contact_email, s.phone, s.address, s.created_at "
+        "FROM f_suppliers s LEFT JOIN cper p ON p.k = lower(s.name) UNION ALL "
+        "SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM f_suppliers) + ROW_NUMBER() OVER (ORDER BY first_) AS BIGINT), "
+        "name, contact, NULL, NULL, NULL FROM cper WHERE k NOT IN (SELECT lower(name) FROM f_suppliers)", any_case)
     q["assign_ids"] = A(
         "SELECT request_id, CAST((SELECT MAX(id) FROM f_products) + ROW_NUMBER() OVER (ORDER BY request_id) "
         "AS BIGINT) AS id FROM f_product_changes WHERE op = 'INSERT'")
@@ -276,22 +291,25 @@ def build() -> dict[str, str]:
     broken = """
 bp0 AS (
   SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 20) ELSE name END AS name,
-         CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN repeat(category, 9) ELSE category END AS category,
-         CASE WHEN id % 17 = 0 THEN 3000000000 ELSE CAST(quantity AS BIGINT) END AS quantity,
-         CAST(CASE WHEN id % 23 = 0 THEN CAST(price AS DECIMAL(20,2)) + 200000000 ELSE price END AS DECIMAL(20,2)) AS price,
+         CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN repeat(category, 20) ELSE category END AS category,
+         CASE WHEN id % 31 = 0 THEN NULL WHEN id % 17 = 0 THEN 3000000000 ELSE CAST(quantity AS BIGINT) END AS quantity,
+         CAST(CASE WHEN id % 37 = 0 THEN NULL WHEN id % 23 = 0 THEN CAST(price AS DECIMAL(20,2)) + 200000000 ELSE price END AS DECIMAL(20,2)) AS price,
          CASE WHEN id % 29 = 0 THEN supplier_id + 1000000 ELSE supplier_id END AS supplier_id
   FROM f_products),
 bp AS (SELECT * FROM bp0 UNION ALL SELECT * FROM bp0 WHERE id % 19 = 0),
-bs AS (
+bs0 AS (
   SELECT id, CASE WHEN id % 3 = 0 THEN 'Same Name' WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 9)
                   ELSE name END AS name,
          CASE WHEN id % 2 = 0 THEN repeat(contact_email, 9) ELSE contact_email END AS contact_email,
-         CASE WHEN id % 4 = 0 THEN repeat(phone, 9) ELSE phone END AS phone FROM f_suppliers)"""
+         CASE WHEN id % 4 = 0 THEN repeat(phone, 9) ELSE phone END AS phone FROM f_suppliers),
+bs AS (SELECT * FROM bs0 UNION ALL SELECT * FROM bs0 WHERE id % 6 = 0)"""
     q["validate_broken_products"] = A(
         "SELECT 'products' AS table_name, rule, CAST(id AS VARCHAR) AS row_key, detail FROM ("
         "SELECT 'unique_id' AS rule, id, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bp GROUP BY id HAVING COUNT(*) > 1 "
         "UNION ALL SELECT 'not_null_name', id, NULL FROM bp WHERE name IS NULL "
         "UNION ALL SELECT 'not_null_category', id, NULL FROM bp WHERE category IS NULL "
+        "UNION ALL SELECT 'not_null_quantity', id, NULL FROM bp WHERE quantity IS NULL "
+        "UNION ALL SELECT 'not_null_price', id, NULL FROM bp WHERE price IS NULL "
         "UNION ALL SELECT 'length_name', id, NULL FROM bp WHERE length(name) > 150 "
         "UNION ALL SELECT 'length_category', id, NULL FROM bp WHERE length(category) > 80 "
         "UNION ALL SELECT 'range_quantity', id, CAST(quantity AS VARCHAR) FROM bp WHERE quantity > 2147483647 "
@@ -300,12 +318,60 @@ bs AS (
         "  AND supplier_id NOT IN (SELECT id FROM f_suppliers))", broken)
     q["validate_broken_suppliers"] = A(
         "SELECT 'suppliers' AS table_name, rule, row_key, detail FROM ("
+        "SELECT 'unique_id' AS rule, CAST(id AS VARCHAR) AS row_key, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bs "
+        "GROUP BY id HAVING COUNT(*) > 1 UNION ALL "
         "SELECT 'unique_name' AS rule, name AS row_key, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bs "
         "WHERE name IS NOT NULL GROUP BY name HAVING COUNT(*) > 1 "
         "UNION ALL SELECT 'not_null_name', CAST(id AS VARCHAR), NULL FROM bs WHERE name IS NULL "
         "UNION ALL SELECT 'length_name', CAST(id AS VARCHAR), NULL FROM bs WHERE length(name) > 100 "
         "UNION ALL SELECT 'length_contact_email', CAST(id AS VARCHAR), NULL FROM bs WHERE length(contact_email) > 100 "
         "UNION ALL SELECT 'length_phone', CAST(id AS VARCHAR), NULL FROM bs WHERE length(phone) > 30)", broken)
+    broken_staff = """
+be0 AS (
+  SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(name, 20) ELSE name END AS name,
+         CASE WHEN id % 3 = 0 THEN 'same' WHEN id % 11 = 0 THEN repeat(username, 9) WHEN id % 13 = 0 THEN NULL
+              ELSE username END AS username,
+         CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN 'boss' ELSE role END AS role FROM f_employees),
+be AS (SELECT * FROM be0 UNION ALL SELECT * FROM be0 WHERE id % 23 = 0)"""
+    q["validate_broken_employees"] = A(
+        "SELECT 'employees' AS table_name, rule, row_key, detail FROM ("
+        "SELECT 'unique_id' AS rule, CAST(id AS VARCHAR) AS row_key, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail "
+        "FROM be GROUP BY id HAVING COUNT(*) > 1 "
+        "UNION ALL SELECT 'unique_username', username, CAST(COUNT(*) AS VARCHAR) || ' rows' FROM be "
+        "WHERE username IS NOT NULL GROUP BY username HAVING COUNT(*) > 1 "
+        "UNION ALL SELECT 'not_null_name', CAST(id AS VARCHAR), NULL FROM be WHERE name IS NULL "
+        "UNION ALL SELECT 'not_null_username', CAST(id AS VARCHAR), NULL FROM be WHERE username IS NULL "
+        "UNION ALL SELECT 'not_null_role', CAST(id AS VARCHAR), NULL FROM be WHERE role IS NULL "
+        "UNION ALL SELECT 'enum_role', CAST(id AS VARCHAR), role FROM be WHERE role NOT IN ('owner', 'admin', 'cashier') "
+        "UNION ALL SELECT 'length_name', CAST(id AS VARCHAR), NULL FROM be WHERE length(name) > 100 "
+        "UNION ALL SELECT 'length_username', CAST(id AS VARCHAR), NULL FROM be WHERE length(username) > 50)", broken_staff)
+    broken_sold = """
+bx0 AS (
+  SELECT id, CASE WHEN id % 37 = 0 THEN product_id + 10000000 ELSE product_id END AS product_id,
+         CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN repeat(product_name, 40) ELSE product_name END AS product_name,
+         CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN repeat(category, 20) ELSE category END AS category,
+         CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN CAST(unit_price AS DECIMAL(20,2)) + 99999999
+              ELSE CAST(unit_price AS DECIMAL(20,2)) END AS unit_price,
+         CASE WHEN id % 23 = 0 THEN NULL ELSE quantity END AS quantity,
+         CASE WHEN id % 29 = 0 THEN CAST(total_amount AS DECIMAL(20,2)) + 1 ELSE total_amount END AS total_amount,
+         CASE WHEN id % 31 = 0 THEN NULL ELSE sale_date END AS sale_date,
+         CASE WHEN id % 41 = 0 THEN cashier_id + 10000000 ELSE cashier_id END AS cashier_id FROM f_sales),
+bx1 AS (SELECT * FROM bx0 UNION ALL SELECT * FROM bx0 WHERE id % 43 = 0),
+bx AS (SELECT *, TRY_CAST(CAST(unit_price AS DECIMAL(20,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(10,2)) AS expect FROM bx1)"""
+    q["validate_broken_sales"] = A(
+        "SELECT 'sales' AS table_name, rule, CAST(id AS VARCHAR) AS row_key, detail FROM ("
+        "SELECT 'unique_id' AS rule, id, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM bx GROUP BY id HAVING COUNT(*) > 1 "
+        + "".join(f"UNION ALL SELECT 'not_null_{c}', id, NULL FROM bx WHERE {c} IS NULL "
+                  for c in ("product_name", "category", "unit_price", "quantity", "sale_date"))
+        + "UNION ALL SELECT 'length_product_name', id, NULL FROM bx WHERE length(product_name) > 150 "
+        "UNION ALL SELECT 'length_category', id, NULL FROM bx WHERE length(category) > 80 "
+        "UNION ALL SELECT 'range_total_amount', id, NULL FROM bx WHERE unit_price IS NOT NULL AND quantity IS NOT NULL "
+        "  AND expect IS NULL "
+        "UNION ALL SELECT 'generated_total_amount', id, NULL FROM bx WHERE total_amount IS DISTINCT FROM expect "
+        "UNION ALL SELECT 'fk_product_id', id, CAST(product_id AS VARCHAR) FROM bx WHERE product_id IS NOT NULL "
+        "  AND product_id NOT IN (SELECT id FROM f_products) "
+        "UNION ALL SELECT 'fk_cashier_id', id, CAST(cashier_id AS VARCHAR) FROM bx WHERE cashier_id IS NOT NULL "
+        "  AND cashier_id NOT IN (SELECT id FROM f_employees))", broken_sold)
     trim = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
     q["validate_product_requests"] = A(
         "SELECT *, CASE WHEN NOT ok THEN 'Please fill all required fields' END AS reason FROM ("

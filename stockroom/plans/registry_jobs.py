@@ -13,8 +13,9 @@ from stockroom.operators.listings import product_list
 from stockroom.plans.console import adhoc_sql, result_meta
 from stockroom.plans.registry import Query, _q
 from stockroom.session import scratch_path
-from stockroom.sources.adapters import (RetailTables, broken_products, broken_suppliers, closed_suppliers,
-                                        load_retail_from_star, typed_product_changes)
+from stockroom.sources.adapters import (RetailTables, broken_employees, broken_products, broken_sales, broken_suppliers,
+                                        closed_suppliers, load_retail_from_star, recased_product_changes,
+                                        typed_product_changes)
 from stockroom.sources.catalog import register_views
 from stockroom.sources.sinks import read_report, write_report
 from stockroom.sources.versions import apply_batches, id_marks
@@ -56,6 +57,8 @@ def _marks(t: RetailTables) -> DataFrame:
 JOBS: dict[str, Query] = {
     "request_outcomes_complete": _q(_outcome_counts),
     "upsert_suppliers": _q(lambda t: C.upsert_suppliers(t.suppliers, t.product_changes)),
+    "upsert_suppliers_any_case": _q(lambda t: C.upsert_suppliers(
+        t.suppliers, recased_product_changes(t.product_changes), collation="UTF8_LCASE")),
     "apply_product_changes": _q(lambda t: _product_changes(t).table),
     "product_change_outcomes": _q(lambda t: _product_changes(t).outcomes),
     "assign_ids": _q(lambda t: C.assign_ids(
@@ -78,6 +81,9 @@ JOBS: dict[str, Query] = {
     "validate_broken_products": _q(lambda t: C.validate_table(
         "products", broken_products(t.products), {"suppliers": t.suppliers})),
     "validate_broken_suppliers": _q(lambda t: C.validate_table("suppliers", broken_suppliers(t.suppliers))),
+    "validate_broken_employees": _q(lambda t: C.validate_table("employees", broken_employees(t.employees))),
+    "validate_broken_sales": _q(lambda t: C.validate_table(
+        "sales", broken_sales(t.sales), {"products": t.products, "employees": t.employees})),
     "validate_typed_product_requests": _q(lambda t: C.validate_product_requests(
         typed_product_changes(t.product_changes))),
     # sales checked against the tables after the change batches, without the

@@ -3,7 +3,9 @@
 Fixed, declared — no inference.  ``password`` is never loaded.
 """
 
-from pyspark.sql.types import (BooleanType, DateType, DecimalType, IntegerType, LongType,
+from dataclasses import dataclass, field
+
+from pyspark.sql.types import (BooleanType, DataType, DateType, DecimalType, IntegerType, LongType,
                                StringType, StructField, StructType, TimestampNTZType)
 
 MONEY = DecimalType(10, 2)          # DECIMAL(10,2) column type of the tables
@@ -95,3 +97,35 @@ CATEGORY_MAX = 80
 USERNAME_MAX = 50
 EMAIL_MAX = 100
 PHONE_MAX = 30
+
+
+# --- declared rules (M7) ----------------------------------------------------------
+
+@dataclass(frozen=True)
+class Rules:
+    """What a table's rows must fulfil, beside a key ``id`` that is there and unique."""
+
+    not_null: tuple[str, ...] = ()
+    max_length: dict[str, int] = field(default_factory=dict)
+    one_of: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    fits: dict[str, DataType] = field(default_factory=dict)           # the value fits the column's type
+    unique: tuple[str, ...] = ()
+    references: dict[str, str] = field(default_factory=dict)          # key column -> parent table
+    product: dict[str, tuple[str, str]] = field(default_factory=dict)  # generated: the product of two columns
+
+
+RULES = {
+    "products": Rules(
+        not_null=("name", "category", "quantity", "price"), max_length={"name": NAME_MAX["products"], "category": CATEGORY_MAX},
+        fits={"price": MONEY, "quantity": IntegerType()}, references={"supplier_id": "suppliers"}),
+    "employees": Rules(
+        not_null=("name", "username", "role"), max_length={"name": NAME_MAX["employees"], "username": USERNAME_MAX},
+        one_of={"role": ROLES}, unique=("username",)),
+    "suppliers": Rules(
+        not_null=("name",), max_length={"name": NAME_MAX["suppliers"], "contact_email": EMAIL_MAX, "phone": PHONE_MAX},
+        unique=("name",)),
+    "sales": Rules(
+        not_null=("product_name", "category", "unit_price", "quantity", "sale_date"),
+        max_length={"product_name": NAME_MAX["sales"], "category": CATEGORY_MAX},
+        references={"product_id": "products", "cashier_id": "employees"}, product={"total_amount": ("unit_price", "quantity")}),
+}

@@ -172,22 +172,59 @@ def broken_products(products: DataFrame) -> DataFrame:
     k = F.col("id")
     rows = products.select(
         "id", F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.repeat("name", F.lit(20))).otherwise(F.col("name")).alias("name"),
-        F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.repeat("category", F.lit(9))).otherwise(F.col("category")).alias("category"),
-        F.when(k % 17 == 0, F.lit(3000000000)).otherwise(F.col("quantity").cast("bigint")).alias("quantity"),
-        F.when(k % 23 == 0, F.col("price").cast("decimal(20,2)") + F.lit(200000000).cast("decimal(20,2)"))
+        F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.repeat("category", F.lit(20))).otherwise(F.col("category")).alias("category"),
+        F.when(k % 31 == 0, F.lit(None).cast("bigint")).when(k % 17 == 0, F.lit(3000000000)).otherwise(F.col("quantity").cast("bigint")).alias("quantity"),
+        F.when(k % 37 == 0, F.lit(None).cast("decimal(20,2)"))
+         .when(k % 23 == 0, F.col("price").cast("decimal(20,2)") + F.lit(200000000).cast("decimal(20,2)"))
          .otherwise(F.col("price").cast("decimal(20,2)")).cast("decimal(20,2)").alias("price"),
         F.when(k % 29 == 0, F.col("supplier_id") + 1000000).otherwise(F.col("supplier_id")).alias("supplier_id"))
     return rows.unionByName(rows.where(k % 19 == 0))
 
 
 def broken_suppliers(suppliers: DataFrame) -> DataFrame:
-    """The suppliers with violations of every rule on some rows."""
+    """The suppliers with violations of every rule on some rows; every 6th row is there twice."""
     k = F.col("id")
-    return suppliers.select(
+    rows = suppliers.select(
         "id", F.when(k % 3 == 0, F.lit("Same Name")).when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.repeat("name", F.lit(9)))
         .otherwise(F.col("name")).alias("name"),
         F.when(k % 2 == 0, F.repeat("contact_email", F.lit(9))).otherwise(F.col("contact_email")).alias("contact_email"),
         F.when(k % 4 == 0, F.repeat("phone", F.lit(9))).otherwise(F.col("phone")).alias("phone"), "address", "created_at")
+    return rows.unionByName(rows.where(k % 6 == 0))
+
+
+def broken_employees(employees: DataFrame) -> DataFrame:
+    """The employees with violations of every rule on some rows; every 23rd row is there twice."""
+    k, none = F.col("id"), F.lit(None).cast("string")
+    rows = employees.select(
+        "id", F.when(k % 5 == 0, none).when(k % 7 == 0, F.repeat("name", F.lit(20))).otherwise(F.col("name")).alias("name"),
+        F.when(k % 3 == 0, F.lit("same")).when(k % 11 == 0, F.repeat("username", F.lit(9))).when(k % 13 == 0, none)
+        .otherwise(F.col("username")).alias("username"),
+        F.when(k % 17 == 0, none).when(k % 19 == 0, F.lit("boss")).otherwise(F.col("role")).alias("role"), "must_change_password")
+    return rows.unionByName(rows.where(k % 23 == 0))
+
+
+def broken_sales(sales: DataFrame) -> DataFrame:
+    """The sales with violations of every rule on some rows; every 43rd row is there twice."""
+    k, none = F.col("id"), F.lit(None).cast("string")
+    wide = "decimal(20,2)"
+    rows = sales.select(
+        "id", F.when(k % 37 == 0, F.col("product_id") + 10000000).otherwise(F.col("product_id")).alias("product_id"),
+        F.when(k % 5 == 0, none).when(k % 7 == 0, F.repeat("product_name", F.lit(40))).otherwise(F.col("product_name")).alias("product_name"),
+        F.when(k % 11 == 0, none).when(k % 13 == 0, F.repeat("category", F.lit(20))).otherwise(F.col("category")).alias("category"),
+        F.when(k % 17 == 0, F.lit(None).cast(wide)).when(k % 19 == 0, (F.col("unit_price").cast(wide) + 99999999).cast(wide))
+        .otherwise(F.col("unit_price").cast(wide)).cast(wide).alias("unit_price"),
+        F.when(k % 23 == 0, F.lit(None).cast("int")).otherwise(F.col("quantity")).alias("quantity"),
+        F.when(k % 29 == 0, (F.col("total_amount").cast(wide) + 1).cast(wide)).otherwise(F.col("total_amount").cast(wide)).cast(wide).alias("total_amount"),
+        F.when(k % 31 == 0, F.lit(None).cast("date")).otherwise(F.col("sale_date")).alias("sale_date"), "sale_timestamp",
+        F.when(k % 41 == 0, F.col("cashier_id") + 10000000).otherwise(F.col("cashier_id")).alias("cashier_id"))
+    return rows.unionByName(rows.where(k % 43 == 0))
+
+
+def recased_product_changes(requests: DataFrame) -> DataFrame:
+    """Product requests that spell their suppliers in upper and lower case in turn."""
+    k = F.col("request_id")
+    return requests.withColumn("supplier", F.when(k % 2 == 0, F.upper("supplier")).when(k % 3 == 0, F.lower("supplier"))
+                               .otherwise(F.col("supplier")))
 
 
 def closed_suppliers(suppliers: DataFrame) -> DataFrame:
