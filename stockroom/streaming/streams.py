@@ -2,7 +2,9 @@
 
 * R1 ``stream_apply_sales`` — M11 on an unbounded feed, read once.  A stateful
   processor (``transformWithStateInPandas``, RocksDB) keeps one integer a product,
-  the stock left; the products' stock is handed over as initial state.  Inside a
+  the stock left.  A product's first request brings the stock it starts with, from the
+  stream-static join that also tells unknown products, so that products without
+  requests have no state (an initial state would load them all).  Inside a
   micro-batch a product's requests are folded in order of (ts, request_id): the
   chunks that arrive are kept as numbers only (some 40 bytes a request, bounded by
   the trigger size), sorted and given out in slices; across micro-batches earlier
@@ -80,8 +82,8 @@ def window_day(col: str, spark: SparkSession) -> F.Column:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-# Lanes for requests that need no stock; lane 0 is the products' own.
-LANES = 4096
+# Lanes for requests that need no stock, a shuffle partition; lane 0 is the products' own.
+LANES_A_PARTITION = 2
 # Stands for NULL in number columns, which pandas would turn into floats.  (The chunks'
 # columns must not start with an underscore: the worker renames those.)
 NONE = -(2 ** 62)
@@ -102,9 +104,6 @@ class StockLedger(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stock = handle.getValueState("left", STATE_SCHEMA)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.stock.update((int(initialState["stock0"].iloc[0]),))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[1] != 0:                                   # a lane without stock
             for chunk in rows:
@@ -122,7 +121,7 @@ class StockLedger(StatefulProcessor):
         ts, request, quantity, cashier, overflow = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
         order = np.lexsort((request, ts))
-        # a product that came after the start has no initial state
+        # the first request of a product brings its stock
         stock = int(self.stock.get()[0]) if self.stock.exists() else int(first["stock0"])
         for low in range(0, len(order), SLICE_ROWS):
             at = order[low:low + SLICE_ROWS]
@@ -158,17 +157,14 @@ def stream_apply_sales(products: DataFrame, feed: DataFrame) -> DataFrame:
     pre = (F.when(invalid, F.lit(INVALID_QUANTITY)).when(F.col("_pid").isNull(), F.lit(NOT_FOUND)))
     price = (F.col("cents") / F.lit(100)).cast(MONEY)
     total = (price * F.col("quantity").cast("decimal(10,0)")).try_cast(MONEY)
+    lanes = LANES_A_PARTITION * int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = {c: F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(c) for c in OUTCOME_NUMBERS}
-    lane = F.when(F.col("pre").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("request_id"), F.lit(LANES)))
+    lane = F.when(F.col("pre").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("request_id"), F.lit(lanes)))
     rows = j.withColumn("pre", pre).select(
         F.when(F.col("pre").isNull(), F.col("product_id")).otherwise(F.lit(NONE)).cast("long").alias("product"),
         lane.cast("long").alias("lane"), *number.values(), "ts", "pre", "product_name", "category",
         F.coalesce("stock0", F.lit(0)).alias("stock0"), total.isNull().alias("overflow"))
-    stocks = products.select(F.col("id").cast("long").alias("product"), F.lit(0).cast("long").alias("lane"),
-                             F.col("quantity").alias("stock0"))
-    out = (rows.groupBy("product", "lane")
-           .transformWithStateInPandas(StockLedger(), LEDGER_SCHEMA, "Append", "None",
-                                       initialState=stocks.groupBy("product", "lane")))
+    out = rows.groupBy("product", "lane").transformWithStateInPandas(StockLedger(), LEDGER_SCHEMA, "Append", "None")
     schema = {f.name: f.dataType for f in r.schema.fields}
     back = {c: F.nullif(F.col(c), F.lit(NONE).cast("long")) for c in OUTCOME_NUMBERS}
     decided = F.col("_code") != 0
