@@ -33,6 +33,8 @@ TEMPLATE = {
     "after_role": "\n",
     "close": "<|im_end|>\n",
     "loss_roles": ("assistant",),
+    # strings of which each control string holds one; none is left inside a text or role
+    "marks": ("<|",),
 }
 
 # Allowed turns: state -> role -> next state.  A conversation starts in "start".
@@ -48,31 +50,59 @@ SEGMENT_SCHEMA = ("conv_id long, position long, turn long, state string, valid b
 DIGEST_SCHEMA = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                  "loss_sha256 string, formatted_chars long, valid boolean, error_turn long")
 
-_CONTROL = re.compile(r"<(\\*)\|")
-_ESCAPED = re.compile(r"<\\(\\*)\|")
+def check_template(template: dict) -> None:
+    """Raises if a text could read as one of the template's control strings."""
+    start, after, end, marks = (template[k] for k in ("open", "after_role", "close", "marks"))
+    if not after or any(len(m) < 2 or "\\" in m for m in marks):
+        raise ValueError("a mark needs two characters and no backslash; roles need an end")
+    if any(m[:k] == m[-k:] for m in marks for k in range(1, len(m))):
+        raise ValueError("a mark must not overlap itself")
+    for control in (start, end):
+        if not any(m in control for m in marks):
+            raise ValueError(f"{control!r} holds none of the marks")
+    for k in range(1, len(start)):
+        head, tail = start[:k], start[k:]
+        ends_in_text = not any(m in head for m in marks) and (end.startswith(tail) or after.startswith(tail))
+        starts_in_text = not any(m in tail for m in marks) and after.endswith(head)
+        if ends_in_text or starts_in_text:
+            raise ValueError(f"a text beside a control string could read as {start!r}")
+    if (end + start).find(start) != len(end):
+        raise ValueError("an end and a start overlap")
 
 
-def escape(text: str) -> str:
-    """No ``<|`` is left: every ``<``, backslashes, ``|`` gets one more backslash."""
-    return _CONTROL.sub(r"<\\\1|", text)
+def escape(text: str, template: dict = TEMPLATE) -> str:
+    """No mark is left: its first character, any backslashes, its rest get one more backslash."""
+    for m in template["marks"]:
+        text = re.sub(re.escape(m[0]) + r"(\\*)" + re.escape(m[1:]), lambda x, m=m: m[0] + "\\" + x[1] + m[1:], text)
+    return text
 
 
-def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"<\1|", text)
+def unescape(text: str, template: dict = TEMPLATE) -> str:
+    for m in reversed(template["marks"]):
+        text = re.sub(re.escape(m[0]) + r"\\(\\*)" + re.escape(m[1:]), lambda x, m=m: m[0] + x[1] + m[1:], text)
+    return text
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+def escape_role(role: str, template: dict = TEMPLATE) -> str:
+    """A role also loses line ends and the first character of what ends it."""
+    role = role.replace("\\", "\\\\").replace("\n", "\\n")
+    end = template["after_role"][0]
+    if end not in "\n\\":
+        role = re.sub(r"\\.|" + re.escape(end), lambda m: f"\\u{ord(end):06x}" if m[0] == end else m[0], role)
+    return escape(role, template)
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+def unescape_role(role: str, template: dict = TEMPLATE) -> str:
+    def plain(m: re.Match) -> str:
+        return "\n" if m[1] == "n" else chr(int(m[1][1:], 16)) if len(m[1]) > 1 else m[1]
+
+    return re.sub(r"\\(u[0-9a-f]{6}|.)", plain, unescape(role, template))
 
 
 def render(role: str, text: str, template: dict = TEMPLATE) -> list[tuple[str, bool]]:
     """The segments of one turn."""
-    return [(template["open"] + escape_role(role) + template["after_role"], False),
-            (escape(text), role in template["loss_roles"]),
+    return [(template["open"] + escape_role(role, template) + template["after_role"], False),
+            (escape(text, template), role in template["loss_roles"]),
             (template["close"], False)]
 
 
@@ -81,7 +111,7 @@ def read_back(formatted: str, template: dict = TEMPLATE) -> list[tuple[str, str]
     out = []
     for part in formatted.split(template["open"])[1:]:
         role, _, rest = part.partition(template["after_role"])
-        out.append((unescape_role(role), unescape(rest.removesuffix(template["close"]))))
+        out.append((unescape_role(role, template), unescape(rest.removesuffix(template["close"]), template)))
     return out
 
 
@@ -98,6 +128,7 @@ def format_conversations(conversations: DataFrame, template: dict = TEMPLATE,
                          turns: dict = TURNS) -> DataFrame:
     """One row per turn, in order: its segments, the machine's state after it, and
     whether the order of roles was right up to and including this turn."""
+    check_template(template)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()),
@@ -145,7 +176,7 @@ def conversation_digests(formatted: DataFrame, template: dict = TEMPLATE) -> Dat
                     now["turns"].update(f"{role}\n{text}\n".encode())
                 for s in segments:
                     if s["loss"]:
-                        text = unescape(s["text"])
+                        text = unescape(s["text"], template)
                         now["loss"].update(text.encode())
                         now["loss_chars"] += len(text)
                 now["formatted_chars"] += len(output)

@@ -298,3 +298,28 @@ def test_pages_table(spark):
     got = Counter((r.page_id, r.text if r.page_id != 3 else r.text.count("漢")) for r in out.collect())
     assert got == Counter([(1, "a"), (1, "a"), (2, None), (None, ""), (3, 50_000)])
     assert html.op8_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("template", [
+    chat.TEMPLATE,
+    {"open": "[INST]", "after_role": ": ", "close": "[/INST]", "loss_roles": ("assistant",), "marks": ("[INST]", "[/INST]")},
+    {"open": "### ", "after_role": "\n", "close": "\n<end>\n", "loss_roles": ("assistant",), "marks": ("# ", "<end>")},
+    {"open": "<s>", "after_role": "|", "close": "</s>", "loss_roles": (), "marks": ("<s", "</")}])
+def test_any_template_reads_back(template):
+    import random
+    chat.check_template(template)
+    r = random.Random(4)
+    bits = ["[INST]", "[/INST]", "[INS", "T]", "###", "#", " ", "<end>", "<s>", "</s>", "<|im_start|>", "<|", "|", "\\", "\\\\", "\n", ": ",
+            ":", "u00003a", "n", "x", "é"]
+    for _ in range(3000):
+        turns = [("".join(r.choice(bits) for _ in range(r.randint(0, 5))), "".join(r.choice(bits) for _ in range(r.randint(0, 8))))
+                 for _ in range(r.randint(1, 4))]
+        formatted = "".join(s for role, text in turns for s, _ in chat.render(role, text, template))
+        assert chat.read_back(formatted, template) == turns
+        assert formatted.count(template["open"]) == len(turns)
+
+
+@pytest.mark.parametrize("change", [{"marks": ("[[",)}, {"marks": ("<",)}, {"marks": ("<|", "|>|")}, {"after_role": ""}, {"open": "<|a", "close": "|a<|"}])
+def test_templates_that_could_be_misread_are_refused(change):
+    with pytest.raises(ValueError):
+        chat.check_template({**chat.TEMPLATE, **change})

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-
 import pytest
 from pyspark.sql import functions as F
 
