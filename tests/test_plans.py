@@ -59,7 +59,7 @@ def test_sale_fold_shuffles_requests_once_by_product(stored):
     res = SA.apply_sale_requests(stored.products, stored.sale_requests)
     p = plan(res)
     assert p.count("hashpartitioning(product_id") == 1
-    assert "MapInPandas" in p and "rangepartitioning" not in p
+    assert "MapInArrow" in p and "rangepartitioning" not in p
     assert "BroadcastNestedLoopJoin" not in p and "Cartesian" not in p
 
 
