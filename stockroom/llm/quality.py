@@ -2,17 +2,23 @@
 
 Base rules: too few words, or more than half of the words inside repeated
 three-word windows.  Beyond them, every rule compares one integer measure of a
-text with a cutoff.  For each stratum and rule the declared cutoffs are tested
-from the most lenient on (fixed-sequence testing): a cutoff is certified while
-the exact binomial tail shows, at level DELTA divided by the number of strata
-times rules (Bonferroni), that it rejects at most RISK of the stratum's good
-documents.  Testing stops at the first cutoff that fails.  Of the certified
-cutoffs the one with the largest surplus of bad over good labelled rejections is
-used (ties: the most lenient); with no surplus, or too few labels to certify
-anything, the rule rejects nothing in that stratum.
+text with a cutoff.  The rules of a stratum are certified together, along declared
+paths: one path per non-empty set of rules, whose steps tighten the set's cutoffs by
+turns, from the most lenient on.  A step rejects a document if any of its rules does.
+For each stratum and path the steps are tested in order (fixed-sequence testing): a
+step is certified while the exact binomial tail shows, at level DELTA divided by the
+number of strata times paths (Bonferroni), that it rejects at most RISK of the
+stratum's good documents.  Testing stops at the first step that fails.  So with
+probability 1 - DELTA or more, the rules of every stratum reject together at most RISK
+of its good documents, whichever certified step is used: the one with the largest
+surplus of bad over good labelled rejections (ties: the fewest rules, then the most
+lenient).  With no surplus, or too few labels, nothing is rejected in the stratum.
+
+A trial is a distinct text of the stratum, so copies of a labelled text count once; a
+text whose labels contradict one another is not used.  Near copies count apart.
 
 All columns are Spark expressions over whole texts; labels are joined to a
-narrow table of measures, and only counts per (stratum, rule, cutoff) remain.
+narrow table of measures, and only counts per (stratum, path, step) remain.
 
 Defined results: a null text has no words and fails the base rules; a null
 stratum is a stratum of its own; a document with contradicting labels is not
@@ -24,6 +30,7 @@ output column are replaced by it.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,44 +123,79 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(terms, start, step, lambda acc: F.exp(acc["log_term"]) * acc["sum"])
 
 
+def paths(rules: dict = RULES) -> list[list[tuple[str, int]]]:
+    """The paths: per set of rules its steps in order, each a rule and its next cutoff."""
+    sets = [c for n in range(1, len(rules) + 1) for c in combinations(rules, n)]
+    return [[(r, t) for t in range(max(len(rules[r][1]) for r in chosen)) for r in chosen if t < len(rules[r][1])]
+            for chosen in sets]
+
+
+def step_numbers(rules: dict) -> Column:
+    """Literal [path][rule][cutoff] -> step of the path; no cutoffs for a rule not on it."""
+    def at(path: list, rule: str) -> Column:
+        return F.array(*[F.lit(i) for i, (r, _) in enumerate(path) if r == rule]).cast("array<int>")
+
+    return F.array(*[F.array(*[at(path, r) for r in rules]) for path in paths(rules)])
+
+
+def first_step(values: list[Column], rules: dict) -> Column:
+    """Array over the paths: the first step that rejects a row (null: none does)."""
+    def within(value: Column, cutoffs: tuple) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: ~F.coalesce(value > c, F.lit(False))))
+
+    # cutoffs are strict to the right: the first that rejects follows those that do not
+    reached = [within(v, cutoffs) for v, (_, cutoffs) in zip(values, rules.values(), strict=True)]
+    return F.transform(step_numbers(rules), lambda path: F.array_min(F.array(*[
+        F.get(F.get(path, i), t) for i, t in enumerate(reached)])))
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id",
                       stratum: str = "lang", rules: dict = RULES, risk: float = RISK,
                       delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of every rule that rejects something in a stratum."""
+    """(stratum, rule, cutoff) of every rule that rejects something in a stratum.
+
+    A step number of each path comes from the rules alone (2^rules - 1 paths), so the
+    counts are at most strata x paths x steps rows.  ``measured`` has the measures and ``text_hash`` (see ``narrow_measures``)."""
+    ensure_checkpoint_dir(measured.sparkSession)
     said = (labels.where("quality is not null").groupBy(key)
             .agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
             .where("quality = _most").drop("_most"))
-    held = (measured.where(~F.col("base_failed"))
-            .select(key, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"),
-                    F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(m).alias("value"),
-                                                 F.array(*[F.lit(c) for c in cutoffs]).alias("cutoffs"))
-                                        for r, (m, cutoffs) in rules.items()])).alias("r"))
-            .join(said, key))
-    # how many cutoffs of its rule reject a document, then sums from the lenient end
-    counts = (held.select("stratum", "r.rule", "r.cutoffs", "quality",
-                          F.size(F.filter("r.cutoffs", lambda c: F.col("r.value") > c)).alias("hits"))
-              .groupBy("stratum", "rule", "cutoffs", "hits")
+    # equal texts have equal measures, so any of a text's rows stands for all
+    trials = (measured.where(~F.col("base_failed")).join(said, key)
+              .groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text_hash")
+              .agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"),
+                   *[F.min(m).alias(m) for m in MEASURES])
+              .where("quality = _most"))
+    steps = first_step([F.expr(m) for m, _ in rules.values()], rules)
+    counts = (trials.select("stratum", "quality", F.posexplode(steps).alias("path", "step"))
+              .groupBy("stratum", "path", "step")
               .agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
-                   F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")))
-    # cutoffs are strict to the right, so the t-th (from 0) rejects all with hits >= size - t
-    per = (counts.groupBy("stratum", "rule", "cutoffs")
-           .agg(F.sum("good").alias("n_good"),
-                F.collect_list(F.struct("hits", "good", "bad")).alias("h"))
-           .select("*", F.posexplode("cutoffs").alias("step", "cutoff")))
+                   F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")).checkpoint())
+    tests = counts.select("stratum").distinct().count() * len(paths(rules))
+    # sums from the lenient end, at every step of the path
+    lengths = F.array(*[F.lit(len(path)) for path in paths(rules)])
+    per = (counts.groupBy("stratum", "path")
+           .agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("step", "good", "bad")).alias("h"))
+           .withColumn("step", F.explode(F.sequence(F.lit(0), F.get(lengths, F.col("path")) - 1))))
     rejected = lambda c: F.aggregate(
-        F.filter("h", lambda x: x["hits"] >= F.size("cutoffs") - F.col("step")),
+        F.filter("h", lambda x: x["step"] <= F.col("step")),
         F.lit(0).cast("long"), lambda acc, x: acc + x[c])
-    tests = (per.withColumn("good", rejected("good")).withColumn("bad", rejected("bad"))
-             .withColumn("_tests", F.size(F.collect_set("stratum").over(Window.partitionBy())) * len(rules)))
+    sums = per.withColumn("good", rejected("good")).withColumn("bad", rejected("bad"))
     passed = F.when(F.col("good") >= F.col("n_good") * F.lit(risk), F.lit(False)).otherwise(
-        tail(F.col("n_good"), F.col("good"), risk) <= F.lit(delta) / F.col("_tests"))
-    sequence = Window.partitionBy("stratum", "rule").orderBy("step")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("surplus"), "step")
-    return (tests.withColumn("passed", passed)
-            .withColumn("certified", F.min("passed").over(sequence))
-            .where("certified").withColumn("surplus", F.col("bad") - F.col("good"))
-            .withColumn("_place", F.row_number().over(best)).where("_place = 1 and surplus > 0")
-            .select("stratum", "rule", "cutoff"))
+        tail(F.col("n_good"), F.col("good"), risk) <= F.lit(delta) / F.lit(max(tests, 1)))
+    sequence = Window.partitionBy("stratum", "path").orderBy("step")
+    best = Window.partitionBy("stratum").orderBy(F.desc("surplus"), "path", "step")
+    chosen = (sums.withColumn("passed", passed)
+              .withColumn("certified", F.min("passed").over(sequence))
+              .where("certified").withColumn("surplus", F.col("bad") - F.col("good"))
+              .withColumn("_place", F.row_number().over(best)).where("_place = 1 and surplus > 0"))
+    # how far the chosen step has tightened each rule
+    limits = [F.struct(F.lit(r).alias("rule"), F.get(
+        F.array(*[F.lit(c) for c in cutoffs]),
+        F.size(F.filter(F.get(F.get(step_numbers(rules), F.col("path")), F.lit(i)), lambda t: t <= F.col("step"))) - 1
+    ).alias("cutoff")) for i, (r, (_, cutoffs)) in enumerate(rules.items())]
+    return (chosen.select("stratum", F.explode(F.array(*limits)).alias("x"))
+            .where("x.cutoff is not null").select("stratum", "x.rule", "x.cutoff"))
 
 
 def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang",
@@ -179,7 +221,8 @@ def plain(docs: DataFrame) -> DataFrame:
 def narrow_measures(docs: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """Measures of every row without its text, written once for both later uses."""
     ensure_checkpoint_dir(docs.sparkSession)
-    return with_measures(plain(docs).select(key, stratum, "text")).drop("text").checkpoint()
+    return (with_measures(plain(docs).select(key, stratum, "text"))
+            .withColumn("text_hash", F.xxhash64("text")).drop("text").checkpoint())
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,8 +244,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 # The same measures by unnesting, the same tests with the log-gamma function.
 _VALUES = " UNION ALL ".join(
-    f"SELECT doc_id, stratum, '{r}' AS rule, {m.replace(' div ', ' // ')} AS value FROM able" for r, (m, _) in RULES.items())
-_CUTOFFS = ", ".join(f"('{r}', {i}, {c})" for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts))
+    f"SELECT stratum, text, quality, '{r}' AS rule, {m.replace(' div ', ' // ')} AS value FROM trials"
+    for r, (m, _) in RULES.items())
+_ABLE = _VALUES.replace("stratum, text, quality,", "doc_id, stratum,").replace("FROM trials", "FROM able")
+_STEPS = ", ".join(f"({p}, {i}, '{r}', {RULES[r][1][t]})" for p, path in enumerate(paths()) for i, (r, t) in enumerate(path))
 SQL = f"""
 WITH split AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
@@ -223,27 +268,39 @@ measures AS (
 judged AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures),
 able AS (SELECT * FROM judged WHERE NOT base_failed),
-vals AS ({_VALUES}),
-cutoffs(rule, step, cutoff) AS (VALUES {_CUTOFFS}),
 said AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL
          GROUP BY doc_id HAVING min(quality) = max(quality)),
+trials AS (
+  SELECT stratum, text, min(quality) AS quality, min(n_words) AS n_words, min(word_chars) AS word_chars,
+         min(n_symbols) AS n_symbols, min(n_dup_lines) AS n_dup_lines, min(n_repeat_words) AS n_repeat_words
+  FROM able JOIN said USING (doc_id) JOIN split USING (doc_id, stratum)
+  GROUP BY stratum, text HAVING min(quality) = max(quality)),
+vals AS ({_VALUES}),
+steps(path, step, rule, cutoff) AS (VALUES {_STEPS}),
+firsts AS (
+  SELECT stratum, text, quality, path, min(CASE WHEN value > cutoff THEN step END) AS first
+  FROM vals JOIN steps USING (rule) GROUP BY ALL),
 counts AS (
-  SELECT stratum, rule, step, cutoff, sum((quality = 1)::INT)::BIGINT AS n_good,
-         sum((quality = 1 AND value > cutoff)::INT)::BIGINT AS good,
-         sum((quality = 0 AND value > cutoff)::INT)::BIGINT AS bad
-  FROM vals JOIN said USING (doc_id) JOIN cutoffs USING (rule) GROUP BY ALL),
+  SELECT stratum, path, step, sum((quality = 1)::INT)::BIGINT AS n_good,
+         sum((quality = 1 AND coalesce(first <= step, false))::INT)::BIGINT AS good,
+         sum((quality = 0 AND coalesce(first <= step, false))::INT)::BIGINT AS bad
+  FROM firsts JOIN (SELECT path, step FROM steps) USING (path) GROUP BY ALL),
 tests AS (
   SELECT *, good < n_good * {RISK} AND list_sum(list_transform(range(0, good + 1), lambda i:
            exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
                + i * ln({RISK}) + (n_good - i) * ln(1 - {RISK}))))
-         <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM counts) * {len(RULES)}) AS passed
+         <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM counts) * {len(paths())}) AS passed
   FROM (SELECT * FROM counts WHERE n_good > 0)),
 best AS (
-  SELECT stratum, rule, cutoff FROM (
-    SELECT *, min(passed::INT) OVER (PARTITION BY stratum, rule ORDER BY step) AS certified FROM tests)
+  SELECT stratum, path, step FROM (
+    SELECT *, min(passed::INT) OVER (PARTITION BY stratum, path ORDER BY step) AS certified FROM tests)
   WHERE certified = 1 AND bad > good
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - good DESC, step) = 1),
-rejected AS (SELECT DISTINCT doc_id FROM vals JOIN best USING (stratum, rule) WHERE value > cutoff)
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - good DESC, path, step) = 1),
+limits AS (
+  SELECT b.stratum, s.rule, min(s.cutoff) AS cutoff FROM best b JOIN steps s ON s.path = b.path AND s.step <= b.step
+  GROUP BY ALL),
+able_values AS ({_ABLE}),
+rejected AS (SELECT DISTINCT doc_id FROM able_values JOIN limits USING (stratum, rule) WHERE value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
 FROM judged

@@ -89,6 +89,96 @@ def test_certified_cutoffs_reject_bad_and_keep_good(spark):
     assert kept.columns == [*docs.columns, "n_words"] and kept.where("n_words = 'own'").count() == sum(r.kept for r in out)
 
 
+def slow_tail(n, k, p):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+                              + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
+def slow_limits(strata, rules, risk, delta):
+    """{stratum: {rule: cutoff}} from {stratum: [(values per rule, good)]}, path by path, step by step."""
+    names = list(rules)
+    sets = [c for n in range(1, len(names) + 1) for c in itertools.combinations(names, n)]
+    out = {}
+    for stratum, trials in strata.items():
+        n, best = sum(good for _, good in trials), None
+        for chosen in sets:
+            limits = {}
+            turns = [(r, t) for t in range(20) for r in chosen if t < len(rules[r])]
+            for r, t in turns:
+                limits[r] = rules[r][t]
+                hit = [good for values, good in trials if any(values[x] > c for x, c in limits.items())]
+                if n == 0 or sum(hit) >= n * risk or slow_tail(n, sum(hit), risk) > delta / len(strata) / len(sets):
+                    break
+                if len(hit) - 2 * sum(hit) > (best[0] if best else 0):
+                    best = (len(hit) - 2 * sum(hit), dict(limits))
+        if best:
+            out[stratum] = best[1]
+    return out
+
+
+def measured_rows(r, n_good, n_bad, stratum, start):
+    """(doc_id, lang, text_hash, base_failed, the five measures, quality) with 1000 words each."""
+    out = []
+    for i in range(n_good + n_bad):
+        good = i < n_good
+        high = [r.random() < (0.004 if good else 0.4) for _ in range(4)]
+        symbols, repeats, lines_, length = (r.choice([120, 260, 480, 900, 1700]) if h else 5 for h in high)
+        out.append((start + i, stratum, start + i, False, 1000, 600 * 10 + length * 10, symbols, lines_, min(repeats, 480),
+                    int(good)))
+    return out
+
+
+MEASURED = ("doc_id long, lang string, text_hash long, base_failed boolean, n_words long, word_chars long, "
+            "n_symbols long, n_dup_lines long, n_repeat_words long, quality int")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cutoffs_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    found = [x for i, (s, g, b) in enumerate([("a", 1500, 200), ("b", 500, 80), (None, 900, 0), ("c", 0, 40), ("d", 3000, 500)])
+             for x in measured_rows(r, g, b, s, 10_000 * i)]
+    copies = [(x[0] + 100_000, *x[1:]) for x in found[::3]] + [(x[0] + 200_000, *x[1:-1], 1 - x[-1]) for x in found[::50]]
+    df = spark.createDataFrame(found + copies, MEASURED)
+    got = {}
+    for x in quality.certified_cutoffs(df.drop("quality"), df.select("doc_id", "quality")).collect():
+        got.setdefault(x.stratum, {})[x.rule] = x.cutoff
+    strata = {}
+    for x in [x for i, x in enumerate(found) if i % 50]:          # every fiftieth text contradicts itself
+        words_, chars, symbols, lines_, repeats = x[4:9]
+        strata.setdefault(x[1] or "", []).append(({
+            "symbols": 1000 * symbols // words_, "repeats": 1000 * repeats // words_,
+            "lines": 1000 * lines_ // words_, "length": 100 * chars // words_}, x[-1]))
+    assert got == slow_limits(strata, {k: v[1] for k, v in quality.RULES.items()}, quality.RISK, quality.DELTA)
+    assert "d" in got and "c" not in got
+
+
+def test_copies_are_one_trial(spark):
+    """Copies of one good text add no evidence; the same number of different texts does."""
+    good, bad = [prose(i, 60) for i in range(100)], [" ".join(["###" + w for w in prose(i, 60).split(" ")]) for i in range(50)]
+    for more, certified in ((good[:1] * 400, 0), ([prose(1000 + i, 60) for i in range(400)], 1)):
+        found = [(i, t, "en", "s", 1, q) for i, (t, q) in enumerate([(t, 1) for t in good + more] + [(t, 0) for t in bad])]
+        df = spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long, quality int")
+        cutoffs = quality.certified_cutoffs(quality.narrow_measures(df.drop("quality")), df.select("doc_id", "quality"))
+        assert cutoffs.count() == certified
+
+
+def test_false_rejection_of_all_rules_together_is_limited():
+    """Four rules, each with a cutoff just above its share of the risk: the chosen rules reject more
+    than RISK of the good texts in at most DELTA of the drawn holdouts."""
+    rules = {k: v[1][:2] for k, v in quality.RULES.items()}
+    r, missed, runs = random.Random(5), 0, 60
+    share = 0.0062                                   # four together: 2.46 %
+    for _ in range(runs):
+        trials = []
+        for i in range(2600):
+            good = i < 2000
+            values = {k: 10**6 if r.random() < (share if good else 0.5) else 0 for k in rules}
+            trials.append((values, int(good)))
+        limits = slow_limits({"s": trials}, rules, quality.RISK, quality.DELTA).get("s", {})
+        missed += 1 - (1 - share) ** len(limits) > quality.RISK
+    assert missed <= 0.1 * runs
+
+
 def test_quality_edge_tables(spark):
     out = quality.quality_verdicts(documents(spark, extra=True), labels(spark)).collect()
     assert len(out) == len(rows())
