@@ -8,8 +8,10 @@ of its words).  A window has as many shingles as the item it is held against.
    shingles do.  (Shifting any other window to its first such shingle loses none of
    them, so no match is missed.)
 2. Fingerprints.  Each window and each item has a 64-bit SimHash of its shingles.  All
-   pairs within RADIUS bits are found by multi-index blocks: RADIUS + 1 blocks of
-   bits, of which one must be equal; a pair is taken at its first equal block.
+   pairs within RADIUS bits are found by multi-index blocks: of BLOCKS blocks of bits,
+   one differs in at most RADIUS div BLOCKS bits.  Items are entered under their blocks,
+   windows look up all values within that many bits (697 of 65,536 in 16 bits); a pair
+   is taken at its first such block.  Random fingerprints meet in some 4 % of pairs.
 3. Verification.  The weighted similarity is exact: a shingle weighs as often as it
    occurs, and sum of minima over sum of maxima must be at least ``percent`` %.
 
@@ -35,7 +37,11 @@ from stockroom.session import ensure_checkpoint_dir
 
 WIDTH, PERCENT = 5, 80
 RADIUS = 15
-BLOCK_BITS = 64 // (RADIUS + 1)
+BLOCKS = 4
+BLOCK_BITS = 64 // BLOCKS
+BLOCK_RADIUS = RADIUS // BLOCKS         # BLOCKS blocks with more bits apart have over RADIUS together
+# What a block may differ by.
+PROBES = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= BLOCK_RADIUS]
 BROADCAST_ROWS = 1_000_000
 
 
@@ -60,10 +66,22 @@ def item_shingles(benchmark: DataFrame, item: str, width: int) -> DataFrame:
         "m", F.size("shingles"))
 
 
+def shingle_counts(h: Column) -> Column:
+    """Sorted distinct shingles with their counts, as array<struct<x, n>>, from an array of hashes."""
+    # a sorted array's runs: each start, up to the next one
+    runs = lambda a: let(F.filter(F.transform(
+        a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1) != x), i)), lambda i: i.isNotNull()), lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(a, i).alias("x"),
+                                      (F.coalesce(F.get(at, k + 1), F.size(a)) - i).cast("long").alias("n"))))
+    return let(F.array_sort(h), runs)
+
+
 def common_weight(a: Column, b: Column) -> Column:
-    """Sum over the distinct shingles of the smaller of their counts in a and b."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda n, x: n + F.least(
-        F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    """Sum over the distinct shingles of the smaller of their counts, for two arrays of
+    ``shingle_counts``.  One map lookup a shingle."""
+    theirs = F.map_from_entries(b)
+    return let(theirs, lambda m: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.least(
+        x["n"], F.coalesce(F.element_at(m, x["x"]), F.lit(0).cast("long")))))
 
 
 def block(fingerprint: Column, j: Column) -> Column:
@@ -113,20 +131,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     return best_windows(reduce(DataFrame.union, sides))
 
 
-def one_width(docs: DataFrame, items: DataFrame, key: str, width: int, percent: int) -> DataFrame:
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS))).alias("block")
-    theirs = (items.where(F.col("width") == width)
-              .select("item_id", "m", F.col("shingles").alias("theirs"), simhash(F.col("shingles")).alias("mark"))
-              .select("*", blocks).withColumn("value", block(F.col("mark"), F.col("block"))).checkpoint())
-    index, _ = few(theirs, BROADCAST_ROWS)
-    ours = (windows(docs, items, key, width, percent).select("*", blocks)
-            .withColumn("value", block(F.col("fingerprint"), F.col("block"))))
+def within_radius(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of equal ``m`` whose ``fingerprint`` and ``mark`` differ in at most RADIUS bits.
+
+    ``theirs`` (written) is entered BLOCKS times and broadcast up to BROADCAST_ROWS entries."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    index, _ = few(theirs.select("*", blocks).withColumn("value", block(F.col("mark"), F.col("block"))).checkpoint(),
+                   BROADCAST_ROWS)
+    probes = (ours.select("*", blocks)
+              .withColumn("value", F.explode(let(block(F.col("fingerprint"), F.col("block")), lambda v: F.transform(
+                  F.array(*[F.lit(x) for x in PROBES]).cast("array<bigint>"), lambda x: x.bitwiseXOR(v))))))
     differ = F.col("fingerprint").bitwiseXOR(F.col("mark"))
     first = F.forall(F.when(F.col("block") > 0, F.sequence(F.lit(0), F.col("block") - 1))
-                     .otherwise(F.array().cast("array<int>")), lambda j: block(differ, j) != 0)
-    pairs = (ours.join(index, ["m", "block", "value"])
-             .where((F.bit_count(differ) <= RADIUS) & first))
-    common = pairs.withColumn("common", common_weight(F.col("shingles"), F.col("theirs")))
+                     .otherwise(F.array().cast("array<int>")),
+                     lambda j: F.bit_count(block(differ, j)) > BLOCK_RADIUS)
+    return (probes.join(index, ["m", "block", "value"])
+            .where((F.bit_count(differ) <= RADIUS) & first).drop("block", "value"))
+
+
+def one_width(docs: DataFrame, items: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+    theirs = (items.where(F.col("width") == width)
+              .select("item_id", "m", F.col("shingles").alias("theirs"), simhash(F.col("shingles")).alias("mark")))
+    ours = windows(docs, items, key, width, percent)
+    pairs = within_radius(ours, theirs.checkpoint())
+    common = pairs.withColumn("common", common_weight(shingle_counts(F.col("shingles")), shingle_counts(F.col("theirs"))))
     return (common.withColumn("total", F.size("shingles") + F.size("theirs") - F.col("common"))
             .where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("total"))
             .select("doc_id", "_fetch", "_th", "item_id", "common", "total", "start", F.col("m").alias("size")))

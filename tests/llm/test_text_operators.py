@@ -559,3 +559,29 @@ def test_windows_reach_every_similar_one(spark):
         spark.createDataFrame(found, "doc_id long, text string"),
         spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert out == want and len(want) > 20
+
+
+def test_blocks_find_the_radius_and_select(spark):
+    """Every pair within the radius exactly once; random fingerprints meet in a few pairs of a hundred."""
+    r = random.Random(21)
+    marks = [r.getrandbits(64) for _ in range(300)]
+    near = [(x ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 24)))) for x in marks]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ours = spark.createDataFrame([(i, 7, signed(x)) for i, x in enumerate(near)], "a long, m int, fingerprint long")
+    theirs = spark.createDataFrame([(i, 7, signed(x)) for i, x in enumerate(marks)], "b long, m int, mark long")
+    got = [(x.a, x.b) for x in decontam.within_radius(ours, theirs.checkpoint()).collect()]
+    want = {(i, j) for i, x in enumerate(near) for j, y in enumerate(marks) if (x ^ y).bit_count() <= decontam.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
+    met = sum(((x >> 16 * k ^ y >> 16 * k) & 0xFFFF).bit_count() <= decontam.BLOCK_RADIUS
+              for x in near for y in marks for k in range(decontam.BLOCKS))
+    assert met < 0.1 * len(near) * len(marks) and len(decontam.PROBES) == 697
+
+
+def test_common_weight_counts_repeats(spark):
+    r = random.Random(22)
+    pairs = [([r.randrange(6) for _ in range(r.randrange(0, 12))], [r.randrange(6) for _ in range(r.randrange(0, 12))])
+             for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    both = decontam.common_weight(decontam.shingle_counts(F.col("a")), decontam.shingle_counts(F.col("b")))
+    assert [x.n for x in df.select(both.alias("n")).collect()] == [
+        sum((Counter(a) & Counter(b)).values()) for a, b in pairs]
