@@ -129,5 +129,5 @@ def test_query_matches_sql(spark, name):
 
 def test_every_query_is_there():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert decontam.SQL and set(ORACLE_SQL) <= set(QUERIES)
