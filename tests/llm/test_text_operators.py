@@ -537,6 +537,53 @@ def test_fuzzy_lines_are_verified_in_passes(spark, monkeypatch):
     assert seen.count(["a", "b"]) > 3, seen
 
 
+def test_lines_with_a_common_shingle_alone_are_not_compared_in_full(spark, monkeypatch):
+    r = random.Random(12)
+    texts = []
+    for i in range(40):
+        word = lambda: "".join(r.choices(r.sample("abcdefghijklmnopqrstuvwxyz", 7), k=7))
+        rest = [word() for _ in range(16 + i % 2)]
+        texts.append(" ".join([*rest[:2], "once", "upon", "a", "time", *rest[2:]]))
+    texts = sorted(texts + [t[:20] + "qq" + t[22:] for t in texts[:10]])
+    groups, real, seen = alike_groups(texts), lines.verified, []
+    monkeypatch.setattr(lines, "verified", lambda pairs, uniq: seen.append(pairs.count()) or real(pairs, uniq))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x.doc_id: x.n_removed for x in lines.op7_documents(docs).collect()}
+    first = {g: min(i for i in range(len(texts)) if groups[i] == g) for g in groups}
+    assert out == {i: int(first[g] != i) for i, g in enumerate(groups)} and sum(out.values()) == 10
+    # over a thousand pairs share the shingle and nearly a length
+    assert sum(seen) < 100, seen
+
+
+def test_letters_leave_every_alike_pair(spark):
+    r = random.Random(13)
+    letters = "etaoin shrdlu qz7é"
+    found = [("", ""), ("a" * 70_000, "a" * 64_000), ("ab" * 40_000, "ab" * 36_001)]
+    for n in (5, 20, 60, 200, 400):
+        for _ in range(12):
+            a = "".join(r.choices(letters, k=n))
+            b = list(a)
+            for _ in range(r.randrange(n // 10 + 3)):
+                at = r.randrange(len(b))
+                b[at:at + 1] = r.choice([[], [r.choice(letters)], [b[at], r.choice(letters)]])
+            found.append((a, "".join(b)))
+    most = lambda a, b: int((1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    near = [len(a) > 1000 or distance(a, b) <= most(a, b) for a, b in found]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(found)], "i int, a string, b string")
+    side = lambda x: lines.with_letters(df.select("i", F.col(x).alias("norm"), F.length(x).alias("size"))).drop(
+        "norm").alias(x)
+    left = {x.i for x in side("a").join(side("b"), "i").where(lines.like_letters("a", "b")).select("i").collect()}
+    assert left >= {i for i, x in enumerate(near) if x} and 20 < sum(near) < len(found)
+
+
+def test_words_of_a_line_are_parted_by_one_blank(spark):
+    raw = ["A  b", " a b ", "a - b", "a-b", "-a\tb-", "a. b", "a .b", "  ", "--", "* *", "\u00a0a\u00a0\u00a0b\u00a0", "É,é", "漢 字。x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "doc_id long, text string")
+    got = {x.at._fetch: x.norm for x in lines.lines_of(docs, "doc_id", 1).collect()}
+    want = {i: " ".join(w for w in re.split(r"[\W_]+", t.lower()) if w) or t.strip() for i, t in enumerate(raw)}
+    assert got == {i: t for i, t in want.items() if t}
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
